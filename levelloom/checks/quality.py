@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from levelloom.checks.registry import query
 from levelloom.functions.scalars import beat_to_frame
 from levelloom.operators import parity, quality
+from levelloom.session import cut
 
 _OPP = " OR ".join(
     f"(p = {d} AND direction IN ({','.join(map(str, s))}))"
@@ -129,6 +130,7 @@ def _(v):
     s = m.groupBy("map_id").agg(
         F.max(quality.quality_score()).alias("score"), F.round(F.max("parity_rate"), 9).alias("worst_parity"), F.max("nps").alias("top_nps")
     )
+    s = cut(s)
     cutoff = quality.pick_by_index(s, "score", {"cutoff": 0.15}).scalar()
     return s.withColumn("blacklisted", F.col("score") <= cutoff).orderBy(F.desc("score"), "map_id").limit(20)
 

@@ -30,9 +30,9 @@ def _same_class(notes: DataFrame, track: Track) -> DataFrame:
     return scan(n, track, prev={"prev_cls": "cls", "prev_beat": "beat"})
 
 
-def remembered_pairs(notes: DataFrame, keys=K_COLS) -> DataFrame:
+def remembered_pairs(notes: DataFrame, keys=K_COLS, order=("beat", "seq")) -> DataFrame:
     """Same hand side twice, remembering the last non-neutral swing across neutral ones."""
-    n = _same_class(notes, HANDS)
+    n = _same_class(notes, Track(HANDS.keys, tuple(order), HANDS.slice))
     check = F.col("prev_cls").isNotNull()
     return _rate(n, keys, check & (F.col("prev_cls") == F.col("cls")), check)
 

@@ -10,6 +10,7 @@ from levelloom.constants import QUALITY_PENALTIES as QP, SHORT_MAP_FRAMES
 from levelloom.functions.scalars import frames_seconds
 from levelloom.operators.parity import K_COLS, listed_alternation
 from levelloom.plans.ordered import Track, scan
+from levelloom.session import cut
 
 
 def entropy(counts: list[Column]) -> Column:
@@ -126,7 +127,7 @@ def metadata_blacklist(index: DataFrame) -> DataFrame:
 def quality_blacklist(index: DataFrame, metrics: DataFrame, threshold: float = 0.15) -> DataFrame:
     """Metadata rules, then every remaining map whose score is at or below the cut."""
     meta = metadata_blacklist(index)
-    scored = song_scores(metrics).join(meta, "map_id", "left_anti")
+    scored = cut(song_scores(metrics).join(meta, "map_id", "left_anti"))  # read twice below
     cutoff = pick_by_index(scored, "score", {"cutoff": threshold}).scalar()
     low = scored.where(F.col("score") <= cutoff).select(
         "map_id", F.format_string("low_quality (score=%.3f)", "score").alias("reason")

@@ -67,6 +67,24 @@ OBJECTS = """SELECT l_suppkey map_id, CASE WHEN l_linenumber <= 5 THEN 'Expert'
  CAST((l_orderkey % 7 - 3) * 15 AS INTEGER) angle_offset, l_quantity / CAST(8 AS DOUBLE) duration FROM lineitem"""
 
 
+def full_events(spark, sf_dir):
+    """Objects with every attribute of their kind filled in."""
+    o = objects(spark, sf_dir)
+    s = F.col("seq")
+    return o.select(
+        "*", (F.col("beat") + F.floor(F.col("duration") * 8) / 8.0).alias("tail_beat"),
+        ((F.col("x") + 1) % 4).alias("tail_x"), ((F.col("y") + 1) % 3).alias("tail_y"), ((F.col("direction") + 1) % 9).alias("tail_direction"),
+        ((F.col("x") + 1) * 0.5).alias("mu"), ((F.col("y") + 1) * 0.5).alias("tail_mu"), (F.col("x") % 3).alias("mid_anchor"),
+        (2 + s % 31).cast("int").alias("slice_count"), ((s % 11) / 10.0).alias("squish"),
+        (F.col("x") + 1).alias("width"), (F.col("y") + 1).alias("height"),
+    )
+
+
+FULL_SQL = """SELECT *, beat + FLOOR(duration * 8) / CAST(8 AS DOUBLE) tail_beat, (x + 1) % 4 tail_x, (y + 1) % 3 tail_y, (direction + 1) % 9 tail_direction,
+ (x + 1) * 5e-1 mu, (y + 1) * 5e-1 tail_mu, x % 3 mid_anchor, CAST(2 + seq % 31 AS INTEGER) slice_count, (seq % 11) / CAST(10 AS DOUBLE) squish,
+ x + 1 width, y + 1 height FROM objects"""
+
+
 def notes(spark, sf_dir):
     return objects(spark, sf_dir).where("kind = 'note'").drop("kind", "duration")
 
@@ -195,7 +213,7 @@ TOKEN_PRED_SQL = """SELECT CAST(l_partkey % 11 AS INTEGER) pred, CAST(l_orderkey
 
 
 VIEWS = {
-    "maps": (maps, MAPS), "objects": (objects, OBJECTS), "notes": (notes, NOTES_SQL),
+    "maps": (maps, MAPS), "objects": (objects, OBJECTS), "notes": (notes, NOTES_SQL), "full_events": (full_events, FULL_SQL),
     "frames": (frames, FRAMES_SQL), "lights": (lights, LIGHTS_SQL), "tempo_change": (tempo_change, TEMPO_SQL),
     "catalogue": (catalogue, CATALOGUE_SQL), "catalogue_diff": (catalogue_diff, CATALOGUE_DIFF_SQL),
     "bucket_member": (bucket_member, BUCKET_SQL), "experiment_log": (experiment_log, EXPERIMENT_SQL),
@@ -219,5 +237,6 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return sql
     ctes = ", ".join(f"{n} AS ({known[n]})" for n in order)
-    # AS MATERIALIZED is not needed; the engine decides. RECURSIVE is harmless when unused.
-    return f"WITH RECURSIVE {ctes} {sql}"
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
+    body = f", {sql[own.end():]}" if own else f" {sql}"
+    return f"WITH RECURSIVE {ctes}{body}"

@@ -19,6 +19,7 @@ def get_spark(app: str = "levelloom", cores: str | int = "*", **conf: str) -> Sp
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("LEVELLOOM_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", "-Dderby.system.home=/tmp")
     )
     for k, v in conf.items():
