@@ -11,6 +11,7 @@ from levelloom import constants as K
 from levelloom.functions.scalars import clamp, dequantize, lookup, quantize
 from levelloom.operators.parity import K_COLS
 from levelloom.plans.ordered import Track, fold_runs, scan
+from levelloom.session import cut
 
 PRIORITY = {"note": 0, "bomb": 1, "wall": 2, "arc_start": 3, "arc_end": 4, "chain": 5}
 _NO_INTS = "array<int>"
@@ -169,11 +170,12 @@ def pair_arcs(decoded: DataFrame) -> DataFrame:
     a = decoded.where(F.col("kind").isin("arc_start", "arc_end")).withColumn("is_head", F.col("kind") == "arc_start")
     a = a.withColumn("_tail", (~F.col("is_head")).cast("int"))
     track = Track((*K_COLS, "color"), ("beat", "_tail", "ord"), "floor(beat / 64)")
-    a = scan(a, track, sums={"open": F.when(F.col("is_head"), 1).otherwise(-1).cast("long")}, prev={"prev_beat": "beat"})
+    step = F.when(F.col("is_head"), 1).otherwise(-1).cast("long")
+    a = cut(scan(a, track, sums={"open": step}, prev={"prev_beat": "beat"}))
     gap = F.col("beat") - F.col("prev_beat")
     bad = (F.col("open") < 0) | ((gap > 0) & (gap <= 0.05))
-    a = scan(a, track, prev={"prev_open": "open"}, sums={"n_bad": bad.cast("long")})
-    cut_here = (F.col("prev_open") == 0) & (F.col("n_bad") == 0) & (gap > 0)
+    a = scan(a, track, sums={"n_bad": bad.cast("long")})
+    cut_here = (F.col("open") - step == 0) & (F.col("n_bad") == 0) & (gap > 0)
     a = scan(a, track, sums={"run": F.coalesce(cut_here, F.lit(False)).cast("long")})
     cols = [*K_COLS, "color", "run", "beat", "_tail", "ord", "is_head", "x", "y", "direction", "mu", "mid_anchor"]
     a = a.select(*cols).na.fill({"mid_anchor": 0})
