@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
 from levelloom.checks.registry import REGISTRY  # noqa: F401
-from levelloom.checks import curation, documents, quality, reports, tokens  # noqa: F401
+from levelloom.checks import curation, documents, quality, reports, series, tokens  # noqa: F401

@@ -226,12 +226,14 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     known = {k: v[1] for k, v in VIEWS.items()} | (extra or {})
     order: list[str] = []
 
+    seen: set[str] = set()
+
     def need(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 need(known[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     need(sql)
     if not order:
