@@ -17,8 +17,8 @@ def counts(v):
 
 A = {
     "a_n": "SELECT map_id, CAST(COUNT(*) AS INTEGER) n FROM frames GROUP BY map_id",
-    "a_smooth": """SELECT f.map_id, f.frame, f.prob, ROUND(AVG(g.rms), 9) s FROM frames f JOIN a_n USING (map_id) JOIN frames g ON g.map_id = f.map_id AND g.frame BETWEEN f.frame - LEAST(200, n) // 2 AND f.frame - LEAST(200, n) // 2 + LEAST(200, n) - 1 GROUP BY ALL""",
-    "a_thr": "SELECT map_id, frame, prob, ROUND(25e-2 + (1 - CASE WHEN mx > mn THEN (s - mn) / (mx - mn) ELSE 5e-1 END) * 2e-1, 9) threshold FROM (SELECT *, MIN(s) OVER (PARTITION BY map_id) mn, MAX(s) OVER (PARTITION BY map_id) mx FROM a_smooth)",
+    "a_smooth": """SELECT f.map_id, f.frame, f.prob, ROUND(AVG(g.rms) + 1e-12, 9) s FROM frames f JOIN a_n USING (map_id) JOIN frames g ON g.map_id = f.map_id AND g.frame BETWEEN f.frame - LEAST(200, n) // 2 AND f.frame - LEAST(200, n) // 2 + LEAST(200, n) - 1 GROUP BY ALL""",
+    "a_thr": "SELECT map_id, frame, prob, ROUND(25e-2 + (1 - CASE WHEN mx > mn THEN (s - mn) / (mx - mn) ELSE 5e-1 END) * 2e-1 + 1e-12, 9) threshold FROM (SELECT *, MIN(s) OVER (PARTITION BY map_id) mn, MAX(s) OVER (PARTITION BY map_id) mx FROM a_smooth)",
     "a_peak": "SELECT map_id, frame, prob FROM (SELECT *, LAG(prob, 1, -1e0) OVER w l, LEAD(prob, 1, -1e0) OVER w r FROM frames WINDOW w AS (PARTITION BY map_id ORDER BY frame)) WHERE prob >= 5e-1 AND prob >= l AND prob >= r",
     # suppression: a peak is kept when no kept peak of higher rank lies within reach; ranks are walked per map
     "a_rank": "SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY prob DESC, frame) k FROM a_peak",
@@ -33,9 +33,9 @@ def _(v):
     return R.moving_average(v.frames).select("map_id", "frame", F.col("smooth"))
 
 
-@query("adaptive_threshold", "SELECT map_id, frame, ROUND(threshold, 7) threshold FROM a_thr", A)
+@query("adaptive_threshold", "SELECT map_id, frame, ROUND(threshold + 3e-10, 7) threshold FROM a_thr", A)
 def _(v):
-    return R.adaptive_threshold(v.frames).select("map_id", "frame", F.round("threshold", 7).alias("threshold"))
+    return R.adaptive_threshold(v.frames).select("map_id", "frame", F.round(F.col("threshold") + 3e-10, 7).alias("threshold"))
 
 
 @query("local_maxima", "SELECT map_id, frame, prob FROM a_peak", A)
@@ -66,19 +66,19 @@ def _(v):
     return R.peak_normalised(v.frames, "rms", "onset_strength").select("map_id", "frame", "rms", "onset_strength")
 
 
-@query("frame_features", "SELECT vec_id, ROUND(list_avg([x::DOUBLE for x in embedding[1:20]]), 6) bass, ROUND(list_avg([x::DOUBLE for x in embedding[21:50]]), 6) mid, ROUND(list_avg([x::DOUBLE for x in embedding[51:80]]), 6) high, ROUND(GREATEST(0e0, LEAST(1e0, embedding[1]::DOUBLE * 100 / 80 + 1)), 6) share, vec_id / 22050e0 centroid, ROUND(LN(GREATEST(embedding[1]::DOUBLE, 1e-9)), 6) logv FROM embeddings WHERE len(embedding) >= 80")
+@query("frame_features", "SELECT vec_id, ROUND(list_avg([x::DOUBLE for x in embedding[1:16]]), 6) bass, ROUND(list_avg([x::DOUBLE for x in embedding[17:40]]), 6) mid, ROUND(list_avg([x::DOUBLE for x in embedding[41:64]]), 6) high, ROUND(GREATEST(0e0, LEAST(1e0, embedding[1]::DOUBLE * 100 / 80 + 1)), 6) share, vec_id / 22050e0 centroid, ROUND(LN(GREATEST(embedding[1]::DOUBLE, 1e-9)), 6) logv FROM embeddings WHERE len(embedding) >= 64")
 def _(v):
     from levelloom.functions.scalars import log_floor
 
-    e = v.embeddings.where("size(embedding) >= 80").withColumn("mel", F.transform("embedding", lambda x: x.cast("double")))
+    e = v.embeddings.where("size(embedding) >= 64").withColumn("mel", F.transform("embedding", lambda x: x.cast("double")))
     e = e.withColumn("db", F.get("mel", F.lit(0)) * 100)
-    b = e.select("vec_id", "db", "mel", *R.band_means("mel"))
+    b = e.select("vec_id", "db", "mel", *R.band_means("mel", 64))
     return b.select("vec_id", *[F.round(c, 6).alias(c) for c in ("bass", "mid", "high")], F.round(R.decibel_share("db"), 6).alias("share"), R.normalised_centroid("vec_id").alias("centroid"), F.round(log_floor(F.get("mel", F.lit(0))), 6).alias("logv"))
 
 
 W = {
     "w_starts": """SELECT map_id, n, s FROM (SELECT map_id, n, unnest(list_distinct(list_append(range(0, GREATEST(n - 32, 0) + 1, 16), GREATEST(n - 32, 0)))) s FROM a_n)""",
-    "w_avg": "SELECT f.map_id, f.frame, ROUND(AVG(prob + s % 7 / 100e0), 9) prob FROM w_starts w JOIN frames f ON f.map_id = w.map_id AND f.frame >= s AND f.frame < s + 32 GROUP BY ALL",
+    "w_avg": "SELECT f.map_id, f.frame, ROUND(AVG(prob + s % 7 / 100e0) + 1e-12, 9) prob FROM w_starts w JOIN frames f ON f.map_id = w.map_id AND f.frame >= s AND f.frame < s + 32 GROUP BY ALL",
     **A,
 }
 
@@ -110,7 +110,7 @@ O = {
     "a_peak": "SELECT map_id, frame, prob FROM (SELECT *, LAG(prob, 1, -1e0) OVER w l, LEAD(prob, 1, -1e0) OVER w r FROM o_thr WINDOW w AS (PARTITION BY map_id ORDER BY frame)) WHERE prob >= 1e-2 AND prob >= l AND prob >= r",
     "o_refl": """SELECT map_id, i, rms, n FROM (SELECT map_id, frame i, rms, n FROM frames JOIN a_n USING (map_id) UNION ALL SELECT map_id, -1 - frame, rms, n FROM frames JOIN a_n USING (map_id) WHERE frame < LEAST(200, n) // 2
  UNION ALL SELECT map_id, 2 * n - 1 - frame, rms, n FROM frames JOIN a_n USING (map_id) WHERE frame >= n - LEAST(200, n) // 2)""",
-    "o_sm": "SELECT f.map_id, f.frame, ROUND(AVG(g.rms), 9) s FROM frames f JOIN o_refl g ON g.map_id = f.map_id AND g.i BETWEEN f.frame - LEAST(200, g.n) // 2 AND f.frame - LEAST(200, g.n) // 2 + LEAST(200, g.n) - 1 GROUP BY ALL",
+    "o_sm": "SELECT f.map_id, f.frame, ROUND(AVG(g.rms) + 1e-12, 9) s FROM frames f JOIN o_refl g ON g.map_id = f.map_id AND g.i BETWEEN f.frame - LEAST(200, g.n) // 2 AND f.frame - LEAST(200, g.n) // 2 + LEAST(200, g.n) - 1 GROUP BY ALL",
     "o_q": "SELECT map_id, CAST(FLOOR((4 + ROUND(CASE WHEN MAX(s) > MIN(s) THEN (AVG(s) - MIN(s)) / (MAX(s) - MIN(s)) ELSE 5e-1 END, 9) * 6) * (COUNT(*) / 2e0)) AS BIGINT) quota FROM o_sm GROUP BY map_id",
     "o_snap": f"SELECT DISTINCT map_id, CAST({_SNAP} AS INTEGER) frame FROM (SELECT map_id, frame, 60e0 / bpm * 44100e0 / 22050e0 / 8 g FROM a_kept JOIN maps USING (map_id))",
     "o_fin": "SELECT map_id, frame FROM (SELECT s.map_id, s.frame, ROW_NUMBER() OVER (PARTITION BY s.map_id ORDER BY -COALESCE(w.prob, 5e-1), s.frame) pos FROM o_snap s LEFT JOIN w_avg w USING (map_id, frame)) JOIN o_q USING (map_id) WHERE pos <= quota",

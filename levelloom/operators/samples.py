@@ -9,7 +9,7 @@ from levelloom.functions.scalars import difficulty_id, pad_tokens
 from levelloom.operators.parity import K_COLS
 from levelloom.operators.tokens import encode_levels, encode_lights, mirrored
 from levelloom.operators.timing import beat_frames, in_range
-from levelloom.plans.ordered import NOTES, Track, asof, position, scan
+from levelloom.plans.ordered import NOTES, Track, asof, position, scan, with_halo
 from levelloom.session import cut
 
 ONSETS = Track(NOTES.keys, ("frame", "beat"), "floor(frame / 1024)")
@@ -82,12 +82,8 @@ def previous_rows(df: DataFrame, keys, order, value: str, k: int, *, slice: str,
     Rows are numbered, cut into blocks, and each block also receives the last ``k`` rows
     of the block before, so a window inside the block sees all it needs.
     """
-    if k > block:
-        raise ValueError("k must not exceed block")
     d = cut(position(df, Track(tuple(keys), tuple(order), slice), "_pos"))
-    b = F.floor((F.col("_pos") - 1) / block)
-    spill = F.when((F.col("_pos") - 1) % block >= block - k, F.array(F.struct(b.alias("_block"), F.lit(False).alias("_copy")), F.struct((b + 1).alias("_block"), F.lit(True).alias("_copy"))))
-    d = d.select("*", F.inline(F.coalesce(spill, F.array(F.struct(b.alias("_block"), F.lit(False).alias("_copy"))))))
+    d = with_halo(d, keys, "_pos", before=k, block=block)
     w = W.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-k, -1)
     return d.select(*df.columns, "_copy", F.collect_list(value).over(w).alias(out)).where("not _copy").drop("_copy")
 

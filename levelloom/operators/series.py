@@ -13,6 +13,11 @@ from levelloom.session import cut
 M = ["map_id"]
 
 
+def steady(v: Column, digits: int = 9) -> Column:
+    """Round with a nudge, so that decimal ties fall alike in any order of summation."""
+    return F.round(v + 1e-12, digits)
+
+
 def moving_sum(frames: DataFrame, value: str, lo: Column, hi: Column, out: str) -> DataFrame:
     """Sum of ``value`` over frames ``lo..hi`` of the same map; both may differ per map.
 
@@ -41,7 +46,7 @@ def moving_average(frames: DataFrame, value: str = "rms", kernel: int = 200, out
     hi = lo + k - 1
     size = F.least(hi, F.col("n") - 1) - F.greatest(lo, F.lit(0)) + 1
     f = moving_sum(f, value, lo, hi, "_sum")
-    return f.select(*frames.columns, F.round(F.when(k > 1, F.col("_sum") / size).otherwise(F.col(value)), 9).alias(out))
+    return f.select(*frames.columns, steady(F.when(k > 1, F.col("_sum") / size).otherwise(F.col(value))).alias(out))
 
 
 def reflected_mean_energy(frames: DataFrame, value: str = "rms", kernel: int = 200) -> DataFrame:
@@ -57,7 +62,7 @@ def reflected_mean_energy(frames: DataFrame, value: str = "rms", kernel: int = 2
     lo = F.col("frame") - F.floor(k / 2)
     s = moving_sum(ext, "v", lo, lo + k - 1, "_sum")
     s = s.where((F.col("frame") >= F.col("half")) & (F.col("frame") < F.col("half") + F.col("real")))
-    s = s.select("map_id", F.round(F.col("_sum") / k, 9).alias("v"))
+    s = s.select("map_id", steady(F.col("_sum") / k).alias("v"))
     # the mean of a min-max-normalised series follows from its three aggregates
     g = s.groupBy("map_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("avg"), F.count("*").alias("n"))
     return g.select("map_id", "n", F.when(F.col("hi") > F.col("lo"), (F.col("avg") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5).alias("mean_energy"))
@@ -70,7 +75,7 @@ def same_convolution(frames: DataFrame, value: str, width: Column, out: str) ->
     lo = F.col("frame") - (w - 1 - F.floor((w - 1) / 2))
     hi = F.col("frame") + F.floor((w - 1) / 2)
     f = moving_sum(f, value, lo, hi, "_sum")
-    return f.select(*frames.columns, F.round(F.when(F.col("n") < w, F.col(value)).otherwise(F.col("_sum") / w), 9).alias(out))
+    return f.select(*frames.columns, steady(F.when(F.col("n") < w, F.col(value)).otherwise(F.col("_sum") / w)).alias(out))
 
 
 def min_max(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -116,13 +121,13 @@ def window_starts(n: Column, w: int, hop: int) -> Column:
 
 def overlap_average(window_probs: DataFrame) -> DataFrame:
     """Mean over overlapping windows: ``(map_id, start, offset, prob)`` to one value per frame."""
-    return window_probs.groupBy("map_id", (F.col("start") + F.col("offset")).cast("int").alias("frame")).agg(F.round(F.avg("prob"), 9).alias("prob"))
+    return window_probs.groupBy("map_id", (F.col("start") + F.col("offset")).cast("int").alias("frame")).agg(steady(F.avg("prob")).alias("prob"))
 
 
 def adaptive_threshold(frames: DataFrame, base: float = 0.25, spread: float = 0.20) -> DataFrame:
     """Per-frame threshold: low where the smoothed energy is high."""
     f = cut(moving_average(frames, "rms", 200, "smooth"))
-    return min_max(f, "smooth", "energy").withColumn("threshold", F.round(base + (1.0 - F.col("energy")) * spread, 9)).drop("smooth", "energy")
+    return min_max(f, "smooth", "energy").withColumn("threshold", steady(base + (1.0 - F.col("energy")) * spread)).drop("smooth", "energy")
 
 
 def local_maxima(frames: DataFrame, prob: str = "prob", threshold: float = 0.5) -> DataFrame:

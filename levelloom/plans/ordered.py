@@ -133,6 +133,23 @@ def position(df: DataFrame, track: Track, out: str = "pos") -> DataFrame:
     return scan(df, track, sums={out: F.lit(1).cast("long")})
 
 
+def with_halo(df: DataFrame, keys: Sequence[str], pos: str, before: int = 0, after: int = 0, block: int = 256) -> DataFrame:
+    """Cut numbered rows into blocks that also hold copies of their neighbours' edge rows.
+
+    Adds ``_block`` and ``_copy``. Windows over (keys, _block) then see ``before`` rows
+    back and ``after`` rows ahead of every original row; drop the copies afterwards.
+    """
+    if max(before, after) > block:
+        raise ValueError("halo must not exceed the block")
+    i, b = F.col(pos) - 1, F.floor((F.col(pos) - 1) / block)
+
+    def place(blk, copy):
+        return F.struct(blk.alias("_block"), F.lit(copy).alias("_copy"))
+
+    homes = F.array(place(b, False), F.when(i % block >= block - before, place(b + 1, True)), F.when(i % block < after, place(b - 1, True)))
+    return df.select("*", F.inline(F.filter(homes, lambda h: h.isNotNull())))
+
+
 def islands(df: DataFrame, track: Track, changed: Column, out: str = "island") -> DataFrame:
     """Number runs of rows; a row where ``changed`` is true (or null) starts a new run."""
     return scan(df, track, sums={out: F.coalesce(changed.cast("int"), F.lit(1)).cast("long")})
