@@ -143,6 +143,30 @@ def epoch_sample(df: DataFrame, keys, n: int, epoch: int) -> DataFrame:
     return d.where(F.col("_pos") <= n).drop("_h", "_pos")
 
 
+def structured_notes(preds: DataFrame, keys) -> DataFrame:
+    """Notes from slot predictions: best class per head, idle slots and repeated cells dropped.
+
+    Each head (color, col, row, direction, angle) is an array of score arrays, one per slot.
+    """
+    heads = ("color", "col", "row", "direction", "angle")
+    s = preds.select(*keys, F.posexplode(F.arrays_zip(*heads)).alias("slot", "p"))
+
+    def best(h):
+        p = F.col(f"p.{h}")
+        return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+    s = s.select(*keys, "slot", best("col").alias("x"), best("row").alias("y"), best("color").alias("color"), best("direction").alias("direction"),
+                 ((best("angle") - 3) * 15).alias("angle_offset")).where("color < 2")
+    row = F.min_by(F.struct("slot", "color", "direction", "angle_offset"), "slot").alias("r")
+    return s.groupBy(*keys, "x", "y").agg(row).select(*keys, "x", "y", "r.*")
+
+
+def pad_channels(df: DataFrame, names=("section_id", "section_progress")) -> DataFrame:
+    """Feature rows of the older six-channel layout get the two later channels as zero."""
+    cols = [F.coalesce(F.col(n), F.lit(0.0)).alias(n) if n in df.columns else F.lit(0.0).alias(n) for n in names]
+    return df.select(*[c for c in df.columns if c not in names], *cols)
+
+
 def level_onsets(events: DataFrame, maps: DataFrame, changes: DataFrame | None = None, **grid) -> DataFrame:
     """Token arrays with their frame; onsets outside the map's frames are dropped."""
     return in_range(beat_frames(encode_levels(events), maps, changes, **grid), maps).drop("seconds")

@@ -43,7 +43,11 @@ FROM supplier"""
 
 
 def objects(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
+    return shape_objects(table(spark, sf_dir, "lineitem"))
+
+
+def shape_objects(l: DataFrame) -> DataFrame:
+    """Level objects from line items (batch or stream)."""
     o, p = F.col("l_orderkey"), F.col("l_partkey")
     return l.select(
         F.col("l_suppkey").alias("map_id"),

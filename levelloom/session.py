@@ -47,3 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path next to the checkpoints (shared storage on a cluster)."""
+    import uuid
+
+    if spark.sparkContext.getCheckpointDir() is None:
+        cut(spark.range(1).toDF("i"))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
