@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from levelloom.plans.views import VIEWS, with_views
+from levelloom.session import tune
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None
 
     def register(fn):
         full = with_views(sql, extra) if sql else None
-        REGISTRY[name] = Query(lambda spark, sf_dir: fn(Views(spark, sf_dir)), full)
+        REGISTRY[name] = Query(lambda spark, sf_dir: fn(Views(tune(spark), sf_dir)), full)
         return fn
 
     return register

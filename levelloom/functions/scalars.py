@@ -192,9 +192,19 @@ def clamp(v, lo, hi) -> Column:
 
 
 def quantize(value, bins: Sequence[float]) -> Column:
-    """Index of the nearest bin; ties go to the lower index."""
-    d = F.transform(F.array(*[F.lit(float(b)) for b in bins]), lambda b: F.abs(_c(value) - b))
-    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    """Index of the nearest of ascending bins; ties go to the lower index.
+
+    Evenly spaced bins: the bin at or below the value, or the next if strictly closer.
+    Others (few): one step up for every bin that is strictly closer than the one before.
+    """
+    v, n = _c(value), len(bins)
+    step = (bins[-1] - bins[0]) / (n - 1)
+    if any(abs(b - bins[0] - i * step) > 1e-9 for i, b in enumerate(bins)):
+        closer = [(F.abs(v - float(b)) < F.abs(v - float(a))).cast("int") for a, b in zip(bins, bins[1:])]
+        return sum(closer[1:], closer[0])
+    at = F.array(*[F.lit(float(b)) for b in bins])
+    k = F.greatest(F.lit(0), F.least(F.lit(n - 2), F.floor((v - float(bins[0])) / float(step)).cast("int")))
+    return k + (F.abs(v - F.get(at, k + 1)) < F.abs(v - F.get(at, k))).cast("int")
 
 
 def dequantize(index, bins: Sequence[float]) -> Column:

@@ -48,7 +48,7 @@ def window_series(frames: DataFrame, n_frames: DataFrame, w: int, hop: int, valu
     """Frame values of every window as ordered arrays (one per column), ``w`` entries at most."""
     f = frames.select("map_id", "frame", *values).join(n_frames.select("map_id", "n_frames"), "map_id")
     f = f.select("*", F.explode(covering_starts(F.col("frame"), F.col("n_frames"), w, hop)).alias("start"))
-    g = f.groupBy("map_id", "start").agg(F.sort_array(F.collect_list(F.struct("frame", *values))).alias("s"))
+    g = f.repartition("map_id", "start").groupBy("map_id", "start").agg(F.sort_array(F.collect_list(F.struct("frame", *values))).alias("s"))
     return g.select("map_id", "start", *[F.transform("s", _field(v)).alias(v) for v in values])
 
 
@@ -100,7 +100,7 @@ def sequence_samples(onsets: DataFrame, n_frames: DataFrame, *, context: int = 1
     With ``mirror_epoch`` half of the samples (by hash of key and epoch) are mirrored,
     history included.
     """
-    o = time_gaps(onsets)
+    o = cut(time_gaps(cut(onsets)))
     o = previous_rows(o, K_COLS, ("frame", "beat"), "tokens", prev_k, slice=ONSETS.slice)
     if mirror_epoch is not None:
         coin = F.pmod(F.xxhash64(*K_COLS, "frame", "beat", F.lit(mirror_epoch)), F.lit(2)) == 1
@@ -118,7 +118,7 @@ def sequence_samples(onsets: DataFrame, n_frames: DataFrame, *, context: int = 1
 def lighting_samples(lights: DataFrame, onsets: DataFrame, n_frames: DataFrame, *, context: int = 128, max_light: int = 32, max_note: int = 64) -> DataFrame:
     """Lighting samples: each lit frame with the tokens of the nearest onset of its level."""
     l = lights.withColumnRenamed("tokens", "light_tokens")
-    r = onsets.withColumnRenamed("tokens", "note_tokens")
+    l, r = cut(l), cut(onsets.withColumnRenamed("tokens", "note_tokens"))
     j = asof(l, r.select(*K_COLS, "frame", "beat", "note_tokens"), K_COLS, "frame", ["note_tokens"], slice="floor(frame / 1024)", direction="nearest", tie="beat")
     start, end = context_window(F.col("frame"), F.col("n_frames"), context)
     none = F.array().cast("array<int>")
@@ -130,7 +130,7 @@ def lighting_samples(lights: DataFrame, onsets: DataFrame, n_frames: DataFrame,
 
 def song_samples(onsets: DataFrame, part: int = 1024) -> DataFrame:
     """Level-long samples in order, cut into parts of ``part`` onsets so no row grows without bound."""
-    o = position(onsets, ONSETS)
+    o = position(cut(onsets), ONSETS)
     p = F.floor((F.col("pos") - 1) / part).alias("part")
     g = o.groupBy(*K_COLS, p).agg(F.sort_array(F.collect_list(F.struct("pos", "frame", "tokens"))).alias("s"))
     return g.select(*K_COLS, "part", F.transform("s", lambda e: e.frame).alias("frames"), F.transform("s", lambda e: e.tokens).alias("token_sequences"))

@@ -26,12 +26,18 @@ def _tok(rng, v) -> Column:
 
 
 # ---- encoding --------------------------------------------------------------
-def token_events(events: DataFrame) -> DataFrame:
-    """One row per token event; an arc yields its head and its tail."""
+def token_events(events: DataFrame, spread: bool = False) -> DataFrame:
+    """One row per token event; an arc yields its head and its tail.
+
+    ``spread`` shuffles by (level, beat) before the tokens are built: gathering nearly
+    unique beats gains nothing from a map-side pass, and the rows are narrower here.
+    """
     head = F.struct(F.when(F.col("kind") == "arc", "arc_start").otherwise(F.col("kind")).alias("ev"), F.col("beat").alias("at"), F.col("x").alias("ex"), F.col("y").alias("ey"))
     tail = F.struct(F.lit("arc_end").alias("ev"), F.col("tail_beat").alias("at"), F.col("tail_x").alias("ex"), F.col("tail_y").alias("ey"))
     e = events.where(F.col("kind").isin("note", "bomb", "wall", "arc", "chain"))
     e = e.select("*", F.explode(F.when(F.col("kind") == "arc", F.array(head, tail)).otherwise(F.array(head))).alias("e"))
+    if spread:
+        e = e.repartition(*K_COLS, "e.at")
     c = F.col
     dur = F.least(c("duration").cast("int"), F.lit(64))
     arr = F.array
@@ -60,7 +66,7 @@ def join_tokens(parts: Column) -> Column:
 
 def encode_levels(events: DataFrame) -> DataFrame:
     """Token array per (level, beat) in canonical order: type, column, row, document order."""
-    t = token_events(events).groupBy(*K_COLS, "beat").agg(F.array_sort(F.collect_list(F.struct("prio", "x", "y", "seq", "tokens"))).alias("ev"))
+    t = token_events(events, spread=True).groupBy(*K_COLS, "beat").agg(F.array_sort(F.collect_list(F.struct("prio", "x", "y", "seq", "tokens"))).alias("ev"))
     return t.select(*K_COLS, "beat", join_tokens(F.transform("ev", lambda e: e.tokens)).alias("tokens"))
 
 
@@ -167,7 +173,8 @@ def pair_arcs(decoded: DataFrame) -> DataFrame:
     largest grid term. Heads before such a cut always find their tails before it, so
     runs are matched independently; where no cut is safe, the run simply stays longer.
     """
-    a = decoded.where(F.col("kind").isin("arc_start", "arc_end")).withColumn("is_head", F.col("kind") == "arc_start")
+    need = [*K_COLS, "color", "beat", "ord", "kind", "x", "y", "direction", "mu", "mid_anchor"]
+    a = cut(decoded.where(F.col("kind").isin("arc_start", "arc_end")).select(*need)).withColumn("is_head", F.col("kind") == "arc_start")
     a = a.withColumn("_tail", (~F.col("is_head")).cast("int"))
     track = Track((*K_COLS, "color"), ("beat", "_tail", "ord"), "floor(beat / 64)")
     step = F.when(F.col("is_head"), 1).otherwise(-1).cast("long")
@@ -356,7 +363,7 @@ def encode_lights(lights: DataFrame, boosts: DataFrame | None = None, keys=("map
     )
     if boosts is not None:
         b = b.unionByName(boosts.select(*keys, "beat", F.lit(1).alias("rank"), "seq", F.array(F.lit(K.LIGHT_BOOST), _tok(K.LIGHT_ONOFF, F.col("boost").cast("int"))).alias("tokens")))
-    g = b.groupBy(*keys, "beat").agg(F.array_sort(F.collect_list(F.struct("rank", "seq", "tokens"))).alias("ev"))
+    g = b.repartition(*keys, "beat").groupBy(*keys, "beat").agg(F.array_sort(F.collect_list(F.struct("rank", "seq", "tokens"))).alias("ev"))
     return g.select(*keys, "beat", join_tokens(F.transform("ev", lambda e: e.tokens)).alias("tokens"))
 
 

@@ -36,9 +36,9 @@ class Track:
         return replace(self, keys=(*self.keys, *more))
 
 
-NOTES = Track(("map_id", "difficulty"), ("beat", "seq"), "floor(beat / 16)")
+NOTES = Track(("map_id", "difficulty"), ("beat", "seq"), "floor(beat / 32)")
 FRAMES = Track(("map_id",), ("frame",), "floor(frame / 1024)")
-LIGHTS = Track(("map_id",), ("beat", "seq"), "floor(beat / 16)")
+LIGHTS = Track(("map_id",), ("beat", "seq"), "floor(beat / 32)")
 
 _FIRST, _LAST = W.unboundedPreceding, W.unboundedFollowing
 
@@ -75,36 +75,39 @@ def scan(
     def masked(cond, value):
         return value if cond is None else F.when(cond, value)
 
-    local, carries, seeds = {}, [], {}
-    for out, spec in prev.items():
-        expr, cond = _pair(spec)
-        val = F.struct(expr.alias("v"))
-        local[out] = (
-            F.lag(val, 1).over(part.orderBy(*order)) if cond is None
-            else F.last(masked(cond, val), True).over(part.orderBy(*order).rowsBetween(_FIRST, -1))
-        )
-        carries.append(F.max_by(masked(cond, val), masked(cond, at)).alias(out))
-        seeds[out] = "back"
-    for out, spec in upto.items():
-        expr, cond = _pair(spec)
-        val = F.struct(expr.alias("v"))
-        local[out] = F.last(masked(cond, val), True).over(part.orderBy(*order).rowsBetween(_FIRST, 0))
-        carries.append(F.max_by(masked(cond, val), masked(cond, at)).alias(out))
-        seeds[out] = "back"
-    for out, spec in nxt.items():
-        expr, cond = _pair(spec)
-        val = F.struct(expr.alias("v"))
-        local[out] = (
-            F.lead(val, 1).over(part.orderBy(*order)) if cond is None
-            else F.last(masked(cond, val), True).over(part.orderBy(*back).rowsBetween(_FIRST, -1))
-        )
-        carries.append(F.min_by(masked(cond, val), masked(cond, at)).alias(out))
-        seeds[out] = "ahead"
+    # outputs with one direction and one condition travel together in one struct
+    packs: list[tuple[str, Column | None, dict[str, Column]]] = []
+    for how_, group in (("prev", prev), ("upto", upto), ("nxt", nxt)):
+        for out, spec in group.items():
+            expr, cond = _pair(spec)
+            for kind, c, fields in packs:
+                if kind == how_ and c is cond:
+                    fields[out] = expr
+                    break
+            else:
+                packs.append((how_, cond, {out: expr}))
+
+    local, carries, seeds, final = {}, [], {}, []
+    for i, (kind, cond, fields) in enumerate(packs):
+        name = f"_p{i}"
+        val = F.struct(*[e.alias(o) for o, e in fields.items()])
+        back_w, fore_w = part.orderBy(*back), part.orderBy(*order)
+        if kind == "upto":
+            local[name] = F.last(masked(cond, val), True).over(fore_w.rowsBetween(_FIRST, 0))
+        elif cond is None:
+            local[name] = F.lag(val, 1).over(fore_w) if kind == "prev" else F.lead(val, 1).over(fore_w)
+        else:
+            local[name] = F.last(masked(cond, val), True).over((fore_w if kind == "prev" else back_w).rowsBetween(_FIRST, -1))
+        pick = F.min_by if kind == "nxt" else F.max_by
+        carries.append(pick(masked(cond, val), masked(cond, at)).alias(name))
+        seeds[name] = "ahead" if kind == "nxt" else "back"
+        final += [F.coalesce(F.col(f"_local_{name}"), F.col(f"_carry_{name}")).getField(o).alias(o) for o in fields]
     for out, spec in sums.items():
         expr, _ = _pair(spec)
         local[out] = F.sum(expr).over(part.orderBy(*order).rowsBetween(_FIRST, 0))
         carries.append(F.sum(expr).alias(out))
         seeds[out] = "sum"
+        final.append((F.coalesce(F.col(f"_local_{out}"), F.lit(0)) + F.coalesce(F.col(f"_carry_{out}"), F.lit(0))).alias(out))
 
     along = W.partitionBy(*track.keys).orderBy(SLICE).rowsBetween(_FIRST, -1)
     against = W.partitionBy(*track.keys).orderBy(F.col(SLICE).desc()).rowsBetween(_FIRST, -1)
@@ -118,14 +121,8 @@ def scan(
     )
     rows = rows.select("*", *[c.alias(f"_local_{o}") for o, c in local.items()]).join(carry, ks, "left")
 
-    def merged(out, kind):
-        here, there = F.col(f"_local_{out}"), F.col(f"_carry_{out}")
-        if kind == "sum":
-            return (F.coalesce(here, F.lit(0)) + F.coalesce(there, F.lit(0))).alias(out)
-        return F.coalesce(here, there).getField("v").alias(out)
-
-    keep = [c for c in df.columns if c not in seeds]
-    return rows.select(*keep, *[merged(o, k) for o, k in seeds.items()])
+    made = {*prev, *upto, *nxt, *sums}
+    return rows.select(*[c for c in df.columns if c not in made], *final)
 
 
 def position(df: DataFrame, track: Track, out: str = "pos") -> DataFrame:

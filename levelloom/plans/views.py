@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from levelloom.plans.ordered import Track, position
+from levelloom.session import cut
 
 EPOCH0 = 1704067200.0
 
@@ -106,7 +107,8 @@ def frames(spark, sf_dir):
     )
     days = "datediff(ts, date'2024-01-01')"
     e = position(e, Track(("map_id",), ("ts", "event_id"), days))
-    return e.select("map_id", (F.col("pos") - 1).cast("int").alias("frame"), "rms", "onset_strength", "bass", "prob")
+    # the series is an input table of the reference's jobs, so it is written as one
+    return cut(e.select("map_id", (F.col("pos") - 1).cast("int").alias("frame"), "rms", "onset_strength", "bass", "prob"))
 
 
 FRAMES_SQL = """SELECT map_id, CAST(ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY ts, event_id) - 1 AS INTEGER) frame,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,33 +27,50 @@ def get_spark(app: str = "levelloom", cores: str | int = "*", **conf: str) -> Sp
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the operators profit from; values set by the user stay.
+
+    HotSpot never compiles methods above 8000 bytes of bytecode, so fused stages larger
+    than that run interpreted; below the limit Spark splits them instead.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key, "65535") == "65535":
+        spark.conf.set(key, "8000")
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Chained two-level scans read their input twice, so a long chain would read its
-    source exponentially often; cutting between stages keeps every stage linear. The
-    folder is ``spark.checkpoint.dir`` of the session (shared storage on a cluster).
-    Only where the session has none and runs in local mode is one made here.
+    On a cluster this is storage all executors share. Only where the session has none
+    and runs in local mode is one made here.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path next to the checkpoints (shared storage on a cluster)."""
-    import uuid
+    """A new folder path for intermediate data."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1).toDF("i"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and return it read back.
+
+    Chained two-level scans read their input twice, so a long chain would read its
+    source exponentially often; cutting between stages keeps every stage linear. A
+    written table survives lost executors, is compressed, and lets later stages prune
+    columns and see its true size.
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

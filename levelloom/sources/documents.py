@@ -168,7 +168,7 @@ _ARRAYS = {**V3_ARRAYS, **V2_ARRAYS}
 # one element type for all arrays, every leaf as text: quoted and bare numbers both read
 _KEYS = sorted({key for _, spec in _ARRAYS.values() for key, _ in spec.values()} | {"_customData"})
 _ELEMENT = "struct<" + ",".join(f"{k}:string" for k in _KEYS) + ">"
-DOC_SCHEMA = "struct<version:string,_version:string," + ",".join(f"{a}:array<{_ELEMENT}>" for a, _ in _ARRAYS.values()) + ">"
+DOC_SCHEMA = "struct<_corrupt:string,version:string,_version:string," + ",".join(f"{a}:array<{_ELEMENT}>" for a, _ in _ARRAYS.values()) + ">"
 _MAP_SCHEMA = "struct<" + ",".join(f"{a}:array<map<string,string>>" for a, _ in _ARRAYS.values()) + ">"
 _TEMPO_SCHEMA = "struct<_customData:struct<_BPMChanges:array<struct<_time:string,_BPM:string>>>>"
 
@@ -203,7 +203,7 @@ def parse_levels(docs: DataFrame) -> DataFrame:
     ``reject`` tells why a document or event is refused; ``level_events`` and
     ``rejects`` split the rows.
     """
-    d = docs.withColumn("d", F.from_json("text", DOC_SCHEMA))
+    d = docs.withColumn("d", F.from_json("text", DOC_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
     gen = generation()
     empty = F.array().cast(f"array<struct<kind:string,seq:int,e:{_ELEMENT}>>")
 
@@ -213,7 +213,7 @@ def parse_levels(docs: DataFrame) -> DataFrame:
     def tagged(arrays):
         return F.concat(*[F.coalesce(F.transform(F.col(f"d.{a}"), tag(k)), empty) for k, (a, _) in arrays.items()])
 
-    reject = F.when(F.get_json_object("text", "$").isNull(), "unreadable").when(gen.isNull(), "no_version").when(_explicit_null(), "bad_value")
+    reject = F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "unreadable").when(gen.isNull(), "no_version").when(_explicit_null(), "bad_value")
     raw = F.when(gen == "v3", tagged(V3_ARRAYS)).when(gen == "v2", tagged(V2_ARRAYS)).otherwise(empty)
     r = d.select("map_id", "difficulty", gen.alias("generation"), reject.alias("doc_reject"), raw.alias("raw"))
     r = r.select("map_id", "difficulty", "generation", "doc_reject", F.inline_outer("raw"))
