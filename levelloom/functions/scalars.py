@@ -223,7 +223,8 @@ def density_score(n) -> Column:
 def pad_tokens(tokens, n: int) -> Column:
     """Cut or zero-pad to ``n`` entries and clamp ids to the vocabulary."""
     t = F.slice(F.concat(_c(tokens), F.array_repeat(F.lit(0), n)), 1, n)
-    return F.transform(t, lambda v: clamp(v, 0, K.VOCAB_SIZE - 1))
+    fits = (F.array_min(t) >= 0) & (F.array_max(t) < K.VOCAB_SIZE)
+    return F.when(fits, t).otherwise(F.transform(t, lambda v: clamp(v, 0, K.VOCAB_SIZE - 1)))
 
 
 def palette_color(palette, energy) -> Column:

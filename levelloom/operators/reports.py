@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -244,12 +246,12 @@ def onset_matches(pred: DataFrame, truth: DataFrame, keys, on: str, tolerance: f
         out, here, preds, trues = [], None, [], []
 
         def close():
-            free, tp = list(trues), 0
+            free, tp = trues, 0  # in order, so the nearest free truth is one of two neighbours
             for x in preds:
-                if not free:
-                    break
-                j = min(range(len(free)), key=lambda i: (abs(free[i] - x), free[i]))
-                if abs(free[j] - x) <= tolerance:
+                j = bisect_left(free, x)
+                if j and (j == len(free) or x - free[j - 1] <= free[j] - x):
+                    j -= 1
+                if j < len(free) and abs(free[j] - x) <= tolerance:
                     free.pop(j)
                     tp += 1
             if here is not None:

@@ -100,18 +100,22 @@ def sequence_samples(onsets: DataFrame, n_frames: DataFrame, *, context: int = 1
     With ``mirror_epoch`` half of the samples (by hash of key and epoch) are mirrored,
     history included.
     """
-    o = cut(time_gaps(cut(onsets)))
-    o = previous_rows(o, K_COLS, ("frame", "beat"), "tokens", prev_k, slice=ONSETS.slice)
-    if mirror_epoch is not None:
-        coin = F.pmod(F.xxhash64(*K_COLS, "frame", "beat", F.lit(mirror_epoch)), F.lit(2)) == 1
-        o = o.withColumn("tokens", F.when(coin, mirrored("tokens")).otherwise(F.col("tokens")))
-        o = o.withColumn("history", F.when(coin, F.transform("history", mirrored)).otherwise(F.col("history")))
+    # every array is mirrored and padded once, before neighbours pick it up
+    forms = {"plain": pad_tokens("tokens", max_len), **({"mirror": pad_tokens(mirrored("tokens"), max_len)} if mirror_epoch is not None else {})}
+    length = F.least(F.size("tokens"), F.lit(max_len)).alias("token_length")
+    o = cut(onsets.select(*K_COLS, "frame", "beat", length, F.struct(*[c.alias(n) for n, c in forms.items()]).alias("form")))
+    o = previous_rows(time_gaps(o), K_COLS, ("frame", "beat"), "form", prev_k, slice=ONSETS.slice)
+    coin = F.lit(False) if mirror_epoch is None else F.pmod(F.xxhash64(*K_COLS, "frame", "beat", F.lit(mirror_epoch)), F.lit(2)) == 1
+
+    def chosen(s):
+        return s.plain if mirror_epoch is None else F.when(coin, s.mirror).otherwise(s.plain)
+
     start, end = context_window(F.col("frame"), F.col("n_frames"), context)
     blank = F.array_repeat(F.lit(0), max_len)
-    hist = F.concat(F.array_repeat(blank, F.lit(prev_k) - F.size("history")), F.transform("history", lambda t: pad_tokens(t, max_len)))
+    hist = F.concat(F.array_repeat(blank, F.lit(prev_k) - F.size("history")), F.transform("history", chosen))
     return o.join(n_frames.select("map_id", "n_frames"), "map_id").select(
-        *K_COLS, "frame", "beat", start.alias("ctx_start"), end.alias("ctx_end"), pad_tokens("tokens", max_len).alias("tokens"),
-        F.least(F.size("tokens"), F.lit(max_len)).alias("token_length"), difficulty_id("difficulty").alias("difficulty_id"), hist.alias("prev_tokens"), "time_gap",
+        *K_COLS, "frame", "beat", start.alias("ctx_start"), end.alias("ctx_end"), chosen(F.col("form")).alias("tokens"),
+        "token_length", difficulty_id("difficulty").alias("difficulty_id"), hist.alias("prev_tokens"), "time_gap",
     )
 
 
@@ -139,7 +143,7 @@ def song_samples(onsets: DataFrame, part: int = 1024) -> DataFrame:
 def epoch_sample(df: DataFrame, keys, n: int, epoch: int) -> DataFrame:
     """Exactly ``n`` rows (or all) chosen by hash of key and epoch, without replacement."""
     d = df.withColumn("_h", F.xxhash64(*keys, F.lit(epoch)))
-    d = scan(d, Track((), ("_h", *keys), "shiftright(_h, 50)"), sums={"_pos": F.lit(1).cast("long")})
+    d = scan(d, Track((), ("_h", *keys), "shiftright(_h, 46)"), sums={"_pos": F.lit(1).cast("long")})
     return d.where(F.col("_pos") <= n).drop("_h", "_pos")
 
 

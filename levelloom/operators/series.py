@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -153,9 +155,10 @@ def suppress_close(peaks: DataFrame, min_distance: int = 5, prob: str = "prob")
         def close():
             kept: list[int] = []
             for r in sorted(run, key=lambda r: (-r.prob, r.frame)):
-                if all(abs(r.frame - k) >= min_distance for k in kept):
-                    kept.append(r.frame)
-            out.extend((here[0], f) for f in sorted(kept))
+                i = bisect_left(kept, r.frame)
+                if (i == 0 or r.frame - kept[i - 1] >= min_distance) and (i == len(kept) or kept[i] - r.frame >= min_distance):
+                    kept.insert(i, r.frame)
+            out.extend((here[0], f) for f in kept)
 
         for r in pdf.itertuples(index=False):
             key = (r.map_id, r.run)
