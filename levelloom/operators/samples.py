@@ -76,21 +76,25 @@ def context_window(frame: Column, n: Column, width: int) -> tuple[Column, Column
     return F.when(over, F.greatest(F.lit(0), n - width)).otherwise(start), F.when(over, n).otherwise(end)
 
 
-def previous_rows(df: DataFrame, keys, order, value: str, k: int, *, slice: str, out: str = "history", block: int = 256) -> DataFrame:
+def previous_rows(df: DataFrame, keys, order, value: str, k: int, *, slice: str, out: str = "history", block: int = 256, pos: str | None = None) -> DataFrame:
     """Array of the ``k`` values before each row, oldest first (shorter at the start).
 
-    Rows are numbered, cut into blocks, and each block also receives the last ``k`` rows
+    Rows are numbered (or carry ``pos`` already), cut into blocks, and each block also receives the last ``k`` rows
     of the block before, so a window inside the block sees all it needs.
     """
-    d = cut(position(df, Track(tuple(keys), tuple(order), slice), "_pos"))
-    d = with_halo(d, keys, "_pos", before=k, block=block)
-    w = W.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(-k, -1)
+    d = df if pos else cut(position(df, Track(tuple(keys), tuple(order), slice), "_pos"))
+    at = pos or "_pos"
+    d = with_halo(d, keys, at, before=k, block=block)
+    w = W.partitionBy(*keys, "_block").orderBy(at).rowsBetween(-k, -1)
     return d.select(*df.columns, "_copy", F.collect_list(value).over(w).alias(out)).where("not _copy").drop("_copy")
 
 
-def time_gaps(onsets: DataFrame) -> DataFrame:
-    """Seconds since the onset before, at the rounded frame rate; a large value for the first."""
-    o = scan(onsets, ONSETS, prev={"_pf": "frame"})
+def time_gaps(onsets: DataFrame, pos: str | None = None) -> DataFrame:
+    """Seconds since the onset before, at the rounded frame rate; a large value for the first.
+
+    ``pos`` also numbers the onsets, in the same scan.
+    """
+    o = scan(onsets, ONSETS, prev={"_pf": "frame"}, sums={pos: F.lit(1).cast("long")} if pos else None)
     return o.withColumn("time_gap", F.coalesce((F.col("frame") - F.col("_pf")) / CONTEXT_FRAME_RATE, F.lit(FIRST_ONSET_GAP))).drop("_pf")
 
 
@@ -104,7 +108,8 @@ def sequence_samples(onsets: DataFrame, n_frames: DataFrame, *, context: int = 1
     forms = {"plain": pad_tokens("tokens", max_len), **({"mirror": pad_tokens(mirrored("tokens"), max_len)} if mirror_epoch is not None else {})}
     length = F.least(F.size("tokens"), F.lit(max_len)).alias("token_length")
     o = cut(onsets.select(*K_COLS, "frame", "beat", length, F.struct(*[c.alias(n) for n, c in forms.items()]).alias("form")))
-    o = previous_rows(time_gaps(o), K_COLS, ("frame", "beat"), "form", prev_k, slice=ONSETS.slice)
+    o = cut(time_gaps(o, pos="_pos"))
+    o = previous_rows(o, K_COLS, ("frame", "beat"), "form", prev_k, slice=ONSETS.slice, pos="_pos")
     coin = F.lit(False) if mirror_epoch is None else F.pmod(F.xxhash64(*K_COLS, "frame", "beat", F.lit(mirror_epoch)), F.lit(2)) == 1
 
     def chosen(s):
