@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from levelloom.llm import credentials, langid, license, mixing, packing, pii, simhash
+from levelloom.llm import credentials, langid, license, mixing, mtree, packing, pii, quality, simhash, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def _count(kind: str):
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
 
+@_query("op1_vectors")
+def op1(spark, sf_dir):
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query("op2_secrets")
 def op2(spark, sf_dir):
     found = credentials.find_secrets(_table(spark, sf_dir, "documents"))
@@ -43,6 +48,11 @@ def op2(spark, sf_dir):
     return found.select("doc_id", *[c.alias(n) for n, c in counts.items()], F.sha2(base, 256).alias("base_sha256"), credentials.span_list(F.col("spans"), credentials.KINDS).alias("spans"))
 
 
+@_query("op3_quality")
+def op3(spark, sf_dir):
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @_query("op4_simhash")
 def op4(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -59,6 +69,11 @@ def op6(spark, sf_dir):
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
 
+@_query("op7_topk")
+def op7(spark, sf_dir):
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @_query("op8_langid")
 def op8(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
