@@ -29,46 +29,44 @@ WINDOW, END = 2048, 1
 BIN = 8
 #: items in a planned combination
 DEPTH = 3
-#: words whose ids a Python worker remembers; only speed depends on it
-REMEMBER = 300_000
+# the split rule of byte-level vocabularies: a fixed value
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class WordIds:
-    """Token ids of whole texts, by way of remembered words.
+class TextIds:
+    """Token ids of whole texts under a byte-level tokenizer file.
 
-    A byte-level vocabulary never merges over the border before a single space, so a text
-    may be cut there and the ids of each piece joined. Pieces not seen before go to the
-    tokenizer together.
+    The file's own library decides; as it is slow, texts of Latin letters without a special
+    token's string take a second implementation of the same vocabulary (its ids are the order
+    of its merges), which gives equal ids for them.
     """
 
-    _apart = re.compile(r"(?<=\S) (?=\S)")
-    _unsafe = re.compile(r" \s|\s |\A | \Z")
+    _other = re.compile("[^\0-\u024f]")
 
     def __init__(self, path: str, end: int, dtype: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.end, self.dtype = np.array([end], dtype).tobytes(), dtype
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            pieces = (self._apart.split(t) if self._unsafe.search(t) else t.split(" ")) if t else []
-            # the first piece has no space before it, so its ids may differ; no other starts with one
-            split.append([" " + pieces[0], *pieces[1:]] if pieces else pieces)
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        known, fresh = self.known, set()
-        for pieces in split:
-            fresh.update(p for p in pieces if p not in known)
-        names = list(fresh)
-        known.update(zip(names, self._encode([n[1:] if n[0] == " " else " " + n for n in names])))
-        return [b"".join(map(known.__getitem__, pieces)) + self.end for pieces in split]
+        self.tokenizer, self.dtype, self.end = Tokenizer.from_file(path), dtype, end
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self._special = re.compile("|".join(map(re.escape, sorted(added))) or r"(?!)")
+        # byte-level vocabularies write printable bytes as themselves and the others from U+0100 on
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in added}
+        self._fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bool:
+        return (text.isascii() or not self._other.search(text)) and not self._special.search(text)
+
+    def __call__(self, text: str) -> bytes:
+        if self._plain(text):
+            ids = self._fast.encode_to_numpy(text, disallowed_special=())
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        out = np.empty(len(ids) + 1, self.dtype)
+        out[:-1], out[-1] = ids, self.end
+        return out.tobytes()
 
 
 def _tokenize(path: str, window: int, end: int, dtype: str):
@@ -76,12 +74,12 @@ def _tokenize(path: str, window: int, end: int, dtype: str):
 
     @F.pandas_udf("struct<doc_tokens: long, full_id: long, full: binary, rest: binary>")
     def tokenize(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ids_of = WordIds(path, end, dtype)
+        ids_of = TextIds(path, end, dtype)
         context = TaskContext.get()
         task = context.partitionId() if context else 0
         made = 0
         for batch in batches:
-            ids = [b for i in range(0, len(batch), 256) for b in ids_of(batch.iloc[i:i + 256].tolist())]
+            ids = [ids_of(text) for text in batch]
             n = np.array([len(b) // size for b in ids], np.int64)
             full = n // window
             first = made + np.cumsum(full) - full

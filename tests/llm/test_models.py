@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -67,10 +68,15 @@ def test_quality_of_odd_rows(odd_query, none, spark):
     assert quality.score(none, none_labels).count() == 0
 
 
-def tokens_of(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids + [1]
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def tokens_of(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [1]
 
 
 @pytest.mark.parametrize("source", ["documents", "odd"])
@@ -120,11 +126,17 @@ def test_plans_use_each_item_once_and_fill_windows(counts):
     assert all(0.98 * 64 <= f <= 64 for f in fill.values())
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab  .\n\t'é　\x1c\x0090!")) , max_size=60))
-def test_word_ids_equal_whole_encoding(text):
-    ids = packing.WordIds(tokenizer_path(), 1, "<u2")([text])[0]
-    assert np.frombuffer(ids, "<u2").tolist() == tokens_of(text)
+@pytest.fixture(scope="module")
+def text_ids():
+    return packing.TextIds(tokenizer_path(), 1, "<u2")
+
+
+@settings(max_examples=200, deadline=None)
+@given(text=st.one_of(st.text(alphabet=st.characters(max_codepoint=0x24F)), st.text(), st.text(alphabet=st.sampled_from(list("ab  .\n\t'é　\x1c\x0090!")) )))
+def test_ids_equal_the_tokenizers(text_ids, text):
+    text = text.encode("utf-8", "ignore").decode()
+    for t in (text, f"a <|endoftext|> {text}"):
+        assert np.frombuffer(text_ids(t), "<u2").tolist() == tokens_of(t)
 
 
 def plain_targets(sizes):
