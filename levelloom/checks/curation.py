@@ -79,7 +79,7 @@ def _(v):
     return d.select("map_id", "category", F.array_join("requirements", ",").alias("requirements"), F.array_join("suggestions", ",").alias("suggestions"))
 
 
-_RULES = ", ".join(f"({i}, '{n}', '{g}')" for i, (n, g) in enumerate([(n, g) for g, ws in GENRE_RULES for n in ws.split()]))
+_RULES = ", ".join(f"({i}, '{n}', '{g}')" for i, (n, g) in enumerate(GENRE_RULES))
 
 
 @query("genre_of_tags", f"""WITH rules AS (SELECT * FROM (VALUES {_RULES}) r(prio, needle, genre)), t AS (SELECT map_id, {TAGS}[map_id % 12 + 1] tag FROM catalogue)
@@ -92,8 +92,8 @@ _QUOTA = {"vanilla": 900, "chroma": 400, "noodle": None, "mapping_extensions": N
 
 
 @query("quota_intake", """WITH p AS (SELECT map_id, score, category, ROW_NUMBER() OVER (ORDER BY score DESC, map_id) pos, ROW_NUMBER() OVER (PARTITION BY category ORDER BY score DESC, map_id) k FROM d_docs WHERE quality_ok),
- s AS (SELECT MAX(pos) stop FROM p WHERE (category = 'vanilla' AND k = 895) OR (category = 'chroma' AND k = 400))
- SELECT map_id, score, category, pos FROM p, s WHERE pos <= stop AND (category NOT IN ('vanilla','chroma') OR (category = 'vanilla' AND k <= 895) OR (category = 'chroma' AND k <= 400))""", D_CTES)
+ s AS (SELECT CASE WHEN COUNT(*) = 2 THEN MAX(pos) END stop FROM p WHERE (category = 'vanilla' AND k = 895) OR (category = 'chroma' AND k = 400))
+ SELECT map_id, score, category, pos FROM p, s WHERE pos <= COALESCE(stop, 4611686018427387904) AND (category NOT IN ('vanilla','chroma') OR (category = 'vanilla' AND k <= 895) OR (category = 'chroma' AND k <= 400))""", D_CTES)
 def _(v):
     d = documents(v).where(C.passes_quality(0.3, 24.0, 1996)).select("map_id", F.col("stats.score").alias("score"), C.flag_category().alias("category"))
     return C.accept_by_quota(d, _QUOTA, existing={"vanilla": 5})
@@ -239,13 +239,13 @@ def _(v):
 
 
 @query("training_maps", """SELECT i.map_id, difficulty, n_onsets, category, CASE difficulty WHEN 'Expert' THEN 3 ELSE 2 END difficulty_id, 0 genre_id FROM
- (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_onsets FROM objects GROUP BY ALL) i JOIN maps USING (map_id) JOIN s_fine USING (map_id)
+ (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_onsets FROM q_at GROUP BY ALL) i JOIN maps USING (map_id) JOIN s_fine USING (map_id)
  WHERE split = 'train' AND map_id NOT IN (SELECT map_id FROM q_black) AND category NOT IN ('noodle') AND difficulty IN ('Expert') AND n_frames > 9000""", {**Q, **S_CTES})
 def _(v):
-    from levelloom.checks.quality import _short_index
-    idx = quality.map_index(v.objects, v.lights, v.maps).select("map_id", "difficulty", "n_onsets", "category")
+    from levelloom.checks.quality import _metrics, _short_index
+    idx = quality.map_index(v.full_events, v.lights, v.maps).select("map_id", "difficulty", "n_onsets", "category")
     split = v.maps.select("map_id", X.split_fine(F.col("map_id").cast("string")).alias("split")).where("split = 'train'")
-    black = quality.quality_blacklist(_short_index(v), quality.quality_metrics(v.objects, v.maps))
+    black = quality.quality_blacklist(_short_index(v), _metrics(v))
     return C.training_maps(idx, split=split, blacklist=black, whitelist=v.maps.where("n_frames > 9000"), exclude=["noodle"], difficulties=["Expert"])
 
 

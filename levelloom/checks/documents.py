@@ -71,15 +71,15 @@ def lights_as_events(v):
 @query("level_documents", """SELECT map_id, difficulty, SUM(n) FILTER (kind='note') notes, SUM(n) FILTER (kind='bomb') bombs, SUM(n) FILTER (kind='wall') walls, SUM(n) FILTER (kind='arc') arcs, SUM(n) FILTER (kind='chain') chains FROM
  (SELECT map_id, difficulty, kind, COUNT(*)::INTEGER n FROM full_events GROUP BY ALL) GROUP BY ALL""".replace("SUM(n)", "MAX(n)"))
 def _(v):
-    docs, _ = Wr.level_documents(v.full_events)
+    docs = Wr.level_documents(v.full_events)
     n = lambda a: F.json_array_length(F.get_json_object("text", f"$.{a}"))
     return docs.select("map_id", "difficulty", n("colorNotes").alias("notes"), n("bombNotes").alias("bombs"), n("obstacles").alias("walls"), n("sliders").alias("arcs"), n("burstSliders").alias("chains"))
 
 
-@query("level_fragments", "SELECT map_id, difficulty, kind, CAST(FLOOR(beat / 64) AS BIGINT) part, CAST(COUNT(*) AS INTEGER) n FROM full_events GROUP BY ALL")
+@query("level_fragments", "SELECT map_id, difficulty, kind, part, CAST(COUNT(*) AS INTEGER) n, MIN(beat) first_beat FROM (SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY map_id, difficulty, kind ORDER BY beat, seq) - 1) // 16 AS BIGINT) part FROM full_events) GROUP BY map_id, difficulty, kind, part")
 def _(v):
-    _, big = Wr.level_documents(v.full_events, max_events=0)
-    return big.select("map_id", "difficulty", "kind", "part", "n")
+    parts = Wr.level_fragments(v.full_events, rows=16)
+    return parts.select("map_id", "difficulty", "kind", "part", "n", F.regexp_extract("text", r'"b":([0-9.E+-]+)', 1).cast("double").alias("first_beat"))
 
 
 @query("parse_v3", """SELECT map_id, difficulty, kind, beat, x, y, CASE WHEN kind IN ('bomb','wall') THEN NULL ELSE color END color, CASE WHEN kind IN ('bomb','wall') THEN NULL ELSE direction END direction,
@@ -88,7 +88,7 @@ def _(v):
  UNION ALL SELECT map_id, 'Expert', 'light', beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, event_type, NULL FROM lights
  UNION ALL SELECT map_id, 'Expert', 'boost', beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, seq % 2 = 1 FROM lights WHERE seq % 9 = 0""")
 def _(v):
-    docs = cut(Wr.level_documents(lights_as_events(v))[0])  # the parser reads its input twice
+    docs = cut(Wr.level_documents(lights_as_events(v)))  # the parser reads its input twice
     e = D.level_events(D.parse_levels(docs))
     return e.select("map_id", "difficulty", "kind", "beat", "x", "y", "color", "direction", "angle_offset", "duration", "tail_beat", "slice_count", "event_type", "boost")
 
@@ -138,9 +138,9 @@ def _(v):
     return D.rejects(D.parse_levels(_v2_docs(v)))
 
 
-@query("parse_tempo", "SELECT map_id, difficulty, CAST(0 AS BIGINT) seq, CAST(part AS DOUBLE) at_beat, 150e0 new_bpm FROM v2_part WHERE part <> 38 AND NOT (map_id % 10 = 5 AND part = 2)", V2)
+@query("parse_tempo", "SELECT map_id, difficulty, CAST(0 AS BIGINT) seq, CAST(part AS DOUBLE) at_beat, 150e0 new_bpm FROM v2_live", V2)
 def _(v):
-    return D.tempo_changes(_v2_docs(v)).where("at_beat <> 38")
+    return D.tempo_changes(_v2_docs(v))
 
 
 @query("frames_constant_tempo", "SELECT map_id, seq, CAST(round_even((beat * 60e0 / bpm + 0) * 44100e0 / 512e0, 0) AS BIGINT) frame FROM objects JOIN maps USING (map_id)")
@@ -149,10 +149,10 @@ def _(v):
 
 
 T_CTES = {
-    "tc_seg": """SELECT map_id, at_beat, new_bpm, SUM(took) OVER (PARTITION BY map_id ORDER BY at_beat) secs FROM (SELECT map_id, at_beat, new_bpm,
- (at_beat - COALESCE(LAG(at_beat) OVER w, 0)) * 60e0 / COALESCE(LAG(new_bpm) OVER w, bpm) took FROM (SELECT map_id, at_beat, ARG_MAX(new_bpm, seq) new_bpm FROM tempo_change GROUP BY ALL) JOIN maps USING (map_id) WINDOW w AS (PARTITION BY map_id ORDER BY at_beat))""",
+    "tc_seg": """SELECT map_id, difficulty, at_beat, new_bpm, SUM(took) OVER (PARTITION BY map_id, difficulty ORDER BY at_beat) secs FROM (SELECT map_id, difficulty, at_beat, new_bpm,
+ (at_beat - COALESCE(LAG(at_beat) OVER w, 0)) * 60e0 / COALESCE(LAG(new_bpm) OVER w, bpm) took FROM (SELECT map_id, difficulty, at_beat, ARG_MAX(new_bpm, seq) new_bpm FROM tempo_change GROUP BY ALL) JOIN maps USING (map_id) WINDOW w AS (PARTITION BY map_id, difficulty ORDER BY at_beat))""",
     "tc_frames": """SELECT o.map_id, o.difficulty, o.seq, o.beat, o.kind, CAST(round_even((COALESCE(s.secs, 0) + (o.beat - COALESCE(s.at_beat, 0)) * 60e0 / COALESCE(s.new_bpm, bpm)) * 44100e0 / 512e0, 0) AS BIGINT) frame, n_frames
- FROM (SELECT objects.*, bpm, n_frames, beat - 1e-9 eb FROM objects JOIN maps USING (map_id)) o ASOF LEFT JOIN tc_seg s ON o.map_id = s.map_id AND o.eb >= s.at_beat""",
+ FROM (SELECT objects.*, bpm, n_frames, beat - 1e-9 eb FROM objects JOIN maps USING (map_id)) o ASOF LEFT JOIN tc_seg s ON o.map_id = s.map_id AND o.difficulty = s.difficulty AND o.eb >= s.at_beat""",
 }
 
 

@@ -17,7 +17,10 @@ CTES = {
     "q_parity": f"""SELECT map_id, difficulty, CAST(SUM(CASE WHEN p IS NOT NULL AND NOT ({_OPP}) THEN 1 ELSE 0 END) AS BIGINT) violations, COUNT(p) checks
  FROM (SELECT *, LAG(direction) OVER (PARTITION BY map_id, difficulty, color ORDER BY beat, x, y, seq) p FROM notes WHERE direction <> 8) t GROUP BY ALL""",
     "q_on": """SELECT map_id, difficulty, COUNT(*) n_onsets, COUNT(*) FILTER (n = 0) n_empty, AVG(n) mean_n, STDDEV_POP(n) sd_n
- FROM (SELECT map_id, difficulty, beat, COUNT(*) FILTER (kind = 'note') n FROM objects GROUP BY ALL) GROUP BY ALL""",
+ FROM (SELECT map_id, difficulty, beat, COUNT(*) FILTER (kind = 'note') n FROM q_at GROUP BY ALL) GROUP BY ALL""",
+    "q_at": "SELECT map_id, difficulty, beat, kind FROM objects UNION ALL SELECT map_id, difficulty, tail_beat, 'tail' FROM full_events WHERE kind = 'arc'",
+    "q_lit": "SELECT map_id, 'Expert' difficulty, beat FROM lights WHERE event_type < 12",
+    "q_lev": "SELECT DISTINCT map_id, difficulty FROM (SELECT map_id, difficulty FROM objects UNION ALL SELECT map_id, difficulty FROM q_lit)",
     "q_cell": """SELECT map_id, difficulty, -SUM(n / t * LOG2(n / t)) h, COUNT(*) used FROM
  (SELECT map_id, difficulty, CAST(COUNT(*) AS DOUBLE) n, SUM(COUNT(*)) OVER (PARTITION BY map_id, difficulty) t FROM notes GROUP BY map_id, difficulty, x, y) GROUP BY ALL""",
     "q_dir": """SELECT map_id, difficulty, -SUM(n / t * LOG2(n / t)) h FROM
@@ -25,12 +28,12 @@ CTES = {
     "q_tot": """SELECT map_id, difficulty, COUNT(*) total_notes, COUNT(*) FILTER (color = 0) red, COUNT(*) FILTER (direction = 8) dots FROM notes GROUP BY ALL""",
     "q_metrics": """SELECT map_id, difficulty, ROUND(COALESCE(violations,0) / CAST(GREATEST(COALESCE(checks,0),1) AS DOUBLE), 9) parity_rate,
  ROUND(ABS(red / total_notes - 5e-1) * 2, 9) color_imbalance,
- ROUND(CASE WHEN used <= 1 THEN 0e0 ELSE q_cell.h / LOG2(used) END, 9) grid_entropy,
+ ROUND(CASE WHEN used IS NULL THEN NULL WHEN used <= 1 THEN 0e0 ELSE q_cell.h / LOG2(used) END, 9) grid_entropy,
  ROUND(CASE WHEN n_onsets > 1 THEN sd_n / GREATEST(mean_n, 1e-2) ELSE 0e0 END, 9) nps_cv,
  ROUND(n_empty / n_onsets, 9) empty_ratio, ROUND(COALESCE(q_dir.h / 3, 0e0), 9) dir_entropy,
- ROUND(dots / total_notes, 9) dot_ratio, ROUND(total_notes / GREATEST(n_frames * 512e0 / 44100e0, 1e0), 9) nps,
- total_notes, n_onsets, total_notes < 5 too_few_notes
- FROM q_on JOIN q_tot USING (map_id, difficulty) LEFT JOIN q_parity USING (map_id, difficulty) LEFT JOIN q_cell USING (map_id, difficulty)
+ ROUND(dots / total_notes, 9) dot_ratio, ROUND(COALESCE(total_notes, 0) / GREATEST(n_frames * 512e0 / 44100e0, 1e0), 9) nps,
+ COALESCE(total_notes, 0) total_notes, COALESCE(n_onsets, 0) n_onsets, COALESCE(total_notes, 0) < 5 too_few_notes, n_onsets IS NULL empty
+ FROM q_lev LEFT JOIN q_on USING (map_id, difficulty) LEFT JOIN q_tot USING (map_id, difficulty) LEFT JOIN q_parity USING (map_id, difficulty) LEFT JOIN q_cell USING (map_id, difficulty)
  LEFT JOIN q_dir USING (map_id, difficulty) JOIN maps USING (map_id)""",
     "q_score": """SELECT map_id, difficulty, parity_rate, grid_entropy, nps, ROUND(CASE WHEN too_few_notes THEN 0e0 ELSE GREATEST(0e0, LEAST(1e0, 1e0
  - 3e-1 * LEAST(parity_rate / 5e-1, 1e0) - 1e-1 * LEAST(color_imbalance / 8e-1, 1e0) - 15e-2 * (1e0 - grid_entropy) - 15e-2 * (1e0 - dir_entropy)
@@ -45,12 +48,18 @@ CTES = {
 }
 
 
+def _events(v):
+    """Objects, the places of arcs' tails, and lights, as a parsed document gives them."""
+    lit = v.lights.where("event_type < 12").select("map_id", F.lit("Expert").alias("difficulty"), "seq", "beat", F.lit("light").alias("kind"))
+    return v.full_events.unionByName(lit, allowMissingColumns=True)
+
+
 def _metrics(v):
-    return quality.quality_metrics(v.objects, v.maps)
+    return quality.quality_metrics(_events(v), v.maps)
 
 
 def _index(v):
-    return quality.nested_index(quality.map_index(v.objects, v.lights, v.maps))
+    return quality.nested_index(quality.map_index(_events(v), _events(v).where("kind = 'light'"), v.maps))
 
 
 def _pairs(name, where, cond, check):
@@ -168,8 +177,9 @@ def _(v):
     return quality.reason_summary(quality.quality_blacklist(_short_index(v), _metrics(v)))
 
 
-@query("map_index", """SELECT o.map_id, difficulty, n_frames, category, n_onsets, COALESCE(n_lights, 0) n_lights FROM
- (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_onsets FROM objects GROUP BY ALL) o JOIN maps USING (map_id)
- LEFT JOIN (SELECT map_id, COUNT(DISTINCT beat) n_lights FROM lights GROUP BY ALL) l USING (map_id)""")
+@query("map_index", """SELECT o.map_id, o.difficulty, n_frames, category, n_onsets, COALESCE(n_lights, 0) n_lights FROM
+ (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_onsets FROM q_at GROUP BY ALL) o JOIN maps USING (map_id)
+ LEFT JOIN (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_lights FROM q_lit GROUP BY ALL) l ON l.map_id = o.map_id AND l.difficulty = o.difficulty""", CTES)
 def _(v):
-    return quality.map_index(v.objects, v.lights, v.maps)
+    e = _events(v)
+    return quality.map_index(e, e.where("kind = 'light'"), v.maps)

@@ -64,7 +64,7 @@ def _(v):
     return R.pick_document(m.select("map_id", "member", F.length("member").alias("pos"), text.alias("text"))).select("map_id", "member")
 
 
-@query("content_metrics", """WITH gaps AS (SELECT map_id, difficulty, LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY beat, seq) - beat g FROM notes),
+@query("content_metrics", """WITH gaps AS (SELECT map_id, difficulty, LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY seq) - beat g FROM notes),
  med AS (SELECT map_id, difficulty, round_even(list_sort(list(g))[CAST(FLOOR(COUNT(*) / 2) AS BIGINT) + 1], 4) median_note_interval FROM gaps WHERE g > 0 GROUP BY ALL),
  per AS (SELECT map_id, difficulty, COUNT(DISTINCT (x, y)) grid_coverage, COUNT(DISTINCT (color, x, y, direction)) unique_patterns, COUNT(*) FILTER (color=0) red_notes, COUNT(*) FILTER (color=1) blue_notes, round_even(MAX(beat)-MIN(beat), 2) duration_beats FROM notes GROUP BY ALL),
  tot AS (SELECT map_id, difficulty, COUNT(*) FILTER (kind='note') n_notes, COUNT(*) FILTER (kind='bomb') n_bombs, COUNT(*) FILTER (kind='wall') n_walls, COUNT(*) FILTER (kind='arc') n_arcs, COUNT(*) FILTER (kind='chain') n_chains FROM objects GROUP BY ROLLUP (map_id, difficulty) HAVING map_id IS NOT NULL)
@@ -74,7 +74,7 @@ def _(v):
     return R.content_metrics(v.objects, v.lights)
 
 
-@query("note_intervals", "SELECT map_id, difficulty, g gap FROM (SELECT map_id, difficulty, LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY beat, seq) - beat g FROM notes) WHERE g > 0")
+@query("note_intervals", "SELECT map_id, difficulty, g gap FROM (SELECT map_id, difficulty, LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY seq) - beat g FROM notes) WHERE g > 0")
 def _(v):
     return R.note_intervals(v.notes)
 
@@ -158,21 +158,21 @@ def _(v):
     return R.slot_accuracy(n, ["direction", "col"]).select(F.round("direction_acc", 12).alias("direction_acc"), F.round("col_acc", 12).alias("col_acc"))
 
 
-_PRED = "SELECT map_id, frame pos FROM frames WHERE prob > 7e-1"
-_TRUE = "SELECT map_id, frame * 3 pos FROM frames WHERE onset_strength > 6e-1 AND frame < 40 AND map_id % 9 <> 0"
+_PRED = "SELECT map_id, frame pos FROM frames WHERE prob > 7e-1 AND map_id % 5 <> 0"
+_TRUE = "SELECT map_id, frame * 3 pos FROM frames WHERE onset_strength > 6e-1 AND map_id % 9 <> 0"
 _M_REC = f"""WITH ps AS (SELECT map_id, pos, ROW_NUMBER() OVER (PARTITION BY map_id ORDER BY pos) k FROM ({_PRED})), ts AS (SELECT map_id, list(pos ORDER BY pos) ts FROM ({_TRUE}) GROUP BY map_id),
  step AS (SELECT map_id, 0::BIGINT k, ts, 0::BIGINT tp FROM ts UNION ALL SELECT map_id, nk, CASE WHEN ok THEN list_filter(ts, lambda e, i: i <> best) ELSE ts END, tp + CASE WHEN ok THEN 1 ELSE 0 END FROM
  (SELECT s.map_id, p.k nk, s.ts, s.tp, list_position(list_transform(s.ts, lambda e: ABS(e - p.pos)), list_min(list_transform(s.ts, lambda e: ABS(e - p.pos)))) best, COALESCE(list_min(list_transform(s.ts, lambda e: ABS(e - p.pos))) <= 3, false) ok FROM step s JOIN ps p ON p.map_id = s.map_id AND p.k = s.k + 1)),
- tps AS (SELECT map_id, MAX(tp) tp FROM step GROUP BY map_id), n AS (SELECT map_id, COALESCE(a, 0) n_pred, COALESCE(b, 0) n_true FROM (SELECT map_id, COUNT(*) a FROM ps GROUP BY 1) FULL JOIN (SELECT map_id, len(ts) b FROM ts) USING (map_id)),
+ tps AS (SELECT map_id, MAX(tp) tp FROM step GROUP BY map_id), n AS (SELECT map_id, COALESCE(a, 0) n_pred, COALESCE(b, 0) n_true FROM maps LEFT JOIN (SELECT map_id, COUNT(*) a FROM ps GROUP BY 1) USING (map_id) LEFT JOIN (SELECT map_id, len(ts) b FROM ts) USING (map_id)),
  pr AS (SELECT map_id, n_pred, n_true, COALESCE(tp, 0) tp, CASE WHEN n_pred > 0 AND n_true > 0 THEN tp / n_pred WHEN n_pred > 0 THEN 0e0 ELSE 1e0 END "precision", CASE WHEN n_pred > 0 AND n_true > 0 THEN tp / n_true WHEN n_true > 0 THEN 0e0 ELSE 1e0 END recall FROM n LEFT JOIN tps USING (map_id)),
- sc AS (SELECT *, CASE WHEN n_pred > 0 AND n_true > 0 AND "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0e0 END f1 FROM pr)"""
+ sc AS (SELECT *, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1e0 WHEN n_pred > 0 AND n_true > 0 AND "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0e0 END f1 FROM pr)"""
 
 
 def _onset_scores(v):
     f = v.frames
-    pred = f.where("prob > 0.7").select("map_id", "frame")
-    truth = f.where("onset_strength > 0.6 and frame < 40 and map_id % 9 <> 0").select("map_id", (F.col("frame") * 3).alias("frame"))
-    return R.onset_scores(pred, truth, ["map_id"])
+    pred = f.where("prob > 0.7 and map_id % 5 <> 0").select("map_id", "frame")
+    truth = f.where("onset_strength > 0.6 and map_id % 9 <> 0").select("map_id", (F.col("frame") * 3).alias("frame"))
+    return R.onset_scores(pred, truth, ["map_id"], groups=v.maps)
 
 
 @query("onset_scores", _M_REC + " SELECT * FROM sc")
@@ -186,7 +186,7 @@ def _(v):
     return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
 
 
-@query("gap_histogram", "SELECT *, n / SUM(n) OVER () share FROM (SELECT CASE WHEN g < 3e-1 THEN 'sixteenth' WHEN g < 6e-1 THEN 'eighth' WHEN g < 11e-1 THEN 'quarter' WHEN g < 21e-1 THEN 'half' ELSE 'longer' END gap_type, COUNT(*) n FROM (SELECT LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY beat, seq) - beat g FROM notes) WHERE g > 0 GROUP BY 1)")
+@query("gap_histogram", "SELECT *, n / SUM(n) OVER () share FROM (SELECT CASE WHEN g < 3e-1 THEN 'sixteenth' WHEN g < 6e-1 THEN 'eighth' WHEN g < 11e-1 THEN 'quarter' WHEN g < 21e-1 THEN 'half' ELSE 'longer' END gap_type, COUNT(*) n FROM (SELECT LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY seq) - beat g FROM notes) WHERE g > 0 GROUP BY 1)")
 def _(v):
     return R.gap_histogram(v.notes)
 

@@ -127,11 +127,11 @@ def _(v):
     return R.density_curve(v.frames.where("prob > 0.2").select("map_id", "frame"), v.frames, "Easy", hop=HOP // 2)
 
 
-@query("top_p", """WITH p AS (SELECT vec_id, i token, ABS(embedding[i])::DOUBLE / 1e0 w FROM embeddings, range(1, 9) t(i)), q AS (SELECT vec_id, token, ROUND(w / SUM(w) OVER (PARTITION BY vec_id), 9) prob FROM p),
+@query("top_p", """WITH p AS (SELECT vec_id, i token, ABS(embedding[i])::DOUBLE / 1e0 w FROM embeddings, range(1, 65) t(i)), q AS (SELECT vec_id, token, ROUND(w / SUM(w) OVER (PARTITION BY vec_id), 9) prob FROM p),
  c AS (SELECT *, SUM(prob) OVER (PARTITION BY vec_id ORDER BY -prob, token ROWS UNBOUNDED PRECEDING) cum FROM q)
  SELECT vec_id, CAST(token AS INTEGER) token, ROUND(prob / SUM(prob) OVER (PARTITION BY vec_id), 7) prob FROM c WHERE NOT (cum - prob > 7e-1)""")
 def _(v):
-    p = v.embeddings.select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "w")).select("vec_id", (F.col("i") + 1).alias("token"), F.abs(F.col("w").cast("double")).alias("w"))
+    p = v.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "w")).select("vec_id", (F.col("i") + 1).alias("token"), F.abs(F.col("w").cast("double")).alias("w"))
     t = p.groupBy("vec_id").agg(F.sum("w").alias("t"))
     q = p.join(t, "vec_id").select("vec_id", "token", F.round(F.col("w") / F.col("t"), 9).alias("prob"))
     return R.top_p(q, ["vec_id"], 0.7).select("vec_id", F.col("token").cast("int").alias("token"), F.round("prob", 7).alias("prob"))
@@ -271,7 +271,7 @@ def _(v):
     return s.select("map_id", "difficulty", "part", F.size("token_sequences").alias("n"), F.aggregate("frames", F.lit(0).cast("long"), lambda a, x: a + x).alias("frames"))
 
 
-@query("epoch_sample", "SELECT 20000 n, 20000 distinct_n, true drawn")
+@query("epoch_sample", "SELECT CAST(LEAST(20000, COUNT(*)) AS INTEGER) n, CAST(LEAST(20000, COUNT(DISTINCT (map_id, seq))) AS INTEGER) distinct_n, COUNT(DISTINCT map_id) > 1 drawn FROM notes")
 def _(v):
     s = S.epoch_sample(v.notes.select("map_id", "seq"), ["map_id", "seq"], 20000, 3)
     return s.agg(F.count("*").cast("int").alias("n"), F.count_distinct("map_id", "seq").cast("int").alias("distinct_n"), (F.count_distinct("map_id") > 1).alias("drawn"))

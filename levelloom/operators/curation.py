@@ -91,7 +91,7 @@ def declared_mods(mods: DataFrame) -> DataFrame:
 
 def genre_of(tags) -> Column:
     """Canonical genre of a tag list: the first rule that contains, or lies in, any tag."""
-    rules = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(g).alias("genre")) for g, words in GENRE_RULES for n in words.split()])
+    rules = F.array(*[F.struct(F.lit(n).alias("needle"), F.lit(g).alias("genre")) for n, g in GENRE_RULES])
     clean = F.transform(F.col(tags) if isinstance(tags, str) else tags, lambda t: F.lower(F.trim(t)))
     hit = F.filter(rules, lambda r: F.exists(clean, lambda t: t.contains(r.needle) | r.needle.contains(t)))
     return F.coalesce(F.get(hit, F.lit(0)).genre, F.lit("unknown"))

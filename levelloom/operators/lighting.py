@@ -132,9 +132,10 @@ def palette_names(frames: DataFrame, genres: DataFrame) -> DataFrame:
     """Palette per map: genre hints first, then mean loudness and bass."""
     g = frames.groupBy("map_id").agg(F.avg("rms").alias("_r"), F.avg("bass").alias("_b"))
     hint = F.lower(F.coalesce("genre", F.lit("unknown")))
-    by_genre = F.when(hint.rlike(K.PALETTE_HINTS[0][1]), K.PALETTE_HINTS[0][0])
-    for name, words in K.PALETTE_HINTS[1:]:
-        by_genre = by_genre.when(hint.rlike(words), name)
+    by_genre = None
+    for name, words in K.PALETTE_HINTS:
+        named = hint.rlike("|".join(words))
+        by_genre = F.when(named, name) if by_genre is None else by_genre.when(named, name)
     r, b = F.col("_r"), F.col("_b")
     by_energy = (
         F.when(r.isNull(), "synthwave").when((r > 0.5) & (b > 0.5), "edm").when(r < 0.2, "ambient").when(b > 0.4, "rock").when(r < 0.35, "chill").otherwise("synthwave")

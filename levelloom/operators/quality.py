@@ -20,9 +20,17 @@ def entropy(counts: list[Column]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def onset_rows(events: DataFrame) -> DataFrame:
+    """Every place that opens an onset: objects and arc tails, not lights and boosts."""
+    objects = events.where(F.col("kind").isin("note", "bomb", "wall", "arc", "chain")).select(*K_COLS, "beat", "kind")
+    if "tail_beat" not in events.columns:
+        return objects
+    return objects.unionByName(events.where("kind = 'arc'").select(*K_COLS, F.col("tail_beat").alias("beat"), F.lit("arc_end").alias("kind")))
+
+
 def onset_counts(events: DataFrame) -> DataFrame:
     """Onsets of a level, how many hold no note, and the spread of notes per onset."""
-    per = events.groupBy(*K_COLS, "beat").agg(F.count_if(F.col("kind") == "note").alias("n"))
+    per = onset_rows(events).groupBy(*K_COLS, "beat").agg(F.count_if(F.col("kind") == "note").alias("n"))
     return per.groupBy(*K_COLS).agg(
         F.count("*").alias("n_onsets"), F.count_if(F.col("n") == 0).alias("n_empty"),
         F.avg("n").alias("mean_n"), F.stddev_pop("n").alias("sd_n"),
@@ -37,11 +45,15 @@ def note_counters(notes: DataFrame) -> DataFrame:
 
 
 def quality_metrics(events: DataFrame, maps: DataFrame) -> DataFrame:
-    """Ten quality metrics per (map, difficulty), plus flags for unusable levels."""
+    """Ten quality metrics per (map, difficulty), plus flags for unusable levels.
+
+    A level whose events open no onset at all (lights only) comes back flagged ``empty``.
+    """
+    levels = events.select(*K_COLS).distinct()
     in_range = "kind = 'note' and color between 0 and 1 and x between 0 and 3 and y between 0 and 2 and direction between 0 and 8"
     notes = events.where(in_range)
     m = (
-        onset_counts(events)
+        levels.join(onset_counts(events), K_COLS, "left")
         .join(note_counters(notes), K_COLS, "left")
         .join(listed_alternation(notes), K_COLS, "left")
         .join(maps.select("map_id", "n_frames"), "map_id")
@@ -55,14 +67,15 @@ def quality_metrics(events: DataFrame, maps: DataFrame) -> DataFrame:
     return m.select(
         *K_COLS,
         r(F.coalesce("violations", F.lit(0)) / F.greatest(F.coalesce("checks", F.lit(0)), F.lit(1))).alias("parity_rate"),
-        r(F.abs(F.col("red") / total - 0.5) * 2).alias("color_imbalance"),
+        r(F.abs(F.col("red") / F.nullif(total, F.lit(0)) - 0.5) * 2).alias("color_imbalance"),
         r(F.when(used <= 1, 0.0).otherwise(entropy(cells) / F.log2(F.greatest(used, F.lit(2))))).alias("grid_entropy"),
         r(F.when(F.col("n_onsets") > 1, F.col("sd_n") / F.greatest("mean_n", F.lit(0.01))).otherwise(0.0)).alias("nps_cv"),
         r(F.col("n_empty") / F.col("n_onsets")).alias("empty_ratio"),
         r(F.when(n_dirs > 0, entropy(dirs) / 3.0).otherwise(0.0)).alias("dir_entropy"),
-        r(F.col("dir_8") / total).alias("dot_ratio"),
+        r(F.col("dir_8") / F.nullif(total, F.lit(0))).alias("dot_ratio"),
         r(total / F.greatest(frames_seconds("n_frames"), F.lit(1.0))).alias("nps"),
-        total.alias("total_notes"), "n_onsets", (total < 5).alias("too_few_notes"),
+        total.alias("total_notes"), F.coalesce("n_onsets", F.lit(0)).alias("n_onsets"), (total < 5).alias("too_few_notes"),
+        (F.coalesce("n_onsets", F.lit(0)) == 0).alias("empty"),
     )
 
 
@@ -142,11 +155,12 @@ def reason_summary(blacklist: DataFrame) -> DataFrame:
 
 def map_index(events: DataFrame, lights: DataFrame, maps: DataFrame) -> DataFrame:
     """Frames, category and per-difficulty onset and light counts; one row per (map, difficulty)."""
-    onsets = events.groupBy(*K_COLS, "beat").agg(F.lit(1).alias("one")).groupBy(*K_COLS).agg(F.count("*").alias("n_onsets"))
-    lit = lights.select("map_id", "beat").groupBy("map_id", "beat").agg(F.lit(1).alias("one")).groupBy("map_id").agg(F.count("*").alias("n_lights"))
+    onsets = onset_rows(events).groupBy(*K_COLS, "beat").agg(F.lit(1).alias("one")).groupBy(*K_COLS).agg(F.count("*").alias("n_onsets"))
+    keys = [c for c in K_COLS if c in lights.columns]  # lights of one level, or of all levels of a map
+    lit = lights.select(*keys, "beat").distinct().groupBy(*keys).agg(F.count("*").alias("n_lights"))
     return (
         onsets.join(maps.where("n_frames is not null").select("map_id", "n_frames", "category"), "map_id")
-        .join(lit, "map_id", "left")
+        .join(lit, keys, "left")
         .select(*K_COLS, "n_frames", F.coalesce("category", F.lit("unknown")).alias("category"), "n_onsets", F.coalesce("n_lights", F.lit(0)).alias("n_lights"))
     )
 

@@ -122,8 +122,8 @@ def content_metrics(events: DataFrame, lights: DataFrame | None = None) -> DataF
 
 
 def note_intervals(notes: DataFrame) -> DataFrame:
-    """Positive gaps to the next note in document order."""
-    n = scan(notes.select(*K_COLS, "beat", "seq"), NOTES, nxt={"next_beat": "beat"})
+    """Positive gaps to the next note in document order, which need not be beat order."""
+    n = scan(notes.select(*K_COLS, "beat", "seq"), Track(NOTES.keys, ("seq",), "floor(seq / 4096)"), nxt={"next_beat": "beat"})
     return n.select(*K_COLS, (F.col("next_beat") - F.col("beat")).alias("gap")).where("gap > 0")
 
 
@@ -270,17 +270,24 @@ def onset_matches(pred: DataFrame, truth: DataFrame, keys, on: str, tolerance: f
     return fold_runs(u.select(*keys, "run", "at", "side", "n"), [*keys, "run"], ["at", "side"], match, schema).groupBy(*keys).agg(F.sum("tp").alias("tp"))
 
 
-def onset_scores(pred: DataFrame, truth: DataFrame, keys, on: str = "frame", tolerance: float = 3.0) -> DataFrame:
-    """Precision, recall and F1 per group, with the agreed values for empty sides."""
+def onset_scores(pred: DataFrame, truth: DataFrame, keys, on: str = "frame", tolerance: float = 3.0, groups: DataFrame | None = None) -> DataFrame:
+    """Precision, recall and F1 per group, with the agreed values for empty sides.
+
+    ``groups`` lists all groups (say, windows): those empty on both sides are in perfect
+    agreement. Without it only groups that have a row on either side are scored.
+    """
     keys = list(keys)
     n_p = pred.groupBy(*keys).agg(F.count("*").alias("n_pred"))
     n_t = truth.groupBy(*keys).agg(F.count("*").alias("n_true"))
     d = n_p.join(n_t, keys, "full").join(onset_matches(pred, truth, keys, on, tolerance), keys, "left").na.fill(0, ["n_pred", "n_true", "tp"])
+    if groups is not None:
+        d = groups.select(*keys).distinct().join(d, keys, "left").na.fill(0, ["n_pred", "n_true", "tp"])
     both = (F.col("n_pred") > 0) & (F.col("n_true") > 0)
+    none = (F.col("n_pred") == 0) & (F.col("n_true") == 0)
     d = d.withColumn("precision", F.when(both, F.col("tp") / F.col("n_pred")).when(F.col("n_pred") > 0, 0.0).otherwise(1.0))
     d = d.withColumn("recall", F.when(both, F.col("tp") / F.col("n_true")).when(F.col("n_true") > 0, 0.0).otherwise(1.0))
     s = F.col("precision") + F.col("recall")
-    return d.withColumn("f1", F.when(both & (s > 0), 2 * F.col("precision") * F.col("recall") / F.when(s > 0, s)).otherwise(0.0))
+    return d.withColumn("f1", F.when(none, 1.0).when(both & (s > 0), 2 * F.col("precision") * F.col("recall") / F.when(s > 0, s)).otherwise(0.0))
 
 
 def mean_scores(scores: DataFrame, keys=()) -> DataFrame:

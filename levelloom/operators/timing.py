@@ -9,18 +9,22 @@ from levelloom.functions.scalars import seconds_to_frame
 from levelloom.plans.ordered import Track, asof, scan
 
 
+#: changes belong to one difficulty's document
+LEVEL = ("map_id", "difficulty")
+
+
 def tempo_segments(changes: DataFrame, maps: DataFrame) -> DataFrame:
-    """Each change with the seconds elapsed before it; several on one beat apply in order.
+    """Each change of a level with the seconds elapsed before it; several on one beat apply in order.
 
     Only the last change of a beat matters afterwards: zero-length segments add nothing.
     """
-    c = changes.groupBy("map_id", "at_beat").agg(F.max_by("new_bpm", "seq").alias("new_bpm"))
+    c = changes.groupBy(*LEVEL, "at_beat").agg(F.max_by("new_bpm", "seq").alias("new_bpm"))
     c = c.join(maps.select("map_id", "bpm"), "map_id")
-    track = Track(("map_id",), ("at_beat",), "floor(at_beat / 64)")
+    track = Track(LEVEL, ("at_beat",), "floor(at_beat / 64)")
     c = scan(c, track, prev={"from_beat": "at_beat", "from_bpm": "new_bpm"})
     took = (F.col("at_beat") - F.coalesce("from_beat", F.lit(0.0))) * 60.0 / F.coalesce("from_bpm", F.col("bpm"))
     c = scan(c.withColumn("took", took), track, sums={"seconds": "took"})
-    return c.select("map_id", "at_beat", "new_bpm", "seconds")
+    return c.select(*LEVEL, "at_beat", "new_bpm", "seconds")
 
 
 def beat_frames(events: DataFrame, maps: DataFrame, changes: DataFrame | None = None, *, sample_rate=SAMPLE_RATE, hop=HOP_LENGTH) -> DataFrame:
@@ -33,14 +37,14 @@ def beat_frames(events: DataFrame, maps: DataFrame, changes: DataFrame | None =
         e = e.join(m, "map_id").withColumn("seconds", F.col("beat") * 60.0 / F.col("bpm") + offset)
     else:
         seg = tempo_segments(changes, maps).withColumnRenamed("at_beat", "beat")
-        # the distinct beats of a map carry the search; events then join back by key
-        beats = e.select("map_id", "beat").distinct()
-        hit = asof(beats, seg, ["map_id"], "beat", ["new_bpm", "seconds"], slice="floor(beat / 64)", strict=True).join(m, "map_id")
+        # the distinct beats of a level carry the search; events then join back by key
+        beats = e.select(*LEVEL, "beat").distinct()
+        hit = asof(beats, seg, LEVEL, "beat", ["new_bpm", "seconds"], slice="floor(beat / 64)", strict=True).join(m, "map_id")
         sec = (
             F.coalesce("seconds", F.lit(0.0))
             + (F.col("beat") - F.coalesce("match_beat", F.lit(0.0))) * 60.0 / F.coalesce("new_bpm", F.col("bpm")) + offset
         )
-        e = e.join(hit.select("map_id", "beat", sec.alias("seconds")), ["map_id", "beat"])
+        e = e.join(hit.select(*LEVEL, "beat", sec.alias("seconds")), [*LEVEL, "beat"])
     drop = [c for c in cols[1:] if c in e.columns and c not in events.columns]
     return e.withColumn("frame", seconds_to_frame("seconds", sample_rate, hop)).drop(*drop)
 

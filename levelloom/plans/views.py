@@ -138,11 +138,12 @@ def tempo_change(spark, sf_dir):
     return c.select(
         (k % _n_maps(spark, sf_dir)).alias("map_id"), (k * 7 % 312).cast("double").alias("at_beat"),
         (60 + k % 120).cast("double").alias("new_bpm"), k.alias("seq"),
+        F.when(k % 7 < 4, "Expert").otherwise("Hard").alias("difficulty"),
     )
 
 
 TEMPO_SQL = """SELECT c_custkey % (SELECT COUNT(*) FROM supplier) map_id, CAST(c_custkey * 7 % 312 AS DOUBLE) at_beat,
- CAST(60 + c_custkey % 120 AS DOUBLE) new_bpm, c_custkey seq FROM customer"""
+ CAST(60 + c_custkey % 120 AS DOUBLE) new_bpm, c_custkey seq, CASE WHEN c_custkey % 7 < 4 THEN 'Expert' ELSE 'Hard' END difficulty FROM customer"""
 
 
 def catalogue(spark, sf_dir):

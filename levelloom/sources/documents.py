@@ -265,10 +265,13 @@ def _older_generation(r: DataFrame) -> DataFrame:
     )
 
 
+def _dead_maps(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reject").isin("unreadable", "bad_value")).select("map_id").distinct()
+
+
 def level_events(parsed: DataFrame) -> DataFrame:
     """Event rows. A bad value or unreadable text drops the whole map, a missing version one level."""
-    dead = parsed.where(F.col("reject").isin("unreadable", "bad_value")).select("map_id").distinct()
-    return parsed.where("reject is null and kind is not null").join(dead, "map_id", "left_anti").drop("reject", "generation")
+    return parsed.where("reject is null and kind is not null").join(_dead_maps(parsed), "map_id", "left_anti").drop("reject", "generation")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
@@ -276,6 +279,12 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 def tempo_changes(docs: DataFrame) -> DataFrame:
-    """Tempo changes of older documents, in document order."""
-    t = docs.select("map_id", "difficulty", F.posexplode(F.from_json("text", _TEMPO_SCHEMA)["_customData"]["_BPMChanges"]).alias("seq", "t"))
+    """Tempo changes of older documents that are read at all, in document order.
+
+    A document of another or no generation has none, nor has any of a map that
+    ``level_events`` drops.
+    """
+    d = docs.withColumn("d", F.from_json("text", DOC_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
+    live = d.where(generation() == "v2").select("map_id", "difficulty", "text").join(_dead_maps(parse_levels(docs)), "map_id", "left_anti")
+    t = live.select("map_id", "difficulty", F.posexplode(F.from_json("text", _TEMPO_SCHEMA)["_customData"]["_BPMChanges"]).alias("seq", "t"))
     return t.select("map_id", "difficulty", F.col("seq").cast("long").alias("seq"), F.col("t._time").try_cast("double").alias("at_beat"), F.col("t._BPM").try_cast("double").alias("new_bpm"))

@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from levelloom.constants import DIFFICULTY_RANK_SPEED
 from levelloom.functions.scalars import lookup
 from levelloom.operators.parity import K_COLS
+from levelloom.plans.ordered import NOTES, position
 from levelloom.sources.documents import EVENT_FIELDS, V3_ARRAYS
 
+#: events of one text part
+PART_ROWS = 1024
 EMPTY_GROUPS = ["lightColorEventBoxGroups", "lightRotationEventBoxGroups", "lightTranslationEventBoxGroups", "vfxEventBoxGroups"]
 
 
@@ -32,33 +35,31 @@ def wire_events(events: DataFrame) -> DataFrame:
     return events.select(*K_COLS, "kind", "beat", "seq", text.alias("json"))
 
 
-def level_fragments(events: DataFrame, beats: float = 64.0) -> DataFrame:
+def level_fragments(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """Documents of any size as ordered text pieces: ``(level, array, part, text)``.
 
-    Joining the parts of an array with commas gives its exact content, so a level too
-    large for one value is still written completely.
+    A part holds at most ``rows`` events by their position in the array, however they lie in
+    time. Joining the parts of an array with commas gives its exact content.
     """
-    w = wire_events(events).withColumn("part", F.floor(F.col("beat") / beats))
-    g = w.groupBy(*K_COLS, "kind", "part").agg(F.sort_array(F.collect_list(F.struct("beat", "seq", "json"))).alias("e"))
+    w = position(wire_events(events), NOTES.by("kind"))
+    w = w.withColumn("part", F.floor((F.col("pos") - 1) / rows))
+    g = w.groupBy(*K_COLS, "kind", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "json"))).alias("e"))
     return g.select(*K_COLS, "kind", "part", F.size("e").alias("n"), F.array_join(F.transform("e", lambda s: s.json), ",").alias("text"))
 
 
-def level_documents(events: DataFrame, max_events: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """Finished v3 documents, and the fragments of levels above ``max_events``.
+def level_documents(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """Finished v3 documents of all levels, put together from their parts.
 
-    A document is one value, so only levels of a checked size are put together; the
-    others come back whole in the second frame. Empty arrays are written as such.
+    A document is one value by format; whoever can't hold a level in one value reads its
+    parts from ``level_fragments``. Empty arrays are written as such.
     """
-    size = events.groupBy(*K_COLS).agg(F.count("*").alias("_n"))
-    parts = level_fragments(events).join(size, K_COLS)
-    big = parts.where(F.col("_n") > max_events).drop("_n")
-    g = parts.where(F.col("_n") <= max_events).groupBy(*K_COLS).agg(
+    g = level_fragments(events, rows).groupBy(*K_COLS).agg(
         *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("part", "text")))).alias(k) for k in V3_ARRAYS]
     )
     arrays = [F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(k, lambda s: s.text), ","), F.lit("]")) for k, (name, _) in V3_ARRAYS.items()]
     tail = ",".join(f'"{g}":[]' for g in EMPTY_GROUPS) + ',"_fxEventsCollection":{"_fl":[],"_il":[]},"useNormalEventsAsCompatibilityEvents":true}'
     doc = F.concat(F.lit('{"version":"3.3.0",'), F.concat_ws(",", *arrays, F.lit(tail)))
-    return g.select(*K_COLS, doc.alias("text")), big
+    return g.select(*K_COLS, doc.alias("text"))
 
 
 def info_documents(maps: DataFrame, levels: DataFrame, *, chroma: bool = True, author: str = "levelloom") -> DataFrame:
