@@ -27,9 +27,9 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS:
-            return VIEWS[name][0](self.spark, self.sf_dir)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        found = VIEWS[name][0](self.spark, self.sf_dir) if name in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self.__dict__[name] = found  # a view that writes a table writes it once
+        return found
 
 
 def query(name: str, sql: str | None = None, extra: dict[str, str] | None = None):

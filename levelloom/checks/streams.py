@@ -33,26 +33,26 @@ def _naive(df):
     return df.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("stream_utilisation", """SELECT time_bucket(INTERVAL 5 MINUTES, ts) "start", time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES "end", event_type device, COUNT(*) n, ROUND(AVG("value"), 9) mean_util, MAX("value") peak_util FROM events GROUP BY ALL""")
+@query("stream_utilisation", """SELECT * FROM (SELECT time_bucket(INTERVAL 5 MINUTES, ts) "start", time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES "end", event_type device, COUNT(*) n, ROUND(AVG("value"), 9) mean_util, MAX("value") peak_util FROM events GROUP BY ALL) WHERE "end" <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTES""")
 def _(v):
-    return _naive(_run(v, J.utilisation(_samples(v)), "complete", "util")).withColumn("mean_util", F.round("mean_util", 9))
+    return _naive(_run(v, J.utilisation(_samples(v)), "append", "util")).withColumn("mean_util", F.round("mean_util", 9))
 
 
-@query("stream_utilisation_sliding", """SELECT b - k * INTERVAL 5 MINUTES "start", b - k * INTERVAL 5 MINUTES + INTERVAL 30 MINUTES "end", event_type device, COUNT(*) n, ROUND(AVG("value"), 9) mean_util, MAX("value") peak_util FROM (SELECT *, time_bucket(INTERVAL 5 MINUTES, ts) b FROM events), range(0, 6) r(k) GROUP BY ALL""")
+@query("stream_utilisation_sliding", """SELECT * FROM (SELECT b - k * INTERVAL 5 MINUTES "start", b - k * INTERVAL 5 MINUTES + INTERVAL 30 MINUTES "end", event_type device, COUNT(*) n, ROUND(AVG("value"), 9) mean_util, MAX("value") peak_util FROM (SELECT *, time_bucket(INTERVAL 5 MINUTES, ts) b FROM events), range(0, 6) r(k) GROUP BY ALL) WHERE "end" <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTES""")
 def _(v):
-    return _naive(_run(v, J.utilisation(_samples(v), width="30 minutes", slide="5 minutes"), "complete", "slide")).withColumn("mean_util", F.round("mean_util", 9))
+    return _naive(_run(v, J.utilisation(_samples(v), width="30 minutes", slide="5 minutes"), "append", "slide")).withColumn("mean_util", F.round("mean_util", 9))
 
 
 @query("stream_leaderboard", "SELECT 'exp' || o_custkey experiment_id, ARG_MAX(o_orderkey, o_orderkey) line_pos, ARG_MAX(o_totalprice, o_orderkey) score FROM orders GROUP BY o_custkey")
 def _(v):
     log = stream(v, "orders").select(F.concat(F.lit("exp"), F.col("o_custkey")).alias("experiment_id"), F.col("o_orderkey").alias("line_pos"), F.col("o_totalprice").alias("score"))
-    return _run(v, J.live_leaderboard(log), "complete", "board")
+    return J.newest(_run(v, J.live_leaderboard(log), "update", "board"), ["experiment_id"])
 
 
-@query("stream_sessions", """SELECT run, MIN(ts) "start", MAX(ts) + INTERVAL 6 HOURS "end", COUNT(*) n FROM (SELECT *, SUM(c) OVER (PARTITION BY run ORDER BY ts, event_id) g FROM (SELECT user_id run, ts, event_id, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END c FROM events)) GROUP BY run, g""")
+@query("stream_sessions", """SELECT run, MIN(ts) "start", MAX(ts) + INTERVAL 6 HOURS "end", COUNT(*) n FROM (SELECT *, SUM(c) OVER (PARTITION BY run ORDER BY ts, event_id) g FROM (SELECT user_id run, ts, event_id, CASE WHEN ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END c FROM events)) GROUP BY run, g HAVING MAX(ts) + INTERVAL 6 HOURS <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(v):
     beats = stream(v, "events").select(F.col("user_id").alias("run"), F.col("ts").cast("timestamp").alias("t"))
-    return _naive(_run(v, J.heartbeat_sessions(beats, gap="6 hours"), "complete", "sessions"))
+    return _naive(_run(v, J.heartbeat_sessions(beats, gap="6 hours"), "append", "sessions"))
 
 
 @query("stream_parity", "SELECT map_id, difficulty, color, CAST(SUM(CASE WHEN p = c AND NOT (beat - pb > 3) THEN 1 ELSE 0 END) AS BIGINT) violations, CAST(SUM(CASE WHEN p IS NOT NULL AND NOT (beat - pb > 3) THEN 1 ELSE 0 END) AS BIGINT) checks FROM (SELECT *, LAG(c) OVER w p, LAG(beat) OVER w pb FROM (SELECT *, CASE WHEN direction IN (1,6,7) THEN 'f' ELSE 'b' END c FROM notes WHERE direction NOT IN (2,3,8)) WINDOW w AS (PARTITION BY map_id, difficulty, color ORDER BY beat, seq)) GROUP BY ALL")
@@ -61,8 +61,7 @@ def _(v):
 
     n = shape_objects(stream(v, "lineitem")).where("kind = 'note'").select("map_id", "difficulty", "color", "beat", "seq", "direction")
     t = _run(v, J.running_parity(n), "update", "parity")
-    newest = F.max_by(F.struct("violations", "checks"), "batch").alias("r")
-    return t.groupBy("map_id", "difficulty", "color").agg(newest).select("map_id", "difficulty", "color", "r.*")
+    return J.newest(t, ["map_id", "difficulty", "color"]).drop("late")
 
 
 @query("stream_ingest", """SELECT 'events' t, COUNT(*) n FROM (SELECT map_id, dd FROM v2_obj WHERE kind IN ('note','bomb','wall') AND (map_id, dd) IN (SELECT (map_id, difficulty) FROM v2_live) UNION ALL SELECT map_id, difficulty FROM v2_live)

@@ -3,21 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
-
-@udtf(returnType="start int")
-class SlidingWindows:
-    """``sliding_windows(n, w, hop)``: starts of the training windows of a series, tail included."""
-
-    def eval(self, n: int, w: int, hop: int):
-        start = 0
-        while start + w <= n:
-            yield (start,)
-            start += hop
-        if start < n and n > w:
-            yield (n - w,)
+SLIDING_WINDOWS = """CREATE OR REPLACE TEMPORARY FUNCTION sliding_windows(n INT, w INT, hop INT) RETURNS TABLE (start INT)
+RETURN SELECT explode(concat(
+  CASE WHEN n >= w THEN sequence(0, n - w, hop) ELSE array() END,
+  CASE WHEN n > w AND (floor((n - w) / hop) + 1) * hop < n THEN array(n - w) ELSE array() END))"""
 
 
 def register(spark: SparkSession) -> None:
-    spark.udtf.register("sliding_windows", SlidingWindows)
+    """``sliding_windows(n, w, hop)``: starts of the training windows of a series, tail included."""
+    spark.sql(SLIDING_WINDOWS)

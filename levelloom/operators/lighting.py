@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from levelloom import constants as K
 from levelloom.functions.scalars import clamp, hue_shifted, lookup, palette_color
 from levelloom.operators.series import min_max, same_convolution
-from levelloom.plans.ordered import Track, islands, scan
+from levelloom.plans.ordered import Track, islands, position, scan
 from levelloom.session import cut
 
 BEATS = Track(("map_id",), ("b",), "floor(b / 256)")
@@ -128,6 +128,16 @@ def light_show(frames: DataFrame, maps: DataFrame, fps: float = K.SAMPLE_RATE /
     return section_lights(classify_sections(frames, maps, fps))
 
 
+def with_lights(events: DataFrame, lights: DataFrame) -> DataFrame:
+    """Events of all levels with their map's generated lights as rows of their own.
+
+    Every difficulty of a map gets the map's lights, numbered in time order per kind.
+    """
+    levels = events.select("map_id", "difficulty").distinct()
+    made = position(lights, Track(("map_id", "kind"), ("beat", "event_type"), "floor(beat / 32)"), "seq").withColumn("seq", F.col("seq") - 1)
+    return events.unionByName(made.join(levels, "map_id"), allowMissingColumns=True)
+
+
 def palette_names(frames: DataFrame, genres: DataFrame) -> DataFrame:
     """Palette per map: genre hints first, then mean loudness and bass."""
     g = frames.groupBy("map_id").agg(F.avg("rms").alias("_r"), F.avg("bass").alias("_b"))

@@ -65,5 +65,7 @@ def optional_table(spark: SparkSession, path: str) -> DataFrame | None:
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # no rights, a broken schema: not for us to hide
+            raise
         return None

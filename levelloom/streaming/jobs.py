@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,9 +23,10 @@ def ingest_levels(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_levels(batch)
+        parsed = parse_levels(batch).persist()  # two sinks, one parse
         level_events(parsed).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
         rejects(parsed).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        parsed.unpersist()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -38,7 +40,7 @@ def utilisation(samples: DataFrame, *, width: str = "5 minutes", slide: str | No
 
 
 def live_leaderboard(log: DataFrame, at: str = "line_pos") -> DataFrame:
-    """Latest row per experiment as a running aggregate (complete or update mode)."""
+    """Latest row per experiment as a running aggregate; update mode writes changed experiments only."""
     row = F.struct(*[F.col(c) for c in log.columns if c != "experiment_id"])
     return log.groupBy("experiment_id").agg(F.max_by(row, F.col(at)).alias("r")).select("experiment_id", "r.*")
 
@@ -63,24 +65,31 @@ def running_parity(notes: DataFrame, max_gap: float = 3.0) -> DataFrame:
 
     def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         cls, last, bad, seen, late = state.get if state.exists else (None, -999.0, 0, 0, 0)
-        rows = pd.concat(list(pdfs)).sort_values(["beat", "seq"])
-        for beat, d in zip(rows["beat"], rows["direction"]):
-            if d not in fore and d not in back:
-                continue
-            if beat < last:
-                late += 1
-                continue
-            now = "fore" if d in fore else "back"
-            if cls is not None and beat - last <= max_gap:
-                seen += 1
-                bad += cls == now
-            cls, last = now, float(beat)
+        rows = pd.concat(list(pdfs))
+        rows = rows[rows["direction"].isin(fore | back)].sort_values(["beat", "seq"])
+        known = rows[rows["beat"] >= last]  # in order, so only rows before the state's beat are late
+        late += len(rows) - len(known)
+        if len(known):
+            beat, is_fore = known["beat"].to_numpy(float), known["direction"].isin(fore).to_numpy()
+            before = np.append(last, beat[:-1])
+            close = beat - before <= max_gap
+            same = np.append(cls is not None and (cls == "fore") == is_fore[0], is_fore[1:] == is_fore[:-1])
+            close[0] &= cls is not None
+            seen += int(close.sum())
+            bad += int((close & same).sum())
+            cls, last = "fore" if is_fore[-1] else "back", float(beat[-1])
         state.update((cls, last, bad, seen, late))
         yield pd.DataFrame([(*key, bad, seen, late)], columns=[c.split()[0] for c in PARITY_OUT.split(", ")])
 
     return notes.groupBy("map_id", "difficulty", "color").applyInPandasWithState(update, PARITY_OUT, _PARITY_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+def newest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that a reader of an update table sees: per key the one of its last trigger."""
+    row = F.struct(*[F.col(c) for c in table.columns if c not in keys])
+    return table.groupBy(*keys).agg(F.max_by(row, "batch").alias("r")).select(*keys, "r.*").drop("batch")
+
+
 def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all available input and return the resulting table.
 
