@@ -140,18 +140,21 @@ def _occurrences(bits: bytes):
     return find
 
 
-def revealing(seen: DataFrame, occurrences: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE, share: float = SHARE) -> DataFrame:
+def revealing(seen: DataFrame, occurrences: DataFrame, contexts: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE, share: float = SHARE) -> DataFrame:
     """Terms that disclose an entity: one row ``(term)`` each.
 
-    ``seen`` has (entity, context, term) of every place of an entity, ``occurrences`` has
-    (term, context) of every place of a candidate term. All counts are of distinct contexts.
+    ``contexts`` has (entity, context) of every place of an entity, ``seen`` adds the candidate
+    terms in it, ``occurrences`` has (term, context) of every place of a candidate term. All
+    counts are of distinct contexts.
     With p(e), p(e|t) and the information I(e) = -log2 p(e), a term discloses e when
     log2(p(e|t) / p(e)) >= disclosure * I(e), p(e|t) >= share, and support is reached.
     """
     pairs = seen.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = entities.agg(F.sum("n_entity").alias("n_all"))  # one row
-    terms = occurrences.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = occurrences.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n_own"))
+    near = seen.groupBy("term").agg(F.count("*").alias("n_seen"))
+    terms = terms.join(near, "term", "full").select("term", F.greatest("n_own", "n_seen").alias("n_term"))
     p = pairs.where(F.col("n_both") >= support).join(terms, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True))
     own = F.log2(F.col("n_all") / F.col("n_entity"))
     given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
@@ -169,8 +172,12 @@ def find_private(docs: DataFrame, *, support: int = SUPPORT, disclosure: float =
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = cut(docs.select("doc_id", text_hash().alias("text_hash"), _find(text).alias("f")).select("doc_id", "text_hash", "f.*"))
     seen = rows.select(F.explode("seen").alias("s")).select("s.entity", "s.context", F.explode("s.terms").alias("term"))
-    counted = seen.distinct().groupBy("entity", "term").count()
-    candidates = counted.where(F.col("count") >= support).select("term").distinct()
+    seen = seen.distinct()
+    counted = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    # contexts of any entity already bound how much a term can tell about one
+    near = seen.groupBy("term").agg(F.count("*").alias("n_seen"))
+    candidates = counted.where(F.col("n_both") >= support).join(near, "term").where(F.col("n_both") >= share * F.col("n_seen")).select("term").distinct()
+    candidates = cut(candidates)
     bits = bytearray(FILTER_BITS // 8)
     at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))
     for r in candidates.select(at.alias("i")).distinct().toLocalIterator():  # FILTER_BITS numbers at most
@@ -180,7 +187,7 @@ def find_private(docs: DataFrame, *, support: int = SUPPORT, disclosure: float =
     places = docs.select("doc_id", text_hash().alias("text_hash"), _occurrences(bytes(bits))(text).alias("o"))
     places = cut(places.select("doc_id", "text_hash", F.explode("o").alias("o")).select("doc_id", "text_hash", "o.*").distinct())
     known = places.join(candidates, "term", "left_semi")
-    told = revealing(seen, known, support=support, disclosure=disclosure, share=share)
+    told = revealing(seen.join(candidates, "term", "left_semi"), known, seen.select("entity", "context").distinct(), support=support, disclosure=disclosure, share=share)
     spans = places.join(told, "term").groupBy(
         F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("text_hash").alias("k3")
     ).agg(F.collect_set(F.struct("start", "end", F.lit(TERM).alias("kind"))).alias("more"))
