@@ -120,18 +120,13 @@ def _occurrences(bits: bytes):
     @F.pandas_udf("array<struct<term: string, context: long, start: long, end: long>>")
     def find(texts: pd.Series) -> pd.Series:
         out = []
-        hit: dict[str, bool] = {}
         for text in texts:
             rows = []
-            for m in _word.finditer(text):
+            # the distinct words first: few texts hold a candidate at all
+            hit = {w for w in map(str.lower, set(_word.findall(text))) if bits[(i := _bit(w)) >> 3] >> (i & 7) & 1}
+            for m in _word.finditer(text) if hit else ():
                 w = m.group().lower()
-                ok = hit.get(w)
-                if ok is None:
-                    if len(hit) > 500_000:
-                        hit.clear()
-                    i = _bit(w)
-                    ok = hit[w] = bool(bits[i >> 3] >> (i & 7) & 1)
-                if ok:
+                if w in hit:
                     words = _words_around(text, m.start(), m.end())
                     rows.append({"term": w, "context": _context(words), "start": m.start(), "end": m.end()})
             out.append(rows)
