@@ -65,13 +65,20 @@ def _(v):
 
 
 @query("content_metrics", """WITH gaps AS (SELECT map_id, difficulty, LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY seq) - beat g FROM notes),
+ lit AS (SELECT map_id, CASE WHEN seq % 3 = 0 THEN 'Hard' ELSE 'Expert' END difficulty, COUNT(*) n_lights FROM lights GROUP BY ROLLUP (1, 2) HAVING map_id IS NOT NULL),
+ dr AS (SELECT map_id, difficulty, string_agg(direction || ':' || n, ',' ORDER BY direction) directions FROM (SELECT map_id, difficulty, direction, COUNT(*) n FROM notes GROUP BY ALL) GROUP BY ALL),
+ ce AS (SELECT map_id, difficulty, string_agg(x || '/' || y, ',' ORDER BY x, y) grid_cells FROM (SELECT DISTINCT map_id, difficulty, x, y FROM notes) GROUP BY ALL),
  med AS (SELECT map_id, difficulty, round_even(list_sort(list(g))[CAST(FLOOR(COUNT(*) / 2) AS BIGINT) + 1], 4) median_note_interval FROM gaps WHERE g > 0 GROUP BY ALL),
  per AS (SELECT map_id, difficulty, COUNT(DISTINCT (x, y)) grid_coverage, COUNT(DISTINCT (color, x, y, direction)) unique_patterns, COUNT(*) FILTER (color=0) red_notes, COUNT(*) FILTER (color=1) blue_notes, round_even(MAX(beat)-MIN(beat), 2) duration_beats FROM notes GROUP BY ALL),
  tot AS (SELECT map_id, difficulty, COUNT(*) FILTER (kind='note') n_notes, COUNT(*) FILTER (kind='bomb') n_bombs, COUNT(*) FILTER (kind='wall') n_walls, COUNT(*) FILTER (kind='arc') n_arcs, COUNT(*) FILTER (kind='chain') n_chains FROM objects GROUP BY ROLLUP (map_id, difficulty) HAVING map_id IS NOT NULL)
- SELECT tot.*, grid_coverage, unique_patterns, red_notes, blue_notes, duration_beats, median_note_interval, n_lights, red_notes / GREATEST(1, red_notes + blue_notes) color_balance FROM tot LEFT JOIN per USING (map_id, difficulty) LEFT JOIN med USING (map_id, difficulty)
- LEFT JOIN (SELECT map_id, COUNT(*) n_lights FROM lights GROUP BY ALL) l USING (map_id)""")
-def _(v):
-    return R.content_metrics(v.objects, v.lights)
+ SELECT tot.*, grid_coverage, unique_patterns, red_notes, blue_notes, duration_beats, median_note_interval, directions, grid_cells, COALESCE(n_lights, 0) n_lights, red_notes / GREATEST(1, red_notes + blue_notes) color_balance FROM tot LEFT JOIN per USING (map_id, difficulty) LEFT JOIN med USING (map_id, difficulty)
+ LEFT JOIN dr USING (map_id, difficulty) LEFT JOIN ce USING (map_id, difficulty) LEFT JOIN lit ON lit.map_id = tot.map_id AND lit.difficulty IS NOT DISTINCT FROM tot.difficulty""")
+def _(v):
+    lit = v.lights.withColumn("difficulty", F.when(F.col("seq") % 3 == 0, "Hard").otherwise("Expert"))
+    m = R.content_metrics(v.objects, lit)
+    pairs = F.transform(F.map_entries("directions"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    cells = F.transform("grid_cells", lambda c: F.concat(c["x"], F.lit("/"), c["y"]))
+    return m.withColumn("directions", F.array_join(pairs, ",")).withColumn("grid_cells", F.array_join(cells, ","))
 
 
 @query("note_intervals", "SELECT map_id, difficulty, g gap FROM (SELECT map_id, difficulty, LEAD(beat) OVER (PARTITION BY map_id, difficulty ORDER BY seq) - beat g FROM notes) WHERE g > 0")

@@ -103,21 +103,31 @@ def composite_score(weights: dict[str, float] | None = None) -> Column:
 
 # ---- content metrics -------------------------------------------------------
 def content_metrics(events: DataFrame, lights: DataFrame | None = None) -> DataFrame:
-    """Coverage, patterns, balance and length per level, plus per-map totals (difficulty null)."""
+    """Coverage, patterns, directions, balance and length per level, plus per-map totals (difficulty null).
+
+    ``lights`` are rows of levels (map_id, difficulty); a map's total is the sum over its levels.
+    """
     notes = events.where("kind = 'note'")
     # distinct (color, cell, direction) patterns first: at most 216 rows per level afterwards
     pat = notes.groupBy(*K_COLS, "color", "x", "y", "direction").agg(F.count("*").alias("n"))
     cell = pat.groupBy(*K_COLS, "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("p")).groupBy(*K_COLS).agg(
-        F.count("*").alias("grid_coverage"), F.sum("p").alias("unique_patterns")
+        F.count("*").alias("grid_coverage"), F.sum("p").alias("unique_patterns"),
+        F.sort_array(F.collect_list(F.struct("x", "y"))).alias("grid_cells"),  # distinct cells, a dozen on the grid
+    )
+    dirs = pat.groupBy(*K_COLS, "direction").agg(F.sum("n").alias("n")).groupBy(*K_COLS).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("direction", "n")))).alias("directions")
     )
     per = notes.groupBy(*K_COLS).agg(
         F.count_if(F.col("color") == 0).alias("red_notes"), F.count_if(F.col("color") == 1).alias("blue_notes"),
         F.bround(F.max("beat") - F.min("beat"), 2).alias("duration_beats"),
     )
     totals = object_counts(events).rollup("map_id", "difficulty").agg(*[F.sum(f"n_{k}s").alias(f"n_{k}s") for k in KINDS]).where("map_id is not null")
-    r = totals.join(cell, K_COLS, "left").join(per, K_COLS, "left").join(median_interval(notes), K_COLS, "left")
+    r = totals.join(cell, K_COLS, "left").join(dirs, K_COLS, "left").join(per, K_COLS, "left").join(median_interval(notes), K_COLS, "left")
     if lights is not None:
-        r = r.join(lights.groupBy("map_id").agg(F.count("*").alias("n_lights")), "map_id", "left")
+        lit = lights.rollup("map_id", "difficulty").agg(F.count("*").alias("n_lights")).where("map_id is not null")
+        lit = lit.select(*[F.col(c).alias(f"_{c}") for c in K_COLS], "n_lights")
+        same = (F.col("map_id") == F.col("_map_id")) & F.col("difficulty").eqNullSafe(F.col("_difficulty"))
+        r = r.join(lit, same, "left").drop(*[f"_{c}" for c in K_COLS]).na.fill(0, ["n_lights"])
     return r.withColumn("color_balance", F.col("red_notes") / F.greatest(F.lit(1), F.col("red_notes") + F.col("blue_notes")))
 
 

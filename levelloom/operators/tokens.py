@@ -310,9 +310,11 @@ def mirrored(tokens) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, move, lambda a: a.out)).otherwise(t)
 
 
-def grammar_report(tokens, max_notes: int = 2, max_per_color: int = 1) -> Column:
+def grammar_report(tokens, difficulty=None) -> Column:
     """Struct (valid, n_notes, over_cap, collisions) for one token array.
 
+    An onset holds two notes, one of each colour; on the hardest difficulty three, two of a colour.
+
     Valid means: events with in-range attributes, separators between, one end mark,
     nothing but padding behind it.
     """
@@ -347,6 +349,8 @@ def grammar_report(tokens, max_notes: int = 2, max_per_color: int = 1) -> Column
     notes = note_tuples(t)
     cells = F.transform(notes, lambda s: F.struct(s.x, s.y))
     reds = F.size(F.filter(notes, lambda s: s.color == 0))
+    hardest = F.lit(False) if difficulty is None else F.coalesce(_c(difficulty) == "ExpertPlus", F.lit(False))
+    max_notes, max_per_color = F.when(hardest, 3).otherwise(2), F.when(hardest, 2).otherwise(1)
     over = (F.size(notes) > max_notes) | (reds > max_per_color) | (F.size(notes) - reds > max_per_color)
     return F.struct(
         (end == 3).alias("valid"), F.size(notes).alias("n_notes"), over.alias("over_cap"),

@@ -53,7 +53,8 @@ def shape_objects(l: DataFrame) -> DataFrame:
     return l.select(
         F.col("l_suppkey").alias("map_id"),
         F.when(F.col("l_linenumber") <= 5, "Expert").otherwise("Hard").alias("difficulty"),
-        (((o * 8 + F.col("l_linenumber")) * 1048576 + p) * 64 + F.col("l_quantity").cast("long")).alias("seq"),
+        # in order of order key and line; the low bits only part the few rows that share both
+        ((o * 8 + F.col("l_linenumber")) * 1048576 + (p * 64 + F.col("l_quantity").cast("long")) % 1048576).alias("seq"),
         (F.datediff(F.col("l_shipdate"), F.lit("1995-01-01")) / F.lit(8.0)).alias("beat"),
         F.when(p % 20 == 0, "bomb").when(p % 20 == 1, "wall").when(p % 20 == 2, "arc")
         .when(p % 20 == 3, "chain").otherwise("note").alias("kind"),
@@ -64,7 +65,7 @@ def shape_objects(l: DataFrame) -> DataFrame:
 
 
 OBJECTS = """SELECT l_suppkey map_id, CASE WHEN l_linenumber <= 5 THEN 'Expert' ELSE 'Hard' END difficulty,
- ((l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey) * 64 + CAST(l_quantity AS BIGINT) seq,
+ (l_orderkey * 8 + l_linenumber) * 1048576 + (l_partkey * 64 + CAST(l_quantity AS BIGINT)) % 1048576 seq,
  DATE_DIFF('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / CAST(8 AS DOUBLE) beat,
  CASE l_partkey % 20 WHEN 0 THEN 'bomb' WHEN 1 THEN 'wall' WHEN 2 THEN 'arc' WHEN 3 THEN 'chain' ELSE 'note' END kind,
  CAST(l_orderkey % 4 AS INTEGER) x, CAST(FLOOR(l_partkey / 4) % 3 AS INTEGER) y,
