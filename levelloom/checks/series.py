@@ -204,13 +204,25 @@ def _(v):
     return S.time_gaps(onsets(v)).select("map_id", "difficulty", "beat", "frame", "time_gap")
 
 
+# length and rounded sum of the frame values inside a context
+_CTX = """(SELECT '128 ' || CAST(CAST(round_even(COALESCE(SUM(rms), 0) * 1000, 0) AS BIGINT) AS VARCHAR) FROM frames c WHERE c.map_id = {f[0]}.map_id AND c.frame >= CASE WHEN GREATEST(0, {f} - 64) + 128 > n_frames THEN GREATEST(0, n_frames - 128) ELSE GREATEST(0, {f} - 64) END
+ AND c.frame < CASE WHEN GREATEST(0, {f} - 64) + 128 > n_frames THEN n_frames ELSE GREATEST(0, {f} - 64) + 128 END)""".replace("{f[0]}", "g_on")
+
+
+def _context_text():
+    total = F.aggregate("context_rms", F.lit(0.0), lambda a, x: a + x)
+    return F.concat(F.size("context_rms"), F.lit(" "), F.bround(total * 1000, 0).cast("long"))
+
+
 @query("sequence_samples", """SELECT map_id, difficulty, beat, CASE WHEN GREATEST(0, frame - 64) + 128 > n_frames THEN GREATEST(0, n_frames - 128) ELSE GREATEST(0, frame - 64) END ctx_start,
  array_to_string(list_resize(string_split(tokens, ',')[1:24], 24, '0'), ',') tokens, CAST(LEAST(24, len(string_split(tokens, ','))) AS INTEGER) token_length,
  COALESCE(LAG(array_to_string(list_resize(string_split(tokens, ',')[1:24], 24, '0'), ',')) OVER w, array_to_string(list_resize([]::VARCHAR[], 24, '0'), ',')) newest,
- COALESCE(LAG(array_to_string(list_resize(string_split(tokens, ',')[1:24], 24, '0'), ','), 3) OVER w, array_to_string(list_resize([]::VARCHAR[], 24, '0'), ',')) oldest FROM g_on WINDOW w AS (PARTITION BY map_id, difficulty ORDER BY frame, beat)""", G)
+ COALESCE(LAG(array_to_string(list_resize(string_split(tokens, ',')[1:24], 24, '0'), ','), 3) OVER w, array_to_string(list_resize([]::VARCHAR[], 24, '0'), ',')) oldest FROM g_on WINDOW w AS (PARTITION BY map_id, difficulty ORDER BY frame, beat)""".replace("FROM g_on WINDOW", f""", COALESCE(LAG(array_to_string(list_resize(string_split(tokens, ',')[1:24], 24, '0'), ','), 2) OVER w, array_to_string(list_resize([]::VARCHAR[], 24, '0'), ',')) middle,
+ {_CTX.format(f="g_on.frame")} context FROM g_on WINDOW"""), G)
 def _(v):
     s = S.sequence_samples(onsets(v), v.maps, max_len=24, prev_k=3)
-    return s.select("map_id", "difficulty", "beat", "ctx_start", text("tokens").alias("tokens"), "token_length", text(F.get("prev_tokens", F.lit(2))).alias("newest"), text(F.get("prev_tokens", F.lit(0))).alias("oldest"))
+    s = S.with_context(s, v.frames).withColumn("middle", text(F.get("prev_tokens", F.lit(1)))).withColumn("context", _context_text())
+    return s.select("middle", "context", "map_id", "difficulty", "beat", "ctx_start", text("tokens").alias("tokens"), "token_length", text(F.get("prev_tokens", F.lit(2))).alias("newest"), text(F.get("prev_tokens", F.lit(0))).alias("oldest"))
 
 
 def lit(v):
@@ -223,10 +235,11 @@ def lit(v):
  c AS (SELECT b.*, q.frame qf, q.tokens qt FROM b ASOF LEFT JOIN o q ON b.map_id = q.map_id AND b.frame <= q.frame)
  SELECT map_id, beat, frame, CASE WHEN pf IS NULL OR (qf - frame) < (frame - pf) THEN COALESCE(qf, pf) ELSE pf END onset_frame,
  array_to_string(list_resize(string_split(CASE WHEN pf IS NULL OR (qf - frame) < (frame - pf) THEN COALESCE(qt, pt) ELSE pt END, ',')[1:20], 20, '0'), ',') note_tokens,
- array_to_string(list_resize(string_split(lt, ',')[1:12], 12, '0'), ',') light_tokens FROM c""", G)
+ array_to_string(list_resize(string_split(lt, ',')[1:12], 12, '0'), ',') light_tokens, """ + _CTX.replace("g_on.", "c0.").format(f="c0.frame").replace("frames c WHERE c.", "frames k WHERE k.").replace(" c.frame", " k.frame") + " context FROM c c0", G)
 def _(v):
     s = S.lighting_samples(lit(v), onsets(v), v.maps, max_light=12, max_note=20)
-    return s.select("map_id", "beat", "frame", "onset_frame", text("note_tokens").alias("note_tokens"), text("light_tokens").alias("light_tokens"))
+    s = S.with_context(s, v.frames).withColumn("context", _context_text())
+    return s.select("context", "map_id", "beat", "frame", "onset_frame", text("note_tokens").alias("note_tokens"), text("light_tokens").alias("light_tokens"))
 
 
 @query("nearest_onset", """WITH n AS (SELECT DISTINCT map_id, beat FROM notes WHERE difficulty = 'Expert'), b AS (SELECT l.map_id, l.seq, l.beat, p.beat pb FROM lights l ASOF LEFT JOIN n p ON l.map_id = p.map_id AND l.beat >= p.beat),

@@ -76,6 +76,25 @@ def context_window(frame: Column, n: Column, width: int) -> tuple[Column, Column
     return F.when(over, F.greatest(F.lit(0), n - width)).otherwise(start), F.when(over, n).otherwise(end)
 
 
+def with_context(samples: DataFrame, frames: DataFrame, values=("rms",), width: int = 128) -> DataFrame:
+    """Add the frame rows of each sample's context, one array per value, padded right with zeros.
+
+    Frames are gathered in blocks of ``width``, so a context lies in two blocks at most and
+    every sample meets two rows, however long the map.
+    """
+    entry = F.struct("frame", *values)
+    blocks = frames.groupBy("map_id", F.floor(F.col("frame") / width).alias("_b")).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    s = samples.withColumn("_b", F.floor(F.col("ctx_start") / width))
+    for name, step in (("_first", 0), ("_second", 1)):
+        part = blocks.select("map_id", (F.col("_b") - step).alias("_b"), F.col("_rows").alias(name))
+        s = s.join(part, ["map_id", "_b"], "left")
+    none = F.array().cast(blocks.schema["_rows"].dataType)
+    rows = F.concat(F.coalesce("_first", none), F.coalesce("_second", none))
+    s = s.withColumn("_rows", F.filter(rows, lambda r: (r["frame"] >= F.col("ctx_start")) & (r["frame"] < F.col("ctx_end"))))
+    pad = F.array_repeat(F.lit(0.0), F.lit(width) - F.size("_rows"))
+    return s.select(*samples.columns, *[F.concat(F.transform("_rows", _field(v)), pad).alias(f"context_{v}") for v in values])
+
+
 def previous_rows(df: DataFrame, keys, order, value: str, k: int, *, slice: str, out: str = "history", block: int = 256, pos: str | None = None) -> DataFrame:
     """Array of the ``k`` values before each row, oldest first (shorter at the start).
 
