@@ -16,6 +16,7 @@ parity_gap_reset parity_cross_onset quality_ranking blacklist filter_quality quo
 encode_levels decode_events pair_arcs mirror_tokens structured_slots grammar_report parse_v3 parse_v2 parse_rejects frames_variable_tempo
 playability_report check_playability onset_scores content_metrics leaderboard_top predict_onsets sequence_samples lighting_samples onset_windows
 cap_density convert_dots fix_parity calm_flips reconnect_arcs smooth_lights classify_sections section_lights color_lights stream_parity stream_sessions
+quality_metrics map_index level_fragments parse_tempo note_intervals onset_mean_scores epoch_sample events_with_lights log_scan manifest_files reference_scan stream_utilisation stream_leaderboard
 """.split()
 NAMES = list(REGISTRY) if os.environ.get("LEVELLOOM_ALL") else CORE
 
