@@ -26,7 +26,7 @@ TERM = "term"
 #: words on either side that make a context
 NEAR = 4
 #: independent contexts a term needs, and the share of the entity's information it must give
-SUPPORT, DISCLOSURE, SHARE = 3, 0.75, 0.5
+SUPPORT, DISCLOSURE, SHARE = 5, 0.75, 0.5
 #: bits of the pre-filter for terms; a set bit only means that the exact join decides
 FILTER_BITS = 1 << 20
 
