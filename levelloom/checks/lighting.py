@@ -65,10 +65,10 @@ def _(v):
     return L.section_lights(s).withColumn("float_value", F.round("float_value", 7))
 
 
-@query("light_show", "SELECT map_id, CAST(COUNT(*) AS BIGINT) boosts, bool_or(section_type IN ('drop','buildup')) any_boost FROM n_m GROUP BY map_id", C)
+@query("light_show", """SELECT map_id, 'light' kind, ROUND(bt, 4) beat, et event_type, CAST(val AS INTEGER) "value", ROUND(fv, 6) float_value, CAST(NULL AS BOOLEAN) boost FROM x_l
+ UNION ALL SELECT map_id, 'boost', a, NULL, NULL, NULL, t IN ('drop','buildup') FROM x_s""", {**C, **SEC, "x_s": "SELECT map_id, start_beat a, end_beat z, section_type t FROM n_m"})
 def _(v):
-    s = L.light_show(_frames(v), _maps(v), FPS)
-    return s.groupBy("map_id").agg(F.count_if(F.col("kind") == "boost").alias("boosts"), F.bool_or("boost").alias("any_boost"))
+    return L.light_show(_frames(v), _maps(v), FPS).withColumn("float_value", F.round("float_value", 6))
 
 
 GENRES = ["unknown", "EDM", "drumstep", "classical", "Metal", "lofi beats", "pop", "jazz"]

@@ -290,14 +290,17 @@ def _(v):
     return s.agg(F.count("*").cast("int").alias("n"), F.count_distinct("map_id", "seq").cast("int").alias("distinct_n"), (F.count_distinct("map_id") > 1).alias("drawn"))
 
 
-@query("preprocess_tables", """SELECT 'onsets' t, COUNT(*) n FROM g_on UNION ALL SELECT 'labels', COUNT(*) FROM (SELECT DISTINCT map_id, difficulty, unnest(range(GREATEST(0, frame - 12), LEAST(n_frames - 1, frame + 12) + 1)) f FROM g_on)
- UNION ALL SELECT 'lights', COUNT(*) FROM (SELECT DISTINCT map_id, beat, bpm, n_frames FROM lights JOIN maps USING (map_id)) WHERE round_even(beat * 60e0 / bpm * 44100e0 / 512e0, 0) < n_frames""", G)
+@query("preprocess_tables", """SELECT 'onsets' t, COUNT(*) n, CAST(SUM(frame) AS BIGINT) frames, CAST(SUM(len(string_split(tokens, ','))) AS BIGINT) content FROM g_on
+ UNION ALL SELECT 'labels', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(ROUND(SUM(l) * 1000) AS BIGINT) FROM (SELECT map_id, difficulty, f, MAX(EXP(-5e-1 * ((f - o) / 3e0) * ((f - o) / 3e0))) l FROM (SELECT map_id, difficulty, frame o, unnest(range(GREATEST(0, frame - 12), LEAST(n_frames - 1, frame + 12) + 1)) f FROM g_on) GROUP BY ALL)
+ UNION ALL SELECT 'lights', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(SUM(k) AS BIGINT) FROM (SELECT round_even(beat * 60e0 / bpm * 44100e0 / 512e0, 0) f, n_frames, k FROM (SELECT map_id, beat, COUNT(*) + COUNT(*) FILTER (seq % 9 = 0) k FROM lights GROUP BY ALL) JOIN maps USING (map_id)) WHERE f < n_frames""", G)
 def _(v):
     from levelloom.checks.documents import lights_as_events
 
     t = S.preprocess(lights_as_events(v), v.maps)
+    # what each table holds beside its rows: tokens, label mass, events (a light has one separator or end behind it)
+    content = {"onsets": F.sum(F.size("tokens")), "labels": F.round(F.sum("label") * 1000), "lights": F.sum(F.size(F.filter("tokens", lambda t: t.isin(1, 2))))}
     out = None
     for name, df in t.items():
-        d = df.agg(F.lit(name).alias("t"), F.count("*").alias("n"))
+        d = df.agg(F.lit(name).alias("t"), F.count("*").alias("n"), F.sum("frame").cast("long").alias("frames"), content[name].cast("long").alias("content"))
         out = d if out is None else out.unionByName(d)
     return out
