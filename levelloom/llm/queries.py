@@ -90,3 +90,39 @@ def op9(spark, sf_dir):
 @_query("op10_license")
 def op10(spark, sf_dir):
     return license.scan(_table(spark, sf_dir, "documents"))
+
+
+# ---- oracles: what SQL can say, over whole tables ---------------------------
+ORACLES["op1_vectors"] = """WITH RECURSIVE n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) m FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) v FROM embeddings)),
+ l AS (SELECT a.vec_id x, b.vec_id y FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (a.m * b.m) >= 95e-2),
+ r AS (SELECT vec_id x, vec_id y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+ c AS (SELECT x, MIN(y) component_id FROM r GROUP BY x), k AS (SELECT x, COUNT(*) n_links FROM l GROUP BY x)
+ SELECT vec_id, COALESCE(n_links, 0) n_links, component_id, vec_id = component_id kept FROM n JOIN c ON c.x = vec_id LEFT JOIN k ON k.x = vec_id"""
+
+ORACLES["op7_topk"] = """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v FROM embeddings),
+ s AS (SELECT a.vec_id query_id, b.vec_id, CAST(list_dot_product(a.v, b.v) AS BIGINT) score FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) "rank" FROM s) SELECT query_id, "rank", vec_id, score FROM k WHERE "rank" <= 5"""
+
+
+def _license_sql() -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    low = f"translate({{}}, '{license.UPPER}', '{license.LOWER}')"
+    found = []
+    for phrase, label in license.PHRASES:
+        parts = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
+        found.append(f"list_filter(range(1, len(w) + 1), lambda i: COALESCE({parts}, false)) {label}_at")
+    sets = ", ".join(f"('{label}', {ws!r})" for label, ws in license.template_words(license.TEMPLATES))
+    names = [label for _, label in license.PHRASES]
+    places = "list_concat(" * (len(names) - 1) + f"{names[0]}_at, " + "), ".join(f"{n}_at" for n in names[1:]) + ")"
+    own = "list_filter([" + ", ".join(f"CASE WHEN len({n}_at) > 0 THEN '{n}' END" for n in names) + "], lambda x: x IS NOT NULL)"
+    return f"""WITH d AS (SELECT doc_id, COALESCE(text, '') t FROM documents), w AS (SELECT doc_id, regexp_extract_all({low.format('t')}, '{word}') w FROM d),
+ p AS (SELECT doc_id, len(w) n_words, {', '.join(found)} FROM w), a AS (SELECT doc_id, n_words, {places} pos, {own} own FROM p),
+ ts AS (SELECT * FROM (VALUES {sets}) v(label, ws)),
+ b AS (SELECT doc_id, list_distinct(regexp_extract_all({low.format('unnest(regexp_split_to_array(t, chr(10)))')}, '{word}')) ws FROM d),
+ h AS (SELECT doc_id, label, MAX(len(list_intersect(b.ws, ts.ws)) / len(ts.ws)) held FROM b, ts WHERE len(list_intersect(b.ws, ts.ws)) >= {license.CONTAINMENT} * len(ts.ws) - 1e-9 GROUP BY doc_id, label),
+ m AS (SELECT doc_id, list(label) more, MAX(held) held FROM h GROUP BY doc_id)
+ SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(len(pos) AS BIGINT) n_base, CAST(list_min(pos) - 1 AS BIGINT) first_word, CAST(list_max(pos) - 1 AS BIGINT) last_word, COALESCE(array_to_string(list_sort(own), ','), '') base_labels,
+ COALESCE(array_to_string(list_sort(list_distinct(list_concat(own, COALESCE(more, [])))), ','), '') labels, CAST(CASE WHEN len(pos) > 0 THEN 1e0 ELSE COALESCE(held, 0e0) END AS DOUBLE) score FROM a LEFT JOIN m USING (doc_id)"""
+
+
+ORACLES["op10_license"] = _license_sql()
