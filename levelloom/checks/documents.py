@@ -88,8 +88,8 @@ def _(v):
  UNION ALL SELECT map_id, 'Expert', 'light', beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, event_type, NULL FROM lights
  UNION ALL SELECT map_id, 'Expert', 'boost', beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, seq % 2 = 1 FROM lights WHERE seq % 9 = 0""")
 def _(v):
-    docs = cut(Wr.level_documents(lights_as_events(v)))  # the parser reads its input twice
-    e = D.level_events(D.parse_levels(docs))
+    parsed = cut(D.parse_levels(Wr.level_documents(lights_as_events(v))))  # rejects and events both read it
+    e = D.level_events(parsed)
     return e.select("map_id", "difficulty", "kind", "beat", "x", "y", "color", "direction", "angle_offset", "duration", "tail_beat", "slice_count", "event_type", "boost")
 
 
