@@ -118,7 +118,11 @@ def _verify(h: Hashes, cosine: float):
                     # a pair is counted in the first table whose bucket both share
                     keys = h.keys(x[some])
                     key = part["key"].iloc[0]
-                    first = np.array([keys[i, np.argmax(keys[i] == keys[j])] == key for i, j in zip(a, b)], bool)
+                    first = np.zeros(len(a), bool)
+                    for i in range(0, len(a), 1 << 16):
+                        p, q = keys[a[i:i + (1 << 16)]], keys[b[i:i + (1 << 16)]]
+                        table = (p == q).argmax(1)
+                        first[i:i + (1 << 16)] = p[np.arange(len(p)), table] == key
                     a, b = a[first], b[first]
                     r, s = rep[lo + pos[some]], size[lo + pos[some]]
                     n = np.bincount(a, s[b], len(some)) + np.bincount(b, s[a], len(some))
