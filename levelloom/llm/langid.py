@@ -31,7 +31,7 @@ _gap = re.compile(r"[\W\d_]+")
 def gram_rows(text: str) -> np.ndarray:
     """Embedding rows of all n-grams of a text; empty if it has no letter."""
     words = _gap.sub(" ", text.lower()).strip()
-    if not words:
+    if not any(map(str.isalpha, words)):
         return np.empty(0, np.int64)
     cp = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
     out = []
@@ -134,7 +134,8 @@ def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model:
     known = rows.where("lang IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
     by_hash = W.partitionBy("lang").orderBy("h")
     first = known.select("lang", "h").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
-    limits = first.groupBy("lang").agg(F.max("h").alias("limit"))  # one row per language
+    # one row per language, as many as the model has labels: texts are filtered where they lie
+    limits = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("limit")))
     chosen = known.select("lang", "h", "text").join(limits, "lang").where("h <= limit")
     chosen = chosen.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
     got = chosen.select("lang", "h", _profiles("text").alias("p")).select("lang", "h", "p.*").toPandas()
