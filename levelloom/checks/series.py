@@ -292,7 +292,7 @@ def _(v):
 
 @query("preprocess_tables", """SELECT 'onsets' t, COUNT(*) n, CAST(SUM(frame) AS BIGINT) frames, CAST(SUM(len(string_split(tokens, ','))) AS BIGINT) content FROM g_on
  UNION ALL SELECT 'labels', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(ROUND(SUM(l) * 1000) AS BIGINT) FROM (SELECT map_id, difficulty, f, MAX(EXP(-5e-1 * ((f - o) / 3e0) * ((f - o) / 3e0))) l FROM (SELECT map_id, difficulty, frame o, unnest(range(GREATEST(0, frame - 12), LEAST(n_frames - 1, frame + 12) + 1)) f FROM g_on) GROUP BY ALL)
- UNION ALL SELECT 'lights', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(SUM(k) AS BIGINT) FROM (SELECT round_even(beat * 60e0 / bpm * 44100e0 / 512e0, 0) f, n_frames, k FROM (SELECT map_id, beat, COUNT(*) + COUNT(*) FILTER (seq % 9 = 0) k FROM lights GROUP BY ALL) JOIN maps USING (map_id)) WHERE f < n_frames""", G)
+ UNION ALL SELECT 'lights', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(SUM(k) AS BIGINT) FROM (SELECT round_even(beat * 60e0 / bpm * 44100e0 / 512e0, 0) f, n_frames, k FROM (SELECT map_id, beat, COUNT(*) + COUNT(*) FILTER (seq % 9 = 0) k FROM lights GROUP BY ALL) JOIN maps USING (map_id)  WHERE map_id IN (SELECT map_id FROM g_on WHERE difficulty = 'Expert')) WHERE f < n_frames""", G)
 def _(v):
     from levelloom.checks.documents import lights_as_events
 

@@ -103,7 +103,7 @@ def previous_rows(df: DataFrame, keys, order, value: str, k: int, *, slice: str,
     """
     d = df if pos else cut(position(df, Track(tuple(keys), tuple(order), slice), "_pos"))
     at = pos or "_pos"
-    d = with_halo(d, keys, at, before=k, block=block)
+    d = with_halo(d, keys, at, before=k, block=max(block, k))
     w = W.partitionBy(*keys, "_block").orderBy(at).rowsBetween(-k, -1)
     return d.select(*df.columns, "_copy", F.collect_list(value).over(w).alias(out)).where("not _copy").drop("_copy")
 
@@ -209,6 +209,7 @@ def preprocess(events: DataFrame, maps: DataFrame, changes: DataFrame | None = N
     from levelloom.operators.series import onset_labels
 
     onsets = level_onsets(events, maps, changes)
+    alive = onsets.select(*K_COLS).distinct()  # a level without onsets goes with its lights
     lit = events.where("kind = 'light'")
     boosts = events.where("kind = 'boost'")
-    return {"onsets": onsets, "lights": level_lights(lit, maps, changes, boosts=boosts), "labels": onset_labels(onsets, maps)}
+    return {"onsets": onsets, "lights": level_lights(lit, maps, changes, boosts=boosts).join(alive, list(K_COLS), "left_semi"), "labels": onset_labels(onsets, maps)}

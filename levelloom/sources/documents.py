@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MEMBER_SCHEMA = "map_id string, member string, pos int, text string"
 
@@ -55,36 +54,12 @@ def find_member(members: DataFrame, target: str) -> DataFrame:
     )
 
 
-class LevelArchiveSource(DataSource):
-    """``spark.read.format("level_archive").load(dir)``: one task per archive file."""
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Text members of all archives under ``path``, on any storage Spark reads.
 
-    @classmethod
-    def name(cls) -> str:
-        return "level_archive"
-
-    def schema(self) -> str:
-        return MEMBER_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _LevelArchiveReader(self.options["path"])
-
-
-class _LevelArchiveReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(f"{self.path}/*.zip"))]
-
-    def read(self, partition):
-        import os
-
-        map_id = os.path.basename(partition.value)[:-4]
-        with open(partition.value, "rb") as f:
-            for name, pos, text in _members(f.read()):
-                yield (map_id, name, pos, text)
+    The reader lists and splits the files itself, many small archives to a task.
+    """
+    return archive_members(archive_files(spark, path))
 
 
 # ---- info documents --------------------------------------------------------

@@ -74,8 +74,7 @@ def test_archives(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
             z.writestr("song.egg", b"\x00")
             z.writestr(name, json.dumps({"_beatsPerMinute": 128}))
-    spark.dataSource.register(D.LevelArchiveSource)
-    via_source = spark.read.format("level_archive").load(str(tmp_path))
+    via_source = D.read_archives(spark, str(tmp_path))
     via_files = D.archive_members(D.archive_files(spark, str(tmp_path)))
     for m in (via_source, via_files):
         info = D.parse_info(D.find_member(m, "info.dat")).collect()
