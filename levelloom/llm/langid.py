@@ -120,10 +120,10 @@ def train(
     return Model(names, scores, b.astype(np.float64), t, threshold)
 
 
-@F.pandas_udf(T.StructType().add("rows", T.ArrayType(T.IntegerType())).add("shares", T.ArrayType(T.FloatType())))
+@F.pandas_udf(T.StructType().add("rows", T.BinaryType()).add("shares", T.BinaryType()))
 def _profiles(texts: pd.Series) -> pd.DataFrame:
     found = [profile(t) for t in texts]
-    return pd.DataFrame({"rows": [f[0] for f in found], "shares": [f[1] for f in found]})
+    return pd.DataFrame({"rows": [f[0].tobytes() for f in found], "shares": [f[1].tobytes() for f in found]})
 
 
 def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model:
@@ -140,7 +140,7 @@ def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model:
     chosen = chosen.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
     got = chosen.select("lang", "h", _profiles("text").alias("p")).select("lang", "h", "p.*").toPandas()
     got = got.sort_values(["lang", "h"], kind="stable")
-    return train([(np.asarray(r, np.int32), np.asarray(s, np.float32)) for r, s in zip(got["rows"], got["shares"])], got["lang"].tolist())
+    return train([(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32)) for r, s in zip(got["rows"], got["shares"])], got["lang"].tolist())
 
 
 def predict(model: Model, text: Column) -> Column:
