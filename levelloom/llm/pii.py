@@ -6,7 +6,8 @@ entity likely: pointwise mutual information, as a share of the entity's own info
 reaches a disclosure threshold with enough independent contexts. Such terms are removed or
 generalised wherever they occur.
 
-Contexts count once however often a passage is copied, so copies are no evidence.
+Contexts count once however often a passage is copied, so copies are no evidence. A place of
+a term counts once however many entities stand beside it.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _word = re.compile(r"[^\W\d_]{2,}")
+_letter = re.compile(r"[^\W\d_]")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -80,19 +82,46 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _words_around(text: str, start: int, end: int) -> list[str]:
-    """Up to ``NEAR`` words on each side of a place, as written but lower-cased."""
-    before = [m.group().lower() for m in _word.finditer(text, max(0, start - 40 * NEAR), start)][-NEAR:]
-    after = [m.group().lower() for m in _word.finditer(text, end, end + 40 * NEAR)][:NEAR]
-    return before + after
+def _near(text: str, start: int, end: int) -> list[re.Match]:
+    """Up to ``NEAR`` words on each side of a place."""
+    before = list(_word.finditer(text, max(0, start - 40 * NEAR), start))[-NEAR:]
+    return before + list(_word.finditer(text, end, end + 40 * NEAR))[:NEAR]
 
 
-def _context(words: list[str]) -> int:
-    return xxhash.xxh64_intdigest(" ".join(words), 9) - (1 << 63)
+def _context(words: list[re.Match]) -> int:
+    """Hash of words as written but lower-cased."""
+    return xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in words), 9) - (1 << 63)
+
+
+def _whole(text: str, m: re.Match) -> bool:
+    """Whether a word is not cut by the edge of the stretch it was found in."""
+    return not (m.start() and _letter.match(text, m.start() - 1) or _letter.match(text, m.end()))
+
+
+def _beside(text: str, found: list[tuple[int, int, str]]) -> tuple[list[tuple[int, int, list[re.Match]]], dict[int, list[tuple[int, int]]]]:
+    """Each span's entity, context and whole words near it; and by the place of each such word, the entities and contexts there."""
+    near, at = [], {}
+    for s, e, k in found:
+        words = _near(text, s, e)
+        entity = xxhash.xxh64_intdigest(f"{k}:{text[s:e].lower()}", 9) - (1 << 63)
+        context = _context(words)
+        terms = [m for m in words if _whole(text, m)]
+        near.append((entity, context, terms))
+        for m in terms:
+            at.setdefault(m.start(), []).append((entity, context))
+    return near, at
+
+
+def _place(text: str, m: re.Match, at: dict[int, list[tuple[int, int]]]) -> int:
+    """What tells one place of a term from another: the words around it, and the entities near it with their contexts."""
+    own = _context(_near(text, m.start(), m.end()))
+    beside = at.get(m.start())
+    return xxhash.xxh64_intdigest(f"{own}:{beside}", 9) - (1 << 63) if beside else own
 
 
 SPANS = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()).add("kind", T.StringType()))
-SEEN = T.ArrayType(T.StructType().add("entity", T.LongType()).add("context", T.LongType()).add("terms", T.ArrayType(T.StringType())))
+TERMS = T.ArrayType(T.StructType().add("term", T.StringType()).add("place", T.LongType()))
+SEEN = T.ArrayType(T.StructType().add("entity", T.LongType()).add("context", T.LongType()).add("terms", TERMS))
 
 
 @F.pandas_udf(T.StructType().add("spans", SPANS).add("seen", SEEN))
@@ -101,12 +130,13 @@ def _find(texts: pd.Series) -> pd.DataFrame:
     for text in texts:
         found = base_spans(text)
         spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-        near = []
-        for s, e, k in found:
-            words = _words_around(text, s, e)
-            entity = xxhash.xxh64_intdigest(f"{k}:{text[s:e].lower()}", 9) - (1 << 63)
-            near.append({"entity": entity, "context": _context(words), "terms": sorted(set(words))})
-        seen.append(near)
+        near, at = _beside(text, found)
+        places: dict[int, int] = {}
+        for _, _, terms in near:
+            for m in terms:
+                if m.start() not in places:
+                    places[m.start()] = _place(text, m, at)
+        seen.append([{"entity": e, "context": c, "terms": [{"term": m.group().lower(), "place": places[m.start()]} for m in terms]} for e, c, terms in near])
     return pd.DataFrame({"spans": spans, "seen": seen})
 
 
@@ -115,20 +145,20 @@ def _bit(term: str) -> int:
 
 
 def _occurrences(bits: bytes):
-    """Places of terms whose filter bit is set, each with the hash of the words around it."""
+    """Places of terms whose filter bit is set, each with the hash that tells it from others."""
 
-    @F.pandas_udf("array<struct<term: string, context: long, start: long, end: long>>")
+    @F.pandas_udf("array<struct<term: string, place: long, start: long, end: long>>")
     def find(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
             rows = []
             # the distinct words first: few texts hold a candidate at all
             hit = {w for w in map(str.lower, set(_word.findall(text))) if bits[(i := _bit(w)) >> 3] >> (i & 7) & 1}
+            at = _beside(text, base_spans(text))[1] if hit else {}
             for m in _word.finditer(text) if hit else ():
                 w = m.group().lower()
                 if w in hit:
-                    words = _words_around(text, m.start(), m.end())
-                    rows.append({"term": w, "context": _context(words), "start": m.start(), "end": m.end()})
+                    rows.append({"term": w, "place": _place(text, m, at), "start": m.start(), "end": m.end()})
             out.append(rows)
         return pd.Series(out)
 
@@ -139,24 +169,30 @@ def revealing(seen: DataFrame, occurrences: DataFrame, contexts: DataFrame, *, s
     """Terms that disclose an entity: one row ``(term)`` each.
 
     ``contexts`` has (entity, context) of every place of an entity, ``seen`` adds the candidate
-    terms in it, ``occurrences`` has (term, context) of every place of a candidate term. All
-    counts are of distinct contexts.
+    terms in it with their place, ``occurrences`` has (term, place) of every place of a
+    candidate term. All counts are of distinct contexts or places; a place counts once for its
+    term, whatever entities are near it.
     With p(e), p(e|t) and the information I(e) = -log2 p(e), a term discloses e when
     log2(p(e|t) / p(e)) >= disclosure * I(e), p(e|t) >= share, and support is reached.
     """
-    pairs = seen.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = beside(seen)
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = entities.agg(F.sum("n_entity").alias("n_all"))  # one row
-    terms = occurrences.select("term", "context").distinct().groupBy("term").agg(F.count("*").alias("n_own"))
-    near = seen.groupBy("term").agg(F.count("*").alias("n_seen"))
-    terms = terms.join(near, "term", "full").select("term", F.greatest("n_own", "n_seen").alias("n_term"))
+    terms = occurrences.select("term", "place").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     p = pairs.where(F.col("n_both") >= support).join(terms, "term").join(entities, "entity").join(F.broadcast(total), F.lit(True))
     own = F.log2(F.col("n_all") / F.col("n_entity"))
-    given = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
+    given = F.col("n_with") / F.col("n_term")
     told = F.log2(given * F.col("n_all") / F.col("n_entity"))
     return p.where((given >= share) & (told >= disclosure * own) & (told > 0)).select("term").distinct()
 
 
+def beside(seen: DataFrame) -> DataFrame:
+    """(entity, term, n_both, n_with): distinct contexts of an entity with the term, distinct places of the term near the entity."""
+    contexts = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    places = seen.select("entity", "term", "place").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_with"))
+    return contexts.join(places, ["entity", "term"])
+
+
 def find_private(docs: DataFrame, *, support: int = SUPPORT, disclosure: float = DISCLOSURE, share: float = SHARE) -> DataFrame:
     """doc_id, text_hash, spans of every row: base spans and disclosed terms, by start.
 
@@ -166,12 +202,11 @@ def find_private(docs: DataFrame, *, support: int = SUPPORT, disclosure: float =
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = cut(docs.select("doc_id", text_hash().alias("text_hash"), _find(text).alias("f")).select("doc_id", "text_hash", "f.*"))
-    seen = rows.select(F.explode("seen").alias("s")).select("s.entity", "s.context", F.explode("s.terms").alias("term"))
-    seen = seen.distinct()
-    counted = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    # contexts of any entity already bound how much a term can tell about one
-    near = seen.groupBy("term").agg(F.count("*").alias("n_seen"))
-    candidates = counted.where(F.col("n_both") >= support).join(near, "term").where(F.col("n_both") >= share * F.col("n_seen")).select("term").distinct()
+    seen = rows.select(F.explode("seen").alias("s")).select("s.entity", "s.context", F.explode("s.terms").alias("t"))
+    seen = seen.select("entity", "context", "t.term", "t.place").distinct()
+    # a term's places near any entity are some of all its places, so they bound p(e|t) from above
+    near = seen.select("term", "place").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    candidates = beside(seen).where(F.col("n_both") >= support).join(near, "term").where(F.col("n_with") >= share * F.col("n_near")).select("term").distinct()
     candidates = cut(candidates)
     bits = bytearray(FILTER_BITS // 8)
     at = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(FILTER_BITS))

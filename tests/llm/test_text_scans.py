@@ -104,6 +104,28 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[200] == "in [term] again" and clean[201] == "mail is no secret" and "zed@" not in clean[0]
 
 
+def test_terms_beside_three_entities(spark):
+    fill = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+    rows = []
+    for i in range(40):
+        a, b, c = fill[i % 19], fill[(i * 7 + 3) % 19], fill[(i * 5 + 1) % 19]
+        who = "zanzibar zed@example.org +1 955 555 8761 10.0.0.7" if i < 8 else f"mail other{i}@example.org +1 955 555 {1000 + i} 10.0.1.{i}"
+        rows.append((i, f"{a} {b} {c} {who} {b} {c} {a}"))
+    rows += [(200, "in zanzibar again"), (201, "mail is no secret")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: {dict(rows)[r.doc_id][s.start:s.end] for s in r.spans if s.kind == pii.TERM} for r in pii.find_private(d).collect()}
+    assert got[0] == got[200] == {"zanzibar"} and got[20] == got[201] == set()
+
+
+def test_numbers_in_one_wording_are_many_places(spark):
+    """A word beside many entities tells little about one of them, however few wordings it stands in."""
+    fill = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(i, f"call the desk at +1 955 555 {1000 + i} for news") for i in range(60)]
+    rows += [(100 + i, f"{fill[i]} desk +1 955 555 8761 {fill[-i]} {fill[i]}") for i in range(6)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any(s.kind == pii.TERM and r.doc_id < 100 for r in pii.find_private(d).collect() for s in r.spans)
+
+
 def test_copies_are_no_evidence(spark):
     d = spark.createDataFrame([(i, "quiet meadow zed@example.org under rain") for i in range(50)] + [(99, "meadow")], "doc_id long, text string")
     assert all(s.kind == "email" for r in pii.find_private(d).collect() for s in r.spans)
