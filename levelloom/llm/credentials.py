@@ -6,6 +6,7 @@ service address. Weak parts become a finding only when complementary parts (iden
 secret, endpoint) lie in one scope. A scope is a stretch of text; parts are intervals, and an
 interval join on scope cells brings together those that are close enough. A cell is no longer
 than the scope, so the parts in it are bounded by its characters, whatever the text's length.
+Parts have any length: each stands in every cell it reaches.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ HEX = r"[0-9a-f]{32,}"
 BASE = ("assign", "access", "hex")
 
 # weak parts: what they look like, and which part of a credential they are
-IDENTIFIER = r"""(?i:client_?id|account|user(?:name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{3,64}"""
-ENDPOINT = r"""(?:https?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]{3,200}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,39}[0-9])(?=[a-z0-9+/_-]{0,39}[A-Z])(?=[A-Z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"
+IDENTIFIER = r"""(?i:client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+ENDPOINT = r"""(?:https?|ftps?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]{3,}"""
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 WEAK = ("identifier", "endpoint", "opaque")
 KINDS = BASE + WEAK
 
-#: code points within which complementary parts make a credential; none of the weak patterns is longer than LONGEST
-SCOPE, LONGEST = 200, 256
+#: code points within which complementary parts make a credential
+SCOPE = 200
 
 
 def matches(text: Column, pattern: str, kind: str, only_if: Column | None = None, keep=None) -> Column:
@@ -75,16 +76,18 @@ def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     """Weak parts that lie within ``scope`` of a complementary part: keys, start, end, kind.
 
     ``parts`` has keys, start, end, kind. An identifier complements a secret, an endpoint
-    complements either; two parts of one role don't. Every part stands in the scope cells it
-    reaches; one side stands in its own cell only, so each close pair meets exactly once.
+    complements either; two parts of one role don't. A weak part stands in the scope cells from
+    its start to its end, the other side in those within scope of it; a close pair is taken in
+    the first cell that both stand in, so each meets exactly once.
     """
     p = parts.distinct().withColumn("part", _parts(F.col("kind")))
-    cell = F.floor(F.col("start") / scope)
-    weak = p.where(F.col("kind").isin(*WEAK)).withColumn("cell", cell)
-    near = F.sequence(F.floor((F.greatest(F.col("start") - scope - LONGEST, F.lit(0))) / scope), F.floor((F.col("end") + scope) / scope))
-    other = p.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("part").alias("part2"), F.explode(near).alias("cell"))
+    first, last = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
+    weak = p.where(F.col("kind").isin(*WEAK)).withColumn("first", first).withColumn("cell", F.explode(F.sequence("first", last)))
+    first2, last2 = F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / scope), F.floor((F.col("end") + scope) / scope)
+    other = p.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("part").alias("part2"), first2.alias("first2"), F.explode(F.sequence(first2, last2)).alias("cell"))
     close = (F.col("s2") <= F.col("end") + scope) & (F.col("e2") >= F.col("start") - scope) & (F.col("part") != F.col("part2"))
-    return weak.join(other, [*keys, "cell"]).where(close).select(*keys, "start", "end", "kind").distinct()
+    once = F.col("cell") == F.greatest("first", "first2")
+    return weak.join(other, [*keys, "cell"]).where(close & once).select(*keys, "start", "end", "kind").distinct()
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

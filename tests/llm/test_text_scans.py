@@ -89,6 +89,30 @@ def test_weak_parts_need_company(spark):
     assert got == {0: [], 1: [], 2: [where, opaque], 3: [], 4: ["login: someone", opaque], 5: []}
 
 
+def test_weak_parts_of_any_length(spark):
+    """Signatures, addresses and identifiers are found whole, also by a part near their end only."""
+    sig, late, far = "aB3" * 114, "x" * 300 + "Y7" * 300, "word " * 100
+    where, who = "https://files.example.org/" + "path/" * 150 + "end", "account: " + "someone." * 40 + "z"
+    wide = "login" + " " * 9 + "= someone"
+    texts = [f"{who} {sig}", f"{where} {sig} {far}", f"{far} {late}== {where}", f"{late} {far} {where}", f"{sig}.{late} {far}", f"{wide} {late}", f"{late}=== {wide}"]
+    want = [[who, sig], [where, sig], [late + "==", where], [], [], [wide, late], []]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans] for r in credentials.find_secrets(d).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_close_pairs_are_those_of_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    parts = sorted({(i % 7, s := r.randrange(4000), s + r.choice([1, 30, 199, 200, 700, 2500]), r.choice(credentials.WEAK + ("assign",))) for i in range(150)})
+    role = {"identifier": "id", "endpoint": "endpoint"}
+    want = {a for a in parts for b in parts if a[0] == b[0] and a[3] in credentials.WEAK and role.get(a[3]) != role.get(b[3]) and b[1] <= a[2] + 200 and b[2] >= a[1] - 200}
+    d = spark.createDataFrame(parts, "k long, start long, end long, kind string")
+    got = [tuple(x) for x in credentials.link(d, ["k"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_terms_that_reveal_an_entity(spark):
     fill = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
     rows = []
