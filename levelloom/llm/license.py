@@ -1,7 +1,8 @@
 """License scan by exact set-similarity join, in DataFrame operations only.
 
-A template and every text block (a line) are sets of words. A block matches where it holds
-at least a given share of the template's words. Words are ordered by their frequency in the
+A template and every text block are sets of words. Blocks are lines and, as notices wrap, all
+stretches of as many words as the template has, wherever lines end. A block matches where it
+holds at least a given share of the template's words. Words are ordered by their frequency in the
 corpus, rarest first. A block that holds ``need`` of a template's n words holds one of the
 template's n - need + 1 rarest (prefix filter); it has at least ``need`` words (length
 filter); and if the rarest template word it holds stands at position i of the ordered
@@ -14,6 +15,7 @@ number is fixed by the templates, so the ordered templates travel inside the que
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from math import ceil
 
@@ -27,6 +29,8 @@ APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 CONTAINMENT = 0.8
+#: words of a text that are looked at in one row
+PART = 1024
 
 # notices as their licenses word them: fixed values
 TEMPLATES = (
@@ -83,25 +87,80 @@ def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in got}
 
 
+def _ordered(templates: Sequence[tuple[str, str]], counts: Mapping[str, int], containment: float) -> list[tuple[str, list[str], int, int]]:
+    """(label, distinct words by frequency, words needed, length in words) of each template with words."""
+    out = []
+    for (label, ws), (_, text) in zip(template_words(templates), templates):
+        low = "".join(c.lower() if c in UPPER else c for c in text)
+        if ws:
+            out.append((label, sorted(ws, key=lambda w: (counts.get(w, 0), w)), ceil(containment * len(ws) - 1e-9), len(re.findall(WORD, low))))
+    return out
+
+
+def _prefix(ordered: Sequence[tuple[str, list[str], int, int]]) -> list[str]:
+    """Words of which a matching block holds at least one."""
+    return sorted({w for _, ws, need, _ in ordered for w in ws[: len(ws) - need + 1]})
+
+
+def _probe(ordered: Sequence[tuple[str, list[str], int, int]]) -> str:
+    """The prefix index as one scan: a prefix word at a word's place of a lower-cased text."""
+    edge = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    return f"(?:^|{edge})(?:{'|'.join(_prefix(ordered))})(?:{edge}|$)"
+
+
+def match_windows(texts: DataFrame, templates: Sequence[tuple[str, str]], counts: Mapping[str, int], containment: float = CONTAINMENT) -> DataFrame:
+    """``texts`` (any columns, and ``text``) with a stretch of words that holds a template: adds ``label`` and ``held``.
+
+    A stretch has as many words as the template, wherever lines end; every such stretch of a
+    text counts. Only places of prefix words are looked at, as every match holds one. Texts
+    are cut into overlapping parts of PART words, so a row is bounded whatever a text's length.
+    One row per part and label.
+    """
+    ordered, keys = _ordered(templates, counts, containment), [c for c in texts.columns if c != "text"]
+    if not ordered:
+        return texts.select(*keys, F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("held")).where("false")
+    reach = max(length for *_, length in ordered) - 1
+    t = texts.select(*keys, lowered("text").alias("__ll_low")).where(F.col("__ll_low").rlike(_probe(ordered)))
+    t = t.select(*keys, F.array_remove(F.split("__ll_low", APART), "").alias("__ll_w"))
+    w = F.col("__ll_w")
+    # a part's own words, and the words within reach on either side
+    begins = F.sequence(F.lit(0), F.size(w), F.lit(PART))
+    parts = F.transform(begins, lambda s: F.slice(w, F.greatest(s - reach, F.lit(0)) + 1, F.least(s, F.lit(reach)) + PART + reach))
+    t = t.select(*keys, F.explode(parts).alias("__ll_w"))
+    near = F.transform(w, lambda x, i: F.when(x.isin(*_prefix(ordered)), F.struct(x.alias("word"), i.alias("at"))))
+    near = F.transform(F.filter(near, lambda h: h.isNotNull()), lambda h: F.struct(h["word"].alias("word"), *[
+        F.slice(w, F.greatest(h["at"] - k, F.lit(0)) + 1, F.least(h["at"], F.lit(k)) + 1 + k).alias(f"s{k + 1}") for k in sorted({length - 1 for *_, length in ordered})
+    ]))
+    t = t.select(*keys, F.explode(near).alias("__ll_h")).select(*keys, "__ll_h.*")
+    tests = []
+    for label, ws, need, length in ordered:
+        n, mine, around = len(ws), F.array(*map(F.lit, ws)), F.col(f"s{length}")
+        may = F.col("word").isin(*ws[: n - need + 1]) & (F.size(F.array_intersect(mine, around)) >= need)
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(length)), _held(mine, around, length)))
+        tests.append(F.when(may, F.struct(F.lit(label).alias("label"), best.alias("n"), F.lit(need).alias("need"), F.lit(n).alias("of"))))
+    found = F.filter(F.array(*tests), lambda x: x.isNotNull())
+    t = t.select(*keys, F.explode(found).alias("__ll_t")).where("__ll_t.n >= __ll_t.need")
+    return t.select(*keys, "__ll_t.label", (F.col("__ll_t.n") / F.col("__ll_t.of").cast("double")).alias("held"))
+
+
+def _held(mine: Column, around: Column, length: int):
+    """Template words in the ``length`` words from a place on."""
+    return lambda j: F.size(F.array_intersect(mine, F.slice(around, j, length)))
+
+
 def match_blocks(blocks: DataFrame, templates: Sequence[tuple[str, str]], counts: Mapping[str, int], containment: float = CONTAINMENT) -> DataFrame:
     """``blocks`` (any columns, and ``block`` text) that hold a template: adds ``label`` and ``held``.
 
     ``held`` is the share of the template's distinct words that the block has, at least
     ``containment``. One row per block and label, with the best template's share.
     """
-    ordered = [(label, sorted(ws, key=lambda w: (counts.get(w, 0), w))) for label, ws in template_words(templates)]
-    ordered = [(label, ws) for label, ws in ordered if ws]
+    ordered = _ordered(templates, counts, containment)
     if not ordered:
         return blocks.withColumns({"label": F.lit(None).cast("string"), "held": F.lit(None).cast("double")}).where("false")
-    needs = [ceil(containment * len(ws) - 1e-9) for _, ws in ordered]
-    prefix = sorted({w for (_, ws), need in zip(ordered, needs) for w in ws[: len(ws) - need + 1]})
-    # the prefix index as one scan: blocks with a prefix word at a word's place
-    edge = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    probe = f"(?:^|{edge})(?:{'|'.join(prefix)})(?:{edge}|$)"
-    b = blocks.withColumn("__ll_low", lowered("block")).where(F.col("__ll_low").rlike(probe))
+    b = blocks.withColumn("__ll_low", lowered("block")).where(F.col("__ll_low").rlike(_probe(ordered)))
     b = b.withColumn("__ll_words", F.array_distinct(F.regexp_extract_all("__ll_low", F.lit(WORD), F.lit(0))))
     tests = []
-    for (label, ws), need in zip(ordered, needs):
+    for label, ws, need, _ in ordered:
         n, mine = len(ws), F.array(*map(F.lit, ws))
         head = F.array(*map(F.lit, ws[: n - need + 1]))
         at = F.array_position(F.transform(head, lambda w: F.array_contains("__ll_words", w)), True)  # 0: none
@@ -116,7 +175,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     """License findings of every row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base findings are phrases; template matches add labels, and ``score`` is the best share
-    of a template held by a line of the text, 1 where a phrase stands, 0 without a finding.
+    of a template held by a block of the text, 1 where a phrase stands, 0 without a finding.
     Null and empty texts have no words and no finding; repeated rows and null doc_ids are
     kept; other columns are not read.
     """
@@ -127,7 +186,8 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     w = F.when(text.rlike(f"(?i)(?:{last})"), words(text)).otherwise(F.array().cast("array<string>"))
     blocks = F.split(text, r"[\n\r\x0B\x0C]+")
     prefix = t.select("doc_id", "text_hash", F.explode(blocks).alias("block"))
-    hits = match_blocks(prefix, templates, counts, containment)
+    hits = match_blocks(prefix, templates, counts, containment).select("doc_id", "text_hash", "label", "held")
+    hits = hits.union(match_windows(t.select("doc_id", "text_hash", text.alias("text")), templates, counts, containment))
     best = hits.groupBy(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("text_hash").alias("k3")).agg(
         F.collect_set("label").alias("more"), F.max("held").alias("held")
     )

@@ -167,6 +167,42 @@ def test_template_containment_is_exact(spark):
         assert want == (set(r.labels.split(",")) - {""}) - (set(r.base_labels.split(",")) - want), (lines[r.doc_id], r)
 
 
+def test_wrapped_notices(spark):
+    """Notices match however they wrap, behind comment marks, and at any place of a long text."""
+    import textwrap
+
+    docs = []
+    for k, (label, text) in enumerate(license.TEMPLATES):
+        wrapped = "\n".join(f" * {x}" for x in textwrap.wrap(text, 24))
+        docs += [(label, f"/*\n{wrapped}\n */"), (label, "word\n" * (1020 + k) + wrapped + "\nword" * 1500)]
+    docs += [("", "Redistribution and use\n" + "word " * 40 + "\nin source and binary forms, with or without\n" + "word " * 40 + "\nmodification, are permitted"), ("", "word\n" * 3000)]
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license.scan(d).collect()}
+    for i, (label, text) in enumerate(docs):
+        assert label in got[i].labels.split(",") and got[i].score == (1 if label else 0), (label, text[:80], got[i])
+
+
+def test_windows_are_those_of_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    templates = [("a", "one two three four five"), ("b", "six one seven two eight one nine ten two eleven")]
+    texts = [" \n".join(r.choice("one two three four five six seven eight nine ten eleven x y".split()) for _ in range(60)) for _ in range(60)] + ["one two\nthree four"]
+    want = {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        for label, t in templates:
+            n, ws = len(t.split()), set(t.split())
+            held = max(len(ws & set(w[j:j + n])) / len(ws) for j in range(len(w)))
+            if held >= license.CONTAINMENT - 1e-9:
+                want[i, label] = held
+    d = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {}
+    for x in license.match_windows(d, templates, {"one": 5, "two": 4}).collect():
+        got[x.k, x.label] = max(x.held, got.get((x.k, x.label), 0))
+    assert got == want and len(want) > 5
+
+
 @pytest.mark.parametrize("name", ["op2_secrets", "op9_pii", "op10_license"])
 def test_odd_rows(odd_query, name):
     got = odd_query(name)
