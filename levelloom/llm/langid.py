@@ -5,6 +5,10 @@ hashed into a fixed number of rows. Embeddings and softmax are trained together
 stochastic gradient descent in numpy on a bounded sample of labelled rows; a part of the
 sample sets the temperature and the rejection threshold. Since both layers are linear, a
 prediction needs one small score row per n-gram only.
+
+The softmax must choose among the languages it knows, so a second signal rejects others:
+how familiar a text's n-grams are to the language it is given to. Its limits are calibrated
+against the rows of all other languages, which are foreign to that language's n-grams.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ PER_LABEL = 400
 UNKNOWN = "und"
 #: code points of a text that are hashed at once; the mean still runs over the whole text
 CHUNK = 1 << 18
+#: n-grams of average familiarity added to a text, so that few n-grams alone don't reject it
+PRIOR = 30
 
 _gap = re.compile(r"[\W\d_]+")
 
@@ -60,15 +66,34 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: np.ndarray  # (ROWS, labels): log2 share of each row among a label's n-grams
+    usual: np.ndarray  # mean familiarity of a label's own texts
+    limits: np.ndarray  # familiarity below which a text is foreign to the label
 
-    def logits(self, text: str) -> np.ndarray | None:
-        """Mean score row over the whole text, chunk by chunk; none without a letter."""
-        total, n = np.zeros(len(self.labels)), 0
+    def _means(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """Mean score row and mean familiarity over the whole text, chunk by chunk, and its n-grams."""
+        total, known, n = np.zeros(len(self.labels)), np.zeros(len(self.labels)), 0
         for i in range(0, len(text), CHUNK):
             rows = gram_rows(text[i:i + CHUNK])
             total += self.scores[rows].sum(0, dtype=np.float64)
+            known += self.familiar[rows].sum(0, dtype=np.float64)
             n += len(rows)
-        return total / n + self.bias if n else None
+        return total / max(n, 1), known / max(n, 1), n
+
+    def logits(self, text: str) -> np.ndarray | None:
+        """Scores of the whole text; none without a letter."""
+        mean, _, n = self._means(text)
+        return mean + self.bias if n else None
+
+    def judge(self, text: str) -> tuple[int, float, bool] | None:
+        """Number of the best label, its probability, and whether it is rejected; none without a letter."""
+        mean, known, n = self._means(text)
+        if not n:
+            return None
+        p = _softmax((mean + self.bias) / self.temperature)
+        best = int(p.argmax())
+        familiar = (known[best] * n + self.usual[best] * PRIOR) / (n + PRIOR)
+        return best, float(p[best]), bool(p[best] < self.threshold or familiar < self.limits[best])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -82,11 +107,13 @@ def train(
     """SGD over the given profiles; every fifth one calibrates instead.
 
     ``keep``: the threshold is the score that this share of the rightly predicted
-    calibration rows reaches, never above one half.
+    calibration rows reaches, never above one half. A label's familiarity limit lies half-way
+    between what this share of its own rows reaches and the most familiar row of another label,
+    or at the former where the two overlap.
     """
     names = tuple(sorted(set(labels)))
     if not names:
-        return Model((), np.zeros((ROWS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model((), np.zeros((ROWS, 0)), np.zeros(0), 1.0, 0.0, np.zeros((ROWS, 0)), np.zeros(0), np.zeros(0))
     y = np.array([names.index(v) for v in labels])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / WIDTH, (ROWS, WIDTH)).astype(np.float32)
@@ -117,7 +144,25 @@ def train(
     p = _softmax(z / t)
     right = p.max(1)[p.argmax(1) == y[held]]
     threshold = min(0.5, float(np.quantile(right, 1 - keep))) if len(right) else 0.0
-    return Model(names, scores, b.astype(np.float64), t, threshold)
+    return Model(names, scores, b.astype(np.float64), t, threshold, *_familiarity(profiles, y, fit, held, len(names), keep))
+
+
+def _familiarity(profiles: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, fit: np.ndarray, held: np.ndarray, n_labels: int, keep: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each label's table of familiarity from the rows of ``fit``; mean and limit from those of ``held``."""
+    share = np.zeros((ROWS, n_labels))
+    for i in fit:
+        share[profiles[i][0], y[i]] += profiles[i][1]
+    table = np.log2(0.9 * share / np.maximum(share.sum(0), 1e-9) + 0.1 / ROWS).astype(np.float32)
+    held = np.array([i for i in held if len(profiles[i][0])], np.int64)
+    seen = np.array([profiles[i][1] @ table[profiles[i][0]] for i in held], np.float64).reshape(-1, n_labels)
+    usual, limits = np.zeros(n_labels), np.full(n_labels, -np.inf)
+    for k in range(n_labels):
+        own, other = seen[y[held] == k, k], seen[y[held] != k, k]
+        if len(own):
+            usual[k], limits[k] = own.mean(), np.quantile(own, 1 - keep)
+            if len(other) and other.max() < limits[k]:
+                limits[k] = (limits[k] + other.max()) / 2
+    return table, usual, limits
 
 
 @F.pandas_udf(T.StructType().add("rows", T.BinaryType()).add("shares", T.BinaryType()))
@@ -149,15 +194,13 @@ def predict(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        best, score, rejected = np.full(len(texts), len(names) - 1), np.zeros(len(texts)), np.ones(len(texts), bool)
         if model.labels:
             for i, t in enumerate(texts):
-                z = model.logits(t) if t else None
-                if z is not None:
-                    p = _softmax(z / model.temperature)
-                    best[i] = int(p.argmax())
-                    score[i] = float(p[best[i]])
-        return pd.DataFrame({"lang_pred": names[best], "score": score, "rejected": (best == len(names) - 1) | (score < model.threshold)})
+                found = model.judge(t) if t else None
+                if found is not None:
+                    best[i], score[i], rejected[i] = found
+        return pd.DataFrame({"lang_pred": names[best], "score": score, "rejected": rejected})
 
     return run(text)
 

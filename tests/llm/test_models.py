@@ -7,6 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from levelloom.llm import langid, mixing, mtree, packing, quality
@@ -34,6 +35,21 @@ def test_language_of_odd_rows(spark, odd_query, none, odd):
     assert langid.keep_identified(odd).columns == odd.columns
 
 
+def test_unlearned_languages_and_gibberish_are_rejected(spark):
+    import random
+
+    r = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("length(text) >= 200")
+    model = langid.fit(docs.where(langid.learnable()).where("lang != 'es'"))
+    unseen = docs.where(~langid.learnable())
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(50)) for _ in range(40)]
+    junk += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan ja heille on annettu järki ja omatunto"]
+    rejected = lambda d: [x.p.rejected for x in d.select(langid.predict(model, F.col("text")).alias("p")).collect()]
+    assert np.mean(rejected(unseen.where("lang = 'es'"))) >= 0.95
+    assert all(rejected(spark.createDataFrame([(j,) for j in junk], "text string")))
+    assert np.mean(rejected(unseen.where("lang != 'es'"))) <= 0.01
+
+
 def test_long_texts_score_like_their_whole(spark):
     m = langid.train([langid.profile("the and of that with " * 9), langid.profile("der die und das nicht " * 9)] * 20, ["en", "de"] * 20)
     text = "the of and die nicht that " * 20000
