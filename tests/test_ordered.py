@@ -101,3 +101,19 @@ def test_fold_runs_sees_each_run_whole(spark):
         assert dict(zip(got["g"], got["n"])) == want and len(got) == len(want)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_first_rows_are_exact_for_any_bucket(spark):
+    from levelloom.plans.selecting import first_rows, smallest
+
+    rows = [(g, (i * 7919 + g) % 1009, i) for g in (0, 1, 2) for i in range(300 * (g + 1))] + [(None, 5, i) for i in range(40)]
+    d = spark.createDataFrame(rows, "g int, h long, i int").withColumn("g", F.coalesce("g", F.lit(9)))
+    for n in (0, 1, 37, 300, 5000):
+        got = sorted(map(tuple, smallest(d, ["g"], "h", n, ["i"]).collect()))
+        want = []
+        for g in (0, 1, 2, 9):
+            mine = sorted((h, i) for k, h, i in rows if (9 if k is None else k) == g)
+            want += [(g, h, i) for h, i in mine[:n]]
+        assert got == sorted(want)
+    whole = first_rows(d, [], 11, F.floor(F.col("i") / 4).cast("int"), [F.col("i"), F.col("h"), F.col("g")]).collect()
+    assert sorted(map(tuple, whole)) == sorted(sorted(((9 if k is None else k, h, i) for k, h, i in rows), key=lambda r: (r[2], r[1], r[0]))[:11])
