@@ -47,6 +47,7 @@ def odd_query(tmp_path_factory, odd):
     path = str(tmp_path_factory.mktemp("odd"))
     odd.write.parquet(f"{path}/documents.parquet")
     odd.sparkSession.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    odd.sparkSession.createDataFrame([(1, "the and of"), (2, None), (None, "lorem"), (1, "x")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return lambda name: QUERIES[name](odd.sparkSession, path).collect()
 
 
