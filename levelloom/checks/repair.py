@@ -144,7 +144,7 @@ L = {
     "k_dd": "SELECT lights.* FROM lights SEMI JOIN k_last ON k_last.map_id = lights.map_id AND k_last.seq = lights.seq AND k_last.event_type = lights.event_type",
     "k_cap": "SELECT * EXCLUDE (r) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY map_id, round_even(beat * 4, 0) ORDER BY float_value DESC, beat, seq) r FROM k_dd) WHERE r <= 4",
     "k_rows": "SELECT map_id, event_type, seq, f, ROW_NUMBER() OVER (PARTITION BY map_id, event_type ORDER BY beat, seq) k FROM (SELECT *, CASE WHEN seq % 7 = 0 THEN float_value + 9e-1 WHEN seq % 5 = 0 THEN float_value + 15e-1 ELSE float_value END f FROM k_cap)",
-    "k_walk": """SELECT map_id, event_type, k, seq, f v FROM k_rows WHERE k = 1 UNION ALL SELECT r.map_id, r.event_type, r.k, r.seq, CASE WHEN r.f - s.v > 6e-1 THEN LEAST(1e0, s.v + 6e-1) WHEN r.f - s.v < -6e-1 THEN GREATEST(0e0, s.v - 6e-1) ELSE r.f END FROM k_walk s JOIN k_rows r ON r.map_id = s.map_id AND r.event_type = s.event_type AND r.k = s.k + 1""",
+    "k_walk": """SELECT map_id, event_type, k, seq, f v FROM k_rows WHERE k = 1 UNION ALL SELECT r.map_id, r.event_type, r.k, r.seq, CASE WHEN ROUND(r.f - s.v, 9) > 6e-1 THEN ROUND(LEAST(1e0, s.v + 6e-1), 9) WHEN ROUND(r.f - s.v, 9) < -6e-1 THEN ROUND(GREATEST(0e0, s.v - 6e-1), 9) ELSE r.f END FROM k_walk s JOIN k_rows r ON r.map_id = s.map_id AND r.event_type = s.event_type AND r.k = s.k + 1""",
 }
 
 

@@ -1,12 +1,14 @@
 """Rule-based repair of levels: caps, balance, swing flow, arcs, lights.
 
 Rules that feed on their own output are rewritten as closed forms over windows where
-that is exact (see each docstring); only the brightness limiter and cell separation
-walk rows, in short independent runs.
+that is exact (see each docstring); the brightness limiter composes the limiters of
+slices, and only cell separation walks short independent runs.
 """
 
 from __future__ import annotations
 
+from math import inf, isnan
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -15,7 +17,7 @@ from levelloom.constants import (
 )
 from levelloom.functions.scalars import axis, beat_strength, flow_direction, is_neutral, lookup, parity_class
 from levelloom.operators.parity import HANDS, K_COLS
-from levelloom.plans.ordered import NOTES, Track, asof, fold_runs, islands, position, scan, with_halo
+from levelloom.plans.ordered import NOTES, Fold, Track, asof, fold_runs, islands, key_schema, position, scan, stream_folds, with_halo
 from levelloom.session import cut
 
 
@@ -276,53 +278,123 @@ def cap_lights(lights: DataFrame, keys=("map_id",)) -> DataFrame:
     return lights.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MAX_LIGHTS_PER_QUARTER).drop("_r")
 
 
-def _limit(v, p):
-    return F.when(v - p > MAX_BRIGHTNESS_JUMP, F.least(F.lit(1.0), p + MAX_BRIGHTNESS_JUMP)).when(v - p < -MAX_BRIGHTNESS_JUMP, F.greatest(F.lit(0.0), p - MAX_BRIGHTNESS_JUMP)).otherwise(v)
+def limited(v: float, p: float) -> float:
+    """``v`` after ``p``: at most one jump away. Jumps are measured, and limited values kept, in nine digits."""
+    jump = round(v - p, 9)
+    if jump > MAX_BRIGHTNESS_JUMP:
+        return round(min(1.0, p + MAX_BRIGHTNESS_JUMP), 9)
+    if jump < -MAX_BRIGHTNESS_JUMP:
+        return round(max(0.0, p - MAX_BRIGHTNESS_JUMP), 9)
+    return v
+
+
+class Limiter:
+    """The limiter over several rows as a function of the value before them.
+
+    It is piecewise: on (low, high] the result is a constant, or the input moved by some
+    jumps. A constant piece is at least two jumps wide, so there are few pieces however many
+    rows are composed, and usually a single constant one after two or three rows.
+    """
+
+    def __init__(self, pieces: list[tuple[float, float | None, float]] | None = None):
+        self.pieces = pieces or [(inf, None, 0.0)]  # (high, constant, move)
+
+    def then(self, v: float) -> None:
+        """Compose with the limiter of one more row."""
+        out: list[tuple[float, float | None, float]] = []
+        low = -inf
+        for high, const, move in self.pieces:
+            if const is not None:
+                parts = [(high, limited(v, const), 0.0)]
+            else:
+                # in terms of the moved value q: up a jump, capped at one; v itself; down a jump, floored at zero
+                jump = MAX_BRIGHTNESS_JUMP
+                down, up = v - jump - 5e-10, v + jump + 5e-10  # between two values of nine digits
+                ends = [(min(1.0 - jump, down), None, jump), (down, 1.0, 0.0), (up, v, 0.0), (max(jump, up), 0.0, 0.0), (inf, None, -jump)]
+                parts = [(min(high, e - move), c, round(move + m, 9) if c is None else 0.0) for e, c, m in ends]
+            for top, c, m in parts:
+                if top > low:
+                    if out and out[-1][1:] == (c, m):
+                        out.pop()
+                    out.append((top, c, m))
+                    low = top
+        self.pieces = out
+
+    def __call__(self, p: float) -> float:
+        for high, const, move in self.pieces:
+            if p <= high:
+                return const if const is not None else round(p + move, 9)
+        raise ValueError("not a brightness")
+
+
+class _SliceLimit(Fold):
+    """The limiter of one slice of a channel, or its outgoing value once that is settled.
+
+    ``first`` is the outgoing value where the slice begins its channel: nothing limits its first row.
+    """
+
+    def __init__(self, key):
+        super().__init__(key)
+        self.all, self.value, self.first = Limiter(), None, None
+
+    def row(self, row):
+        v = row[-1]
+        self.first = v if self.first is None else limited(v, self.first)
+        if self.value is not None:
+            self.value = limited(v, self.value)
+        else:
+            self.all.then(v)
+            if len(self.all.pieces) == 1 and self.all.pieces[0][1] is not None:
+                self.value = self.all.pieces[0][1]
+        return ()
+
+    def end(self):
+        pieces = self.all.pieces if self.value is None else [(inf, self.value, 0.0)]
+        yield (*self.key, [p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], self.first)
+
+
+class _Chain(Fold):
+    """Incoming value of every slice of a channel, from the limiters of the slices before."""
+
+    p = None
+
+    def row(self, row):
+        *key, highs, consts, moves, first = row
+        yield (*key, self.p)
+        pieces = [(h, None if c is None or isnan(c) else c, m) for h, c, m in zip(highs, consts, moves)]
+        self.p = first if self.p is None else Limiter(pieces)(self.p)
+
+
+class _Walk(Fold):
+    p = None
+
+    def row(self, row):
+        *rest, v, before = row
+        was = before if self.p is None else self.p
+        self.p = v if was is None or isnan(was) else limited(v, was)
+        yield (*rest, self.p)
 
 
 def smooth_lights(lights: DataFrame, keys=("map_id",)) -> DataFrame:
     """Limit brightness jumps against the already limited previous event of the channel.
 
-    The limiter is monotone in the previous value, so a row whose value comes out equal
-    for the lowest and the highest possible history three rows back is settled without
-    it. Settled rows start new runs; only the rows between them are walked.
+    A channel is cut into slices of time. The limiter of a slice, as a function of the value
+    before it, is a short list of pieces; a walk over these lists (one row per slice) gives
+    every slice its incoming value, and slices are then limited on their own. Nothing holds
+    a channel, however long it flickers. ``beat`` and ``seq`` order a channel's events without
+    ties. Jumps are measured, and limited values kept, in nine digits; null values pass.
     """
     ch = [*keys, "event_type"]
-    l = position(lights, Track(tuple(ch), ("beat", "seq"), "floor(beat / 16)"), "_pos")
-    span = lights.groupBy(*keys).agg(F.least(F.min("float_value"), F.lit(0.0)).alias("_lo"), F.greatest(F.max("float_value"), F.lit(1.0)).alias("_hi"))
-    l = with_halo(cut(l.join(span, list(keys))), ch, "_pos", before=2)
-    w = W.partitionBy(*ch, "_block").orderBy("_pos")
-    v0, v1, v2 = F.col("float_value"), F.col("_v1"), F.col("_v2")
-    l = l.withColumn("_v1", F.lag("float_value", 1).over(w)).withColumn("_v2", F.lag("float_value", 2).over(w)).where("not _copy")
-
-    def run(start):
-        return _limit(v0, _limit(v1, _limit(v2, start)))
-
-    low = F.when(F.col("_pos") == 1, v0).when(F.col("_pos") == 2, _limit(v0, v1)).when(F.col("_pos") == 3, _limit(v0, _limit(v1, v2))).otherwise(run(F.col("_lo")))
-    high = F.when(F.col("_pos") <= 3, low).otherwise(run(F.col("_hi")))
-    l = l.withColumn("_low", low).withColumn("_set", low == high)
-    l = islands(l, Track(tuple(ch), ("_pos",), "floor(_pos / 1024)"), F.col("_set"), "_run")
-    cols = [*lights.columns, "_pos", "_run", "_low"]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals, lows = pdf["float_value"].tolist(), pdf["_low"].tolist()
-        marks = list(zip(*[pdf[c] for c in ch], pdf["_run"]))
-        p = 0.0
-        for i, v in enumerate(vals):
-            if i == 0 or marks[i] != marks[i - 1]:
-                p = lows[i]
-            elif v - p > MAX_BRIGHTNESS_JUMP:
-                p = min(1.0, p + MAX_BRIGHTNESS_JUMP)
-            elif v - p < -MAX_BRIGHTNESS_JUMP:
-                p = max(0.0, p - MAX_BRIGHTNESS_JUMP)
-            else:
-                p = v
-            vals[i] = p
-        return pdf.assign(float_value=vals)
-
-    l = l.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in l.schema)
-    return fold_runs(l, [*ch, "_run"], ["_pos"], walk, schema).select(*lights.columns)
+    slice_ = F.floor(F.col("beat") / 64).cast("long").alias("_slice")
+    l = cut(lights.where("float_value is not null").select(*ch, slice_, "beat", "seq", F.col("float_value").cast("double").alias("_v")))
+    ks = key_schema(l, [*ch, "_slice"])
+    slices = stream_folds(l, [*ch, "_slice"], ["beat", "seq"], _SliceLimit, f"{ks}, highs array<double>, consts array<double>, moves array<double>, first double")
+    before = stream_folds(slices, ch, ["_slice"], _Chain, f"{ks}, _before double")
+    rows = lights.withColumns({"_slice": F.floor(F.col("beat") / 64).cast("long"), "_v": F.col("float_value").cast("double")})
+    rows = rows.where("float_value is not null").join(before, [*ch, "_slice"]).select(*ch, "_slice", "beat", "seq", "_v", "_before")
+    walked = stream_folds(rows, [*ch, "_slice"], ["beat", "seq"], _Walk, f"{key_schema(rows, [*ch, '_slice', 'beat', 'seq'])}, _new double")
+    out = lights.join(walked.drop("_slice"), [*ch, "beat", "seq"], "left")
+    return out.select(*[F.coalesce("_new", "float_value").cast(lights.schema["float_value"].dataType).alias(c) if c == "float_value" else c for c in lights.columns])
 
 
 def repair_lights(lights: DataFrame, keys=("map_id",)) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Sequence
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from levelloom.constants import HOP_LENGTH, ONSET_DENSITY, SAMPLE_RATE, SONG_SECTION_ID
 from levelloom.functions.scalars import clamp, lookup, snap_frame
-from levelloom.plans.ordered import FRAMES, Track, fold_runs, islands, scan
+from levelloom.plans.ordered import FRAMES, Fold, Track, islands, scan, stream_folds
 from levelloom.session import cut
 
 M = ["map_id"]
@@ -140,38 +141,165 @@ def local_maxima(frames: DataFrame, prob: str = "prob", threshold: float = 0.5)
     return f.where((p >= threshold) & (p >= F.coalesce("_l", low)) & (p >= F.coalesce("_r", low))).drop("_l", "_r")
 
 
-def suppress_close(peaks: DataFrame, min_distance: int = 5, prob: str = "prob") -> DataFrame:
+def keep_best(peaks: Sequence[tuple[int, float, bool]], reach: int, kept_outside: Sequence[int | None] = ()) -> list[int]:
+    """Frames of ``peaks`` (frame, prob, own) that survive, best first, none closer than ``reach`` to another.
+
+    Peaks that are not own lie outside the slice; those listed in ``kept_outside`` are kept, others dropped.
+    """
+    kept: list[int] = []
+    for frame, _, own in sorted(peaks, key=lambda r: (-r[1], r[0])):
+        i = bisect_left(kept, frame)
+        if own and ((i > 0 and frame - kept[i - 1] < reach) or (i < len(kept) and kept[i] - frame < reach)):
+            continue
+        if own or frame in kept_outside:
+            kept.insert(i, frame)
+    own = {f for f, _, o in peaks if o}
+    return [f for f in kept if f in own]
+
+
+class _Slice(Fold):
+    """The peaks of one slice and of its two margins, one per frame."""
+
+    def __init__(self, key, reach: int, width: int):
+        super().__init__(key)
+        self.reach, self.start, self.end_ = reach, key[-1] * width, (key[-1] + 1) * width
+        self.probs: dict[int, float] = {}
+
+    def row(self, row):
+        frame, prob = row[2], row[3]
+        self.probs[frame] = max(prob, self.probs.get(frame, prob))
+        return ()
+
+    def peaks(self) -> list[tuple[int, float, bool]]:
+        return [(f, p, self.start <= f < self.end_) for f, p in sorted(self.probs.items())]
+
+    def settled(self) -> tuple[int, int]:
+        """Number of peaks before the first and up to the last certain survivor inside the slice.
+
+        A peak that no peak within reach beats is kept whatever happens elsewhere, so what
+        lies on its two sides is independent.
+        """
+        ps = self.peaks()
+        sure = []
+        for i, (f, p, own) in enumerate(ps):
+            near = []
+            for step in (-1, 1):
+                j = i + step
+                while 0 <= j < len(ps) and abs(ps[j][0] - f) < self.reach:
+                    near.append(ps[j])
+                    j += step
+            if own and all((-q[1], q[0]) > (-p, f) for q in near):
+                sure.append(i)
+        return (sure[0], sure[-1]) if sure else (len(ps), -1)
+
+
+class _SliceTable(_Slice):
+    """What leaves the slice at both borders, for every way its neighbours' margins can turn out.
+
+    Kept peaks are ``reach`` apart, so a margin of ``reach - 1`` frames holds one at most:
+    a border state is the kept frame in that margin or none.
+    """
+
+    def end(self):
+        ps = self.peaks()
+        first, last = self.settled()
+        lefts = [None, *(f for f, _, own in ps if not own and f < self.start)]
+        rights = [None, *(f for f, _, own in ps if not own and f >= self.end_)]
+        r = self.reach
+        left_of = lambda kept: next((f for f in kept if f < self.start + r - 1), None)
+        right_of = lambda kept: next((f for f in kept if f >= self.end_ - r + 1), None)
+        out = []
+        if first > last:
+            for a in lefts:
+                for b in rights:
+                    kept = keep_best(ps, r, (a, b))
+                    out.append((a, b, left_of(kept), right_of(kept)))
+        else:
+            # both sides of a certain survivor are independent: each is tried by itself
+            heads = {a: left_of(keep_best(ps[:first + 1], r, (a,))) for a in lefts}
+            tails = {b: right_of(keep_best(ps[last:], r, (b,))) for b in rights}
+            inner = keep_best(ps[first:last + 1], r)
+            wide = [left_of(inner), right_of(inner)]
+            out = [(a, b, heads[a] if heads[a] is not None else wide[0], tails[b] if tails[b] is not None else wide[1]) for a in lefts for b in rights]
+        yield (*self.key, *[[o[i] for o in out] for i in range(4)])
+
+
+def _none(values) -> list[int | None]:
+    return [None if v is None or v != v else int(v) for v in values]
+
+
+class _Ahead(Fold):
+    """Walk slices forwards: for each way the next slice's margin can turn out, the state this slice leaves there."""
+
+    def __init__(self, key):
+        super().__init__(key)
+        self.slice, self.leaves = None, {}
+
+    def row(self, row):
+        table = {(a, b): (l, r) for a, b, l, r in zip(*map(_none, row[2:]))}
+        solved = {}
+        for b in {b for _, b in table}:
+            if self.slice != row[1] - 1:  # nothing lies before
+                solved[b] = (None, *table[None, b])
+                continue
+            # the one state of the left border that agrees with both sides
+            margin, state = next((m, s) for m, s in self.leaves.items() if table[s, b][0] == m)
+            solved[b] = (state, *table[state, b])
+        self.slice, self.leaves = row[1], {b: right for b, (_, _, right) in solved.items()}
+        bs = list(solved)
+        yield (*row[:2], bs, [solved[b][0] for b in bs], [solved[b][1] for b in bs])
+
+
+class _Back(Fold):
+    """Walk slices backwards: the states at both borders of every slice."""
+
+    def __init__(self, key):
+        super().__init__(key)
+        self.slice, self.left = None, None
+
+    def row(self, row):
+        right = self.left if self.slice == row[1] + 1 else None
+        at = _none(row[2]).index(right)
+        outside, self.left, self.slice = _none(row[3])[at], _none(row[4])[at], row[1]
+        yield (*row[:2], outside, right)
+
+
+class _Keep(_Slice):
+    outside = (None, None)
+
+    def row(self, row):
+        self.outside = tuple(_none(row[4:6]))
+        return super().row(row)
+
+    def end(self):
+        for f in keep_best(self.peaks(), self.reach, self.outside):
+            yield (self.key[0], f)
+
+
+def suppress_close(peaks: DataFrame, min_distance: int = 5, prob: str = "prob", width: int = 2048) -> DataFrame:
     """Keep peaks by confidence, dropping any closer than ``min_distance`` to a kept one.
 
-    Equal confidences go to the earlier frame. Peaks further apart never interact, so
-    runs of close peaks are decided on their own.
+    Equal confidences go to the earlier frame; of several peaks on one frame the best counts.
+    A map is cut into slices of ``width`` frames with margins. What a slice leaves at its
+    borders is tabulated for every state of its neighbours' margins (a margin holds one kept
+    peak at most), two walks over these tables settle all borders, and slices are then decided
+    on their own. No task holds more than a slice, even where all peaks of a map are close.
     """
-    p = scan(peaks.select("map_id", "frame", F.col(prob).alias("prob")), FRAMES, prev={"before": "frame"})
-    p = islands(p, FRAMES, F.col("frame") - F.col("before") >= min_distance, "run")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, here, run = [], None, []
-
-        def close():
-            kept: list[int] = []
-            for r in sorted(run, key=lambda r: (-r.prob, r.frame)):
-                i = bisect_left(kept, r.frame)
-                if (i == 0 or r.frame - kept[i - 1] >= min_distance) and (i == len(kept) or kept[i] - r.frame >= min_distance):
-                    kept.insert(i, r.frame)
-            out.extend((here[0], f) for f in kept)
-
-        for r in pdf.itertuples(index=False):
-            key = (r.map_id, r.run)
-            if key != here:
-                if here:
-                    close()
-                here, run = key, []
-            run.append(r)
-        if here:
-            close()
-        return pd.DataFrame(out, columns=["map_id", "frame"])
-
-    return fold_runs(p.select("map_id", "run", "frame", "prob"), ["map_id", "run"], ["frame"], keep, "map_id bigint, frame int")
+    r = max(int(min_distance), 1)
+    if width < r:
+        raise ValueError("slices must not be narrower than the distance")
+    at, i = F.floor(F.col("frame") / width).cast("long"), F.pmod(F.col("frame"), F.lit(width))
+    homes = F.array_compact(F.array(at, F.when(i < r - 1, at - 1), F.when(i >= width - r + 1, at + 1)))
+    own = peaks.select("map_id", at.alias("slice"), F.col("frame").cast("int").alias("frame"), F.col(prob).cast("double").alias("prob")).where("frame is not null and prob is not null")
+    p = cut(own.select("map_id", F.explode(homes).alias("slice"), "frame", "prob"))
+    p = p.join(own.select("map_id", "slice").distinct(), ["map_id", "slice"], "left_semi")  # no slice of margins alone
+    key = "map_id bigint, slice bigint"
+    ints = lambda *names: ", ".join(f"{n} array<int>" for n in names)
+    tables = stream_folds(p, ["map_id", "slice"], ["frame"], partial(_SliceTable, reach=r, width=width), f"{key}, {ints('a', 'b', 'l', 'r')}")
+    ahead = stream_folds(tables, ["map_id"], ["slice"], _Ahead, f"{key}, {ints('b', 'outside', 'l')}")
+    borders = stream_folds(cut(ahead), ["map_id"], ["slice"], _Back, f"{key}, a int, b int", descending=True)
+    rows = p.join(borders, ["map_id", "slice"]).select("map_id", "slice", "frame", "prob", "a", "b")
+    return stream_folds(rows, ["map_id", "slice"], ["frame"], partial(_Keep, reach=r, width=width), "map_id bigint, frame int")
 
 
 def snap_to_grid(onsets: DataFrame, maps: DataFrame, subdivision: int = 8, sample_rate=SAMPLE_RATE, hop=HOP_LENGTH) -> DataFrame:

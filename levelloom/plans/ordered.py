@@ -14,11 +14,12 @@ per group. Results do not depend on where the slice borders lie.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 SLICE = "_slice"
 
@@ -242,3 +243,63 @@ def fold_runs(
             yield step(pd.concat(held))
 
     return df.repartition(*names).sortWithinPartitions(*names, *order).mapInPandas(stream, schema)
+
+
+class Fold:
+    """What ``stream_folds`` does with the rows of one key: override ``row`` and ``end``.
+
+    An instance lives for one key and sees its rows in order, so what it keeps is all the
+    memory that the key takes. Both methods give out any number of result tuples.
+    """
+
+    def __init__(self, key: tuple):
+        self.key = key
+
+    def row(self, row: tuple) -> Iterable[tuple]:
+        return ()
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+def stream_folds(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], fold: Callable[[tuple], Fold], schema: str, descending: bool = False) -> DataFrame:
+    """Run one ``Fold`` per key over its rows in ``order``, without ever holding the rows of a key.
+
+    Rows reach ``Fold.row`` as tuples in the column order of ``df``; result tuples follow
+    ``schema``. One shuffle and one sort.
+    """
+    cols = df.columns
+    at = [cols.index(k) for k in keys]
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        now: Fold | None = None
+        for batch in batches:
+            for row in zip(*[batch[c].tolist() for c in cols]):
+                key = tuple(row[i] for i in at)
+                if now is None or key != now.key:
+                    if now is not None:
+                        out.extend(now.end())
+                    now = fold(key)
+                out.extend(now.row(row))
+                if len(out) >= 10_000:
+                    yield frame(out)
+                    out = []
+        if now is not None:
+            out.extend(now.end())
+        if out:
+            yield frame(out)
+
+    sort = [F.col(o) if isinstance(o, str) else o for o in order]
+    if descending:
+        sort = [c.desc() for c in sort]
+    return df.repartition(*keys).sortWithinPartitions(*keys, *sort).mapInPandas(stream, schema)
+
+
+def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    """The DDL of some columns of ``df``."""
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
