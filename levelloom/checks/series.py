@@ -204,14 +204,14 @@ def _(v):
     return S.time_gaps(onsets(v)).select("map_id", "difficulty", "beat", "frame", "time_gap")
 
 
-# length and rounded sum of the frame values inside a context
-_CTX = """(SELECT '128 ' || CAST(CAST(round_even(COALESCE(SUM(rms), 0) * 1000, 0) AS BIGINT) AS VARCHAR) FROM frames c WHERE c.map_id = {f[0]}.map_id AND c.frame >= CASE WHEN GREATEST(0, {f} - 64) + 128 > n_frames THEN GREATEST(0, n_frames - 128) ELSE GREATEST(0, {f} - 64) END
+# length and sum of the frame values inside a context, in whole millionths: sums of doubles depend on their order
+_CTX = """(SELECT '128 ' || CAST(COALESCE(SUM(CAST(ROUND(rms * 1e6) AS BIGINT)), 0) AS VARCHAR) FROM frames c WHERE c.map_id = {f[0]}.map_id AND c.frame >= CASE WHEN GREATEST(0, {f} - 64) + 128 > n_frames THEN GREATEST(0, n_frames - 128) ELSE GREATEST(0, {f} - 64) END
  AND c.frame < CASE WHEN GREATEST(0, {f} - 64) + 128 > n_frames THEN n_frames ELSE GREATEST(0, {f} - 64) + 128 END)""".replace("{f[0]}", "g_on")
 
 
 def _context_text():
-    total = F.aggregate("context_rms", F.lit(0.0), lambda a, x: a + x)
-    return F.concat(F.size("context_rms"), F.lit(" "), F.bround(total * 1000, 0).cast("long"))
+    total = F.aggregate("context_rms", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1e6).cast("long"))
+    return F.concat(F.size("context_rms"), F.lit(" "), total)
 
 
 @query("sequence_samples", """SELECT map_id, difficulty, beat, CASE WHEN GREATEST(0, frame - 64) + 128 > n_frames THEN GREATEST(0, n_frames - 128) ELSE GREATEST(0, frame - 64) END ctx_start,

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
+from functools import partial
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelloom.constants import COMPOSITE_WEIGHTS as CW, EOS, PAD
 from levelloom.functions.scalars import density_score
 from levelloom.operators.parity import K_COLS, gap_reset, remembered_pairs
-from levelloom.plans.ordered import NOTES, Track, asof, fold_runs, islands, scan
+from levelloom.plans.ordered import NOTES, Fold, Track, asof, key_schema, scan, stream_folds
+from levelloom.session import cut
 
 KINDS = ("note", "bomb", "wall", "arc", "chain")
 
@@ -235,49 +237,151 @@ def slot_accuracy(pairs: DataFrame, attributes) -> DataFrame:
     ])
 
 
-_HIT = "tp bigint"
+#: states of a border that are walked at once; borders with more are not cut
+MAX_STATES = 512
 
 
-def onset_matches(pred: DataFrame, truth: DataFrame, keys, on: str, tolerance: float) -> DataFrame:
+def _nudge(reach: float) -> float:
+    """Slack for rounded sums and differences: what is a little out of reach may be looked at, never missed."""
+    return 1e-6 * reach + 1e-9
+
+
+class _Walk:
+    """One still distinct course of a matching: taken truths, pairs so far, and the states it began in."""
+
+    def __init__(self, taken: list[int], begun: int):
+        self.taken, self.pairs, self.begun = taken, 0, {begun: 0}
+
+
+class _Matching(Fold):
+    """Match one segment of a group for every state it may begin in, without holding the segment.
+
+    A state says how many truths are taken at each position that both sides of a border can
+    reach. All distinct courses are walked together; most meet after a few predictions.
+    Result: begins, pairs and ends, entry by entry.
+    """
+
+    def __init__(self, key: tuple, reach: float):
+        super().__init__(key)
+        self.reach, self.far = reach, reach + _nudge(reach)
+        self.at: list[float] = []
+        self.size: list[int] = []
+        self.on: list[bool] = []  # handed on to the next segment
+        self.passed = 0  # handed on, but out of reach of all later predictions
+        self.begins: list[tuple[int, ...]] = [()]
+        self.walks: list[_Walk] | None = None
+
+    def row(self, row):
+        at, side, n, inherited, on = row[-5:]
+        if side:
+            self._start()
+            self._predict(at, int(n))
+            return ()
+        if inherited:
+            self.begins = [(*s, t) for s in self.begins for t in range(int(n) + 1)]
+        else:
+            self._start()
+            for w in self.walks:
+                w.taken.append(0)
+        self.at.append(at)
+        self.size.append(int(n))
+        self.on.append(bool(on))
+        return ()
+
+    def _start(self) -> None:
+        if self.walks is None:
+            self.walks = [_Walk(list(s), i) for i, s in enumerate(self.begins)]
+
+    def _predict(self, x: float, n: int) -> None:
+        gone = bisect_left(self.at, x - self.far)
+        if gone:
+            self.passed += sum(self.on[:gone])
+            del self.at[:gone], self.size[:gone], self.on[:gone]
+        j = bisect_left(self.at, x)
+        for w in self.walks:
+            del w.taken[:gone]
+            for _ in range(n):
+                left = j - 1
+                while left >= 0 and w.taken[left] == self.size[left]:
+                    left -= 1
+                right = j
+                while right < len(self.at) and w.taken[right] == self.size[right]:
+                    right += 1
+                if left >= 0 and (right == len(self.at) or x - self.at[left] <= self.at[right] - x):
+                    right = left
+                if right == len(self.at) or abs(self.at[right] - x) > self.reach:
+                    break
+                w.taken[right] += 1
+                w.pairs += 1
+        if len(self.walks) > 1:
+            met: dict[tuple[int, ...], _Walk] = {}
+            for w in self.walks:
+                first = met.setdefault(tuple(w.taken), w)
+                if first is not w:
+                    first.begun.update({b: pairs + w.pairs - first.pairs for b, pairs in w.begun.items()})
+            self.walks = list(met.values())
+
+    def end(self):
+        self._start()
+        pairs, ends = [0] * len(self.begins), [""] * len(self.begins)
+        for w in self.walks:
+            state = ",".join(map(str, [0] * self.passed + [t for t, on in zip(w.taken, self.on) if on]))
+            for b, before in w.begun.items():
+                pairs[b], ends[b] = before + w.pairs, state
+        yield (*self.key, [",".join(map(str, s)) for s in self.begins], pairs, ends)
+
+
+class _Total(Fold):
+    """Follow the states from segment to segment and add up the pairs."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.state, self.pairs = "", 0
+
+    def row(self, row):
+        begins, pairs, ends = map(list, row[-3:])
+        i = begins.index(self.state)
+        self.pairs, self.state = self.pairs + int(pairs[i]), ends[i]
+        return ()
+
+    def end(self):
+        yield (*self.key, self.pairs)
+
+
+def onset_matches(pred: DataFrame, truth: DataFrame, keys, on: str, tolerance: float, width: float | None = None) -> DataFrame:
     """Matched pairs per group: predictions in order take the nearest free truth within reach.
 
-    Pairs only form within ``tolerance``, so the merged stream is cut at wider gaps and
-    the runs are matched independently.
+    A truth enters the stream when the first prediction can reach it. The stream is cut into
+    slices of ``width``; what passes a border is only which truths near it are taken, so each
+    slice is matched for every such state and the slices are then chained, one row each. A
+    border with more than ``MAX_STATES`` states (many truths within reach) is not cut. Rows of
+    a slice are streamed; only truths within reach of one prediction are held.
     """
     keys = list(keys)
+    reach = float(tolerance)
+    width = width or max(reach * 512, 64.0)
+    if width <= 4 * reach:
+        raise ValueError("slices must be wider than four tolerances")
     p = pred.select(*keys, F.col(on).cast("double").alias("at"), F.lit(1).alias("side"))
     t = truth.select(*keys, F.col(on).cast("double").alias("at"), F.lit(0).alias("side"))
-    u = p.unionByName(t).groupBy(*keys, "at", "side").agg(F.count("*").alias("n"))
-    track = Track(tuple(keys), ("at", "side"), f"floor(at / {max(tolerance * 64, 1e-6)})")
-    u = scan(u, track, prev={"before": "at"})
-    u = islands(u, track, F.col("at") - F.col("before") > tolerance, "run")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, here, preds, trues = [], None, [], []
-
-        def close():
-            free, tp = trues, 0  # in order, so the nearest free truth is one of two neighbours
-            for x in preds:
-                j = bisect_left(free, x)
-                if j and (j == len(free) or x - free[j - 1] <= free[j] - x):
-                    j -= 1
-                if j < len(free) and abs(free[j] - x) <= tolerance:
-                    free.pop(j)
-                    tp += 1
-            if here is not None:
-                out.append((*here[:-1], tp))
-
-        for r in pdf.itertuples(index=False):
-            key = tuple(r[: len(keys) + 1])
-            if key != here:
-                close()
-                here, preds, trues = key, [], []
-            (preds if r.side else trues).extend([r.at] * r.n)
-        close()
-        return pd.DataFrame(out, columns=[*keys, "tp"])
-
-    schema = ", ".join(f"{k} {u.schema[k].dataType.simpleString()}" for k in keys) + ", tp bigint"
-    return fold_runs(u.select(*keys, "run", "at", "side", "n"), [*keys, "run"], ["at", "side"], match, schema).groupBy(*keys).agg(F.sum("tp").alias("tp"))
+    u = p.unionByName(t).where("at is not null").groupBy(*keys, "at", "side").agg(F.count("*").alias("n"))
+    far = reach + _nudge(reach)
+    enters = F.when(F.col("side") == 0, F.col("at") - far).otherwise(F.col("at"))
+    u = u.withColumn("enters", enters).withColumn("slice", F.floor(F.col("enters") / width).cast("long"))
+    shared = (F.col("side") == 0) & (F.col("enters") >= (F.col("slice") + 1) * width - 2 * far)
+    u = cut(u.withColumn("shared", shared))
+    ways = F.sum(F.when(F.col("shared"), F.log(F.col("n") + 1.0)).otherwise(0.0))
+    slices = u.groupBy(*keys, "slice").agg((ways <= math.log(MAX_STATES) + 1e-9).cast("long").alias("cut"))
+    before = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = slices.withColumn("segment", F.coalesce(F.sum("cut").over(before), F.lit(0)))
+    named = u.join(slices, [*keys, "slice"])
+    on_ = F.col("shared") & (F.col("cut") == 1)
+    own = named.select(*keys, "segment", "at", "side", "n", "enters", F.lit(False).alias("inherited"), on_.alias("on"))
+    copies = named.where(on_).select(*keys, (F.col("segment") + 1).alias("segment"), "at", "side", "n", "enters", F.lit(True).alias("inherited"), F.lit(False).alias("on"))
+    rows = own.unionByName(copies).select(*keys, "segment", "enters", "at", "side", "n", "inherited", "on")
+    schema = f"{key_schema(rows, [*keys, 'segment'])}, begins array<string>, pairs array<bigint>, ends array<string>"
+    segments = stream_folds(rows, [*keys, "segment"], ["enters", "side"], partial(_Matching, reach=reach), schema)
+    return stream_folds(segments, keys, ["segment"], _Total, f"{key_schema(rows, keys)}, tp bigint")
 
 
 def onset_scores(pred: DataFrame, truth: DataFrame, keys, on: str = "frame", tolerance: float = 3.0, groups: DataFrame | None = None) -> DataFrame:

@@ -99,3 +99,36 @@ def test_stream_folds_hold_no_rows(spark):
 
     d = spark.range(50_000).select((F.col("id") % 3).alias("g"), "id")
     assert sorted(map(tuple, ordered.stream_folds(d, ["g"], ["id"], Count, "g long, n long").collect())) == [(0, 16667), (1, 16667), (2, 16666)]
+
+
+def matched(preds, truths, tolerance):
+    free, n = sorted(truths), 0
+    for x in sorted(preds):
+        best = min(free, key=lambda t: (abs(t - x), t), default=None)
+        if best is not None and abs(best - x) <= tolerance:
+            free.remove(best)
+            n += 1
+    return n
+
+
+def test_onset_matching_of_saturated_groups(spark, monkeypatch):
+    from levelloom.operators import reports
+
+    r = random.Random(11)
+    groups = {
+        1: (range(400), range(400)),
+        2: ([0, 0, *range(400)], range(400)),  # one pair too many pushes all others on
+        3: (range(1, 400), [*range(400), 77]),
+        4: ([i for i in range(400) if r.random() < 0.7], [i for i in range(400) if r.random() < 0.6]),
+        5: ([r.randrange(200) for _ in range(500)], [r.randrange(200) for _ in range(300)]),
+        6: ([7], []), 7: ([], [7]), 8: ([3, 500], [6, 497, 503]),
+        9: ([i / 10 for i in range(900)], [i / 10 + r.choice([0.0, 0.05, 0.3]) for i in range(0, 900, 2)]),
+        10: ([r.uniform(0, 60) for _ in range(300)], [r.uniform(0, 60) for _ in range(300)]),
+    }
+    p = spark.createDataFrame([(g, float(x)) for g, (ps, _) in groups.items() for x in ps], "g long, at double")
+    t = spark.createDataFrame([(g, float(x)) for g, (_, ts) in groups.items() for x in ts], "g long, at double")
+    for tolerance, width, states in ((3.0, 16.0, 512), (3.0, None, 512), (1.0, 5.0, 4), (0.5, 8.0, 512), (0.0, 3.0, 2)):
+        monkeypatch.setattr(reports, "MAX_STATES", states)
+        got = {x.g: x.tp for x in reports.onset_matches(p, t, ["g"], "at", tolerance, width).collect()}
+        for g, (ps, ts) in groups.items():
+            assert got.get(g, 0) == matched(list(ps), list(ts), tolerance), (g, tolerance, width)
