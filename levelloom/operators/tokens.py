@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from levelloom import constants as K
 from levelloom.functions.scalars import clamp, dequantize, lookup, quantize
 from levelloom.operators.parity import K_COLS
-from levelloom.plans.ordered import Track, fold_runs, scan
+from levelloom.plans.ordered import Fold, Track, scan, stream_folds
 from levelloom.session import cut
 
 PRIORITY = {"note": 0, "bomb": 1, "wall": 2, "arc_start": 3, "arc_end": 4, "chain": 5}
@@ -142,51 +142,131 @@ _ARC_OUT = (
 )
 
 
-def _match_arcs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Heads in time order each take the cheapest unused tail of their run."""
-    out = []
-    heads, tails, here = [], [], None
+#: tails further apart than this never compete for a head: the largest grid term of the cost, and some slack
+_RIVALS = 0.05 + 1e-9
+_LATE = 1000.0
 
-    def close():
-        for h in heads:
-            if not tails:
+
+def _cost(h: tuple, t: tuple) -> float:
+    """Cost of a tail for a head; both begin (beat, x, y)."""
+    return abs(t[0] - h[0]) + (_LATE if t[0] < h[0] else 0.0) + (abs(t[1] - h[1]) + abs(t[2] - h[2])) * 0.01
+
+
+def _int(v) -> int | None:
+    return None if v is None or v != v else int(v)
+
+
+class _Ends(Fold):
+    """Base of both folds over arc ends: rows end with (beat, x, y, ord, direction, mu, mid_anchor, is_head)."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.heads: deque[tuple] = deque()
+        self.tails: list[tuple] = []
+
+    def out(self, found: str, h: tuple | None, t: tuple | None) -> tuple:
+        """A pair, or an end that is still alone, in the columns of ``_ENDS``."""
+        parts = []
+        for e in (h, t):
+            parts += [None] * 5 if e is None else [e[0], _int(e[1]), _int(e[2]), _int(e[4]), e[5]]
+        return (*self.key[:3], found, *parts, None if t is None else _int(t[6]), _int((h or t)[3]))
+
+
+class _Forward(_Ends):
+    """Heads in time order take the cheapest free tail at or after them; ends left over are given out."""
+
+    def row(self, row):
+        end = row[-8:]
+        if self.tails and end[0] - self.tails[-1][0] > _RIVALS:
+            yield from self.settle()
+        (self.heads if end[-1] else self.tails).append(end)
+
+    def settle(self):
+        while self.heads and self.tails:
+            h = self.heads[0]
+            free = [(_cost(h, t), i) for i, t in enumerate(self.tails) if t[0] >= h[0]]
+            if not free:
                 break
-            cost = [abs(t.beat - h.beat) + (1000.0 if t.beat < h.beat else 0.0) + (abs(t.x - h.x) + abs(t.y - h.y)) * 0.01 for t in tails]
-            t = tails.pop(min(range(len(cost)), key=cost.__getitem__))
-            out.append((h.map_id, h.difficulty, h.color, h.beat, h.x, h.y, h.direction, h.mu, t.beat, t.x, t.y, t.direction, t.mu, int(t.mid_anchor)))
+            yield self.out("pair", self.heads.popleft(), self.tails.pop(min(free)[1]))
+        for t in self.tails:
+            yield self.out("tail", None, t)
+        self.tails = []
+
+    def end(self):
+        yield from self.settle()
+        for h in self.heads:
+            yield self.out("head", h, None)
+
+
+class _Backward(_Ends):
+    """Heads without a tail at or after them take the cheapest of a few rival tails before them."""
+
+    def row(self, row):
+        (self.heads if row[-1] else self.tails).append(row[-8:])
+        return ()
 
-    for r in pdf.itertuples(index=False):
-        key = (r.map_id, r.difficulty, r.color, r.run)
-        if key != here:
-            close()
-            heads, tails, here = [], [], key
-        (heads if r.is_head else tails).append(r)
-    close()
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _ARC_OUT.split(", ")])
+    def end(self):
+        for h in self.heads:
+            if not self.tails:
+                break
+            i = min(range(len(self.tails)), key=lambda i: _cost(h, self.tails[i]))
+            yield self.out("pair", h, self.tails.pop(i))
+
+
+_HAND = [*K_COLS, "color"]
+_ENDS = (
+    "map_id bigint, difficulty string, color int, found string, beat double, x int, y int, direction int, mu double, "
+    "tail_beat double, tail_x int, tail_y int, tail_direction int, tail_mu double, mid_anchor int, ord int"
+)
+_END = ["beat", "x", "y", "ord", "direction", "mu", "mid_anchor", "is_head"]
 
 
 def pair_arcs(decoded: DataFrame) -> DataFrame:
     """Match arc heads to tails per hand: nearest tail at or after, then grid distance.
 
-    The stream of heads and tails is cut wherever every head so far has its tail, no
-    tail ever came before its head, and distinct positions lie further apart than the
-    largest grid term. Heads before such a cut always find their tails before it, so
-    runs are matched independently; where no cut is safe, the run simply stays longer.
+    Heads wait in line, so the tail a head gets follows from counting: a tail nobody waits
+    for is left over, any other serves the next head in line. Ranks bring a head together with
+    the few rival tails among which grid distance decides, so neither an unmatched head nor
+    crowded tails make runs longer. Heads that wait for ever take the latest tails left over,
+    matched by rank from the end. Only where a head lies between two rival tails do counts
+    depend on the grid; such a hand is streamed in order, holding the waiting heads alone.
     """
-    need = [*K_COLS, "color", "beat", "ord", "kind", "x", "y", "direction", "mu", "mid_anchor"]
-    a = cut(decoded.where(F.col("kind").isin("arc_start", "arc_end")).select(*need)).withColumn("is_head", F.col("kind") == "arc_start")
-    a = a.withColumn("_tail", (~F.col("is_head")).cast("int"))
-    track = Track((*K_COLS, "color"), ("beat", "_tail", "ord"), "floor(beat / 64)")
-    step = F.when(F.col("is_head"), 1).otherwise(-1).cast("long")
-    a = cut(scan(a, track, sums={"open": step}, prev={"prev_beat": "beat"}))
-    gap = F.col("beat") - F.col("prev_beat")
-    bad = (F.col("open") < 0) | ((gap > 0) & (gap <= 0.05))
-    a = scan(a, track, sums={"n_bad": bad.cast("long")})
-    cut_here = (F.col("open") - step == 0) & (F.col("n_bad") == 0) & (gap > 0)
-    a = scan(a, track, sums={"run": F.coalesce(cut_here, F.lit(False)).cast("long")})
-    cols = [*K_COLS, "color", "run", "beat", "_tail", "ord", "is_head", "x", "y", "direction", "mu", "mid_anchor"]
-    a = a.select(*cols).na.fill({"mid_anchor": 0})
-    return fold_runs(a, [*K_COLS, "color", "run"], ["beat", "_tail", "ord"], _match_arcs, _ARC_OUT)
+    need = [*_HAND, "beat", "ord", "kind", "x", "y", "direction", "mu", "mid_anchor"]
+    a = decoded.where(F.col("kind").isin("arc_start", "arc_end")).select(*need).na.fill({"mid_anchor": 0})
+    a = cut(a.withColumn("is_head", F.col("kind") == "arc_start").drop("kind").withColumn("_tail", (~F.col("is_head")).cast("int")))
+    track = Track(tuple(_HAND), ("beat", "_tail", "ord"), "floor(beat / 64)")
+    head, tail = F.col("is_head"), ~F.col("is_head")
+    one = F.lit(1).cast("long")
+    a = scan(a, track, sums={"_heads": head.cast("long"), "_tails": tail.cast("long")}, prev={"_was": ("beat", tail)}, nxt={"_next": ("beat", tail)})
+    a = cut(a.withColumn("_open", F.col("_heads") - F.col("_tails")))  # below zero once tails came for nobody
+    new = tail & F.coalesce(F.col("beat") - F.col("_was") > _RIVALS, F.lit(True))
+    lowest = F.col("_open") - F.when(head, 1).otherwise(-1)  # as it was before the row
+    a = cut(scan(a, track, lows={"_low": lowest}, sums={"group": new.cast("long")}))
+    mixed = a.where(head & (F.col("_next") - F.col("_was") <= _RIVALS)).select(*_HAND).distinct()
+    a = a.join(mixed.withColumn("_mixed", F.lit(True)), _HAND, "left").withColumn("_mixed", F.coalesce("_mixed", F.lit(False)))
+    # a tail nobody waits for makes a new lowest; their number is the lowest so far
+    wanted = a.where(tail & (F.col("_open") >= F.col("_low")))
+    wanted = wanted.select(*_HAND, (F.col("_tails") + F.col("_low")).alias("_heads"), F.col("group").alias("_group"))
+    cols = [*_HAND, "group", "_tail", *_END]
+    heads = a.where(head & ~F.col("_mixed")).drop("group").join(wanted, [*_HAND, "_heads"], "left").withColumn("group", F.coalesce("_group", F.lit(-1).cast("long")))
+    rows = heads.select(*cols).unionByName(a.where(tail & ~F.col("_mixed")).select(*cols))
+    rows = rows.unionByName(a.where("_mixed").withColumn("group", F.lit(-2).cast("long")).select(*cols))
+    found = cut(stream_folds(rows, [*_HAND, "group"], ["beat", "_tail", "ord"], _Forward, _ENDS))
+    pairs = found.where("found = 'pair'")
+    late = found.where("found = 'head'").select(*_HAND, "beat", "ord", "x", "y", "direction", "mu", F.lit(0).alias("mid_anchor"), F.lit(True).alias("is_head"))
+    left = found.where("found = 'tail'").select(
+        *_HAND, F.col("tail_beat").alias("beat"), "ord", F.col("tail_x").alias("x"), F.col("tail_y").alias("y"), F.col("tail_direction").alias("direction"),
+        F.col("tail_mu").alias("mu"), "mid_anchor", F.lit(False).alias("is_head"))
+    left = left.join(late.select(*_HAND).distinct(), _HAND, "left_semi")
+    order = Track(tuple(_HAND), ("beat", "ord"), "floor(beat / 64)")
+    back = Track(tuple(_HAND), ("_back", "_last"), "floor(_back / 64)")
+    left = left.withColumn("_back", -F.col("beat")).withColumn("_last", -F.col("ord"))
+    left = scan(left, back, sums={"_nth": one}, prev={"_was": "beat"})
+    left = cut(scan(left, back, sums={"group": F.coalesce(F.col("_was") - F.col("beat") > _RIVALS, F.lit(True)).cast("long")}))
+    late = scan(late, order, sums={"_nth": one}).join(left.select(*_HAND, "_nth", "group"), [*_HAND, "_nth"])
+    both = late.select(*_HAND, "group", *_END).unionByName(left.select(*_HAND, "group", *_END))
+    more = stream_folds(both, [*_HAND, "group"], ["beat", "ord"], _Backward, _ENDS)
+    return pairs.unionByName(more).select(*[c.split()[0] for c in _ARC_OUT.split(", ")])
 
 
 def note_tuples(tokens, *, loose: bool = False) -> Column:

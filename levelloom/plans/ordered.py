@@ -57,15 +57,16 @@ def scan(
     upto: Mapping[str, object] | None = None,
     nxt: Mapping[str, object] | None = None,
     sums: Mapping[str, object] | None = None,
+    lows: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Add neighbour values and running sums along ``track``.
 
     ``prev``/``nxt`` map an output name to ``expr`` or ``(expr, cond)``: the value of
     ``expr`` on the nearest earlier/later row (where ``cond`` holds). ``upto`` is
-    ``prev`` that may also pick the row itself. ``sums`` are running sums up to and
-    including the row. All outputs share one shuffle of the rows.
+    ``prev`` that may also pick the row itself. ``sums`` are running sums and ``lows``
+    running minima, up to and including the row. All outputs share one shuffle of the rows.
     """
-    prev, upto, nxt, sums = prev or {}, upto or {}, nxt or {}, sums or {}
+    prev, upto, nxt, sums, lows = prev or {}, upto or {}, nxt or {}, sums or {}, lows or {}
     ks = [*track.keys, SLICE]
     order = [F.col(c) for c in track.order]
     back = [F.col(c).desc() for c in track.order]
@@ -109,6 +110,12 @@ def scan(
         carries.append(F.sum(expr).alias(out))
         seeds[out] = "sum"
         final.append((F.coalesce(F.col(f"_local_{out}"), F.lit(0)) + F.coalesce(F.col(f"_carry_{out}"), F.lit(0))).alias(out))
+    for out, spec in lows.items():
+        expr, _ = _pair(spec)
+        local[out] = F.min(expr).over(part.orderBy(*order).rowsBetween(_FIRST, 0))
+        carries.append(F.min(expr).alias(out))
+        seeds[out] = "low"
+        final.append(F.least(f"_local_{out}", f"_carry_{out}").alias(out))
 
     along = W.partitionBy(*track.keys).orderBy(SLICE).rowsBetween(_FIRST, -1)
     against = W.partitionBy(*track.keys).orderBy(F.col(SLICE).desc()).rowsBetween(_FIRST, -1)
@@ -116,13 +123,14 @@ def scan(
         "back": lambda c: F.last(c, True).over(along),
         "ahead": lambda c: F.last(c, True).over(against),
         "sum": lambda c: F.sum(c).over(along),
+        "low": lambda c: F.min(c).over(along),
     }
     carry = rows.groupBy(*ks).agg(*carries).select(
         *ks, *[how[kind](out).alias(f"_carry_{out}") for out, kind in seeds.items()]
     )
     rows = rows.select("*", *[c.alias(f"_local_{o}") for o, c in local.items()]).join(carry, ks, "left")
 
-    made = {*prev, *upto, *nxt, *sums}
+    made = {*prev, *upto, *nxt, *sums, *lows}
     return rows.select(*[c for c in df.columns if c not in made], *final)
 
 

@@ -132,3 +132,46 @@ def test_onset_matching_of_saturated_groups(spark, monkeypatch):
         got = {x.g: x.tp for x in reports.onset_matches(p, t, ["g"], "at", tolerance, width).collect()}
         for g, (ps, ts) in groups.items():
             assert got.get(g, 0) == matched(list(ps), list(ts), tolerance), (g, tolerance, width)
+
+
+def paired(heads, tails):
+    """One hand, rows (beat, ord, x, y): every head in order takes the cheapest tail left."""
+    free, out = sorted(tails), []
+    for h in sorted(heads):
+        if not free:
+            break
+        cost = [abs(t[0] - h[0]) + (1000.0 if t[0] < h[0] else 0.0) + (abs(t[2] - h[2]) + abs(t[3] - h[3])) * 0.01 for t in free]
+        t = free.pop(min(range(len(cost)), key=cost.__getitem__))
+        out.append((h[0], h[1], t[0], t[1]))
+    return sorted(out)
+
+
+def test_arc_pairing_of_long_and_crowded_hands(spark):
+    from levelloom.operators import tokens
+
+    r = random.Random(5)
+
+    def ends(beats, base):
+        return [(b, base + i, r.randrange(4), r.randrange(3)) for i, b in enumerate(beats)]
+
+    grid = [i / 4 for i in range(600)]
+    hands = [
+        (ends([0.0, *grid], 0), ends([b + 0.25 for b in grid], 5000)),  # one head too many: the line never empties
+        (ends(grid, 0), ends([0.0, *grid], 5000)),
+        (ends([r.choice(grid) for _ in range(300)], 0), ends([r.choice(grid) for _ in range(300)], 5000)),
+        (ends([r.choice(grid[:40]) for _ in range(200)], 0), ends([r.choice(grid[:40]) for _ in range(260)], 5000)),
+        (ends([r.choice(grid[:40]) for _ in range(260)], 0), ends([r.choice(grid[:40]) for _ in range(200)], 5000)),
+        (ends([150.0, 151.0, 160.0], 0), ends([1.0, 1.0, 1.03, 100.0], 5000)),  # all tails before all heads
+        (ends([0.5, 1.02, 1.5, *[2 + b for b in grid]], 0), ends([1.0, 1.03, 1.9, *[3 + b for b in grid]], 5000)),  # a head between rivals
+        (ends([r.uniform(0, 30) for _ in range(200)], 0), ends([r.uniform(0, 30) for _ in range(190)], 5000)),
+        (ends([b / 50 for b in range(300)], 0), ends([b / 50 + 0.3 for b in range(300)], 5000)),
+        (ends([3.0], 0), []), ([], ends([3.0], 0)),
+    ]
+    rows = []
+    for i, (hs, ts) in enumerate(hands):
+        rows += [(i, "Expert", i % 2, b, o, "arc_start", x, y, o, 0.5, None) for b, o, x, y in hs]
+        rows += [(i, "Expert", i % 2, b, o, "arc_end", x, y, o, 0.25, 1) for b, o, x, y in ts]
+    d = spark.createDataFrame(rows, "map_id long, difficulty string, color int, beat double, ord int, kind string, x int, y int, direction int, mu double, mid_anchor int")
+    got = tokens.pair_arcs(d).collect()
+    for i, (hs, ts) in enumerate(hands):
+        assert sorted((g.beat, g.direction, g.tail_beat, g.tail_direction) for g in got if g.map_id == i) == paired(hs, ts), i
