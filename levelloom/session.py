@@ -34,11 +34,13 @@ def tune(spark: SparkSession) -> SparkSession:
     """Session settings the operators profit from; values set by the user stay.
 
     HotSpot never compiles methods above 8000 bytes of bytecode, so fused stages larger
-    than that run interpreted; below the limit Spark splits them instead.
+    than that run interpreted; below the limit Spark splits them instead. Batches handed to
+    Python are kept small in bytes, as a batch exists several times at once (Arrow, strings,
+    results) and a row may hold a very long text.
     """
-    key = "spark.sql.codegen.hugeMethodLimit"
-    if spark.conf.get(key, "65535") == "65535":
-        spark.conf.set(key, "8000")
+    for key, default, better in (("spark.sql.codegen.hugeMethodLimit", "65535", "8000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, better)
     return spark
 
 
