@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from levelloom.llm import langid, mixing, packing, pii, simhash
 from levelloom.llm.common import cut
 from levelloom.llm.queries import tokenizer_path
+from levelloom.session import tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is not recognised go."""
+    tune(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    tune(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is generalised; all rows stay."""
+    tune(spark)
     return pii.sanitise(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are left out, repeated or (one per source) cut so that sources meet their targets."""
+    tune(spark)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in windows: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
+    tune(spark)
     return packing.pack(docs, tokenizer_path())
 
 
