@@ -21,6 +21,8 @@ from levelloom.llm.common import borders, components, cut, runs, smallest_labels
 BITS, WORDS, SEED = 64, 4, 42
 #: fingerprints of one variant that one task compares; larger groups are split into blocks
 BLOCK = 2048
+#: fingerprints that are compared with a whole run at once
+STRIP = 64
 #: shingles whose bits are counted at once
 CHUNK = 1 << 16
 
@@ -79,6 +81,17 @@ def _canonical(key: np.ndarray, diff: np.ndarray, distance: int) -> np.ndarray:
     return ok
 
 
+def _labels(f: np.ndarray, distance: int) -> np.ndarray:
+    """Local component of each fingerprint of a long run; the pairs of a strip never outlive it."""
+    label = np.arange(len(f))
+    for j in range(0, len(f), STRIP):
+        x, y = np.nonzero(np.bitwise_count(f[j:j + STRIP, None] ^ f[None, j:]) <= distance)
+        a, b = label[x + j], label[y + j]
+        keep = a != b
+        label = smallest_labels(len(f), a[keep], b[keep])[label]
+    return label
+
+
 def _verify(distance: int):
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in runs(batches, ["key", "block"]):
@@ -101,14 +114,7 @@ def _verify(distance: int):
             # long runs: links of a run shrink to one star per local component
             for i in np.flatnonzero(size > 32):
                 f = fp[at[i]:at[i + 1]]
-                p, q = [], []
-                for j in range(0, len(f), 256):
-                    near = np.bitwise_count(f[j:j + 256, None] ^ f[None, :]) <= distance
-                    x, y = np.nonzero(near)
-                    keep = x + j < y
-                    p.append(x[keep] + j)
-                    q.append(y[keep])
-                label = smallest_labels(len(f), np.concatenate(p), np.concatenate(q))
+                label = _labels(f, distance)
                 moved = label != np.arange(len(f))
                 a.append(f[label[moved]])
                 b.append(f[moved])
