@@ -54,9 +54,17 @@ def _(v):
     return C.category_counts(documents(v).select(C.flag_category().alias("category")))
 
 
-@query("document_fields", f"""SELECT map_id, CAST(uploaded[1:4] AS INTEGER) "year", sha256(CAST(map_id AS VARCHAR)) hash, {TAGS}[map_id % 12 + 1] tag FROM catalogue""")
+#: every document has one to three tags and versions here, the latest version last
+_DOC_TAGS = f"list_transform(range(0, map_id % 3 + 1), lambda i: {TAGS}[(map_id + 5 * i) % 12 + 1])"
+
+
+@query("document_fields", f"""SELECT map_id, CAST(uploaded[1:4] AS INTEGER) "year", sha256(CAST(map_id AS VARCHAR) || repeat('+', CAST(map_id % 3 AS INTEGER))) hash, {_DOC_TAGS} tags, len({_DOC_TAGS}) n_tags FROM catalogue""")
 def _(v):
-    return documents(v).select("map_id", X.upload_year("uploaded").alias("year"), C.latest_hash().alias("hash"), F.get(C.raw_tags(), F.lit(0)).alias("tag"))
+    names = F.array(*[F.lit(t) for t in TAGS])
+    steps = F.sequence(F.lit(0), (F.col("map_id") % 3).cast("int"))
+    d = documents(v).withColumn("tags", F.transform(steps, lambda i: F.get(names, ((F.col("map_id") + 5 * i) % 12).cast("int"))))
+    d = d.withColumn("versions", F.transform(steps, lambda i: F.struct(F.sha2(F.concat(F.col("map_id").cast("string"), F.repeat(F.lit("+"), i)), 256).alias("hash"))))
+    return d.select("map_id", X.upload_year("uploaded").alias("year"), C.latest_hash().alias("hash"), C.raw_tags().alias("tags"), F.size(C.raw_tags()).cast("long").alias("n_tags"))
 
 
 def _mods(v):

@@ -60,8 +60,9 @@ def _(v):
     from levelloom.plans.views import shape_objects
 
     n = shape_objects(stream(v, "lineitem")).where("kind = 'note'").select("map_id", "difficulty", "color", "beat", "seq", "direction")
-    t = _run(v, J.running_parity(n), "update", "parity")
-    return J.newest(t, ["map_id", "difficulty", "color"]).drop("late")
+    base = scratch(v.spark, "parity")
+    J.running_parity(n, f"{base}/out", f"{base}/ck").awaitTermination()
+    return J.parity_totals(f"{base}/out", v.spark).drop("late")
 
 
 @query("stream_ingest", """SELECT 'events' t, COUNT(*) n FROM (SELECT map_id, dd FROM v2_obj WHERE kind IN ('note','bomb','wall') AND (map_id, dd) IN (SELECT (map_id, difficulty) FROM v2_live) UNION ALL SELECT map_id, difficulty FROM v2_live)
@@ -136,9 +137,14 @@ def _(v):
 _HEADS = {"color": (0, 3), "col": (3, 4), "row": (7, 3), "direction": (10, 9), "angle": (19, 7)}
 
 
+#: the third slot has the twelve entries that two slots leave, its angle those of the column and row heads
+_LAST = {"color": (52, 3), "col": (55, 4), "row": (59, 3), "direction": (62, 2), "angle": (55, 7)}
+
+
 @query("structured_notes", """WITH h AS (SELECT vec_id, k, list_transform(range(0, 26), lambda i: embedding[k * 26 + i + 1]) e FROM embeddings, range(0, 2) r(k)),
- a AS (SELECT vec_id, k, list_position(e[1:3], list_max(e[1:3])) - 1 c, list_position(e[4:7], list_max(e[4:7])) - 1 x, list_position(e[8:10], list_max(e[8:10])) - 1 y, list_position(e[11:19], list_max(e[11:19])) - 1 d, list_position(e[20:26], list_max(e[20:26])) - 1 g FROM h)
+ a AS (SELECT vec_id, k, list_position(e[1:3], list_max(e[1:3])) - 1 c, list_position(e[4:7], list_max(e[4:7])) - 1 x, list_position(e[8:10], list_max(e[8:10])) - 1 y, list_position(e[11:19], list_max(e[11:19])) - 1 d, list_position(e[20:26], list_max(e[20:26])) - 1 g FROM h
+  UNION ALL SELECT vec_id, 2, list_position(e[53:55], list_max(e[53:55])) - 1, list_position(e[56:59], list_max(e[56:59])) - 1, list_position(e[60:62], list_max(e[60:62])) - 1, list_position(e[63:64], list_max(e[63:64])) - 1, list_position(e[56:62], list_max(e[56:62])) - 1 FROM (SELECT vec_id, embedding e FROM embeddings))
  SELECT vec_id, x, y, c color, d direction, (g - 3) * 15 angle_offset FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY vec_id, x, y ORDER BY k) r FROM a WHERE c < 2) WHERE r = 1""")
 def _(v):
-    heads = {n: F.array(*[F.slice("embedding", s * 26 + at + 1, size) for s in range(2)]).alias(n) for n, (at, size) in _HEADS.items()}
+    heads = {n: F.array(*[F.slice("embedding", s * 26 + at + 1, size) for s in range(2)], F.slice("embedding", _LAST[n][0] + 1, _LAST[n][1])).alias(n) for n, (at, size) in _HEADS.items()}
     return S.structured_notes(v.embeddings.select("vec_id", *heads.values()), ["vec_id"]).drop("slot")

@@ -29,6 +29,12 @@ def md5_mod(value, m: int) -> Column:
     return r
 
 
+def hash_order(*values) -> Column:
+    """An order by chance that other engines can compute: 60 bits of the MD5 of the texts, joined by slashes."""
+    digest = F.md5(F.concat_ws("/", *[_c(v).cast("string") for v in values]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def split_percent(value, train: float = 0.85, val: float = 0.10) -> Column:
     """Split by hash percentile; borders are whole percents."""
     h = md5_mod(value, 100)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelloom.constants import CONTEXT_FRAME_RATE, FIRST_ONSET_GAP
-from levelloom.functions.scalars import difficulty_id, pad_tokens
+from levelloom.functions.scalars import difficulty_id, hash_order, pad_tokens
 from levelloom.operators.parity import K_COLS
 from levelloom.operators.tokens import encode_levels, encode_lights, mirrored
 from levelloom.operators.timing import beat_frames, in_range
 from levelloom.plans.ordered import NOTES, Track, asof, position, scan, with_halo
+from levelloom.plans.selecting import smallest
 from levelloom.session import cut
 
 ONSETS = Track(NOTES.keys, ("frame", "beat"), "floor(frame / 1024)")
@@ -165,10 +166,13 @@ def song_samples(onsets: DataFrame, part: int = 1024) -> DataFrame:
 
 
 def epoch_sample(df: DataFrame, keys, n: int, epoch: int) -> DataFrame:
-    """Exactly ``n`` rows (or all) chosen by hash of key and epoch, without replacement."""
-    d = df.withColumn("_h", F.xxhash64(*keys, F.lit(epoch)))
-    d = scan(d, Track((), ("_h", *keys), "shiftright(_h, 46)"), sums={"_pos": F.lit(1).cast("long")})
-    return d.where(F.col("_pos") <= n).drop("_h", "_pos")
+    """Exactly ``n`` rows (or all) chosen by hash of key and epoch, without replacement.
+
+    The hash is the first 60 bits of an MD5, so other engines can draw the same rows. Rows
+    are counted by ranges of it; only those of the range in which the cut lies are ordered.
+    """
+    d = df.withColumn("_h", hash_order(*keys, F.lit(epoch)))
+    return smallest(d, [], "_h", n, keys).drop("_h")
 
 
 def structured_notes(preds: DataFrame, keys) -> DataFrame:

@@ -28,14 +28,17 @@ def first_rows(df: DataFrame, keys: Sequence[str], n: Column | int, bucket: Colu
     columns that are constant for a key. Without keys the whole table is one group. Only the
     rows of a key's cut bucket are ordered, so the narrower the buckets the better.
     """
-    ks = list(keys) or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    rows = rows.withColumns({"_bucket": bucket, "_limit": (F.lit(n) if isinstance(n, int) else n).cast("long")})
+    ks = list(keys)
+    rows = df.withColumns({"_bucket": bucket, "_limit": (F.lit(n) if isinstance(n, int) else n).cast("long")})
     sizes = rows.groupBy(*ks, "_bucket").agg(F.count("*").alias("_size"), F.max("_limit").alias("_limit"))
     before = W.partitionBy(*ks).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).where("_before < _limit")
     cuts = sizes.groupBy(*ks).agg(F.max("_bucket").alias("_cut"), F.max_by(F.col("_limit") - F.col("_before"), "_bucket").alias("_rest"))
-    rows = rows.drop("_limit").join(cuts, ks).where("_bucket <= _cut")
+    if ks:
+        rows = rows.drop("_limit").join(cuts, ks).where("_bucket <= _cut")
+    else:  # one row, as a constant of the filter
+        one = cuts.select(F.struct("_cut", "_rest").alias("c")).scalar()
+        rows = rows.drop("_limit").withColumns({"_cut": one["_cut"], "_rest": one["_rest"]}).where("_bucket <= _cut")
     whole = rows.where("_bucket < _cut")
     part = rows.where("_bucket = _cut").withColumn("_place", F.row_number().over(W.partitionBy(*ks).orderBy(*order))).where("_place <= _rest").drop("_place")
     return whole.unionByName(part).select(*df.columns)

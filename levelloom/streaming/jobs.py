@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from levelloom.constants import BACKHAND, FOREHAND
+from levelloom.functions.scalars import is_neutral, parity_class
+from levelloom.plans.ordered import Track, scan
+from levelloom.session import cut
 from levelloom.sources.documents import level_events, parse_levels, rejects
 
 
@@ -51,37 +50,73 @@ def heartbeat_sessions(beats: DataFrame, *, gap: str = "30 minutes", late: str =
     return g.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-PARITY_OUT = "map_id bigint, difficulty string, color int, violations bigint, checks bigint, late bigint"
-_PARITY_STATE = "cls string, beat double, violations bigint, checks bigint, late bigint"
+HAND = ["map_id", "difficulty", "color"]
+PARITY_STATE = "map_id bigint, difficulty string, color int, last_beat double, last_cls string, idle int"
+PARITY_OUT = "map_id bigint, difficulty string, color int, violations bigint, checks bigint, late bigint, batch int"
 
 
-def running_parity(notes: DataFrame, max_gap: float = 3.0) -> DataFrame:
-    """Parity with gap reset per hand, kept as state; every trigger emits the running totals.
+def parity_step(notes: DataFrame, state: DataFrame, max_gap: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """What the notes of one trigger add per hand, and the last swing of each of these hands.
 
-    Notes of one trigger are put in order; a note before the last seen beat is late, as
-    it would reorder decided pairs, and is only counted.
+    Notes before the last swing of their hand would reorder decided pairs; they are only
+    counted. Inside the trigger neighbours come from a sliced scan, so a hand of any length
+    is spread over tasks; only its last swing meets the state.
     """
-    fore, back = set(FOREHAND), set(BACKHAND)
-
-    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cls, last, bad, seen, late = state.get if state.exists else (None, -999.0, 0, 0, 0)
-        rows = pd.concat(list(pdfs))
-        rows = rows[rows["direction"].isin(fore | back)].sort_values(["beat", "seq"])
-        known = rows[rows["beat"] >= last]  # in order, so only rows before the state's beat are late
-        late += len(rows) - len(known)
-        if len(known):
-            beat, is_fore = known["beat"].to_numpy(float), known["direction"].isin(fore).to_numpy()
-            before = np.append(last, beat[:-1])
-            close = beat - before <= max_gap
-            same = np.append(cls is not None and (cls == "fore") == is_fore[0], is_fore[1:] == is_fore[:-1])
-            close[0] &= cls is not None
-            seen += int(close.sum())
-            bad += int((close & same).sum())
-            cls, last = "fore" if is_fore[-1] else "back", float(beat[-1])
-        state.update((cls, last, bad, seen, late))
-        yield pd.DataFrame([(*key, bad, seen, late)], columns=[c.split()[0] for c in PARITY_OUT.split(", ")])
-
-    return notes.groupBy("map_id", "difficulty", "color").applyInPandasWithState(update, PARITY_OUT, _PARITY_STATE, "update", GroupStateTimeout.NoTimeout)
+    n = notes.where(~is_neutral("direction")).select(*HAND, "beat", "seq", parity_class("direction").alias("cls"))
+    n = cut(n.join(state.select(*HAND, "last_beat", "last_cls"), HAND, "left"))
+    old = F.coalesce(F.col("beat") < F.col("last_beat"), F.lit(False))
+    d = scan(n.where(~old), Track(tuple(HAND), ("beat", "seq"), "floor(beat / 32)"), prev={"prev_beat": "beat", "prev_cls": "cls"})
+    before, cls = F.coalesce("prev_beat", "last_beat"), F.coalesce("prev_cls", "last_cls")
+    check = cls.isNotNull() & ~(F.col("beat") - before > max_gap)
+    last = F.max_by(F.struct(F.col("beat").alias("last_beat"), F.col("cls").alias("last_cls")), F.struct("beat", "seq"))
+    d = d.groupBy(*HAND).agg(F.count_if(check & (cls == F.col("cls"))).alias("violations"), F.count_if(check).alias("checks"), last.alias("last"))
+    late = n.groupBy(*HAND).agg(F.count_if(old).alias("late"))
+    added = cut(late.join(d, HAND, "left").na.fill(0, ["violations", "checks"]))
+    return added.select(*HAND, "violations", "checks", "late"), added.where("last is not null").select(*HAND, "last.last_beat", "last.last_cls")
+
+
+def running_parity(notes: DataFrame, out: str, checkpoint: str, *, max_gap: float = 3.0, idle_triggers: int = 1000) -> StreamingQuery:
+    """Parity with gap reset per hand over a stream of notes; each trigger stores what it adds.
+
+    ``out/added`` gets one row per hand and trigger (sum them up with ``parity_totals``) and
+    ``out/state`` holds the last swing of every live hand: a hand without notes for
+    ``idle_triggers`` triggers leaves it, and starts anew if it ever comes back. Both are stored
+    under the trigger's number and the state of the trigger before is kept, so a trigger that
+    is run again replaces its own output only.
+    """
+    spark = notes.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        state = _stored(spark, f"{out}/state/batch={batch_id - 1}", PARITY_STATE)
+        added, last = parity_step(batch, state, max_gap)
+        added.write.mode("overwrite").parquet(f"{out}/added/batch={batch_id}")
+        rest = state.join(last, HAND, "left_anti").withColumn("idle", F.col("idle") + 1).where(F.col("idle") < idle_triggers)
+        last.withColumn("idle", F.lit(0)).unionByName(rest).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
+        _remove(spark, f"{out}/state/batch={batch_id - 2}")
+
+    return notes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+
+
+def parity_totals(out: str, spark: SparkSession) -> DataFrame:
+    """Totals per hand over all triggers so far."""
+    added = spark.read.schema(PARITY_OUT).parquet(f"{out}/added")
+    return added.groupBy(*HAND).agg(*[F.sum(c).alias(c) for c in ("violations", "checks", "late")])
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table under ``path``, or an empty one."""
+    p, fs = _path(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
 
 
 def newest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,6 +125,23 @@ def newest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return table.groupBy(*keys).agg(F.max_by(row, "batch").alias("r")).select(*keys, "r.*").drop("batch")
 
 
+def compact(spark: SparkSession, out: str, keys: Sequence[str], upto: int) -> None:
+    """Fold the triggers up to ``upto`` of an update table into that trigger: each key's newest row is left.
+
+    The result is written beside the table first, then takes the folder's place. Run it
+    between triggers, for numbers that are already stored.
+    """
+    found = spark.read.option("basePath", out).parquet(out).where(F.col("batch") <= upto)
+    row = F.struct(*[F.col(c) for c in found.columns if c not in keys])
+    folded = found.groupBy(*keys).agg(F.max_by(row, F.col("batch")).alias("r")).select(*keys, "r.*").drop("batch")
+    batches = [r.batch for r in found.select("batch").distinct().collect()]  # one number per trigger since the last time
+    folded.write.mode("overwrite").parquet(f"{out}.compacting")
+    for b in batches:
+        _remove(spark, f"{out}/batch={b}")
+    src, fs = _path(spark, f"{out}.compacting")
+    fs.rename(src, _path(spark, f"{out}/batch={upto}")[0])
+
+
 def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all available input and return the resulting table.
 

@@ -244,8 +244,28 @@ def test_running_parity_over_several_triggers(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "map_id bigint, difficulty string, color int, beat double, seq bigint, direction int"
     stream_of = lambda: spark.readStream.schema(schema).parquet(src)
-    for batch in ([(1, "E", 0, 1.0, 1, 1), (1, "E", 0, 2.0, 2, 6)], [(1, "E", 0, 3.0, 3, 0), (1, "E", 0, 0.5, 4, 0), (1, "E", 0, 9.0, 5, 0)]):
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for batch in ([(1, "E", 0, 1.0, 1, 1), (1, "E", 0, 2.0, 2, 6)], [(1, "E", 0, 3.0, 3, 0), (1, "E", 0, 0.5, 4, 0), (1, "E", 0, 9.0, 5, 0)], [(2, "E", 1, 1.0, 1, 1)], [(2, "E", 1, 1.5, 1, 1)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
-        t = jobs.run_to_table(jobs.running_parity(stream_of()), str(tmp_path / "out"), str(tmp_path / "ck"), "update")
-    last = t.orderBy(F.desc("batch")).first()
+        jobs.running_parity(stream_of(), out, ck, idle_triggers=2).awaitTermination()
+    last = jobs.parity_totals(out, spark).where("map_id = 1").first()
     assert (last.violations, last.checks, last.late) == (1, 2, 1)
+    alive = spark.read.schema(jobs.PARITY_STATE).parquet(f"{out}/state/batch=3").collect()
+    assert [(r.map_id, r.last_beat, r.idle) for r in alive] == [(2, 1.5, 0)]  # the idle hand has left
+
+
+def test_update_tables_are_compacted(spark, tmp_path):
+    out = str(tmp_path / "board")
+    for b, rows in enumerate(([(1, "a"), (2, "b")], [(2, "c")], [(3, "d")], [(1, "e")])):
+        spark.createDataFrame(rows, "k int, v string").write.parquet(f"{out}/batch={b}")
+    before = sorted(map(tuple, jobs.newest(spark.read.parquet(out), ["k"]).collect()))
+    jobs.compact(spark, out, ["k"], 2)
+    assert sorted(p.name for p in (tmp_path / "board").iterdir() if p.is_dir()) == ["batch=2", "batch=3"]
+    assert sorted(map(tuple, jobs.newest(spark.read.parquet(out), ["k"]).collect())) == before
+
+
+def test_parity_of_a_long_hand_in_one_trigger(spark):
+    n = spark.range(200_000).select(F.lit(1).cast("long").alias("map_id"), F.lit("E").alias("difficulty"), F.lit(0).alias("color"), (F.col("id") / 4).alias("beat"), F.col("id").alias("seq"), F.when(F.col("id") % 4 < 2, 1).otherwise(0).alias("direction"))
+    added, last = jobs.parity_step(n, spark.createDataFrame([], jobs.PARITY_STATE))
+    got, end = added.first(), last.first()
+    assert (got.violations, got.checks, got.late) == (100_000, 199_999, 0) and end.last_beat == 199_999 / 4
