@@ -88,8 +88,7 @@ def _(v):
  UNION ALL SELECT map_id, 'Expert', 'light', beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, event_type, NULL FROM lights
  UNION ALL SELECT map_id, 'Expert', 'boost', beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, seq % 2 = 1 FROM lights WHERE seq % 9 = 0""")
 def _(v):
-    parsed = cut(D.parse_levels(Wr.level_documents(lights_as_events(v))))  # rejects and events both read it
-    e = D.level_events(parsed)
+    e = D.level_events(D.parse_levels(Wr.level_documents(lights_as_events(v))))
     return e.select("map_id", "difficulty", "kind", "beat", "x", "y", "color", "direction", "angle_offset", "duration", "tail_beat", "slice_count", "event_type", "boost")
 
 
@@ -140,7 +139,7 @@ def _(v):
 
 @query("parse_tempo", "SELECT map_id, difficulty, CAST(0 AS BIGINT) seq, CAST(part AS DOUBLE) at_beat, 150e0 new_bpm FROM v2_live", V2)
 def _(v):
-    return D.tempo_changes(_v2_docs(v))
+    return D.tempo_changes(D.parse_levels(_v2_docs(v)))
 
 
 @query("frames_constant_tempo", "SELECT map_id, seq, CAST(round_even((beat * 60e0 / bpm + 0) * 44100e0 / 512e0, 0) AS BIGINT) frame FROM objects JOIN maps USING (map_id)")

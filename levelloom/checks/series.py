@@ -289,13 +289,19 @@ def _(v):
     return S.epoch_sample(v.notes.select("map_id", "seq"), ["map_id", "seq"], 20000, 3)
 
 
-@query("preprocess_tables", """SELECT 'onsets' t, COUNT(*) n, CAST(SUM(frame) AS BIGINT) frames, CAST(SUM(len(string_split(tokens, ','))) AS BIGINT) content FROM g_on
+_PREPROCESSED = """SELECT 'onsets' t, COUNT(*) n, CAST(SUM(frame) AS BIGINT) frames, CAST(SUM(len(string_split(tokens, ','))) AS BIGINT) content FROM g_on
  UNION ALL SELECT 'labels', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(ROUND(SUM(l) * 1000) AS BIGINT) FROM (SELECT map_id, difficulty, f, MAX(EXP(-5e-1 * ((f - o) / 3e0) * ((f - o) / 3e0))) l FROM (SELECT map_id, difficulty, frame o, unnest(range(GREATEST(0, frame - 12), LEAST(n_frames - 1, frame + 12) + 1)) f FROM g_on) GROUP BY ALL)
- UNION ALL SELECT 'lights', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(SUM(k) AS BIGINT) FROM (SELECT round_even(beat * 60e0 / bpm * 44100e0 / 512e0, 0) f, n_frames, k FROM (SELECT map_id, beat, COUNT(*) + COUNT(*) FILTER (seq % 9 = 0) k FROM lights GROUP BY ALL) JOIN maps USING (map_id)  WHERE map_id IN (SELECT map_id FROM g_on WHERE difficulty = 'Expert')) WHERE f < n_frames""", G)
+ UNION ALL SELECT 'lights', COUNT(*), CAST(SUM(f) AS BIGINT), CAST(SUM(k) AS BIGINT) FROM (SELECT round_even(beat * 60e0 / bpm * 44100e0 / 512e0, 0) f, n_frames, k FROM (SELECT map_id, beat, COUNT(*) + COUNT(*) FILTER (seq % 9 = 0) k FROM lights GROUP BY ALL) JOIN maps USING (map_id)  WHERE map_id IN (SELECT map_id FROM g_on WHERE difficulty = 'Expert')) WHERE f < n_frames"""
+
+
+@query("preprocess_tables", _PREPROCESSED, G)
 def _(v):
     from levelloom.checks.documents import lights_as_events
 
-    t = S.preprocess(lights_as_events(v), v.maps)
+    return _contents(S.preprocess(lights_as_events(v), v.maps))
+
+
+def _contents(t):
     # what each table holds beside its rows: tokens, label mass, events (a light has one separator or end behind it)
     content = {"onsets": F.sum(F.size("tokens")), "labels": F.round(F.sum("label") * 1000), "lights": F.sum(F.size(F.filter("tokens", lambda t: t.isin(1, 2))))}
     out = None
@@ -303,3 +309,55 @@ def _(v):
         d = df.agg(F.lit(name).alias("t"), F.count("*").alias("n"), F.sum("frame").cast("long").alias("frames"), content[name].cast("long").alias("content"))
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def _archives(v, folder):
+    """Zip files of all maps: info, Standard levels, one level listed as another characteristic; some broken, some without info."""
+    import io
+    import zipfile
+
+    from pyarrow import fs
+
+    from levelloom.checks.documents import lights_as_events
+    from levelloom.sources import writers as Wr
+
+    m = v.maps.select("map_id", "bpm", F.lit("s").alias("song_name"), F.lit("a").alias("song_author"))
+    other = F.concat(F.lit('{"_beatmapCharacteristicName":"Lawless","_difficultyBeatmaps":[{"_difficulty":"Normal","_beatmapFilename":"ExpertStandard.dat"}]},'))
+    info = Wr.info_documents(m, v.objects).select("map_id", F.lit("song/INFO.dat").alias("name"), F.regexp_replace("text", r'"_difficultyBeatmapSets":\[', F.concat(F.lit('"_difficultyBeatmapSets":['), other)).alias("text"))
+    levels = Wr.level_documents(lights_as_events(v)).join(info.select("map_id"), "map_id", "left_semi")
+    files = info.where("map_id % 17 <> 0").unionByName(levels.select("map_id", F.concat("difficulty", F.lit("standard.dat")).alias("name"), "text"))
+    base = "/" + folder.removeprefix("file:").lstrip("/")
+
+    def pack(pdf):
+        buf, map_id = io.BytesIO(), int(pdf["map_id"].iloc[0])
+        with zipfile.ZipFile(buf, "w") as z:
+            for name, text in zip(pdf["name"], pdf["text"]):
+                z.writestr(name, text)
+        with fs.LocalFileSystem().open_output_stream(f"{base}/{map_id % 2}/{map_id}.zip") as f:
+            f.write(buf.getvalue() if map_id % 13 else b"broken")
+        return pdf[["map_id"]].head(1)
+
+    for half in ("0", "1"):
+        fs.LocalFileSystem().create_dir(f"{base}/{half}")
+    return files.groupBy("map_id").applyInPandas(pack, "map_id bigint").count()
+
+
+_GOOD = "map_id % 13 <> 0 AND map_id % 17 <> 0"
+
+
+@query("preprocess_archives", _PREPROCESSED.replace("g_on", f"(SELECT * FROM g_on WHERE {_GOOD})") + f""" UNION ALL SELECT 'log ' || CASE WHEN NOT ({_GOOD}) THEN 'no_info' WHEN map_id IN (SELECT map_id FROM g_on) THEN 'done' ELSE 'empty' END, COUNT(*), 0, 0
+ FROM (SELECT DISTINCT map_id FROM objects) JOIN maps USING (map_id) GROUP BY 1""", G)
+def _(v):
+    from levelloom.operators import preprocessing as P
+    from levelloom.session import scratch
+    from levelloom.sources.archive_source import register
+
+    base = scratch(v.spark, "archives")
+    _archives(v, f"{base}/in")
+    register(v.spark)
+    for part in ("in/0", "in"):  # new archives come in between; those of the first run are skipped
+        P.preprocess_archives(v.spark.read.format("level_archives").load(f"{base}/{part}"), v.maps, f"{base}/out")
+    t = _contents({name: P.preprocessed(v.spark, f"{base}/out", name) for name in ("onsets", "lights", "labels")})
+    log = P.map_log(v.spark, f"{base}/out").groupBy(F.concat(F.lit("log "), "status").alias("t")).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("frames"), F.lit(0).cast("long").alias("content"))
+    return t.unionByName(log)
+

@@ -208,12 +208,12 @@ def level_lights(lights: DataFrame, maps: DataFrame, changes: DataFrame | None =
     return in_range(beat_frames(encode_lights(lights, boosts, tuple(K_COLS)), maps, changes, **grid), maps).drop("seconds")
 
 
-def preprocess(events: DataFrame, maps: DataFrame, changes: DataFrame | None = None) -> dict[str, DataFrame]:
+def preprocess(events: DataFrame, maps: DataFrame, changes: DataFrame | None = None, **grid) -> dict[str, DataFrame]:
     """All training tables of a parsed corpus: onsets, lights and labels, keyed by level."""
     from levelloom.operators.series import onset_labels
 
-    onsets = level_onsets(events, maps, changes)
+    onsets = level_onsets(events, maps, changes, **grid)
     alive = onsets.select(*K_COLS).distinct()  # a level without onsets goes with its lights
     lit = events.where("kind = 'light'")
     boosts = events.where("kind = 'boost'")
-    return {"onsets": onsets, "lights": level_lights(lit, maps, changes, boosts=boosts).join(alive, list(K_COLS), "left_semi"), "labels": onset_labels(onsets, maps)}
+    return {"onsets": onsets, "lights": level_lights(lit, maps, changes, boosts=boosts, **grid).join(alive, list(K_COLS), "left_semi"), "labels": onset_labels(onsets, maps)}

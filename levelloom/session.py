@@ -65,11 +65,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table under ``path``, or an empty one where nothing is stored yet."""
+    p, fs = _file(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    p, fs = _file(spark, path)
+    if not fs.rename(p, _file(spark, to)[0]):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that still read them must be stored first."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(conf).delete(path, True)
+    remove(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from levelloom.session import cut
+
 MEMBER_SCHEMA = "map_id string, member string, pos int, text string"
 
 
@@ -54,6 +56,13 @@ def find_member(members: DataFrame, target: str) -> DataFrame:
     )
 
 
+def find_members(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each row of ``wanted`` (map_id, filename, ...) the first member of that base name, whatever its case."""
+    base = F.lower(F.element_at(F.split("member", "/"), -1))
+    first = members.where("member is not null").groupBy("map_id", base.alias("_base")).agg(F.min_by("text", "pos").alias("text"))
+    return wanted.withColumn("_base", F.lower(F.element_at(F.split("filename", "/"), -1))).join(first, ["map_id", "_base"]).drop("_base")
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Text members of all archives under ``path``, on any storage Spark reads.
 
@@ -141,11 +150,13 @@ V2_ARRAYS = {
 }
 _ARRAYS = {**V3_ARRAYS, **V2_ARRAYS}
 # one element type for all arrays, every leaf as text: quoted and bare numbers both read
-_KEYS = sorted({key for _, spec in _ARRAYS.values() for key, _ in spec.values()} | {"_customData"})
+_KEYS = sorted({key for _, spec in _ARRAYS.values() for key, _ in spec.values()} | {"_customData", "_BPM"})
 _ELEMENT = "struct<" + ",".join(f"{k}:string" for k in _KEYS) + ">"
-DOC_SCHEMA = "struct<_corrupt:string,version:string,_version:string," + ",".join(f"{a}:array<{_ELEMENT}>" for a, _ in _ARRAYS.values()) + ">"
+DOC_SCHEMA = "struct<_corrupt:string,version:string,_version:string,_customData:string," + ",".join(f"{a}:array<{_ELEMENT}>" for a, _ in _ARRAYS.values()) + ">"
 _MAP_SCHEMA = "struct<" + ",".join(f"{a}:array<map<string,string>>" for a, _ in _ARRAYS.values()) + ">"
-_TEMPO_SCHEMA = "struct<_customData:struct<_BPMChanges:array<struct<_time:string,_BPM:string>>>>"
+_TEMPO_SCHEMA = f"struct<_BPMChanges:array<{_ELEMENT}>>"
+#: kind of the rows that hold tempo changes: their beat, and the new tempo as float_value
+TEMPO = "tempo"
 
 
 def generation() -> Column:
@@ -171,12 +182,13 @@ def _explicit_null() -> Column:
     return F.when(F.col("text").rlike(r":\s*null"), hit).otherwise(False)
 
 
-def parse_levels(docs: DataFrame) -> DataFrame:
+def parse_levels(docs: DataFrame, stored: bool = True) -> DataFrame:
     """Level documents (``map_id, difficulty, text``) to flat rows, one pass over the text.
 
-    Every event is one row; a document without events keeps one row with null ``kind``.
-    ``reject`` tells why a document or event is refused; ``level_events`` and
-    ``rejects`` split the rows.
+    Every event and every tempo change is one row; a document without any keeps one row with
+    null ``kind``. ``reject`` tells why a document or event is refused. ``level_events``,
+    ``tempo_changes`` and ``rejects`` split the rows; as a bad value drops its whole map, they
+    read them twice, so the rows are stored in the shared folder unless told otherwise.
     """
     d = docs.withColumn("d", F.from_json("text", DOC_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
     gen = generation()
@@ -189,7 +201,8 @@ def parse_levels(docs: DataFrame) -> DataFrame:
         return F.concat(*[F.coalesce(F.transform(F.col(f"d.{a}"), tag(k)), empty) for k, (a, _) in arrays.items()])
 
     reject = F.when(F.col("d").isNull() | F.col("d._corrupt").isNotNull(), "unreadable").when(gen.isNull(), "no_version").when(_explicit_null(), "bad_value")
-    raw = F.when(gen == "v3", tagged(V3_ARRAYS)).when(gen == "v2", tagged(V2_ARRAYS)).otherwise(empty)
+    tempo = F.coalesce(F.transform(F.from_json("d._customData", _TEMPO_SCHEMA)["_BPMChanges"], tag(TEMPO)), empty)
+    raw = F.when(gen == "v3", tagged(V3_ARRAYS)).when(gen == "v2", F.concat(tagged(V2_ARRAYS), tempo)).otherwise(empty)
     r = d.select("map_id", "difficulty", gen.alias("generation"), reject.alias("doc_reject"), raw.alias("raw"))
     r = r.select("map_id", "difficulty", "generation", "doc_reject", F.inline_outer("raw"))
 
@@ -208,12 +221,15 @@ def parse_levels(docs: DataFrame) -> DataFrame:
             got = F.coalesce(num, F.lit(False) if typ == "boolean" else F.lit(float(default)))
             value = F.when(mine, got) if value is None else value.when(mine, got)
         values[name] = value.cast(typ).alias(name)
+    for name, key in (("beat", "_time"), ("float_value", "_BPM")):  # what is no number here is no change, and harms nothing
+        values[name] = F.when(kind == TEMPO, F.col(f"e.{key}").try_cast("double")).otherwise(values[name]).alias(name)
     fake = F.lower(F.coalesce(F.get_json_object("e._customData", "$._fake"), F.lit("false")))
     r = r.select(
         "map_id", "difficulty", "generation", kind, F.col("seq").cast("long").alias("seq"),
         F.coalesce("doc_reject", F.when(F.coalesce(bad, F.lit(False)), "bad_value")).alias("reject"), fake.alias("fake"), *values.values(),
     )
-    return _older_generation(r)
+    rows = _older_generation(r)
+    return cut(rows) if stored else rows
 
 
 def _older_generation(r: DataFrame) -> DataFrame:
@@ -246,20 +262,18 @@ def _dead_maps(parsed: DataFrame) -> DataFrame:
 
 def level_events(parsed: DataFrame) -> DataFrame:
     """Event rows. A bad value or unreadable text drops the whole map, a missing version one level."""
-    return parsed.where("reject is null and kind is not null").join(_dead_maps(parsed), "map_id", "left_anti").drop("reject", "generation")
+    return parsed.where(f"reject is null and kind is not null and kind <> '{TEMPO}'").join(_dead_maps(parsed), "map_id", "left_anti").drop("reject", "generation")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.where("reject is not null").groupBy("map_id", "difficulty").agg(F.max("reject").alias("reject"))
 
 
-def tempo_changes(docs: DataFrame) -> DataFrame:
+def tempo_changes(parsed: DataFrame) -> DataFrame:
     """Tempo changes of older documents that are read at all, in document order.
 
     A document of another or no generation has none, nor has any of a map that
     ``level_events`` drops.
     """
-    d = docs.withColumn("d", F.from_json("text", DOC_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))
-    live = d.where(generation() == "v2").select("map_id", "difficulty", "text").join(_dead_maps(parse_levels(docs)), "map_id", "left_anti")
-    t = live.select("map_id", "difficulty", F.posexplode(F.from_json("text", _TEMPO_SCHEMA)["_customData"]["_BPMChanges"]).alias("seq", "t"))
-    return t.select("map_id", "difficulty", F.col("seq").cast("long").alias("seq"), F.col("t._time").try_cast("double").alias("at_beat"), F.col("t._BPM").try_cast("double").alias("new_bpm"))
+    t = parsed.where(f"reject is null and kind = '{TEMPO}'").join(_dead_maps(parsed), "map_id", "left_anti")
+    return t.select("map_id", "difficulty", "seq", F.col("beat").alias("at_beat"), F.col("float_value").alias("new_bpm"))

@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from levelloom.functions.scalars import is_neutral, parity_class
 from levelloom.plans.ordered import Track, scan
-from levelloom.session import cut
+from levelloom.session import cut, move, remove, stored
 from levelloom.sources.documents import level_events, parse_levels, rejects
 
 
@@ -22,10 +22,9 @@ def ingest_levels(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_levels(batch).persist()  # two sinks, one parse
+        parsed = parse_levels(batch)  # stored: two sinks, one parse
         level_events(parsed).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
         rejects(parsed).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
-        parsed.unpersist()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -87,12 +86,12 @@ def running_parity(notes: DataFrame, out: str, checkpoint: str, *, max_gap: floa
     spark = notes.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = _stored(spark, f"{out}/state/batch={batch_id - 1}", PARITY_STATE)
+        state = stored(spark, f"{out}/state/batch={batch_id - 1}", PARITY_STATE)
         added, last = parity_step(batch, state, max_gap)
         added.write.mode("overwrite").parquet(f"{out}/added/batch={batch_id}")
         rest = state.join(last, HAND, "left_anti").withColumn("idle", F.col("idle") + 1).where(F.col("idle") < idle_triggers)
         last.withColumn("idle", F.lit(0)).unionByName(rest).write.mode("overwrite").parquet(f"{out}/state/batch={batch_id}")
-        _remove(spark, f"{out}/state/batch={batch_id - 2}")
+        remove(spark, f"{out}/state/batch={batch_id - 2}")
 
     return notes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
 
@@ -103,22 +102,6 @@ def parity_totals(out: str, spark: SparkSession) -> DataFrame:
     return added.groupBy(*HAND).agg(*[F.sum(c).alias(c) for c in ("violations", "checks", "late")])
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table under ``path``, or an empty one."""
-    p, fs = _path(spark, path)
-    return spark.read.schema(schema).parquet(path) if fs.exists(p) else spark.createDataFrame([], schema)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
-
-
 def newest(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows that a reader of an update table sees: per key the one of its last trigger."""
     row = F.struct(*[F.col(c) for c in table.columns if c not in keys])
@@ -137,9 +120,8 @@ def compact(spark: SparkSession, out: str, keys: Sequence[str], upto: int) -> No
     batches = [r.batch for r in found.select("batch").distinct().collect()]  # one number per trigger since the last time
     folded.write.mode("overwrite").parquet(f"{out}.compacting")
     for b in batches:
-        _remove(spark, f"{out}/batch={b}")
-    src, fs = _path(spark, f"{out}.compacting")
-    fs.rename(src, _path(spark, f"{out}/batch={upto}")[0])
+        remove(spark, f"{out}/batch={b}")
+    move(spark, f"{out}.compacting", f"{out}/batch={upto}")
 
 
 def run_to_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -57,7 +57,7 @@ def test_v2_document(spark):
     assert [(r.beat, r.x) for r in e if r.kind == "bomb"] == [(5.0, 2)]
     assert sorted((r.y, r.height, r.width) for r in e if r.kind == "wall") == [(0, 5, 1), (2, 3, 4)]
     assert [r.float_value for r in e if r.kind == "light"] == [1.0]
-    assert [(r.at_beat, r.new_bpm) for r in D.tempo_changes(d).collect()] == [(16.0, 140.0)]
+    assert [(r.at_beat, r.new_bpm) for r in D.tempo_changes(D.parse_levels(d)).collect()] == [(16.0, 140.0)]
 
 
 def test_rejects(spark):
