@@ -106,13 +106,15 @@ def _(v):
 
 
 @query("grammar_report", """SELECT e.map_id, e.difficulty, e.beat, e.beat % 4 <> 0 valid, COALESCE(len(ns), 0) n_notes,
- COALESCE(len(ns) > 2 + x OR len(list_filter(ns, lambda s: s.c = 0)) > 1 + x OR len(list_filter(ns, lambda s: s.c = 1)) > 1 + x, false) over_cap, COALESCE(len(ns) - len(list_distinct([{'x': s.x, 'y': s.y} for s in ns])), 0) collisions
- FROM (SELECT *, CASE WHEN map_id % 2 = 0 AND difficulty = 'Expert' THEN 1 ELSE 0 END x FROM t_enc) e LEFT JOIN t_on USING (map_id, difficulty, beat)""", E_CTES)
+ COALESCE(len(ns) > 2 + x OR len(list_filter(ns, lambda s: s.c = 0)) > 1 + x OR len(list_filter(ns, lambda s: s.c = 1)) > 1 + x, false) over_cap, COALESCE(len(ns) - len(list_distinct([{'x': s.x, 'y': s.y} for s in ns])), 0) collisions, CAST(COALESCE(same, 0) AS INTEGER) parity
+ FROM (SELECT *, CASE WHEN map_id % 2 = 0 AND difficulty = 'Expert' THEN 1 ELSE 0 END x FROM t_enc) e LEFT JOIN t_on USING (map_id, difficulty, beat)
+ LEFT JOIN (SELECT map_id, difficulty, beat, COUNT(*) FILTER (s = LAG_s AND s < 2) same FROM (SELECT *, LAG(s) OVER (PARTITION BY map_id, difficulty, color ORDER BY beat, x, y, seq) LAG_s
+  FROM (SELECT *, CASE WHEN direction IN (2, 3, 8) THEN 2 WHEN direction IN (1, 6, 7) THEN 0 ELSE 1 END s FROM notes)) GROUP BY ALL) USING (map_id, difficulty, beat)""", E_CTES)
 def _(v):
     # half of the maps call their harder level by the hardest name; every fourth beat gets a stray token before its end mark and must be refused
     t = F.when(F.col("beat") % 4 == 0, F.concat(F.expr("slice(tokens, 1, size(tokens) - 1)"), F.array(F.lit(3), F.lit(1)))).otherwise(F.col("tokens"))
-    r = encoded(v).withColumn("tokens", t).select("map_id", "difficulty", "beat", T.grammar_report("tokens", F.when(F.col("map_id") % 2 == 0, F.concat("difficulty", F.lit("Plus"))).otherwise(F.col("difficulty"))).alias("r"))
-    return r.select("map_id", "difficulty", "beat", "r.*")
+    r = T.grammar_parity(encoded(v).withColumn("tokens", t)).select("map_id", "difficulty", "beat", "parity", T.grammar_report("tokens", F.when(F.col("map_id") % 2 == 0, F.concat("difficulty", F.lit("Plus"))).otherwise(F.col("difficulty"))).alias("r"))
+    return r.select("map_id", "difficulty", "beat", "parity", "r.*")
 
 
 @query("token_weights", """SELECT token, n, CAST(n * CASE WHEN token = 1 THEN 1 WHEN token = 3 THEN 1 WHEN token BETWEEN 2 AND 9 THEN 3 ELSE 1 END AS DOUBLE) weighted FROM (SELECT tok token, COUNT(*) n FROM (SELECT CAST(unnest(string_split(tokens, ',')) AS INTEGER) tok FROM t_enc) GROUP BY ALL)""", E_CTES)

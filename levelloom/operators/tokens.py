@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from levelloom import constants as K
-from levelloom.functions.scalars import clamp, dequantize, lookup, quantize
+from levelloom.functions.scalars import clamp, dequantize, is_neutral, lookup, parity_class, quantize
 from levelloom.operators.parity import K_COLS
 from levelloom.plans.ordered import Fold, Track, scan, stream_folds
 from levelloom.session import cut
@@ -438,6 +438,29 @@ def grammar_report(tokens, difficulty=None) -> Column:
     )
 
 
+def grammar_parity(onsets: DataFrame, out: str = "parity") -> DataFrame:
+    """Add the number of notes of each onset that swing to the side their hand is on already.
+
+    ``onsets`` has (map_id, difficulty, beat, tokens). A hand's side is that of its last note,
+    in the onset or in any before it; a neutral direction leaves it free. What an onset hands
+    on is one direction per hand, carried by a sliced scan.
+    """
+    track = Track(tuple(K_COLS), ("beat",), "floor(beat / 32)")
+    lasts = {f"_last{c}": last_direction("tokens", c) for c in (0, 1)}
+    d = onsets.withColumns(lasts)
+    d = scan(d, track, prev={f"_was{c}": (f"_last{c}", F.col(f"_last{c}").isNotNull()) for c in (0, 1)})
+
+    def step(acc, note):
+        was = F.when(note.color == 0, acc.red).otherwise(acc.blue)
+        same = F.coalesce(~is_neutral(was) & ~is_neutral(note.direction) & (parity_class(was) == parity_class(note.direction)), F.lit(False))
+        return F.struct(
+            F.when(note.color == 0, note.direction).otherwise(acc.red).alias("red"), F.when(note.color == 1, note.direction).otherwise(acc.blue).alias("blue"),
+            (acc.n + same.cast("int")).alias("n"))
+
+    start = F.struct(F.col("_was0").cast("int").alias("red"), F.col("_was1").cast("int").alias("blue"), F.lit(0).alias("n"))
+    return d.withColumn(out, F.aggregate(note_tuples("tokens"), start, step, lambda a: a.n)).drop(*lasts, "_was0", "_was1")
+
+
 # ---- lighting --------------------------------------------------------------
 def encode_lights(lights: DataFrame, boosts: DataFrame | None = None, keys=("map_id",)) -> DataFrame:
     """Lighting token array per beat; basic events first, each in document order."""
