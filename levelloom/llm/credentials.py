@@ -75,8 +75,8 @@ def _parts(kind: Column) -> Column:
 def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     """Weak parts that lie within ``scope`` of a complementary part: keys, start, end, kind.
 
-    ``parts`` has keys, start, end, kind. An identifier complements a secret, an endpoint
-    complements either; two parts of one role don't. A weak part stands in the scope cells from
+    ``parts`` has keys, start, end, kind. Only a pair with a secret in it makes a credential: an
+    identifier or an endpoint complements a secret, but not each other. A weak part stands in the scope cells from
     its start to its end, the other side in those within scope of it; a close pair is taken in
     the first cell that both stand in, so each meets exactly once.
     """
@@ -85,7 +85,7 @@ def link(parts: DataFrame, keys: list[str], scope: int = SCOPE) -> DataFrame:
     weak = p.where(F.col("kind").isin(*WEAK)).withColumn("first", first).withColumn("cell", F.explode(F.sequence("first", last)))
     first2, last2 = F.floor(F.greatest(F.col("start") - scope, F.lit(0)) / scope), F.floor((F.col("end") + scope) / scope)
     other = p.select(*keys, F.col("start").alias("s2"), F.col("end").alias("e2"), F.col("part").alias("part2"), first2.alias("first2"), F.explode(F.sequence(first2, last2)).alias("cell"))
-    close = (F.col("s2") <= F.col("end") + scope) & (F.col("e2") >= F.col("start") - scope) & (F.col("part") != F.col("part2"))
+    close = (F.col("s2") <= F.col("end") + scope) & (F.col("e2") >= F.col("start") - scope) & ((F.col("part") == "secret") != (F.col("part2") == "secret"))
     once = F.col("cell") == F.greatest("first", "first2")
     return weak.join(other, [*keys, "cell"]).where(close & once).select(*keys, "start", "end", "kind").distinct()
 
