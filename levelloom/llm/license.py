@@ -1,8 +1,9 @@
 """License scan by exact set-similarity join, in DataFrame operations only.
 
-A template and every text block are sets of words. Blocks are lines and, as notices wrap, all
-stretches of as many words as the template has, wherever lines end. A block matches where it
-holds at least a given share of the template's words. Words are ordered by their frequency in the
+A template and every text block are sets of words. As notices wrap, and as lines have any
+length, the blocks of a text are all stretches of as many words as the template has, wherever
+lines end: words scattered over a longer stretch are no notice. A block matches where it holds
+at least a given share of the template's words. Words are ordered by their frequency in the
 corpus, rarest first. A block that holds ``need`` of a template's n words holds one of the
 template's n - need + 1 rarest (prefix filter); it has at least ``need`` words (length
 filter); and if the rarest template word it holds stands at position i of the ordered
@@ -87,7 +88,7 @@ def frequencies(docs: DataFrame, vocabulary: Sequence[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in got}
 
 
-def _ordered(templates: Sequence[tuple[str, str]], counts: Mapping[str, int], containment: float) -> list[tuple[str, list[str], int, int]]:
+def ordered_templates(templates: Sequence[tuple[str, str]], counts: Mapping[str, int], containment: float) -> list[tuple[str, list[str], int, int]]:
     """(label, distinct words by frequency, words needed, length in words) of each template with words."""
     out = []
     for (label, ws), (_, text) in zip(template_words(templates), templates):
@@ -116,7 +117,7 @@ def match_windows(texts: DataFrame, templates: Sequence[tuple[str, str]], counts
     are cut into overlapping parts of PART words, so a row is bounded whatever a text's length.
     One row per part and label.
     """
-    ordered, keys = _ordered(templates, counts, containment), [c for c in texts.columns if c != "text"]
+    ordered, keys = ordered_templates(templates, counts, containment), [c for c in texts.columns if c != "text"]
     if not ordered:
         return texts.select(*keys, F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("held")).where("false")
     reach = max(length for *_, length in ordered) - 1
@@ -148,29 +149,6 @@ def _held(mine: Column, around: Column, length: int):
     return lambda j: F.size(F.array_intersect(mine, F.slice(around, j, length)))
 
 
-def match_blocks(blocks: DataFrame, templates: Sequence[tuple[str, str]], counts: Mapping[str, int], containment: float = CONTAINMENT) -> DataFrame:
-    """``blocks`` (any columns, and ``block`` text) that hold a template: adds ``label`` and ``held``.
-
-    ``held`` is the share of the template's distinct words that the block has, at least
-    ``containment``. One row per block and label, with the best template's share.
-    """
-    ordered = _ordered(templates, counts, containment)
-    if not ordered:
-        return blocks.withColumns({"label": F.lit(None).cast("string"), "held": F.lit(None).cast("double")}).where("false")
-    b = blocks.withColumn("__ll_low", lowered("block")).where(F.col("__ll_low").rlike(_probe(ordered)))
-    b = b.withColumn("__ll_words", F.array_distinct(F.regexp_extract_all("__ll_low", F.lit(WORD), F.lit(0))))
-    tests = []
-    for label, ws, need, _ in ordered:
-        n, mine = len(ws), F.array(*map(F.lit, ws))
-        head = F.array(*map(F.lit, ws[: n - need + 1]))
-        at = F.array_position(F.transform(head, lambda w: F.array_contains("__ll_words", w)), True)  # 0: none
-        may = (F.size("__ll_words") >= need) & (at > 0) & (n - at + 1 >= need)
-        held = F.size(F.array_intersect(mine, F.col("__ll_words")))
-        tests.append(F.when(may & (held >= need), F.struct(F.lit(label).alias("label"), (held / F.lit(float(n))).alias("held"))))
-    b = b.select(*blocks.columns, F.explode(F.filter(F.array(*tests), lambda t: t.isNotNull())).alias("__ll_t"))
-    return b.groupBy(*blocks.columns, F.col("__ll_t.label").alias("label")).agg(F.max("__ll_t.held").alias("held"))
-
-
 def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
     """License findings of every row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -184,10 +162,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phra
     text = F.col("t")
     last = "|".join(sorted({p.split()[-1] for p, _ in phrases}))
     w = F.when(text.rlike(f"(?i)(?:{last})"), words(text)).otherwise(F.array().cast("array<string>"))
-    blocks = F.split(text, r"[\n\r\x0B\x0C]+")
-    prefix = t.select("doc_id", "text_hash", F.explode(blocks).alias("block"))
-    hits = match_blocks(prefix, templates, counts, containment).select("doc_id", "text_hash", "label", "held")
-    hits = hits.union(match_windows(t.select("doc_id", "text_hash", text.alias("text")), templates, counts, containment))
+    hits = match_windows(t.select("doc_id", "text_hash", text.alias("text")), templates, counts, containment)
     best = hits.groupBy(F.coalesce("doc_id", F.lit(0)).alias("k1"), F.col("doc_id").isNull().alias("k2"), F.col("text_hash").alias("k3")).agg(
         F.collect_set("label").alias("more"), F.max("held").alias("held")
     )

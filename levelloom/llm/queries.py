@@ -127,15 +127,15 @@ def _license_sql() -> str:
     for phrase, label in license.PHRASES:
         parts = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
         found.append(f"list_filter(range(1, len(w) + 1), lambda i: COALESCE({parts}, false)) {label}_at")
-    sets = ", ".join(f"('{label}', {ws!r})" for label, ws in license.template_words(license.TEMPLATES))
+    sets = ", ".join(f"('{label}', {sorted(ws)!r}, {need}, {size})" for label, ws, need, size in license.ordered_templates(license.TEMPLATES, {}, license.CONTAINMENT))
     names = [label for _, label in license.PHRASES]
     places = "list_concat(" * (len(names) - 1) + f"{names[0]}_at, " + "), ".join(f"{n}_at" for n in names[1:]) + ")"
     own = "list_filter([" + ", ".join(f"CASE WHEN len({n}_at) > 0 THEN '{n}' END" for n in names) + "], lambda x: x IS NOT NULL)"
     return f"""WITH d AS (SELECT doc_id, COALESCE(text, '') t FROM documents), w AS (SELECT doc_id, regexp_extract_all({low.format('t')}, '{word}') w FROM d),
  p AS (SELECT doc_id, len(w) n_words, {', '.join(found)} FROM w), a AS (SELECT doc_id, n_words, {places} pos, {own} own FROM p),
- ts AS (SELECT * FROM (VALUES {sets}) v(label, ws)),
- b AS (SELECT doc_id, list_distinct(regexp_extract_all({low.format('unnest(regexp_split_to_array(t, chr(10)))')}, '{word}')) ws FROM d),
- h AS (SELECT doc_id, label, MAX(len(list_intersect(b.ws, ts.ws)) / len(ts.ws)) held FROM b, ts WHERE len(list_intersect(b.ws, ts.ws)) >= {license.CONTAINMENT} * len(ts.ws) - 1e-9 GROUP BY doc_id, label),
+ ts AS (SELECT * FROM (VALUES {sets}) v(label, ws, need, size)),
+ h AS (SELECT doc_id, label, MAX(n / len(ws)) held FROM (SELECT doc_id, label, ws, need, list_max(list_transform(range(1, len(w) + 1), lambda i: len(list_intersect(w[i:i + size - 1], ws)))) n
+  FROM w, ts WHERE len(list_intersect(w, ws)) >= need) WHERE n >= need GROUP BY doc_id, label),
  m AS (SELECT doc_id, list(label) more, MAX(held) held FROM h GROUP BY doc_id)
  SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(len(pos) AS BIGINT) n_base, CAST(list_min(pos) - 1 AS BIGINT) first_word, CAST(list_max(pos) - 1 AS BIGINT) last_word, COALESCE(array_to_string(list_sort(own), ','), '') base_labels,
  COALESCE(array_to_string(list_sort(list_distinct(list_concat(own, COALESCE(more, [])))), ','), '') labels, CAST(CASE WHEN len(pos) > 0 THEN 1e0 ELSE COALESCE(held, 0e0) END AS DOUBLE) score FROM a LEFT JOIN m USING (doc_id)"""
