@@ -14,13 +14,15 @@ against the rows of all other languages, which are foreign to that language's n-
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from levelloom.plans.selecting import smallest
+
 #: hashed rows, embedding width, n-gram lengths
 ROWS, WIDTH, GRAMS = 1 << 14, 16, (2, 3, 4)
 #: training rows per language, chosen by hash; the only bound on what is learned from
@@ -34,23 +36,51 @@ PRIOR = 30
 _gap = re.compile(r"[\W\d_]+")
 
 
-def gram_rows(text: str) -> np.ndarray:
-    """Embedding rows of all n-grams of a text; empty if it has no letter."""
-    words = _gap.sub(" ", text.lower()).strip()
-    if not any(map(str.isalpha, words)):
-        return np.empty(0, np.int64)
-    cp = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+def _rows(cp: np.ndarray, skip: int) -> np.ndarray:
+    """Rows of the n-grams that end behind the first ``skip`` characters."""
     out = []
     for n in GRAMS:
-        if len(cp) < n:
+        c = cp[max(0, skip - n + 1):]
+        if len(c) < n:
             continue
-        h = np.full(len(cp) - n + 1, 2166136261 + n, np.uint32)
+        h = np.full(len(c) - n + 1, 2166136261 + n, np.uint32)
         for i in range(n):
-            h ^= cp[i:len(cp) - n + 1 + i]
+            h ^= c[i:len(c) - n + 1 + i]
             h *= np.uint32(16777619)
             h ^= h >> np.uint32(15)
         out.append(h & np.uint32(ROWS - 1))
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def gram_parts(text: str) -> Iterator[np.ndarray]:
+    """Embedding rows of all n-grams of a text, part by part; nothing if it has no letter.
+
+    A part ends between words and begins with the last characters of the one before, so the
+    n-grams are those of the whole text.
+    """
+    held, i, first = " ", 0, []
+    letters = False
+    while i < len(text):
+        j = i + CHUNK
+        while j < len(text) and not _gap.match(text, j - 1) and not _gap.match(text, j):
+            j += 1
+        words = _gap.sub(" ", text[i:j].lower()).strip()
+        i = j
+        if not words:
+            continue
+        letters = letters or any(map(str.isalpha, words))
+        cp = np.frombuffer(f"{held}{words} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+        first.append(_rows(cp, len(held) if len(held) > 1 else 0))
+        held = f"{held}{words} "[1 - max(GRAMS):]
+        if letters:
+            yield from first
+            first = []
+
+
+def gram_rows(text: str) -> np.ndarray:
+    """Embedding rows of all n-grams of a text; empty if it has no letter."""
+    parts = list(gram_parts(text))
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
 
 def profile(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +101,9 @@ class Model:
     limits: np.ndarray  # familiarity below which a text is foreign to the label
 
     def _means(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Mean score row and mean familiarity over the whole text, chunk by chunk, and its n-grams."""
+        """Mean score row and mean familiarity over the whole text, part by part, and its n-grams."""
         total, known, n = np.zeros(len(self.labels)), np.zeros(len(self.labels)), 0
-        for i in range(0, len(text), CHUNK):
-            rows = gram_rows(text[i:i + CHUNK])
+        for rows in gram_parts(text):
             total += self.scores[rows].sum(0, dtype=np.float64)
             known += self.familiar[rows].sum(0, dtype=np.float64)
             n += len(rows)
@@ -176,13 +205,13 @@ def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model:
 
     Profiles are made where the rows are, so the driver gets fixed-width counts, no texts.
     """
-    known = rows.where("lang IS NOT NULL").withColumn("h", F.xxhash64("doc_id"))
-    by_hash = W.partitionBy("lang").orderBy("h")
-    first = known.select("lang", "h").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
-    # one row per language, as many as the model has labels: texts are filtered where they lie
+    known = rows.where("lang IS NOT NULL").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    # counts by ranges of the hash say which rows are first, so a language of any size is never ordered;
+    # there is one row per language, as many as the model has labels: texts are filtered where they lie
+    first = smallest(known.select("lang", "h"), ["lang"], "h", per_label, few_keys=True)
     limits = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("limit")))
     chosen = known.select("lang", "h", "text").join(limits, "lang").where("h <= limit")
-    chosen = chosen.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_label)
+    chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_label)
     got = chosen.select("lang", "h", _profiles("text").alias("p")).select("lang", "h", "p.*").toPandas()
     got = got.sort_values(["lang", "h"], kind="stable")
     return train([(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32)) for r, s in zip(got["rows"], got["shares"])], got["lang"].tolist())
