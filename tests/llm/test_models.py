@@ -52,7 +52,8 @@ def test_unlearned_languages_and_gibberish_are_rejected(spark):
 
 def test_long_texts_score_like_their_whole(spark):
     m = langid.train([langid.profile("the and of that with " * 9), langid.profile("der die und das nicht " * 9)] * 20, ["en", "de"] * 20)
-    text = "the of and die nicht that " * 20000
+    text = "the of and die nicht that " * 20000 + "9" * langid.CHUNK + " ,x" + "y" * langid.CHUNK + "  und"
+    assert sorted(np.concatenate(list(langid.gram_parts(text)))) == sorted(langid._rows(np.frombuffer((" " + langid._gap.sub(" ", text).strip() + " ").encode("utf-32-le"), "<u4").astype(np.uint32), 0))
     whole = m.scores[langid.gram_rows(text)].astype(float).mean(0) + m.bias
     assert np.allclose(m.logits(text), whole, atol=1e-3)
 
