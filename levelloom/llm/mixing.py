@@ -94,6 +94,26 @@ def passes(docs: DataFrame, goals: DataFrame, seed: int = 6) -> DataFrame:
     return d.select(*docs.columns, "source_no", "source_size", "target", "pass", "at", "taken")
 
 
+def part_of(rng: np.random.Generator, quotas: np.ndarray, k: int, limit: int = 500_000_000) -> np.ndarray:
+    """``k`` of the blocks in ``quotas``, drawn without replacement: a multivariate hypergeometric draw.
+
+    The generator draws from fewer than 10 ** 9 blocks. Of more, whole runs of u blocks are
+    drawn first, as many as fit into ``k``, and what is missing is drawn from the blocks left
+    over; where those are too few, one more run of the largest source is broken up.
+    """
+    total = int(quotas.sum())
+    if total <= limit:
+        return rng.multivariate_hypergeometric(quotas, k, method="marginals") if total else quotas.copy()
+    u = -(-total // limit)
+    runs, rest = quotas // u, quotas % u
+    while k % u > rest.sum():
+        big = int(runs.argmax())
+        runs[big], rest[big] = runs[big] - 1, rest[big] + u
+    whole = min(k // u, int(runs.sum()))
+    drawn = rng.multivariate_hypergeometric(runs, whole, method="marginals") * u
+    return drawn + part_of(rng, rest, k - whole * u, limit)
+
+
 def _split(levels: int, seed: int):
     """Nodes ``levels`` deeper: each splits its quotas between two children of half its shards."""
 
@@ -111,7 +131,7 @@ def _split(levels: int, seed: int):
                         # exact halves: blocks are dealt as evenly as whole blocks allow
                         k = int(q.sum()) * half // s
                         rng = np.random.default_rng([seed, n])
-                        left = rng.multivariate_hypergeometric(q, k, method="marginals") if q.sum() else q
+                        left = part_of(rng, q, k)
                         deeper += [(2 * n, f, half, left), (2 * n + 1, f + half, s - half, q - left)]
                     now = deeper
                 yield pd.DataFrame(now, columns=["node", "first", "shards", "quotas"])
