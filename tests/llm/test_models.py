@@ -246,3 +246,16 @@ def test_pipeline(spark, documents, odd):
         assert docs.count() > 0, name
     assert {"doc_id", "start", "length", "sequence_id", "offset", "ids"} <= set(docs.columns)
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_draws_from_very_many_blocks_are_exact():
+    rng = np.random.default_rng(1)
+    for quotas in ([6 * 10**11, 3 * 10**11, 10**11 + 7, 0, 5], [10**9, 1], [7, 5, 0], [10**12]):
+        q = np.array(quotas, np.int64)
+        for k in (0, 1, int(q.sum()) // 3, int(q.sum()) // 2, int(q.sum())):
+            got = mixing.part_of(rng, q, k)
+            assert got.sum() == k and (got >= 0).all() and (got <= q).all()
+    half = mixing.part_of(rng, np.array([6 * 10**11, 3 * 10**11, 10**11]), 5 * 10**11)
+    assert np.allclose(half / 5e11, [0.6, 0.3, 0.1], atol=1e-3)
+    small = [mixing.part_of(np.random.default_rng(i), np.array([60, 30, 10]), 50, 20) for i in range(200)]
+    assert np.allclose(np.mean(small, 0), [30, 15, 5], atol=0.7)
