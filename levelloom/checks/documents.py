@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from levelloom.checks.registry import query
 from levelloom.functions import scalars as X
 from levelloom.operators import curation, timing
-from levelloom.session import cut
+from levelloom.session import scratch
 from levelloom.sources import documents as D, writers as Wr
+from levelloom.sources.level_files import write_level_files
 
 
 def _zip(v):
@@ -76,6 +77,19 @@ def _(v):
     return docs.select("map_id", "difficulty", n("colorNotes").alias("notes"), n("bombNotes").alias("bombs"), n("obstacles").alias("walls"), n("sliders").alias("arcs"), n("burstSliders").alias("chains"))
 
 
+@query("level_files", """SELECT map_id, difficulty, CAST(COUNT(*) FILTER (kind='note') AS INTEGER) notes, CAST(COUNT(*) FILTER (kind='bomb') AS INTEGER) bombs, CAST(COUNT(*) FILTER (kind='wall') AS INTEGER) walls, CAST(COUNT(*) FILTER (kind='arc') AS INTEGER) arcs,
+ CAST(COUNT(*) FILTER (kind='chain') AS INTEGER) chains, ARG_MAX(beat, (beat, seq)) FILTER (kind='note') last_note FROM full_events GROUP BY ALL""")
+def _(v):
+    base = scratch(v.spark, "levels")
+    write_level_files(v.full_events, f"{base}/out", rows=16)
+    d = v.spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(f"{base}/out").select("value", F.col("_metadata.file_path").alias("path"))
+    n = lambda a: F.coalesce(F.json_array_length(F.get_json_object("value", f"$.{a}")), F.lit(0))
+    last = F.try_element_at(F.from_json(F.get_json_object("value", "$.colorNotes"), "array<struct<b:double>>")["b"], F.lit(-1))
+    return d.select(
+        F.regexp_extract("path", r"([0-9]+)/[^/]+$", 1).cast("long").alias("map_id"), F.regexp_extract("path", r"([^/]+)Standard\.dat$", 1).alias("difficulty"),
+        n("colorNotes").alias("notes"), n("bombNotes").alias("bombs"), n("obstacles").alias("walls"), n("sliders").alias("arcs"), n("burstSliders").alias("chains"), last.alias("last_note"))
+
+
 @query("level_fragments", "SELECT map_id, difficulty, kind, part, CAST(COUNT(*) AS INTEGER) n, MIN(beat) first_beat FROM (SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY map_id, difficulty, kind ORDER BY beat, seq) - 1) // 16 AS BIGINT) part FROM full_events) GROUP BY map_id, difficulty, kind, part")
 def _(v):
     parts = Wr.level_fragments(v.full_events, rows=16)

@@ -36,10 +36,16 @@ def _map_id(path: str) -> str:
     return path.rsplit("/", 1)[-1].removesuffix(".zip")
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path inside it."""
+    if ":" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+
+
 class _Files:
     def __init__(self, path: str):
-        local = not path.partition(":")[1] or path.startswith("file:")
-        self.system, self.base = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+        self.system, self.base = file_system(path)
 
     def list(self) -> list[fs.FileInfo]:
         found = self.system.get_file_info(fs.FileSelector(self.base, recursive=True))

@@ -13,6 +13,9 @@ from levelloom.sources.documents import EVENT_FIELDS, V3_ARRAYS
 #: events of one text part
 PART_ROWS = 1024
 EMPTY_GROUPS = ["lightColorEventBoxGroups", "lightRotationEventBoxGroups", "lightTranslationEventBoxGroups", "vfxEventBoxGroups"]
+#: what stands before the first and behind the last event array of a document
+DOCUMENT_HEAD = '{"version":"3.3.0",'
+DOCUMENT_TAIL = ",".join(f'"{g}":[]' for g in EMPTY_GROUPS) + ',"_fxEventsCollection":{"_fl":[],"_il":[]},"useNormalEventsAsCompatibilityEvents":true}'
 
 
 def _wire(kind: str, extra: Column | None = None) -> Column:
@@ -50,15 +53,14 @@ def level_fragments(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
 def level_documents(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """Finished v3 documents of all levels, put together from their parts.
 
-    A document is one value by format; whoever can't hold a level in one value reads its
-    parts from ``level_fragments``. Empty arrays are written as such.
+    Here a level is one value; ``level_files.write_level_files`` writes the same text to a file
+    without ever holding it. Empty arrays are written as such.
     """
     g = level_fragments(events, rows).groupBy(*K_COLS).agg(
         *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("part", "text")))).alias(k) for k in V3_ARRAYS]
     )
     arrays = [F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(k, lambda s: s.text), ","), F.lit("]")) for k, (name, _) in V3_ARRAYS.items()]
-    tail = ",".join(f'"{g}":[]' for g in EMPTY_GROUPS) + ',"_fxEventsCollection":{"_fl":[],"_il":[]},"useNormalEventsAsCompatibilityEvents":true}'
-    doc = F.concat(F.lit('{"version":"3.3.0",'), F.concat_ws(",", *arrays, F.lit(tail)))
+    doc = F.concat(F.lit(DOCUMENT_HEAD), F.concat_ws(",", *arrays, F.lit(DOCUMENT_TAIL)))
     return g.select(*K_COLS, doc.alias("text"))
 
 

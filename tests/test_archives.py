@@ -95,3 +95,36 @@ def test_job_skips_what_is_stored_and_goes_by_its_log(spark, folder, tmp_path):
     assert P.preprocessed(spark, out, "onsets").count() == 4
     P.preprocess_archives(read().where("map_id = 'a1'"), frames, out, force=True)
     assert P.preprocessed(spark, out, "onsets").count() == 4 and P.preprocessed(spark, out, "lights").count() == 2
+
+
+def test_level_files_hold_what_level_documents_say(spark, tmp_path):
+    from levelloom.sources.documents import level_events, parse_levels
+    from levelloom.sources.level_files import write_level_files
+    from levelloom.sources.writers import level_documents
+
+    long = {**LEVEL, "colorNotes": [{"b": i / 8, "x": i % 4, "y": 0, "c": i % 2, "d": 1} for i in range(999)], "obstacles": [{"b": 3.0, "d": 1.0}]}
+    docs = spark.createDataFrame([(1, "Expert", json.dumps(long)), (1, "Hard", json.dumps(LEVEL)), (2, "Hard", json.dumps({**LEVEL, "colorNotes": []}))], "map_id long, difficulty string, text string")
+    events = level_events(parse_levels(docs))
+    for again in range(2):  # writing again replaces the files
+        write_level_files(events, str(tmp_path / "out"), rows=10)
+        got = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")}
+        assert got == {f"{r.map_id}/{r.difficulty}Standard.dat": r.text for r in level_documents(events).collect()}
+
+
+def test_level_writer_holds_one_part(tmp_path):
+    import tracemalloc
+
+    from levelloom.sources.level_files import LevelWriter
+
+    text = ",".join(['{"b":1.0}'] * 10_000)
+    rows = (("9", "Expert", a, p, text) for a in (0, 3) for p in range(300))  # a document of 54 MB
+    tracemalloc.start()
+    assert LevelWriter(str(tmp_path)).write(rows).files == 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    out = tmp_path / "9" / "ExpertStandard.dat"
+    assert out.stat().st_size > 50e6 and peak < 2e6
+    assert len(json.loads(out.read_text())["sliders"]) == 3_000_000
+    with pytest.raises(ValueError):
+        LevelWriter(str(tmp_path)).write([("9", "Hard", 1, 0, text), ("9", "Hard", 0, 0, text)])
+    assert [p.name for p in (tmp_path / "9").iterdir()] == ["ExpertStandard.dat"]
