@@ -13,6 +13,8 @@ def seconds(v, shrink=1.0):
     return timing.map_seconds(v.objects, v.maps).withColumn("seconds", F.col("seconds") / shrink)
 
 
+#: the order by chance that the rules draw in, for a table alias
+H = "CAST('0x' || md5(map_id || '/' || difficulty || '/' || seq || '/0')[1:15] AS BIGINT)"
 S = {"sec": f"SELECT {K}, MAX(beat) / (ANY_VALUE(bpm) / 60e0) secs FROM objects JOIN maps USING (map_id) GROUP BY ALL"}
 
 
@@ -57,15 +59,16 @@ def _reddish(v):
     return v.notes.withColumn("color", (F.col("seq") % 5 == 0).cast("int"))
 
 
-@query("rebalance_colors", f"""WITH c AS (SELECT {K}, seq, CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END c, COUNT(*) OVER (PARTITION BY {K}, beat, seq % 5 = 0) g FROM notes),
- t AS (SELECT {K}, COUNT(*) n, SUM(1 - c) red, SUM(CASE WHEN c = 0 AND g = 1 THEN 1 ELSE 0 END) alone FROM c GROUP BY ALL)
- SELECT {K}, n, CAST(CASE WHEN n >= 10 AND red / n > 6e-1 THEN FLOOR(n * 5e-1) ELSE red END AS BIGINT) red, CAST(CASE WHEN n >= 10 AND red / n > 6e-1 THEN LEAST(alone, red - FLOOR(n * 5e-1)) ELSE 0 END AS BIGINT) alone_flipped FROM t""")
+_BALANCE = f"""WITH t AS (SELECT {K}, COUNT(*) n, COUNT(*) FILTER (color = 0) red FROM notes GROUP BY ALL),
+ u AS (SELECT *, CASE WHEN red / n > 6e-1 THEN 0 ELSE 1 END color FROM t WHERE n >= 10 AND (red / n < 4e-1 OR red / n > 6e-1)),
+ m AS (SELECT {K}, seq, CASE WHEN color = 0 THEN red ELSE n - red END - CAST(FLOOR(n * 5e-1) AS BIGINT) ex, COUNT(*) OVER (PARTITION BY {K}, beat) > 1 g FROM notes JOIN u USING ({KC})),
+ r AS (SELECT {K}, seq, ROW_NUMBER() OVER (PARTITION BY {K} ORDER BY g, {H}, seq) <= ex flip FROM m)
+ SELECT notes.* REPLACE (CASE WHEN flip THEN 1 - color ELSE color END AS color) FROM notes LEFT JOIN r USING ({K}, seq)"""
+
+
+@query("rebalance_colors", f"SELECT {K}, seq, color FROM ({_BALANCE.replace('notes', 'skewed')})", {"skewed": "SELECT notes.* REPLACE (CASE WHEN seq % 5 = 0 THEN 1 ELSE 0 END AS color) FROM notes"})
 def _(v):
-    before = _reddish(v).withColumn("was", F.col("color"))
-    g = before.groupBy("map_id", "difficulty", "beat", "was").agg(F.count("*").alias("g"))
-    after = R.rebalance_colors(before).join(g, ["map_id", "difficulty", "beat", "was"])
-    return after.groupBy("map_id", "difficulty").agg(
-        F.count("*").alias("n"), F.count_if(F.col("color") == 0).alias("red"), F.count_if((F.col("was") == 0) & (F.col("color") == 1) & (F.col("g") == 1)).alias("alone_flipped"))
+    return R.rebalance_colors(_reddish(v)).select("map_id", "difficulty", "seq", "color")
 
 
 @query("separate_colors", f"""WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, beat ORDER BY seq) k FROM notes), g AS (SELECT {K}, beat, list({{'x': x, 'y': y, 'c': color}} ORDER BY seq) cs, COUNT(*) m, ANY_VALUE(nn) >= 10 big FROM (SELECT *, COUNT(*) OVER (PARTITION BY {K}) nn FROM notes) GROUP BY {K}, beat),
@@ -83,10 +86,10 @@ def _(v):
 
 
 @query("clear_vision", f"""WITH d AS (SELECT {K}, beat, x, y, ARG_MIN(direction, seq) direction, MIN(seq) seq FROM notes GROUP BY ALL)
- SELECT a.map_id, a.difficulty, a.seq, EXISTS (SELECT 1 FROM d b WHERE b.map_id = a.map_id AND b.difficulty = a.difficulty AND b.beat = a.beat AND b.x = a.x AND b.y = a.y - 1 AND b.direction = 0) moved, a.y FROM d a""")
+ SELECT map_id, difficulty, seq, moved, CASE WHEN moved THEN (x + {H} % 3 + 1) % 4 ELSE x END x, y FROM (SELECT a.map_id, a.difficulty, a.seq, a.x, a.y, EXISTS (SELECT 1 FROM d b WHERE b.map_id = a.map_id AND b.difficulty = a.difficulty AND b.beat = a.beat AND b.x = a.x AND b.y = a.y - 1 AND b.direction = 0) moved FROM d a)""")
 def _(v):
     d = R.drop_duplicates(v.notes).withColumn("was", F.col("x"))
-    return R.clear_vision(d).select("map_id", "difficulty", "seq", (F.col("x") != F.col("was")).alias("moved"), "y")
+    return R.clear_vision(d).select("map_id", "difficulty", "seq", (F.col("x") != F.col("was")).alias("moved"), F.col("x").cast("long").alias("x"), "y")
 
 
 _ROWS = f"SELECT {KC}, seq, beat, x, y, direction, ROW_NUMBER() OVER w k, beat - LAG(beat) OVER w gap, LEAD(x) OVER w nx FROM notes WINDOW w AS (PARTITION BY {KC} ORDER BY beat, seq)"
@@ -165,39 +168,49 @@ def _(v):
     return R.smooth_lights(l).select("map_id", "event_type", "seq", "float_value")
 
 
-@query("diversify_directions", f"SELECT {K}, COUNT(*) n, true within_caps, true changed FROM notes GROUP BY ALL")
+_T = "[" + ", ".join(f"{v:e}" for v in R.DIRECTION_TARGETS.values()) + "]"
+#: direction counts of a level, one over-used direction after the other
+_SPREAD = f"""WITH c AS (SELECT {K}, COUNT(*) total, [{", ".join(f"COUNT(*) FILTER (direction = {d})" for d in range(9))}] was FROM skewed GROUP BY ALL),
+ step AS (SELECT {K}, 0 d, total, was, was cnt FROM c UNION ALL SELECT {K}, d + 1, total, was, CASE WHEN extra <= 0 OR len(room) = 0 THEN cnt ELSE
+  list_transform(range(0, 9), lambda i: cnt[i + 1] - CASE WHEN i = d THEN extra ELSE 0 END + CASE WHEN list_contains(room, i) THEN extra // len(room) + CASE WHEN list_position(room, i) <= extra % len(room) THEN 1 ELSE 0 END ELSE 0 END) END
+  FROM (SELECT *, CASE WHEN len(r1) > 0 THEN r1 ELSE r2 END room FROM (SELECT *, cnt[d + 1] - CAST(FLOOR(({_T}[d + 1] + 1e-1) * total) AS BIGINT) extra, list_filter(range(0, 9), lambda i: cnt[i + 1] < FLOOR({_T}[i + 1] * total)) r1,
+   list_filter(range(0, 9), lambda i: i <> d AND cnt[i + 1] < FLOOR(({_T}[i + 1] + 1e-1) * total)) r2 FROM step WHERE d < 9)))
+ SELECT {K}, total n, CASE WHEN total >= 20 THEN cnt ELSE was END counts FROM step WHERE d = 9"""
+
+
+@query("diversify_directions", _SPREAD, {"skewed": "SELECT notes.* REPLACE (CASE WHEN seq % 4 <> 0 THEN 1 ELSE direction END AS direction) FROM notes"})
 def _(v):
-    skew = v.notes.withColumn("direction", F.when(F.col("seq") % 4 != 0, 1).otherwise(F.col("direction"))).withColumn("was", F.col("direction"))
-    d = R.diversify_directions(skew)
-    g = d.groupBy("map_id", "difficulty").agg(
-        F.count("*").alias("n"), (F.count_if(F.col("was") != F.col("direction")) > 0).alias("changed"), *[F.count_if(F.col("direction") == i).alias(f"d{i}") for i in range(9)])
-    ok = F.lit(True)
-    for i, share in R.DIRECTION_TARGETS.items():
-        ok = ok & (F.col(f"d{i}") <= F.floor((share + 0.10) * F.col("n")))
-    return g.select("map_id", "difficulty", "n", ok.alias("within_caps"), "changed")
+    d = R.diversify_directions(v.notes.withColumn("direction", F.when(F.col("seq") % 4 != 0, 1).otherwise(F.col("direction"))))
+    return d.groupBy("map_id", "difficulty").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("direction") == i) for i in range(9)]).alias("counts"))
 
 
-@query("rebalance_rows", f"""WITH s AS (SELECT {K}, CASE WHEN seq % 5 = 0 THEN y ELSE 2 END y FROM notes), c AS (SELECT {K}, COUNT(*) n, COUNT(*) FILTER (y=0) a, COUNT(*) FILTER (y=1) b, COUNT(*) FILTER (y=2) t FROM s GROUP BY ALL),
- e AS (SELECT *, n >= 20 AND GREATEST(a, b, t) / n > 7e-1 hit, t - CAST(FLOOR(n * 25e-2) AS BIGINT) ex, a < FLOOR(n * 47e-2) ra, b < FLOOR(n * 28e-2) rb FROM c)
- SELECT {K}, CASE WHEN hit THEN a + CASE WHEN ra AND rb THEN (ex + 1) // 2 WHEN ra THEN ex ELSE 0 END ELSE a END y0, CASE WHEN hit THEN b + CASE WHEN ra AND rb THEN ex // 2 WHEN rb THEN ex ELSE 0 END ELSE b END y1, CASE WHEN hit THEN t - ex ELSE t END y2 FROM e""")
+@query("rebalance_rows", f"""WITH s AS (SELECT {K}, seq, CASE WHEN seq % 5 = 0 THEN y ELSE 2 END y FROM notes), c AS (SELECT {K}, COUNT(*) n, [COUNT(*) FILTER (y=0), COUNT(*) FILTER (y=1), COUNT(*) FILTER (y=2)] cnt FROM s GROUP BY ALL),
+ e AS (SELECT *, list_max(cnt) most, list_position(cnt, list_max(cnt)) - 1 ov, [CAST(FLOOR(n * 47e-2) AS BIGINT), CAST(FLOOR(n * 28e-2) AS BIGINT), CAST(FLOOR(n * 25e-2) AS BIGINT)] want FROM c WHERE n >= 20),
+ h AS (SELECT *, most - want[ov + 1] ex, list_filter([0, 1, 2], lambda i: cnt[i + 1] < want[i + 1]) thin FROM e WHERE most / n > 7e-1),
+ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, y ORDER BY {H}, seq) pos FROM s)
+ SELECT {K}, seq, CAST(CASE WHEN y = ov AND pos <= ex AND len(thin) > 0 THEN thin[(pos - 1) % len(thin) + 1] ELSE y END AS INTEGER) y FROM r LEFT JOIN h USING ({K})""")
 def _(v):
     s = v.notes.withColumn("y", F.when(F.col("seq") % 5 == 0, F.col("y")).otherwise(2))
-    return R.rebalance_rows(s).groupBy("map_id", "difficulty").agg(*[F.count_if(F.col("y") == i).alias(f"y{i}") for i in range(3)])
+    return R.rebalance_rows(s).select("map_id", "difficulty", "seq", "y")
 
 
-@query("spread_cells", f"SELECT {K}, COUNT(*) n, GREATEST(COUNT(DISTINCT x % 2), LEAST(8, COUNT(DISTINCT x % 2) + CASE WHEN COUNT(*) >= 20 THEN 8 ELSE 0 END)) coverage FROM notes GROUP BY ALL")
+@query("spread_cells", f"""WITH s AS (SELECT {K}, seq, beat, x % 2 cell FROM notes), p AS (SELECT {K}, cell, COUNT(*) c FROM s GROUP BY ALL),
+ u AS (SELECT {K}, list_filter(range(0, 12), lambda i: NOT list_contains(list(cell), i)) free, 8 - COUNT(*) lacking FROM p GROUP BY ALL HAVING SUM(c) >= 20),
+ f AS (SELECT {K}, list(i ORDER BY CAST('0x' || md5(i || '/' || map_id || '/' || difficulty || '/0')[1:15] AS BIGINT)) free, ANY_VALUE(LEAST(len, lacking)) moves FROM (SELECT {K}, lacking, len(free) len, unnest(free) i FROM u) GROUP BY ALL),
+ i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, cell ORDER BY beat, seq) <= c - 2 may FROM s JOIN p USING ({K}, cell)),
+ o AS (SELECT *, CAST(SUM(CASE WHEN may THEN 1 ELSE 0 END) OVER (PARTITION BY {K} ORDER BY c DESC, beat, seq) AS BIGINT) pos FROM i)
+ SELECT {K}, seq, CAST(CASE WHEN may AND moves > 0 AND pos <= moves THEN free[pos] ELSE cell END AS INTEGER) cell FROM o LEFT JOIN f USING ({K})""")
 def _(v):
     s = v.notes.withColumn("x", F.col("x") % 2).withColumn("y", F.lit(0))
-    return R.spread_cells(s).groupBy("map_id", "difficulty").agg(F.count("*").alias("n"), F.count_distinct("x", "y").alias("coverage"))
+    return R.spread_cells(s).select("map_id", "difficulty", "seq", (F.col("x") + 4 * F.col("y")).cast("int").alias("cell"))
 
 
 @query("vary_repeats", f"""WITH s AS (SELECT {K}, seq, beat, CAST(FLOOR(beat / 20) AS INTEGER) % 9 d FROM notes), c AS (SELECT *, CASE WHEN LAG(d) OVER (PARTITION BY {K} ORDER BY beat, seq) = d THEN 0 ELSE 1 END ch FROM s),
  i AS (SELECT *, SUM(ch) OVER (PARTITION BY {K} ORDER BY beat, seq) run FROM c), p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, run ORDER BY beat, seq) - 1 k FROM i)
- SELECT {K}, seq, k >= 5 AND (k - 5) % 2 = 0 changed FROM p""")
+ SELECT {K}, seq, CAST(CASE WHEN k >= 5 AND (k - 5) % 2 = 0 THEN (d + 1 + {H} % 8) % 9 ELSE d END AS INTEGER) direction FROM p""")
 def _(v):
     s = v.notes.withColumn("color", F.lit(0)).withColumn("x", F.lit(0)).withColumn("y", F.lit(0)).withColumn("direction", F.floor(F.col("beat") / 20).cast("int") % 9)
-    s = s.withColumn("was", F.col("direction"))
-    return R.vary_repeats(s).select("map_id", "difficulty", "seq", (F.col("was") != F.col("direction")).alias("changed"))
+    return R.vary_repeats(s).select("map_id", "difficulty", "seq", "direction")
 
 
 @query("repair_level")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from levelloom.constants import (
     DIRECTION_TARGETS, FALLBACK_SECONDS, MAX_BRIGHTNESS_JUMP, MAX_LIGHTS_PER_QUARTER, OBJECT_CAPS, REPAIR_DENSITY, ROW_TARGETS,
 )
-from levelloom.functions.scalars import axis, beat_strength, flow_direction, is_neutral, lookup, parity_class
+from levelloom.functions.scalars import axis, beat_strength, flow_direction, hash_order, is_neutral, lookup, parity_class
 from levelloom.operators.parity import HANDS, K_COLS
 from levelloom.plans.ordered import NOTES, Fold, Track, asof, fold_runs, islands, key_schema, position, scan, stream_folds, with_halo
 from levelloom.session import cut
@@ -26,10 +26,11 @@ def _one() -> Column:
 
 
 def _hash(seed: int, *cols: str) -> Column:
-    return F.xxhash64(*cols, F.lit(seed))
+    """Chance by key and seed, in an order that other engines can compute too."""
+    return hash_order(*(cols or (*K_COLS, "seq")), F.lit(seed))
 
 
-_HASH_SLICE = "shiftright(_h, 50)"
+_HASH_SLICE = "shiftright(_h, 46)"
 
 
 def _level_counts(notes: DataFrame, *aggs: Column) -> DataFrame:
@@ -117,7 +118,7 @@ def rebalance_colors(notes: DataFrame, lo: float = 0.40, hi: float = 0.60, seed:
     c = c.select(*K_COLS, over.alias("color"), (F.when(over == 0, F.col("_red")).otherwise(F.col("_n") - F.col("_red")) - half).alias("_excess"))
     # only the majority notes of unbalanced levels are ranked
     m = notes.join(c, [*K_COLS, "color"])
-    m = m.withColumn("_grp", (F.count("*").over(W.partitionBy(*K_COLS, "beat")) > 1).cast("int")).withColumn("_h", _hash(seed, *K_COLS, "beat", "seq"))
+    m = m.withColumn("_grp", (F.count("*").over(W.partitionBy(*K_COLS, "beat")) > 1).cast("int")).withColumn("_h", _hash(seed))
     m = scan(m, Track(tuple(K_COLS), ("_grp", "_h", "seq"), f"_grp * 32768 + {_HASH_SLICE}"), sums={"_pos": _one()})
     m = m.withColumn("color", F.when(F.col("_pos") <= F.col("_excess"), 1 - F.col("color")).otherwise(F.col("color")))
     rest = notes.join(c.select(*K_COLS, "color"), [*K_COLS, "color"], "left_anti")
@@ -172,7 +173,7 @@ def clear_vision(notes: DataFrame, seed: int = 0) -> DataFrame:
     """Move a note that sits directly above an upward swing to another column."""
     w = W.partitionBy(*K_COLS, "beat", "x").orderBy("y", "seq")
     below_up = (F.lag("y").over(w) == F.col("y") - 1) & (F.lag("direction").over(w) == 0)
-    shift = F.pmod(_hash(seed, *K_COLS, "beat", "seq"), F.lit(3)) + 1
+    shift = F.pmod(_hash(seed), F.lit(3)) + 1
     n = notes.withColumn("_blocks", F.coalesce(below_up, F.lit(False)))
     return n.withColumn("x", F.when(F.col("_blocks"), (F.col("x") + shift) % 4).otherwise(F.col("x")).cast("int")).drop("_blocks")
 
@@ -437,7 +438,7 @@ def diversify_directions(notes: DataFrame, seed: int = 0) -> DataFrame:
     """Spread over-used directions to under-used ones, by hash order of the notes."""
     c = _level_counts(notes, *[F.count_if(F.col("direction") == d).alias(f"d{d}") for d in range(9)]).where("_n >= 20").withColumnRenamed("_n", "total")
     plan = c.mapInPandas(lambda it: map(_direction_plan, it), "map_id bigint, difficulty string, plan array<struct<origin:int,lo:bigint,hi:bigint,direction:int>>")
-    n = notes.withColumn("_h", _hash(seed, *K_COLS, "beat", "seq"))
+    n = notes.withColumn("_h", _hash(seed))
     n = scan(n, Track((*K_COLS, "direction"), ("_h", "seq"), _HASH_SLICE), sums={"_pos": _one()}).join(plan, K_COLS, "left")
     hit = F.filter("plan", lambda s: (s.origin == F.col("direction")) & F.col("_pos").between(s.lo, s.hi))
     return n.withColumn("direction", F.coalesce(F.get(hit, F.lit(0)).direction, F.col("direction"))).select(*notes.columns)
@@ -451,7 +452,7 @@ def rebalance_rows(notes: DataFrame, seed: int = 0) -> DataFrame:
     want = [F.floor(F.col("_n") * ROW_TARGETS[y]) for y in range(3)]
     thin = F.filter(F.array(*[F.when(F.col(f"_y{y}") < want[y], F.lit(y)) for y in range(3)]), lambda v: v.isNotNull())
     c = c.where(most / F.col("_n") > 0.70).select(*K_COLS, over.alias("_over"), (most - F.get(F.array(*want), over)).alias("_excess"), thin.alias("_thin"))
-    n = notes.withColumn("_h", _hash(seed, *K_COLS, "beat", "seq"))
+    n = notes.withColumn("_h", _hash(seed))
     n = scan(n, Track((*K_COLS, "y"), ("_h", "seq"), _HASH_SLICE), sums={"_pos": _one()}).join(c, K_COLS, "left")
     hit = (F.col("y") == F.col("_over")) & (F.col("_pos") <= F.col("_excess")) & (F.size("_thin") > 0)
     slot = ((F.col("_pos") - 1) % F.greatest(F.size("_thin"), F.lit(1))).cast("int")
@@ -467,7 +468,7 @@ def spread_cells(notes: DataFrame, min_coverage: int = 8, seed: int = 0) -> Data
     per = notes.groupBy(*K_COLS, cell).agg(F.count("*").alias("_c"))
     used = per.groupBy(*K_COLS).agg(F.sum("_c").alias("_n"), F.collect_set("_cell").alias("_used")).where("_n >= 20")  # 12 cells at most
     free = F.array_except(F.sequence(F.lit(0), F.lit(11)), F.col("_used"))
-    free = F.transform(F.array_sort(F.transform(free, lambda v: F.struct(F.xxhash64(v, F.col("map_id"), F.col("difficulty"), F.lit(seed)).alias("h"), v.alias("v")))), lambda s: s.v)
+    free = F.transform(F.array_sort(F.transform(free, lambda v: F.struct(hash_order(v, "map_id", "difficulty", F.lit(seed)).alias("h"), v.alias("v")))), lambda s: s.v)
     used = used.select(*K_COLS, free.alias("_free"), F.least(F.size(free), F.lit(min_coverage) - F.size("_used")).alias("_moves")).where("_moves > 0")
     n = notes.join(used, K_COLS).select("*", cell).join(per, [*K_COLS, "_cell"])
     n = scan(n, NOTES.by("_cell"), sums={"_in_cell": _one()})
@@ -489,7 +490,7 @@ def vary_repeats(notes: DataFrame, max_repeats: int = 5, seed: int = 0) -> DataF
     n = scan(n, NOTES, upto={"_start": ("_pos", fresh)})
     i = F.col("_pos") - F.col("_start")
     hit = (i >= max_repeats) & ((i - max_repeats) % 2 == 0)
-    new = (F.col("direction") + 1 + F.pmod(_hash(seed, *K_COLS, "beat", "seq"), F.lit(8))) % 9
+    new = (F.col("direction") + 1 + F.pmod(_hash(seed), F.lit(8))) % 9
     return n.withColumn("direction", F.when(hit, new).otherwise(F.col("direction")).cast("int")).select(*notes.columns)
 
 
