@@ -23,9 +23,12 @@ def _(v):
     return R.strip_objects(v.objects).select("map_id", "difficulty", "seq")
 
 
-@query("cap_objects", f"""WITH r AS (SELECT o.{K.replace(', ', ', o.')}, o.kind, o.seq, ROW_NUMBER() OVER (PARTITION BY {K.replace('map_id', 'o.map_id').replace(' difficulty', ' o.difficulty')}, kind ORDER BY beat, seq) - 1 r, COUNT(*) OVER (PARTITION BY o.map_id, o.difficulty, kind) n,
+_CAP_OBJECTS = f"""WITH r AS (SELECT o.{K.replace(', ', ', o.')}, o.kind, o.seq, ROW_NUMBER() OVER (PARTITION BY {K.replace('map_id', 'o.map_id').replace(' difficulty', ' o.difficulty')}, kind ORDER BY beat, seq) - 1 r, COUNT(*) OVER (PARTITION BY o.map_id, o.difficulty, kind) n,
  CAST(FLOOR(CASE kind WHEN 'bomb' THEN GREATEST(10, secs / 4 * 15e-2) WHEN 'wall' THEN GREATEST(5, secs / 4 * 1e-1) ELSE GREATEST(5, secs / 4 * 5e-2) END) AS BIGINT) m FROM objects o JOIN sec USING ({K}))
- SELECT {K}, kind, seq FROM r WHERE kind = 'note' OR n <= m OR list_contains([CAST(FLOOR(i * (n / m)) AS BIGINT) for i in range(0, m)], r)""", S)
+ SELECT {K}, kind, seq FROM r WHERE kind = 'note' OR n <= m OR list_contains([CAST(FLOOR(i * (n / m)) AS BIGINT) for i in range(0, m)], r)"""
+
+
+@query("cap_objects", _CAP_OBJECTS, S)
 def _(v):
     return R.cap_objects(v.objects, seconds(v, 4.0)).select("map_id", "difficulty", "kind", "seq")
 
@@ -49,8 +52,11 @@ def _(v):
     return R.note_importance(v.notes).select("map_id", "difficulty", "seq", "pos", "importance")
 
 
-@query("cap_density", f"""SELECT {K}, seq FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K} ORDER BY importance, pos) rk, CASE difficulty WHEN 'Expert' THEN 8e0 ELSE 6e0 END hi, CASE difficulty WHEN 'Expert' THEN 6e0 ELSE 45e-1 END mid, secs / 8 s FROM b_imp JOIN sec USING ({K}))
- WHERE NOT (n / s > hi AND GREATEST(1, FLOOR(mid * s)) < n AND rk <= n - GREATEST(1, FLOOR(mid * s)))""", B)
+_CAP_DENSITY = f"""SELECT {K}, seq FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K} ORDER BY importance, pos) rk, CASE difficulty WHEN 'Expert' THEN 8e0 ELSE 6e0 END hi, CASE difficulty WHEN 'Expert' THEN 6e0 ELSE 45e-1 END mid, secs / 8 s FROM b_imp JOIN sec USING ({K}))
+ WHERE NOT (n / s > hi AND GREATEST(1, FLOOR(mid * s)) < n AND rk <= n - GREATEST(1, FLOOR(mid * s)))"""
+
+
+@query("cap_density", _CAP_DENSITY, B)
 def _(v):
     return R.cap_density(v.notes, seconds(v, 8.0)).select("map_id", "difficulty", "seq")
 
@@ -71,11 +77,14 @@ def _(v):
     return R.rebalance_colors(_reddish(v)).select("map_id", "difficulty", "seq", "color")
 
 
-@query("separate_colors", f"""WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, beat ORDER BY seq) k FROM notes), g AS (SELECT {K}, beat, list({{'x': x, 'y': y, 'c': color}} ORDER BY seq) cs, COUNT(*) m, ANY_VALUE(nn) >= 10 big FROM (SELECT *, COUNT(*) OVER (PARTITION BY {K}) nn FROM notes) GROUP BY {K}, beat),
+_SEPARATE = f"""WITH o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {K}, beat ORDER BY seq) k FROM notes), g AS (SELECT {K}, beat, list({{'x': x, 'y': y, 'c': color}} ORDER BY seq) cs, COUNT(*) m, ANY_VALUE(nn) >= 10 big FROM (SELECT *, COUNT(*) OVER (PARTITION BY {K}) nn FROM notes) GROUP BY {K}, beat),
  step AS (SELECT {K}, beat, 0::BIGINT k, m, big, cs FROM g UNION ALL SELECT {K}, beat, k + 1, m, big, [CASE WHEN i = k + 1 THEN {{'x': CASE WHEN NOT big THEN cs[i].x
    WHEN cs[i].c = 0 AND cs[i].x >= 2 THEN CASE WHEN len([j for j in range(1, m + 1) if j <> i AND cs[j].x = 1 AND cs[j].y = cs[i].y]) = 0 THEN 1 WHEN len([j for j in range(1, m + 1) if j <> i AND cs[j].x = 0 AND cs[j].y = cs[i].y]) = 0 THEN 0 ELSE cs[i].x END
    WHEN cs[i].c = 1 AND cs[i].x <= 1 THEN CASE WHEN len([j for j in range(1, m + 1) if j <> i AND cs[j].x = 2 AND cs[j].y = cs[i].y]) = 0 THEN 2 WHEN len([j for j in range(1, m + 1) if j <> i AND cs[j].x = 3 AND cs[j].y = cs[i].y]) = 0 THEN 3 ELSE cs[i].x END ELSE cs[i].x END, 'y': cs[i].y, 'c': cs[i].c}} ELSE cs[i] END for i in range(1, m + 1)] FROM step WHERE k < m)
- SELECT o.map_id, o.difficulty, o.seq, s.cs[o.k].x x FROM step s JOIN o ON o.map_id = s.map_id AND o.difficulty = s.difficulty AND o.beat = s.beat WHERE s.k = s.m""")
+ SELECT o.map_id, o.difficulty, o.seq, s.cs[o.k].x x FROM step s JOIN o ON o.map_id = s.map_id AND o.difficulty = s.difficulty AND o.beat = s.beat WHERE s.k = s.m"""
+
+
+@query("separate_colors", _SEPARATE)
 def _(v):
     return R.separate_colors(v.notes).select("map_id", "difficulty", "seq", "x")
 
@@ -107,17 +116,26 @@ def _walk(fore, result, extra_cols="", extra_from=""):
  SELECT {K}, seq, d direction FROM step WHERE k > 0"""
 
 
-@query("convert_dots", _walk("COALESCE(prev NOT IN (1,6,7), true)", f"CASE WHEN direction <> 8 OR gap >= 2 THEN direction ELSE {_FLOW} END"))
+_DOTS = _walk("COALESCE(prev NOT IN (1,6,7), true)", f"CASE WHEN direction <> 8 OR gap >= 2 THEN direction ELSE {_FLOW} END")
+
+
+@query("convert_dots", _DOTS)
 def _(v):
     return R.convert_dots(v.notes).select("map_id", "difficulty", "seq", "direction")
 
 
-@query("fix_parity", _walk("direction NOT IN (1,6,7)", f"CASE WHEN prev IS NULL OR prev IN (2,3,8) OR direction IN (2,3,8) OR (prev IN (1,6,7)) <> (direction IN (1,6,7)) THEN direction ELSE {_FLOW} END"))
+_PARITY = _walk("direction NOT IN (1,6,7)", f"CASE WHEN prev IS NULL OR prev IN (2,3,8) OR direction IN (2,3,8) OR (prev IN (1,6,7)) <> (direction IN (1,6,7)) THEN direction ELSE {_FLOW} END")
+
+
+@query("fix_parity", _PARITY)
 def _(v):
     return R.fix_parity(v.notes).select("map_id", "difficulty", "seq", "direction")
 
 
-@query("calm_flips", _walk("true", "CASE WHEN gap > 0 AND gap * 60000e0 / 1000 < 100 AND direction <> 8 AND direction = [1,0,3,2,7,6,5,4,-1][prev + 1] THEN prev ELSE direction END"))
+_FLIPS = _walk("true", "CASE WHEN gap > 0 AND gap * 60000e0 / 1000 < 100 AND direction <> 8 AND direction = [1,0,3,2,7,6,5,4,-1][prev + 1] THEN prev ELSE direction END")
+
+
+@query("calm_flips", _FLIPS)
 def _(v):
     return R.calm_flips(v.notes, v.maps.withColumn("bpm", F.lit(1000.0))).select("map_id", "difficulty", "seq", "direction")
 
@@ -131,12 +149,15 @@ def _(v):
     return R.nearest_note(a, v.notes).select("map_id", "difficulty", "seq", F.col("match_beat").alias("note_beat"))
 
 
-@query("reconnect_arcs", f"""WITH a AS (SELECT {KC}, seq, beat, kind, tail_direction FROM full_events WHERE kind IN ('arc','chain')), n AS (SELECT {KC}, beat, ARG_MIN(x, seq) x, ARG_MIN(y, seq) y, ARG_MIN(direction, seq) d FROM notes GROUP BY ALL),
+_RECONNECT = f"""WITH a AS (SELECT {KC}, seq, beat, kind, tail_direction FROM full_events WHERE kind IN ('arc','chain')), n AS (SELECT {KC}, beat, ARG_MIN(x, seq) x, ARG_MIN(y, seq) y, ARG_MIN(direction, seq) d FROM notes GROUP BY ALL),
  p AS (SELECT a.*, n.beat pb FROM a ASOF LEFT JOIN n ON a.map_id = n.map_id AND a.difficulty = n.difficulty AND a.color = n.color AND a.beat >= n.beat),
  q AS (SELECT p.*, n.beat qb FROM p ASOF LEFT JOIN n ON p.map_id = n.map_id AND p.difficulty = n.difficulty AND p.color = n.color AND p.beat <= n.beat),
  h AS (SELECT {KC}, seq, kind, tail_direction td, hb, hb + 1e-2 a2 FROM (SELECT *, CASE WHEN pb IS NULL OR qb - beat < beat - pb THEN COALESCE(qb, pb) ELSE pb END hb FROM q) WHERE ABS(hb - beat) < 1),
  t AS (SELECT h.*, n.beat tb, n.x tx, n.y ty, n.d nd FROM h ASOF JOIN n ON h.map_id = n.map_id AND h.difficulty = n.difficulty AND h.color = n.color AND h.a2 < n.beat)
- SELECT t.map_id, t.difficulty, t.seq, n.beat, n.x, n.y, n.d direction, t.tb tail_beat, t.tx tail_x, t.ty tail_y, CASE t.kind WHEN 'arc' THEN t.nd ELSE t.td END tail_direction FROM t JOIN n ON n.map_id = t.map_id AND n.difficulty = t.difficulty AND n.color = t.color AND n.beat = t.hb""")
+ SELECT t.map_id, t.difficulty, t.seq, n.beat, n.x, n.y, n.d direction, t.tb tail_beat, t.tx tail_x, t.ty tail_y, CASE t.kind WHEN 'arc' THEN t.nd ELSE t.td END tail_direction FROM t JOIN n ON n.map_id = t.map_id AND n.difficulty = t.difficulty AND n.color = t.color AND n.beat = t.hb"""
+
+
+@query("reconnect_arcs", _RECONNECT)
 def _(v):
     e = R.reconnect_arcs(v.full_events).where("kind in ('arc', 'chain')")
     return e.select("map_id", "difficulty", "seq", "beat", "x", "y", "direction", "tail_beat", "tail_x", "tail_y", "tail_direction")
@@ -213,9 +234,45 @@ def _(v):
     return R.vary_repeats(s).select("map_id", "difficulty", "seq", "direction")
 
 
-@query("repair_level")
+def _redone(stage: str, sql: str, column: str) -> str:
+    """``stage`` with one column replaced by what ``sql`` says about its rows."""
+    sql = sql.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"SELECT {stage}.* REPLACE (w.{column} AS {column}) FROM {stage} JOIN ({sql}) w ON w.map_id = {stage}.map_id AND w.difficulty = {stage}.difficulty AND w.seq = {stage}.seq"
+
+
+def _on(sql: str, stage: str) -> str:
+    return sql.replace("notes", stage)
+
+
+_COLS = f"{K}, kind, seq, beat, x, y, color, direction, tail_beat, event_type, float_value"
+#: the whole repair, stage by stage, with the walkers above; z names are kept tables
+Z = {
+    **B, **L,
+    "z2": f"SELECT b_two.* FROM b_two SEMI JOIN ({_CAP_DENSITY.replace('b_imp', 'z_imp').replace('secs / 8', 'secs')}) w USING ({K}, seq)",
+    "z_imp": _on(B["b_imp"], "b_two"),
+    "z3": _on(_BALANCE, "z2"),
+    "z4": _redone("z3", _on(_SEPARATE, "z3"), "x"),
+    "z5": f"SELECT z4.* FROM z4 SEMI JOIN (SELECT {K}, MIN(seq) seq FROM z4 GROUP BY {K}, beat, x, y) USING ({K}, seq)",
+    "z6": f"SELECT a.* REPLACE (CAST(CASE WHEN EXISTS (SELECT 1 FROM z5 b WHERE b.map_id = a.map_id AND b.difficulty = a.difficulty AND b.beat = a.beat AND b.x = a.x AND b.y = a.y - 1 AND b.direction = 0) THEN (a.x + {H} % 3 + 1) % 4 ELSE a.x END AS INTEGER) AS x) FROM z5 a",
+    "z7": _redone("z6", _FLIPS.replace("nx FROM notes", "nx, bpm FROM (SELECT z6.*, bpm FROM z6 JOIN maps USING (map_id))").replace("gap * 60000e0 / 1000", "gap * (60000e0 / GREATEST(bpm, 1e0))"), "direction"),
+    "z8": _redone("z7", _on(_DOTS, "z7"), "direction"),
+    "z9": _redone("z8", _on(_PARITY, "z8"), "direction"),
+    "z_rest": f"SELECT full_events.* FROM full_events SEMI JOIN ({_CAP_OBJECTS.replace('secs / 4', 'secs')}) w USING ({K}, kind, seq) WHERE kind <> 'note'",
+    "z_arcs": _on(_RECONNECT, "z9").replace("full_events", "z_rest"),
+    "z_light": "SELECT map_id, event_type, seq, beat, float_value f, ROW_NUMBER() OVER (PARTITION BY map_id, event_type ORDER BY beat, seq) k FROM k_cap",
+    "k_done": L["k_walk"].replace("k_rows", "z_light").replace("k_walk", "k_done"),
+}
+
+
+@query("repair_level", f"""SELECT {K}, 'note' kind, seq, beat, x, y, color, direction, NULL::DOUBLE tail_beat, NULL::INTEGER event_type, NULL::DOUBLE float_value FROM z9
+ UNION ALL SELECT {K}, kind, seq, beat, x, y, NULL, NULL, NULL, NULL, NULL FROM z_rest WHERE kind IN ('bomb', 'wall')
+ UNION ALL SELECT {K}, r.kind, seq, a.beat, a.x, a.y, r.color, a.direction, a.tail_beat, NULL, NULL FROM z_arcs a JOIN (SELECT {K}, seq, kind, color FROM z_rest WHERE kind IN ('arc', 'chain')) r USING ({K}, seq)
+ UNION ALL SELECT map_id, 'Expert', 'boost', seq, beat, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lights WHERE seq % 9 = 0
+ UNION ALL SELECT map_id, 'Expert', 'light', seq, z_light.beat, NULL, NULL, NULL, NULL, NULL, event_type, k_done.v FROM k_done JOIN z_light USING (map_id, event_type, k, seq)""", Z)
 def _(v):
     from levelloom.checks.documents import lights_as_events
 
     out = R.repair_level(lights_as_events(v), v.maps, seconds(v))
-    return out.groupBy("map_id", "difficulty", "kind").agg(F.count("*").alias("n"), F.min("beat").alias("first"), F.max("beat").alias("last"))
+    flat = F.col("kind").isin("bomb", "wall", "light", "boost")
+    hidden = {c: F.when(~flat, F.col(c)) for c in ("color", "direction")} | {"tail_beat": F.when(F.col("kind").isin("arc", "chain"), F.col("tail_beat"))}
+    return out.withColumns(hidden).select(*[c.strip() for c in _COLS.split(",")])

@@ -230,7 +230,10 @@ VIEWS = {
 
 
 def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
-    """Prefix ``sql`` with the views it names (and those they name) as CTEs."""
+    """Prefix ``sql`` with the views it names (and those they name) as CTEs.
+
+    Names that begin with z are stages of a chain, each read several times: they are kept.
+    """
     known = {k: v[1] for k, v in VIEWS.items()} | (extra or {})
     order: list[str] = []
 
@@ -246,7 +249,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     need(sql)
     if not order:
         return sql
-    ctes = ", ".join(f"{n} AS ({known[n]})" for n in order)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n[0] == 'z' else ''}({known[n]})" for n in order)
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
     body = f", {sql[own.end():]}" if own else f" {sql}"
     return f"WITH RECURSIVE {ctes}{body}"
