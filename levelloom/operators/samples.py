@@ -146,9 +146,11 @@ def sequence_samples(onsets: DataFrame, n_frames: DataFrame, *, context: int = 1
 
 def lighting_samples(lights: DataFrame, onsets: DataFrame, n_frames: DataFrame, *, context: int = 128, max_light: int = 32, max_note: int = 64) -> DataFrame:
     """Lighting samples: each lit frame with the tokens of the nearest onset of its level."""
-    l = lights.withColumnRenamed("tokens", "light_tokens")
-    l, r = cut(l), cut(onsets.withColumnRenamed("tokens", "note_tokens"))
-    j = asof(l, r.select(*K_COLS, "frame", "beat", "note_tokens"), K_COLS, "frame", ["note_tokens"], slice="floor(frame / 1024)", direction="nearest", tie="beat")
+    l, r = cut(lights.withColumnRenamed("tokens", "light_tokens")), cut(onsets)
+    # frames alone go through the search; tokens join by the frame it finds
+    near = asof(l.select(*K_COLS, "frame").distinct(), r.select(*K_COLS, "frame"), K_COLS, "frame", [], slice="floor(frame / 1024)", direction="nearest")
+    tokens = r.groupBy(*K_COLS, F.col("frame").alias("match_frame")).agg(F.min_by("tokens", "beat").alias("note_tokens"))
+    j = l.join(near.join(tokens, [*K_COLS, "match_frame"], "left"), [*K_COLS, "frame"])
     start, end = context_window(F.col("frame"), F.col("n_frames"), context)
     none = F.array().cast("array<int>")
     return j.join(n_frames.select("map_id", "n_frames"), "map_id").select(
