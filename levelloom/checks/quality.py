@@ -177,9 +177,10 @@ def _(v):
     return quality.reason_summary(quality.quality_blacklist(_short_index(v), _metrics(v)))
 
 
-@query("map_index", """SELECT o.map_id, o.difficulty, n_frames, category, n_onsets, COALESCE(n_lights, 0) n_lights FROM
+@query("map_index", """SELECT o.map_id, o.difficulty, n_frames, category, CASE WHEN o.map_id % 3 = 0 THEN 'unknown' ELSE 'genre ' || o.map_id % 5 END genre, n_onsets, COALESCE(n_lights, 0) n_lights FROM
  (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_onsets FROM q_at GROUP BY ALL) o JOIN maps USING (map_id)
  LEFT JOIN (SELECT map_id, difficulty, COUNT(DISTINCT beat) n_lights FROM q_lit GROUP BY ALL) l ON l.map_id = o.map_id AND l.difficulty = o.difficulty""", CTES)
 def _(v):
     e = _events(v)
-    return quality.map_index(e, e.where("kind = 'light'"), v.maps)
+    genre = F.when(F.col("map_id") % 3 != 0, F.concat(F.lit("genre "), F.col("map_id") % 5))
+    return quality.map_index(e, e.where("kind = 'light'"), v.maps.withColumn("genre", genre))

@@ -65,16 +65,18 @@ def _(v):
     return J.parity_totals(f"{base}/out", v.spark).drop("late")
 
 
-@query("stream_ingest", """SELECT 'events' t, COUNT(*) n FROM (SELECT map_id, dd FROM v2_obj WHERE kind IN ('note','bomb','wall') AND (map_id, dd) IN (SELECT (map_id, difficulty) FROM v2_live) UNION ALL SELECT map_id, difficulty FROM v2_live)
- UNION ALL SELECT 'rejects', COUNT(*) FROM v2_rej""", V2)
+@query("stream_ingest", """SELECT map_id, dd difficulty, CASE kind WHEN 'v2_light' THEN 'light' ELSE kind END kind, COUNT(*) n, CAST(ROUND(SUM(b) * 1000) AS BIGINT) beats, NULL reject FROM
+  (SELECT map_id, dd, kind, beat b FROM v2_obj WHERE kind IN ('note','bomb','wall') AND (map_id, dd) IN (SELECT (map_id, difficulty) FROM v2_live) UNION ALL SELECT map_id, difficulty, 'v2_light', 15e-1 FROM v2_live) GROUP BY ALL
+ UNION ALL SELECT map_id, difficulty, NULL, NULL, NULL, reject FROM v2_rej""", V2)
 def _(v):
     base = scratch(v.spark, "ingest")
     # whole maps per file, several files and triggers
     _v2_docs(v).repartition(4, "map_id").write.parquet(f"{base}/in")
     docs = v.spark.readStream.schema("map_id bigint, difficulty string, text string").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     J.ingest_levels(docs, f"{base}/out", f"{base}/ck").awaitTermination()
-    n = lambda t: v.spark.read.parquet(f"{base}/out/{t}").agg(F.lit(t).alias("t"), F.count("*").alias("n"))
-    return n("events").unionByName(n("rejects"))
+    events = v.spark.read.parquet(f"{base}/out/events").groupBy("map_id", "difficulty", "kind").agg(F.count("*").alias("n"), F.round(F.sum("beat") * 1000).cast("long").alias("beats"), F.lit(None).cast("string").alias("reject"))
+    dead = v.spark.read.parquet(f"{base}/out/rejects").select("map_id", "difficulty", "reject")
+    return events.unionByName(dead, allowMissingColumns=True)
 
 
 # ---- sources and sinks over Spark-written files ----------------------------

@@ -139,6 +139,8 @@ def _(v):
     return T.encode_lights(v.lights, boosts).withColumn("tokens", text("tokens"))
 
 
-@query("decode_lights", 'SELECT map_id, beat, event_type, "value", [0e0, 33e-2, 67e-2, 1e0][b + 1] float_value FROM l_ev', L_CTES)
+@query("decode_lights", """SELECT map_id, beat, 'basic' kind, event_type, "value", [0e0, 33e-2, 67e-2, 1e0][b + 1] float_value, NULL::BOOLEAN boost FROM l_ev
+ UNION ALL SELECT map_id, beat, 'boost', NULL, NULL, NULL, seq % 2 = 1 FROM lights WHERE seq % 9 = 0""", L_CTES)
 def _(v):
-    return T.decode_lights(T.encode_lights(v.lights)).select("map_id", "beat", "event_type", "value", "float_value")
+    boosts = v.lights.where("seq % 9 = 0").withColumn("boost", F.col("seq") % 2 == 1)
+    return T.decode_lights(T.encode_lights(v.lights, boosts)).select("map_id", "beat", "kind", "event_type", "value", "float_value", "boost")

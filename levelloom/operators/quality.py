@@ -154,21 +154,25 @@ def reason_summary(blacklist: DataFrame) -> DataFrame:
 
 
 def map_index(events: DataFrame, lights: DataFrame, maps: DataFrame) -> DataFrame:
-    """Frames, category and per-difficulty onset and light counts; one row per (map, difficulty)."""
+    """Frames, category, genre and per-difficulty onset and light counts; one row per (map, difficulty).
+
+    ``maps`` has (map_id, n_frames, category) and may have genre; what is missing is unknown.
+    """
     onsets = onset_rows(events).groupBy(*K_COLS, "beat").agg(F.lit(1).alias("one")).groupBy(*K_COLS).agg(F.count("*").alias("n_onsets"))
     keys = [c for c in K_COLS if c in lights.columns]  # lights of one level, or of all levels of a map
     lit = lights.select(*keys, "beat").distinct().groupBy(*keys).agg(F.count("*").alias("n_lights"))
+    known = F.coalesce("genre", F.lit("unknown")) if "genre" in maps.columns else F.lit("unknown")
     return (
-        onsets.join(maps.where("n_frames is not null").select("map_id", "n_frames", "category"), "map_id")
+        onsets.join(maps.where("n_frames is not null").select("map_id", "n_frames", "category", known.alias("genre")), "map_id")
         .join(lit, keys, "left")
-        .select(*K_COLS, "n_frames", F.coalesce("category", F.lit("unknown")).alias("category"), "n_onsets", F.coalesce("n_lights", F.lit(0)).alias("n_lights"))
+        .select(*K_COLS, "n_frames", F.coalesce("category", F.lit("unknown")).alias("category"), "genre", "n_onsets", F.coalesce("n_lights", F.lit(0)).alias("n_lights"))
     )
 
 
 def nested_index(index: DataFrame) -> DataFrame:
     """One row per map with its difficulties as a list (bounded by the difficulty names)."""
     return index.groupBy("map_id").agg(
-        F.max("n_frames").alias("n_frames"), F.max("category").alias("category"),
+        F.max("n_frames").alias("n_frames"), F.max("category").alias("category"), F.max("genre").alias("genre"),
         F.sort_array(F.collect_set("difficulty")).alias("difficulties"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("difficulty", F.struct("n_onsets", "n_lights").alias("n"))))).alias("counts"),
     )
