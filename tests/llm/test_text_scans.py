@@ -242,3 +242,49 @@ def test_odd_rows(odd_query, name):
 
 def test_empty_tables(none):
     assert credentials.find_secrets(none).count() == pii.find_private(none).count() == license.scan(none).count() == pii.sanitise(none).count() == 0
+
+
+def test_planted_terms_are_those_of_brute_force(spark):
+    """Terms that disclose an entity, common words and rare words beside entities: p(e|t) by plain counting."""
+    import math
+    import random
+    from collections import defaultdict
+
+    r = random.Random(6)
+    filler = "river stone people house garden water winter summer music letter window street market".split()
+    rows = []
+    for i in range(12):
+        mail, name = f"box{i}@mail{i}.example", f"zorb{'abcdefghijkl'[i]}ine"
+        for _ in range(8):  # the name stands beside its mail in eight different contexts, and nowhere else
+            w = [r.choice(filler) for _ in range(6)]
+            rows.append(f"{' '.join(w[:3])} {name} {mail} {' '.join(w[3:])}")
+        for _ in range(20):
+            rows.append(" ".join(r.choice(filler) for _ in range(20)))
+    shared = [f"{' '.join(r.choice(filler) for _ in range(3))} office box{r.randrange(12)}@mail.example {r.choice(filler)} {r.choice(filler)}" for _ in range(60)]
+    rows += shared  # a word beside many entities discloses none of them
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = defaultdict(int)
+    for x in pii.find_private(d).collect():
+        for s in x.spans:
+            if s.kind == pii.TERM:
+                got[rows[x.doc_id][s.start:s.end]] += 1
+    word = re.compile(r"[^\W\d_]{2,}")
+    near, places, contexts = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in enumerate(rows):
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+@[a-z0-9.]+", t)]
+        for m in word.finditer(t):
+            if not any(a <= m.start() < b for a, b in spans):
+                places[m[0]].add((i, m.start()))
+        for a, b in spans:
+            w = [m for m in word.finditer(t) if m.end() <= a][-4:] + [m for m in word.finditer(t) if m.start() >= b][:4]
+            contexts[t[a:b]].add(i)
+            for m in w:
+                near[t[a:b], m[0]].add((i, m.start()))
+    total = sum(map(len, contexts.values()))
+    want = set()
+    for (e, term), at in near.items():
+        given, own = len(at) / len(places[term]), math.log2(total / len(contexts[e]))
+        if len({i for i, _ in at}) >= pii.SUPPORT and given >= pii.SHARE and math.log2(given * total / len(contexts[e])) >= pii.DISCLOSURE * own:
+            want.add(term)
+    assert want == {f"zorb{c}ine" for c in "abcdefghijkl"} and set(got) == want
+    assert all(n == 8 for n in got.values())  # every place of a disclosing term, nothing else
