@@ -139,8 +139,11 @@ def with_lights(events: DataFrame, lights: DataFrame) -> DataFrame:
 
 
 def palette_names(frames: DataFrame, genres: DataFrame) -> DataFrame:
-    """Palette per map: genre hints first, then mean loudness and bass."""
-    g = frames.groupBy("map_id").agg(F.avg("rms").alias("_r"), F.avg("bass").alias("_b"))
+    """Palette per map: genre hints first, then mean loudness and bass.
+
+    Means are rounded: one that lies on a limit must not fall to either side by the order of its sum.
+    """
+    g = frames.groupBy("map_id").agg(F.round(F.avg("rms"), 12).alias("_r"), F.round(F.avg("bass"), 12).alias("_b"))
     hint = F.lower(F.coalesce("genre", F.lit("unknown")))
     by_genre = None
     for name, words in K.PALETTE_HINTS:
