@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from levelloom.constants import HOP_LENGTH, SAMPLE_RATE
 from levelloom.functions.scalars import seconds_to_frame
-from levelloom.plans.ordered import Track, asof, scan
+from levelloom.plans.ordered import asof
 
 
 #: changes belong to one difficulty's document
@@ -17,14 +17,16 @@ def tempo_segments(changes: DataFrame, maps: DataFrame) -> DataFrame:
     """Each change of a level with the seconds elapsed before it; several on one beat apply in order.
 
     Only the last change of a beat matters afterwards: zero-length segments add nothing.
+    Seconds are added change by change, as a player does: sums of slices differ from that in
+    their last bits, and events between two frames then fall to the other one. The window
+    streams over one row per beat with a change and spills, so a level's changes need not fit.
     """
     c = changes.groupBy(*LEVEL, "at_beat").agg(F.max_by("new_bpm", "seq").alias("new_bpm"))
     c = c.join(maps.select("map_id", "bpm"), "map_id")
-    track = Track(LEVEL, ("at_beat",), "floor(at_beat / 64)")
-    c = scan(c, track, prev={"from_beat": "at_beat", "from_bpm": "new_bpm"})
-    took = (F.col("at_beat") - F.coalesce("from_beat", F.lit(0.0))) * 60.0 / F.coalesce("from_bpm", F.col("bpm"))
-    c = scan(c.withColumn("took", took), track, sums={"seconds": "took"})
-    return c.select(*LEVEL, "at_beat", "new_bpm", "seconds")
+    along = W.partitionBy(*LEVEL).orderBy("at_beat")
+    took = (F.col("at_beat") - F.coalesce(F.lag("at_beat").over(along), F.lit(0.0))) * 60.0 / F.coalesce(F.lag("new_bpm").over(along), F.col("bpm"))
+    seconds = F.sum("took").over(along.rowsBetween(W.unboundedPreceding, 0))
+    return c.withColumn("took", took).select(*LEVEL, "at_beat", "new_bpm", seconds.alias("seconds"))
 
 
 def beat_frames(events: DataFrame, maps: DataFrame, changes: DataFrame | None = None, *, sample_rate=SAMPLE_RATE, hop=HOP_LENGTH) -> DataFrame:

@@ -1,6 +1,6 @@
 """Inputs on which a query once differed from its SQL twin."""
 
-from levelloom.operators import lighting as L
+from levelloom.operators import lighting as L, timing
 
 
 def test_mean_on_a_limit_keeps_its_palette_whatever_the_sum_order(spark):
@@ -9,3 +9,15 @@ def test_mean_on_a_limit_keeps_its_palette_whatever_the_sum_order(spark):
     frames = spark.createDataFrame([(1, i, r, 0.6) for i, r in enumerate(values)], "map_id long, frame int, rms double, bass double").coalesce(1)
     genres = spark.createDataFrame([(1, None)], "map_id long, genre string")
     assert L.palette_names(frames, genres).first().palette == "rock"
+
+
+def test_seconds_are_added_change_by_change(spark):
+    beats = [float(b) for b in range(3, 900, 37)]  # over many slices of 64 beats
+    tempi = [60.0 + b * 7 % 113 for b in beats]
+    changes = spark.createDataFrame([(1, "Expert", b, t, i) for i, (b, t) in enumerate(zip(beats, tempi))], "map_id long, difficulty string, at_beat double, new_bpm double, seq long")
+    maps = spark.createDataFrame([(1, 97.0)], "map_id long, bpm double")
+    want, at, tempo, total = {}, 0.0, 97.0, 0.0
+    for b, t in zip(beats, tempi):
+        total += (b - at) * 60.0 / tempo
+        want[b], at, tempo = total, b, t
+    assert {r.at_beat: r.seconds for r in timing.tempo_segments(changes, maps).collect()} == want
