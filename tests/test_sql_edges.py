@@ -38,3 +38,13 @@ def test_level_without_a_kind_counts_it_as_sql_does(spark, tmp_path):
     q = REGISTRY["level_documents"]
     problem, n = compare(q.run(spark, str(tmp_path)), con, q.sql)
     assert (problem, n) == (None, 2)
+
+
+def test_lights_of_all_maps_are_not_broadcast(spark):
+    sections = spark.range(3000).selectExpr("id AS map_id", "0.0D AS start_beat", "64.0D AS end_beat", "'drop' AS section_type").repartition(2)
+    notes = spark.range(6000).selectExpr("id % 3000 AS map_id", "if(id < 3000, 'Hard', 'Expert') AS difficulty", "'note' AS kind", "1.0D AS beat", "id AS seq").repartition(2)
+    events = L.with_lights(notes, L.section_lights(sections))
+    assert events.where("kind = 'light'").count() == 2 * 3000 * (64 * 6 + 32)
+    grown = events.groupBy("map_id", "kind").count()
+    grown.collect()
+    assert "Broadcast" not in grown._jdf.queryExecution().executedPlan().toString()
