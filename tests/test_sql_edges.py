@@ -5,6 +5,7 @@ import datetime
 import duckdb
 
 from levelloom.checks import REGISTRY
+from levelloom.checks.series import _contents
 from levelloom.operators import lighting as L, timing
 from tests.oracle import compare
 
@@ -48,3 +49,9 @@ def test_lights_of_all_maps_are_not_broadcast(spark):
     grown = events.groupBy("map_id", "kind").count()
     grown.collect()
     assert "Broadcast" not in grown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_mass_does_not_drift(spark):
+    labels = spark.range(50_000_000, numPartitions=1).selectExpr("id AS frame", "0.6D AS label")
+    assert _contents({"labels": labels}).first().asDict() == {"t": "labels", "n": 50_000_000, "frames": 25_000_000 * 49_999_999, "content": 30_000_000_000}
+    assert _contents({"labels": labels.where("false")}).first().asDict() == {"t": "labels", "n": 0, "frames": None, "content": None}
