@@ -1,6 +1,7 @@
 """Lexical search, toxicity and the manifest against brute force and held-out rows."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -175,3 +176,17 @@ def test_limit_lies_in_the_cheapest_widest_gap():
     z, y = np.array([0.0, 1.0, 4.0, 5.0]), np.array([0, 0, 1, 1])
     assert toxicity.best_limit(z, y, np.ones(4)) == 2.5
     assert toxicity.best_limit(z, np.array([0, 1, 0, 1]), np.array([1.0, 1, 9, 1])) == 4.5
+
+
+def test_toxicity_learns_in_a_task(spark, monkeypatch):
+    real = toxicity.train
+
+    def train(*rows):
+        model = real(*rows)
+        model.scale = float(os.getpid())
+        return model
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(toxicity, "train", train)
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert np.isfinite(model.limits).all() and model.scale not in (1.0, os.getpid())
