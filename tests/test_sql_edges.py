@@ -1,12 +1,13 @@
 """Inputs on which a query once differed from its SQL twin."""
 
 import datetime
+import math
 
 import duckdb
 
 from levelloom.checks import REGISTRY
 from levelloom.checks.series import _contents
-from levelloom.operators import lighting as L, timing
+from levelloom.operators import lighting as L, series as R, timing
 from tests.oracle import compare
 
 
@@ -55,3 +56,19 @@ def test_label_mass_does_not_drift(spark):
     labels = spark.range(50_000_000, numPartitions=1).selectExpr("id AS frame", "0.6D AS label")
     assert _contents({"labels": labels}).first().asDict() == {"t": "labels", "n": 50_000_000, "frames": 25_000_000 * 49_999_999, "content": 30_000_000_000}
     assert _contents({"labels": labels.where("false")}).first().asDict() == {"t": "labels", "n": 0, "frames": None, "content": None}
+
+
+def test_labels_are_made_once_and_not_shuffled(spark):
+    places = [0, 1, 1, 5, 30, 1000, 1023, 1024, 1047, 1048, 1072, 2047 - 24, 2048, 2100, 2124, 2149, 4000, 4003, 4095, 4200]
+    onsets = spark.createDataFrame([(m, "Hard", f + m) for m in (0, 1) for f in places], "map_id long, difficulty string, frame long")
+    maps = spark.createDataFrame([(0, 4100), (1, 2105)], "map_id long, n_frames int")
+    want = {}
+    for m, n in ((0, 4100), (1, 2105)):
+        for o in (f + m for f in places if f + m < n):
+            for f in range(max(0, o - 12), min(n - 1, o + 12) + 1):
+                want[m, f] = max(want.get((m, f), 0.0), math.exp(-0.5 * ((f - o) / 3.0) ** 2))
+    labels = R.onset_labels(onsets, maps)
+    rows = labels.collect()
+    assert len(rows) == len(want) and {(r.map_id, r.frame): round(r.label, 12) for r in rows} == {k: round(v, 12) for k, v in want.items()}
+    plan = labels._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(sequence" in plan and "Aggregate" not in plan.split("Generate explode(sequence")[0]
