@@ -12,10 +12,12 @@ bin by two-level counts, and the rank alone says which window they go to.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,24 +40,31 @@ class TextIds:
 
     The file's own library decides; as it is slow, texts of Latin letters without a special
     token's string take a second implementation of the same vocabulary (its ids are the order
-    of its merges), which gives equal ids for them.
+    of its merges), which gives equal ids for them. The first is loaded when a text needs it.
     """
 
     _other = re.compile("[^\0-\u024f]")
 
     def __init__(self, path: str, end: int, dtype: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.end = Tokenizer.from_file(path), dtype, end
-        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.path, self.dtype, self.end = path, dtype, end
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["content"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(added))) or r"(?!)")
         # byte-level vocabularies write printable bytes as themselves and the others from U+0100 on
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte = {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in added}
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         self._fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _plain(self, text: str) -> bool:
         return (text.isascii() or not self._other.search(text)) and not self._special.search(text)
 

@@ -156,6 +156,14 @@ def test_ids_equal_the_tokenizers(text_ids, text):
         assert np.frombuffer(text_ids(t), "<u2").tolist() == tokens_of(t)
 
 
+def test_slow_tokenizer_is_loaded_by_need():
+    ids = packing.TextIds(tokenizer_path(), 1, "<u2")
+    ids("plain words")
+    assert "tokenizer" not in vars(ids)
+    ids("\u6f22")
+    assert "tokenizer" in vars(ids)
+
+
 def plain_targets(sizes):
     weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
     t, capped = [0.0] * len(sizes), set()
