@@ -6,7 +6,7 @@ from levelloom.checks.curation import D_CTES, documents
 from levelloom.checks.lighting import SEC
 from levelloom.checks.registry import query
 from levelloom.operators import curation as C, experiments as E, lighting as L, samples as S
-from levelloom.session import scratch
+from levelloom.session import age_by_name, scratch
 from levelloom.sources import catalogue as Cat
 
 
@@ -57,8 +57,9 @@ def _(v):
 @query("log_scan", "SELECT experiment_id, composite_score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY experiment_id ORDER BY line_pos DESC) k FROM experiment_log) WHERE k = 1")
 def _(v):
     path = scratch(v.spark, "log")
-    # one file in line order, as appends make it
-    v.experiment_log.repartition(1).sortWithinPartitions("line_pos").select("experiment_id", "data_source", "composite_score").write.json(path)
+    # a log rolled over into files in line order, each newer than the one before, as appends make it
+    v.experiment_log.orderBy("line_pos").select("experiment_id", "data_source", "composite_score").write.json(path)
+    age_by_name(v.spark, path)
     return E.latest_rows(E.read_log(v.spark, path)).select("experiment_id", "composite_score")
 
 

@@ -1,6 +1,7 @@
 """Inputs on which a query once differed from its SQL twin."""
 
 import datetime
+import glob
 import math
 
 import duckdb
@@ -8,7 +9,8 @@ import duckdb
 from levelloom.checks import REGISTRY
 from levelloom.checks.series import _contents
 from levelloom.operators import lighting as L, series as R, timing
-from tests.oracle import compare
+from levelloom.session import scratch
+from tests.oracle import compare, connect
 
 
 def test_mean_on_a_limit_keeps_its_palette_whatever_the_sum_order(spark):
@@ -72,3 +74,25 @@ def test_labels_are_made_once_and_not_shuffled(spark):
     assert len(rows) == len(want) and {(r.map_id, r.frame): round(r.label, 12) for r in rows} == {k: round(v, 12) for k, v in want.items()}
     plan = labels._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(sequence" in plan and "Aggregate" not in plan.split("Generate explode(sequence")[0]
+
+
+def test_log_is_written_in_pieces_and_read_in_line_order(spark):
+    sf = "/root/testdata/sf0.001"
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before, parts = spark.conf.get(key, "true"), spark.conf.get("spark.sql.shuffle.partitions")
+    seen = set(glob.glob(f"{scratch_root(spark)}/log-*"))
+    spark.conf.set(key, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        q = REGISTRY["log_scan"]
+        problem, n = compare(q.run(spark, sf), connect(sf), q.sql)
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    folder, = set(glob.glob(f"{scratch_root(spark)}/log-*")) - seen
+    assert problem is None and n > 0
+    assert len(glob.glob(f"{folder}/part-*")) > 1
+
+
+def scratch_root(spark):
+    return scratch(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
