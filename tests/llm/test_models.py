@@ -85,6 +85,54 @@ def test_quality_of_odd_rows(odd_query, none, spark):
     assert quality.score(none, none_labels).count() == 0
 
 
+def test_quality_tells_all_characters_apart(spark):
+    text = "тихо падал снег и старый дом стоял у реки где зимой никто не жил "
+    shifted = "".join(chr(ord(c) + 24) if c != " " else c for c in text)  # the same symbols after folding
+    assert (quality.symbols(text) == quality.symbols(shifted)).all()
+    docs = spark.createDataFrame([(i, "ru", t * 9) for i, t in enumerate([text] * 8 + [shifted])], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.score(docs, labels).collect()}
+    assert got[0].kept and not got[8].kept and got[8].perplexity > 20 * got[0].perplexity
+    assert got[8].n == len(text) * 9
+
+
+def test_gram_bits_against_plain_counting(spark):
+    text = "   the hen went there; the other Hens then ate 漢字 and 漢語 and the end came"
+    grams = [text[i:i + 4] for i in range(len(text) - 3)]
+    tables = [None, None, None, None, Counter(grams)]
+    for k in (3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    d = [None] + [quality._discounts(spark.createDataFrame(list(t.items()), "gram string, n long")) for t in tables[1:]]
+    fold = lambda g: int(quality.symbols(g) @ quality.SYMBOLS ** np.arange(3, -1, -1))
+    codes = Counter(fold(g) for g in grams)
+    base = quality.smoothed(spark.createDataFrame(list(codes.items()), "code long, n long")).astype(float)
+    size = Counter(int(quality.symbols(chr(c))[0]) for c in range(0x110000))
+
+    def p(g, k):
+        if not k:
+            return 2.0 ** -base[fold(g)] / size[int(quality.symbols(g[-1])[0])]
+        own, context = g[4 - k:], g[4 - k:3]
+        seen = {h: n for h, n in tables[k].items() if h[:-1] == context}
+        off = {h: d[k][min(n, 3) - 1] for h, n in seen.items()}
+        total = sum(seen.values())
+        return (seen[own] - off[own] if own in seen else 0) / max(total, 1) + (sum(off.values()) / total if seen else 1) * p(g, k - 1)
+
+    ask = sorted({*grams, "漢字 x", "the?", "語語語語", "QQQQ"})
+    got = quality.gram_bits(spark.createDataFrame([(g,) for g in ask], "gram string"), spark.createDataFrame(list(tables[4].items()), "gram string, n long"))
+    assert {r.gram: r.bits for r in got.collect()} == pytest.approx({g: -np.log2(p(g, 4)) for g in ask}, rel=2e-3)
+
+
+def test_chunks_hold_every_character_once(monkeypatch):
+    texts = ["", "a", "ab\0", "the quick 漢字 \U0001f600 fox " * 9, "x" * 50]
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        got = [[] for _ in texts]
+        for owner, grams, which in quality.chunks(texts):
+            for o, w in zip(owner, which):
+                got[o].append(grams[w])
+        assert got == [[("   " + t)[i:i + 4] for i in range(len(t))] for t in texts]
+
+
 @lru_cache
 def tokenizer():
     from tokenizers import Tokenizer
