@@ -13,6 +13,7 @@ against the rows of all other languages, which are foreign to that language's n-
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -203,7 +204,7 @@ def _profiles(texts: pd.Series) -> pd.DataFrame:
 def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learn from ``rows`` (doc_id, text, lang): at most ``per_label`` rows of each language, chosen by hash.
 
-    Profiles are made where the rows are, so the driver gets fixed-width counts, no texts.
+    Profiles are made where the rows are, and the model in a task; the driver gets the model alone.
     """
     known = rows.where("lang IS NOT NULL").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
     # counts by ranges of the hash say which rows are first, so a language of any size is never ordered;
@@ -212,9 +213,17 @@ def fit(rows: DataFrame, per_label: int = PER_LABEL) -> Model:
     limits = F.broadcast(first.groupBy("lang").agg(F.max("h").alias("limit")))
     chosen = known.select("lang", "h", "text").join(limits, "lang").where("h <= limit")
     chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_label)
-    got = chosen.select("lang", "h", _profiles("text").alias("p")).select("lang", "h", "p.*").toPandas()
-    got = got.sort_values(["lang", "h"], kind="stable")
-    return train([(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32)) for r, s in zip(got["rows"], got["shares"])], got["lang"].tolist())
+    got = chosen.select("lang", "h", _profiles("text").alias("p")).select("lang", "h", "p.*")
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = list(batches)
+        if found:
+            rows = pd.concat(found).sort_values(["lang", "h"], kind="stable")
+            model = train([(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32)) for r, s in zip(rows["rows"], rows["shares"])], rows["lang"].tolist())
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    made = got.coalesce(1).mapInPandas(learn, "model binary").first()
+    return pickle.loads(made["model"]) if made else train([], [])
 
 
 def predict(model: Model, text: Column) -> Column:

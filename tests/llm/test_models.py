@@ -50,6 +50,16 @@ def test_unlearned_languages_and_gibberish_are_rejected(spark):
     assert np.mean(rejected(unseen.where("lang != 'es'"))) <= 0.01
 
 
+def test_language_profiles_stay_out_of_the_driver(documents, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows in the driver")
+
+    for name in ("toPandas", "toArrow"):
+        monkeypatch.setattr(type(documents), name, refuse)
+    assert langid.fit(documents.where("lang IN ('de', 'en')")).labels == ("de", "en")
+    assert langid.fit(documents.where("false")).labels == ()
+
+
 def test_long_texts_score_like_their_whole(spark):
     m = langid.train([langid.profile("the and of that with " * 9), langid.profile("der die und das nicht " * 9)] * 20, ["en", "de"] * 20)
     text = "the of and die nicht that " * 20000 + "9" * langid.CHUNK + " ,x" + "y" * langid.CHUNK + "  und"
