@@ -18,11 +18,13 @@ def ingest_levels(docs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Parse level documents as their files appear; each file is read once.
 
     A micro-batch holds whole maps, as rejects are decided per map. Batches write under
-    their own id, so a batch that is retried replaces its own output.
+    their own id, so a batch that is retried replaces its own output. Few large files may make
+    a batch, so its documents are dealt to all tasks before they are parsed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_levels(batch)  # stored: two sinks, one parse
+        dealt = batch.repartition(F.xxhash64("map_id", "difficulty", "text"))
+        parsed = parse_levels(dealt)  # stored: two sinks, one parse
         level_events(parsed).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
         rejects(parsed).write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
 
