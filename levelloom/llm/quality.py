@@ -267,11 +267,13 @@ def gram_bits(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """
     spark = wanted.sparkSession
     base = smoothed(counts.groupBy(folded(F.col("gram")).alias("code")).agg(F.sum("n").alias("n")))
-    base = spark.sparkContext.broadcast((2.0 ** -(base.reshape(-1, SYMBOLS) + _class_bits())).astype(np.float32).reshape(-1))
+    base = spark.sparkContext.broadcast(base)  # half floats: every executor keeps a copy on disk
+    shared = _class_bits()
 
     @F.pandas_udf("double")
     def unseen(codes: pd.Series) -> pd.Series:
-        return pd.Series(base.value[codes.to_numpy()].astype(np.float64))
+        code = codes.to_numpy()
+        return pd.Series((2.0 ** -(base.value[code] + shared[code % SYMBOLS])).astype(np.float32).astype(np.float64))
 
     rows, p = wanted.withColumn("p", unseen(folded(F.col("gram")))), F.col("p")
     tables = [counts]

@@ -106,6 +106,14 @@ def test_quality_tells_all_characters_apart(spark):
     assert got[8].n == len(text) * 9
 
 
+def test_fallback_model_travels_as_half_floats(spark, monkeypatch):
+    sent = []
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value.nbytes) or send(self, value))
+    quality.gram_bits(spark.createDataFrame([("then",)], "gram string"), spark.createDataFrame([("hen ", 2)], "gram string, n long"))
+    assert sum(sent) <= 2 * quality.SYMBOLS**quality.ORDER
+
+
 def test_gram_bits_against_plain_counting(spark):
     text = "   the hen went there; the other Hens then ate 漢字 and 漢語 and the end came"
     grams = [text[i:i + 4] for i in range(len(text) - 3)]
