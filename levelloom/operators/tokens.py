@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from levelloom import constants as K
@@ -71,34 +73,77 @@ def encode_levels(events: DataFrame) -> DataFrame:
 
 
 # ---- reading token arrays --------------------------------------------------
-def event_starts(tokens, need: Mapping[int, int], step: Mapping[int, int], *, eos_ends: bool, short_ends: bool, limit: int | None = None) -> Column:
+#: a null token, which no int is
+_NULL = -(2**40)
+
+
+def _flat(tokens: pa.ListArray, drop: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """A column of token arrays as one run of tokens and the border of each row in it. Null rows are empty."""
+    rows = tokens.fill_null([])
+    size = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rows.flatten().cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False)
+    if drop:
+        keep = ~np.isin(flat, drop)
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[keep], minlength=len(size))
+        flat = flat[keep]
+    return flat, np.concatenate([[0], np.cumsum(size)])
+
+
+def _by_token(tok: np.ndarray, table: Mapping[int, int], default: int) -> np.ndarray:
+    known = np.full(K.VOCAB_SIZE, default, np.int64)
+    known[list(table)] = list(table.values())
+    return np.where((tok >= 0) & (tok < K.VOCAB_SIZE), known[np.clip(tok, 0, K.VOCAB_SIZE - 1)], default)
+
+
+def _walk(flat, border, need, step, *, ends=(), short_ends=(), skip=(), limit=None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of every event, rows in order: all rows of a batch take their steps together.
+
+    A token of ``ends`` stops a row, as does a short event of a kind in ``short_ends``; kinds in
+    ``skip`` are passed over whole; ``limit`` events end a row.
+    """
+    need_, step_ = _by_token(flat, need, 0), _by_token(flat, step, 1)
+    stop, halt, silent = np.isin(flat, ends), np.isin(flat, short_ends), np.isin(flat, skip)
+    row = np.flatnonzero(border[1:] > border[:-1])
+    at, taken = border[row], np.zeros(len(row), np.int64)
+    rows, places = [], []
+    while len(row):
+        event = need_[at] > 0
+        whole = event & (border[row + 1] - at >= need_[at])
+        hit = whole & ~silent[at]
+        rows.append(row[hit])
+        places.append(at[hit])
+        taken = taken + hit
+        on = ~stop[at] & ~(event & ~whole & halt[at])
+        at = at + np.where(whole, step_[at], 1)
+        on &= at < border[row + 1]
+        if limit is not None:
+            on &= taken < limit
+        row, at, taken = row[on], at[on], taken[on]
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, places = np.concatenate(rows), np.concatenate(places)
+    order = np.argsort(places, kind="stable")  # rows follow each other in the run of tokens
+    return rows[order], places[order]
+
+
+def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), pa.int32()), values)
+
+
+def event_starts(tokens, need: Mapping[int, int], step: Mapping[int, int], *, eos_ends: bool, short_ends: bool) -> Column:
     """0-based positions of events in a token array.
 
     An event token counts when ``need`` tokens remain from it; the walk then moves on
     by ``step``. A short event ends the walk or is passed over; other tokens are
     passed over; the end mark may end the walk.
     """
-    t = _c(tokens)
-    n = F.size(t)
-    far = F.lit(2**30)
-
-    def move(acc, i):
-        tok = F.get(t, i)
-        need_, step_ = lookup(need, tok, 0), lookup(step, tok, 1)
-        here = i >= acc.next
-        event = here & (need_ > 0)
-        whole = event & (n - i >= need_)
-        if limit is not None:
-            whole = whole & (F.size(acc.starts) < limit)
-        stop = (here & (tok == K.EOS)) if eos_ends else F.lit(False)
-        if short_ends:
-            stop = stop | (event & (n - i < need_))
-        nxt = F.when(stop, far).when(whole, i + step_).when(here, i + 1).otherwise(acc.next)
-        return F.struct(nxt.cast("int").alias("next"), F.when(whole & ~stop, F.array_append(acc.starts, i)).otherwise(acc.starts).alias("starts"))
+    @F.arrow_udf("array<int>")
+    def run(tokens: pa.Array) -> pa.Array:
+        flat, border = _flat(tokens)
+        rows, places = _walk(flat, border, need, step, ends=(K.EOS,) if eos_ends else (), short_ends=tuple(need) if short_ends else ())
+        return _lists(rows, len(tokens), pa.array(places - border[rows], pa.int32()))
 
-    start = F.struct(F.lit(0).alias("next"), F.array().cast(_NO_INTS).alias("starts"))
-    walk = F.aggregate(F.sequence(F.lit(0), n - 1), start, move, lambda a: a.starts)
-    return F.when(n > 0, walk).otherwise(F.array().cast(_NO_INTS))
+    return run(_c(tokens))
 
 
 def decode_events(tokens: DataFrame) -> DataFrame:
@@ -269,36 +314,63 @@ def pair_arcs(decoded: DataFrame) -> DataFrame:
     return pairs.unionByName(more).select(*[c.split()[0] for c in _ARC_OUT.split(", ")])
 
 
+def _notes(tokens: pa.ListArray, need: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row, and colour, column, row and direction of every note with ``need`` tokens."""
+    flat, border = _flat(tokens)
+    rows, places = _walk(flat, border, {K.NOTE: need}, {K.NOTE: 6})
+    return rows, [flat[places + k] - r[0] for k, r in ((1, K.COLOR), (2, K.COL), (3, K.ROW), (4, K.DIR))]
+
+
 def note_tuples(tokens, *, loose: bool = False) -> Column:
     """In-range notes of a token array as structs (color, x, y, direction).
 
     The strict reader wants the whole note; the loose one only up to its direction.
     """
-    need = {K.NOTE: 5 if loose else 6}
-    t = _c(tokens)
-    starts = event_starts(t, need, {K.NOTE: 6}, eos_ends=False, short_ends=False)
+    @F.arrow_udf("array<struct<color:int,x:int,y:int,direction:int>>")
+    def run(tokens: pa.Array) -> pa.Array:
+        rows, parts = _notes(tokens, 5 if loose else 6)
+        ok = np.logical_and.reduce([(p >= 0) & (p < r[1]) for p, r in zip(parts, (K.COLOR, K.COL, K.ROW, K.DIR))])
+        found = pa.StructArray.from_arrays([pa.array(p[ok], pa.int32()) for p in parts], ["color", "x", "y", "direction"])
+        return _lists(rows[ok], len(tokens), found)
 
-    def read(i):
-        return F.struct(*[(F.get(t, i + k) - r[0]).alias(n) for k, n, r in ((1, "color", K.COLOR), (2, "x", K.COL), (3, "y", K.ROW), (4, "direction", K.DIR))])
+    return run(_c(tokens))
 
-    ok = lambda s: s.color.between(0, 1) & s.x.between(0, 3) & s.y.between(0, 2) & s.direction.between(0, 8)
-    return F.filter(F.transform(starts, read), ok)
+
+def _last_per_row(n: int, rows: np.ndarray, values: np.ndarray) -> pa.Array:
+    """The last value of every row, null where there is none."""
+    out, none = np.zeros(n, np.int64), np.ones(n, bool)
+    out[rows], none[rows] = values, False
+    return pa.array(out, pa.int32(), mask=none)
 
 
 def first_direction(tokens) -> Column:
     """Direction of the first note token whose direction is in range."""
-    t = _c(tokens)
-    at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (F.get(t, i) == K.NOTE) & (i + 4 < F.size(t)) & (F.get(t, i + 4) - K.DIR[0]).between(0, 8))
-    return F.when(F.size(t) > 0, F.get(t, F.get(at, F.lit(0)) + 4) - K.DIR[0])
+    @F.arrow_udf("int")
+    def run(tokens: pa.Array) -> pa.Array:
+        flat, border = _flat(tokens)
+        at = np.flatnonzero(flat == K.NOTE)
+        rows = np.searchsorted(border, at, side="right") - 1
+        whole = at + 4 < border[rows + 1]
+        rows, d = rows[whole], flat[at[whole] + 4] - K.DIR[0]
+        ok = (d >= 0) & (d < K.DIR[1])
+        return _last_per_row(len(tokens), rows[ok][::-1], d[ok][::-1])
+
+    return run(_c(tokens))
 
 
 def last_direction(tokens, color: int) -> Column:
     """Direction of the last note of one hand."""
-    t = _c(tokens)
-    starts = event_starts(t, {K.NOTE: 5}, {K.NOTE: 6}, eos_ends=False, short_ends=False)
-    pairs = F.transform(starts, lambda i: F.struct((F.get(t, i + 1) - K.COLOR[0]).alias("c"), (F.get(t, i + 4) - K.DIR[0]).alias("d")))
-    mine = F.filter(pairs, lambda p: (p.c == color) & p.d.between(0, 8))
-    return F.get(mine, F.size(mine) - 1).d
+    @F.arrow_udf("int")
+    def run(tokens: pa.Array) -> pa.Array:
+        rows, (c, _, _, d) = _notes(tokens, 5)
+        mine = (c == color) & (d >= 0) & (d < K.DIR[1])
+        return _last_per_row(len(tokens), rows[mine], d[mine])
+
+    return run(_c(tokens))
+
+
+_SLOT = ("color", "col", "row", "direction", "angle", "event_type")
+_IDLE = (2, 0, 0, 0, 3, 0)
 
 
 def structured_slots(tokens, max_slots: int = 3) -> Column:
@@ -306,44 +378,36 @@ def structured_slots(tokens, max_slots: int = 3) -> Column:
 
     Walls are passed over; a chain needs nine tokens although it spans ten.
     """
-    t = F.filter(_c(tokens), lambda v: ~v.isin(K.PAD, K.EOS, K.BOS))
     need = {K.NOTE: 6, K.BOMB: 3, K.WALL: 7, K.ARC_START: 6, K.ARC_END: 7, K.CHAIN: 9}
-    step = K.EVENT_LENGTH
-    n = F.size(t)
+    kinds = {K.NOTE: 0, K.BOMB: 1, K.ARC_START: 2, K.ARC_END: 3, K.CHAIN: 4}
 
-    def move(acc, i):
-        tok = F.get(t, i)
-        need_, step_ = lookup(need, tok, 0), lookup(step, tok, 1)
-        here = (i >= acc.next) & (F.size(acc.starts) < max_slots)
-        whole = here & (need_ > 0) & (n - i >= need_)
-        cut_wall = here & (tok == K.WALL) & (n - i < need_)
-        nxt = F.when(cut_wall, n).when(whole, i + step_).when(here, i + 1).otherwise(acc.next)
-        return F.struct(nxt.cast("int").alias("next"), F.when(whole & (tok != K.WALL), F.array_append(acc.starts, i)).otherwise(acc.starts).alias("starts"))
-
-    init = F.struct(F.lit(0).alias("next"), F.array().cast(_NO_INTS).alias("starts"))
-    starts = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), init, move, lambda a: a.starts)).otherwise(F.array().cast(_NO_INTS))
-
-    def slot(color, col, row, direction, angle, etype):
-        return F.struct(*[v.cast("int").alias(k) for k, v in (("color", color), ("col", col), ("row", row), ("direction", direction), ("angle", angle), ("event_type", etype))])
-
-    def read(i):
-        tok = F.get(t, i)
+    @F.arrow_udf(f"struct<n_notes:int,slots:array<struct<{','.join(f'{c}:int' for c in _SLOT)}>>>")
+    def run(tokens: pa.Array) -> pa.Array:
+        flat, border = _flat(tokens, drop=(K.PAD, K.EOS, K.BOS, _NULL))
+        rows, i = _walk(flat, border, need, K.EVENT_LENGTH, short_ends=(K.WALL,), skip=(K.WALL,), limit=max_slots)
+        tok = flat[i]
         bomb = tok == K.BOMB
 
-        def at(k, r):
-            return clamp(F.get(t, i + k) - r[0], 0, r[1] - 1)
+        def at(k, r, where=True):
+            return np.clip(flat[np.where(where, i + k, i)] - r[0], 0, r[1] - 1)
 
-        return slot(
-            F.when(bomb, 2).otherwise(at(1, K.COLOR)), F.when(bomb, at(1, K.COL)).otherwise(at(2, K.COL)),
-            F.when(bomb, at(2, K.ROW)).otherwise(at(3, K.ROW)), F.when(bomb, 0).otherwise(at(4, K.DIR)),
-            F.when(tok == K.NOTE, at(5, K.ANGLE)).otherwise(3),
-            lookup({K.NOTE: 0, K.BOMB: 1, K.ARC_START: 2, K.ARC_END: 3, K.CHAIN: 4}, tok, 0),
+        cell = np.where(bomb, 1, 2)
+        parts = (
+            np.where(bomb, 2, at(1, K.COLOR)), at(cell, K.COL), at(cell + 1, K.ROW), np.where(bomb, 0, at(4, K.DIR, ~bomb)),
+            np.where(tok == K.NOTE, at(5, K.ANGLE, tok == K.NOTE), 3), _by_token(tok, kinds, 0),
         )
+        n = len(tokens)
+        found = np.bincount(rows, minlength=n)
+        place = rows * max_slots + np.arange(len(rows)) - np.repeat(np.cumsum(found) - found, found)
+        slots = []
+        for part, idle in zip(parts, _IDLE):
+            each = np.full(n * max_slots, idle)
+            each[place] = part
+            slots.append(pa.array(each, pa.int32()))
+        slots = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * max_slots, pa.int32()), pa.StructArray.from_arrays(slots, list(_SLOT)))
+        return pa.StructArray.from_arrays([pa.array(np.bincount(rows[~bomb], minlength=n), pa.int32()), slots], ["n_notes", "slots"])
 
-    read_slots = F.transform(starts, read)
-    idle = slot(F.lit(2), F.lit(0), F.lit(0), F.lit(0), F.lit(3), F.lit(0))
-    slots = F.slice(F.concat(read_slots, F.array_repeat(idle, max_slots)), 1, max_slots)
-    return F.struct(F.size(F.filter(read_slots, lambda s: s.color != 2)).alias("n_notes"), slots.alias("slots"))
+    return run(_c(tokens))
 
 
 def masked_slots(slots: Column) -> Column:
@@ -390,6 +454,35 @@ def mirrored(tokens) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, move, lambda a: a.out)).otherwise(t)
 
 
+def _grammatical(tokens: pa.Array) -> pa.Array:
+    """Whether events with in-range attributes, separators between, one end mark and then only padding make a token array."""
+    flat, border = _flat(tokens)
+    width = max(len(g) for g in K.EVENT_GRAMMAR.values())
+    low, high = np.full((K.VOCAB_SIZE, width), -1), np.full((K.VOCAB_SIZE, width), np.iinfo(np.int64).max)
+    for ev, attrs in K.EVENT_GRAMMAR.items():
+        for k, (off, cnt) in enumerate(attrs):
+            low[ev, k], high[ev, k] = off, off + cnt - 1
+    length = _by_token(flat, K.EVENT_LENGTH, 0)
+    other = np.concatenate([[0], np.cumsum(flat != K.PAD)])  # tokens before a place that are no padding
+    valid = np.zeros(len(tokens), bool)
+    row = np.flatnonzero(border[1:] > border[:-1])
+    at = border[row]
+    while len(row):
+        # an event and the token behind it lie in the row
+        on = (length[at] > 0) & (at + length[at] < border[row + 1])
+        row, at = row[on], at[on]
+        ev, behind, ok = flat[at], at + length[at], np.ones(len(at), bool)
+        for k in range(width):
+            v = flat[np.minimum(at + 1 + k, len(flat) - 1)]
+            ok &= (v >= low[ev, k]) & (v <= high[ev, k]) | (k + 1 >= length[at])
+        end = border[row + 1]
+        done = ok & (flat[behind] == K.EOS)
+        valid[row[done]] = other[end[done]] == other[behind[done] + 1]
+        on = ok & (flat[behind] == K.SEP) & (behind + 1 < end)
+        row, at = row[on], behind[on] + 1
+    return pa.array(valid, mask=tokens.is_null().to_numpy(zero_copy_only=False))
+
+
 def grammar_report(tokens, difficulty=None) -> Column:
     """Struct (valid, n_notes, over_cap, collisions) for one token array.
 
@@ -399,41 +492,14 @@ def grammar_report(tokens, difficulty=None) -> Column:
     nothing but padding behind it.
     """
     t = _c(tokens)
-    width = max(len(g) for g in K.EVENT_GRAMMAR.values())
-    lo = [0] * (6 * width)
-    hi = [-1] * (6 * width)
-    for ev, attrs in K.EVENT_GRAMMAR.items():
-        for k, (off, cnt) in enumerate(attrs):
-            lo[(ev - K.NOTE) * width + k], hi[(ev - K.NOTE) * width + k] = off, off + cnt - 1
-    los, his = F.array(*[F.lit(v) for v in lo]), F.array(*[F.lit(v) for v in hi])
-    # phase: 0 wants an event, 1 inside an event, 2 wants separator or end, 3 ended, 4 broken
-
-    def move(acc, tok):
-        is_event = tok.between(K.NOTE, K.CHAIN)
-        slot = (acc.ev - K.NOTE) * width + acc.k
-        in_range = (tok >= F.get(los, slot)) & (tok <= F.get(his, slot))
-        last = acc.k + 1 >= lookup({e: len(g) for e, g in K.EVENT_GRAMMAR.items()}, acc.ev, 0)
-        phase = (
-            F.when(acc.phase == 0, F.when(is_event, 1).otherwise(4))
-            .when(acc.phase == 1, F.when(~in_range, 4).when(last, 2).otherwise(1))
-            .when(acc.phase == 2, F.when(tok == K.SEP, 0).when(tok == K.EOS, 3).otherwise(4))
-            .when(acc.phase == 3, F.when(tok == K.PAD, 3).otherwise(4)).otherwise(4)
-        )
-        starts_event = (acc.phase == 0) & is_event
-        return F.struct(
-            phase.cast("int").alias("phase"), F.when(starts_event, tok).otherwise(acc.ev).cast("int").alias("ev"),
-            F.when(acc.phase == 1, acc.k + 1).otherwise(0).cast("int").alias("k"),
-        )
-
-    end = F.aggregate(t, F.struct(F.lit(0).alias("phase"), F.lit(K.NOTE).alias("ev"), F.lit(0).alias("k")), move, lambda a: a.phase)
     notes = note_tuples(t)
-    cells = F.transform(notes, lambda s: F.struct(s.x, s.y))
+    cells = F.transform(notes, lambda s: s.x + s.y * K.COL[1])
     reds = F.size(F.filter(notes, lambda s: s.color == 0))
     hardest = F.lit(False) if difficulty is None else F.coalesce(_c(difficulty) == "ExpertPlus", F.lit(False))
     max_notes, max_per_color = F.when(hardest, 3).otherwise(2), F.when(hardest, 2).otherwise(1)
     over = (F.size(notes) > max_notes) | (reds > max_per_color) | (F.size(notes) - reds > max_per_color)
     return F.struct(
-        (end == 3).alias("valid"), F.size(notes).alias("n_notes"), over.alias("over_cap"),
+        F.arrow_udf(_grammatical, "boolean")(t).alias("valid"), F.size(notes).alias("n_notes"), over.alias("over_cap"),
         (F.size(notes) - F.size(F.array_distinct(cells))).alias("collisions"),
     )
 
@@ -447,7 +513,7 @@ def grammar_parity(onsets: DataFrame, out: str = "parity") -> DataFrame:
     """
     track = Track(tuple(K_COLS), ("beat",), "floor(beat / 32)")
     lasts = {f"_last{c}": last_direction("tokens", c) for c in (0, 1)}
-    d = onsets.withColumns(lasts)
+    d = cut(onsets.withColumns(lasts))
     d = scan(d, track, prev={f"_was{c}": (f"_last{c}", F.col(f"_last{c}").isNotNull()) for c in (0, 1)})
 
     def step(acc, note):

@@ -156,6 +156,20 @@ def test_slots_and_mirror(spark):
     assert [r[i].g.valid for i in range(7)] == [True, True, False, False, True, True, False]
 
 
+def test_token_readers_take_one_pass(spark):
+    d = seqs(spark).unionByName(spark.createDataFrame([(7, None), (8, []), (9, [*note(1, 3, 2, 6, 2)[:4], None, 30, 1])], "i int, tokens array<int>"))
+    d = d.select("i", tokens.note_tuples("tokens").alias("n"), tokens.first_direction("tokens").alias("f"), tokens.last_direction("tokens", 1).alias("l"),
+                 tokens.structured_slots("tokens").alias("s"), tokens.grammar_report("tokens").alias("g"))
+    r = {x.i: x for x in d.collect()}
+    assert [len(r[i].n) for i in range(10)] == [1, 2, 0, 1, 4, 0, 0, 0, 0, 0]
+    assert [r[i].f for i in range(10)] == [6, 8, None, 6, 1, None, None, None, None, None]
+    assert [r[i].l for i in range(10)] == [6, 4, None, 6, 1, None, None, None, None, None]
+    assert r[7].g.valid is None and not r[8].g.valid and not r[9].g.valid
+    assert [r[i].s.n_notes for i in (7, 8, 9)] == [0, 0, 0]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction(named_struct(next" not in plan and "lambdafunction(struct(next" not in plan and "aggregate(" not in plan
+
+
 def test_peaks_and_suppression(spark):
     probs = [0.05, 0.3, 0.62, 0.3, 0.88, 0.4, 0.4, 0.75, 0.2, 0.2, 0.2, 0.2, 0.51, 0.49]
     f = spark.createDataFrame([(1, i, p) for i, p in enumerate(probs)], "map_id bigint, frame int, prob double")
