@@ -283,3 +283,13 @@ def test_parity_of_a_long_hand_in_one_trigger(spark):
     added, last = jobs.parity_step(n, spark.createDataFrame([], jobs.PARITY_STATE))
     got, end = added.first(), last.first()
     assert (got.violations, got.checks, got.late) == (100_000, 199_999, 0) and end.last_beat == 199_999 / 4
+
+
+def test_millionths_of_a_batch(spark):
+    from levelloom.checks.series import millionths
+
+    rows = [[0.1, 0.2, 0.0000005, -0.0000015], [], None, [1.0, None], [0.49999999999999994e-6, 2.0]]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<double>")
+    old = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1e6).cast("long"))
+    got = {r.i: (r.new, r.old) for r in d.select("i", millionths("v").alias("new"), old.alias("old")).collect()}
+    assert all(new == old for new, old in got.values()) and got[1][0] == 0 and got[3][0] is None
