@@ -272,7 +272,8 @@ Z = {
 def _(v):
     from levelloom.checks.documents import lights_as_events
 
-    out = R.repair_level(lights_as_events(v), v.maps, seconds(v))
+    shown = [c.strip() for c in _COLS.split(",")]
+    out = R.repair_level(lights_as_events(v).select(*shown), v.maps, seconds(v))
     flat = F.col("kind").isin("bomb", "wall", "light", "boost")
     hidden = {c: F.when(~flat, F.col(c)) for c in ("color", "direction")} | {"tail_beat": F.when(F.col("kind").isin("arc", "chain"), F.col("tail_beat"))}
-    return out.withColumns(hidden).select(*[c.strip() for c in _COLS.split(",")])
+    return out.withColumns(hidden).select(*shown)
