@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from levelloom.operators.curation import unseen, with_manifest
 from levelloom.operators.samples import preprocess
-from levelloom.session import cut, stored
-from levelloom.sources.documents import find_member, find_members, info_levels, level_events, parse_info, parse_levels, rejects, tempo_changes
+from levelloom.session import Steps, stored
+from levelloom.sources.documents import dead_maps, find_member, find_members, info_levels, level_events, parse_info, parse_levels, rejects, tempo_changes
 
 TABLES = ("onsets", "lights", "labels", "maps")
 LOG_SCHEMA = "map_id string, status string, run string"
@@ -31,33 +31,38 @@ def preprocess_archives(
     n_frames) of maps whose audio is known; ``manifest`` may add (map_id, category, genre).
     Each run stores its tables (onsets, lights, labels, maps) under its own name and then its
     log: one row per map with ``done`` or why it was refused. Readers go by the log, so a run
-    that dies half-way leaves nothing visible, and is simply started again. With ``force``
+    that dies half-way leaves nothing visible, and is simply started again. What a run stored
+    on its way is deleted at its end. With ``force``
     known maps are done again; the newest run of a map counts. Returns the run, or None if
     there was nothing new.
     """
     spark = members.sparkSession
     run = f"{_next(spark, out):06d}-{uuid.uuid4().hex[:8]}"
     known = stored(spark, f"{out}/log", LOG_SCHEMA)
-    new = cut(unseen(members.withColumn("map_id", F.col("map_id").cast("string")), known, force))
+    steps = Steps(spark)
+    new = steps.keep("new", unseen(members.withColumn("map_id", F.col("map_id").cast("string")), known, force))
     if new.isEmpty():
+        steps.drop("new")
         return None
     info, docs = standard_documents(new)
     frames = frames.select(F.col("map_id").cast("string").alias("map_id"), "n_frames")
-    maps = cut(info.select("map_id", "bpm", "song_time_offset").join(frames, "map_id"))
-    parsed = parse_levels(docs.join(maps.select("map_id"), "map_id", "left_semi"))
-    tables = preprocess(cut(level_events(parsed)), maps, tempo_changes(parsed), **grid)
+    info = steps.keep("info", info.select("map_id", "bpm", "song_time_offset"))
+    maps = steps.keep("maps", info.join(frames, "map_id"))
+    parsed = steps.keep("parsed", parse_levels(docs.join(maps.select("map_id"), "map_id", "left_semi"), stored=False))
+    dead = steps.keep("dead", dead_maps(parsed))
+    tables = preprocess(level_events(parsed, dead), maps, tempo_changes(parsed, dead), **grid)
     sidecar = manifest.select(F.col("map_id").cast("string").alias("map_id"), "category", "genre") if manifest is not None else spark.createDataFrame([], "map_id string, category string, genre string")
-    onsets = cut(tables["onsets"])
-    alive = onsets.groupBy("map_id").agg(F.count_distinct("difficulty").alias("n_levels"), F.count("*").alias("n_onsets"))
-    tables = {**tables, "onsets": onsets, "maps": with_manifest(maps.join(alive, "map_id"), sidecar)}
+    alive = steps.keep("alive", tables["onsets"].groupBy("map_id").agg(F.count_distinct("difficulty").alias("n_levels"), F.count("*").alias("n_onsets")))
+    tables = {**tables, "maps": with_manifest(maps.join(alive, "map_id"), sidecar)}
     for name in TABLES:
         tables[name].write.mode("overwrite").parquet(f"{out}/{name}/run={run}")
-    dead = rejects(parsed).groupBy("map_id").agg(F.max("reject").alias("why"))
+    refused = rejects(parsed).groupBy("map_id").agg(F.max("reject").alias("why"))
     status = F.when(F.col("n_onsets").isNotNull(), "done").when(~F.col("has_info"), "no_info").when(~F.col("has_frames"), "no_audio").otherwise(F.coalesce("why", F.lit("empty")))
     log = new.select("map_id").distinct()
     log = log.join(info.select("map_id", F.lit(True).alias("has_info")), "map_id", "left").join(maps.select("map_id", F.lit(True).alias("has_frames")), "map_id", "left")
-    log = log.na.fill(False, ["has_info", "has_frames"]).join(alive, "map_id", "left").join(dead, "map_id", "left")
+    log = log.na.fill(False, ["has_info", "has_frames"]).join(alive, "map_id", "left").join(refused, "map_id", "left")
     log.select("map_id", status.alias("status")).write.mode("overwrite").parquet(f"{out}/log/run={run}")
+    steps.drop("new", "info", "maps", "parsed", "dead", "alive")
     return run
 
 

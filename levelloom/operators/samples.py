@@ -214,7 +214,7 @@ def preprocess(events: DataFrame, maps: DataFrame, changes: DataFrame | None = N
     """All training tables of a parsed corpus: onsets, lights and labels, keyed by level."""
     from levelloom.operators.series import onset_labels
 
-    onsets = level_onsets(events, maps, changes, **grid)
+    onsets = cut(level_onsets(events, maps, changes, **grid))  # lights and labels read them too
     alive = onsets.select(*K_COLS).distinct()  # a level without onsets goes with its lights
     lit = events.where("kind = 'light'")
     boosts = events.where("kind = 'boost'")

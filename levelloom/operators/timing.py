@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from levelloom.constants import HOP_LENGTH, SAMPLE_RATE
 from levelloom.functions.scalars import seconds_to_frame
 from levelloom.plans.ordered import asof
+from levelloom.session import cut
 
 
 #: changes belong to one difficulty's document
@@ -30,7 +31,21 @@ def tempo_segments(changes: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def beat_frames(events: DataFrame, maps: DataFrame, changes: DataFrame | None = None, *, sample_rate=SAMPLE_RATE, hop=HOP_LENGTH) -> DataFrame:
-    """Add ``seconds`` and ``frame`` to events; a change takes effect strictly after its beat."""
+    """Add ``seconds`` and ``frame`` to events; a change takes effect strictly after its beat.
+
+    Levels without a change keep the base tempo, so only the others are searched for segments.
+    """
+    if changes is not None:
+        changing = cut(changes.select(*LEVEL).distinct())
+        grid = {"sample_rate": sample_rate, "hop": hop}
+        if changing.isEmpty():
+            return beat_frames(events, maps, **grid)
+        still = beat_frames(events.join(changing, list(LEVEL), "left_anti"), maps, **grid)
+        return still.unionByName(_frames(events.join(changing, list(LEVEL), "left_semi"), maps, changes, sample_rate, hop))
+    return _frames(events, maps, None, sample_rate, hop)
+
+
+def _frames(events: DataFrame, maps: DataFrame, changes: DataFrame | None, sample_rate, hop) -> DataFrame:
     cols = ["map_id", "bpm", *([c for c in ("song_time_offset",) if c in maps.columns])]
     m = maps.select(*cols)
     offset = F.coalesce("song_time_offset", F.lit(0.0)) if len(cols) == 3 else F.lit(0.0)

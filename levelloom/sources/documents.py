@@ -59,8 +59,16 @@ def find_member(members: DataFrame, target: str) -> DataFrame:
 def find_members(members: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each row of ``wanted`` (map_id, filename, ...) the first member of that base name, whatever its case."""
     base = F.lower(F.element_at(F.split("member", "/"), -1))
-    first = members.where("member is not null").groupBy("map_id", base.alias("_base")).agg(F.min_by("text", "pos").alias("text"))
-    return wanted.withColumn("_base", F.lower(F.element_at(F.split("filename", "/"), -1))).join(first, ["map_id", "_base"]).drop("_base")
+    places = members.where("member is not null").groupBy("map_id", base.alias("_base"), "pos").agg(F.count("*").alias("_n"))
+    first = places.groupBy("map_id", "_base").agg(F.min("pos").alias("pos"), F.min_by("_n", "pos").alias("_n"))
+    # names are matched without their texts, and what is found is stored: texts then stay where they lie if it is small
+    found = wanted.withColumn("_base", F.lower(F.element_at(F.split("filename", "/"), -1))).join(first, ["map_id", "_base"]).drop("_base")
+    found, texts = cut(found), members.select("map_id", "pos", "text")
+    out = found.where("_n = 1").join(texts, ["map_id", "pos"]).select(*wanted.columns, "text")
+    twice = found.where("_n > 1")  # several archives of one map
+    if not twice.isEmpty():
+        out = out.unionByName(twice.join(texts, ["map_id", "pos"]).groupBy(*wanted.columns).agg(F.min("text").alias("text")))
+    return out
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -256,24 +264,28 @@ def _older_generation(r: DataFrame) -> DataFrame:
     )
 
 
-def _dead_maps(parsed: DataFrame) -> DataFrame:
+def dead_maps(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reject").isin("unreadable", "bad_value")).select("map_id").distinct()
 
 
-def level_events(parsed: DataFrame) -> DataFrame:
-    """Event rows. A bad value or unreadable text drops the whole map, a missing version one level."""
-    return parsed.where(f"reject is null and kind is not null and kind <> '{TEMPO}'").join(_dead_maps(parsed), "map_id", "left_anti").drop("reject", "generation")
+def level_events(parsed: DataFrame, dead: DataFrame | None = None) -> DataFrame:
+    """Event rows. A bad value or unreadable text drops the whole map, a missing version one level.
+
+    ``dead`` are the maps to drop, where the caller has stored them.
+    """
+    dead = dead_maps(parsed) if dead is None else dead
+    return parsed.where(f"reject is null and kind is not null and kind <> '{TEMPO}'").join(dead, "map_id", "left_anti").drop("reject", "generation")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
     return parsed.where("reject is not null").groupBy("map_id", "difficulty").agg(F.max("reject").alias("reject"))
 
 
-def tempo_changes(parsed: DataFrame) -> DataFrame:
+def tempo_changes(parsed: DataFrame, dead: DataFrame | None = None) -> DataFrame:
     """Tempo changes of older documents that are read at all, in document order.
 
     A document of another or no generation has none, nor has any of a map that
     ``level_events`` drops.
     """
-    t = parsed.where(f"reject is null and kind = '{TEMPO}'").join(_dead_maps(parsed), "map_id", "left_anti")
+    t = parsed.where(f"reject is null and kind = '{TEMPO}'").join(dead_maps(parsed) if dead is None else dead, "map_id", "left_anti")
     return t.select("map_id", "difficulty", "seq", F.col("beat").alias("at_beat"), F.col("float_value").alias("new_bpm"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from levelloom.constants import DIFFICULTY_RANK_SPEED
 from levelloom.functions.scalars import lookup
 from levelloom.operators.parity import K_COLS
-from levelloom.plans.ordered import NOTES, position
+from levelloom.plans.ordered import NOTES, SLICE, position
 from levelloom.sources.documents import EVENT_FIELDS, V3_ARRAYS
 
 #: events of one text part
@@ -38,6 +38,10 @@ def wire_events(events: DataFrame) -> DataFrame:
     return events.select(*K_COLS, "kind", "beat", "seq", text.alias("json"))
 
 
+def _joined(events: str) -> Column:
+    return F.array_join(F.transform(events, lambda s: s.json), ",")
+
+
 def level_fragments(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     """Documents of any size as ordered text pieces: ``(level, array, part, text)``.
 
@@ -47,7 +51,7 @@ def level_fragments(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     w = position(wire_events(events), NOTES.by("kind"))
     w = w.withColumn("part", F.floor((F.col("pos") - 1) / rows))
     g = w.groupBy(*K_COLS, "kind", "part").agg(F.sort_array(F.collect_list(F.struct("pos", "json"))).alias("e"))
-    return g.select(*K_COLS, "kind", "part", F.size("e").alias("n"), F.array_join(F.transform("e", lambda s: s.json), ",").alias("text"))
+    return g.select(*K_COLS, "kind", "part", F.size("e").alias("n"), _joined("e").alias("text"))
 
 
 def level_documents(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
@@ -56,8 +60,12 @@ def level_documents(events: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     Here a level is one value; ``level_files.write_level_files`` writes the same text to a file
     without ever holding it. Empty arrays are written as such.
     """
-    g = level_fragments(events, rows).groupBy(*K_COLS).agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("part", "text")))).alias(k) for k in V3_ARRAYS]
+    # parts end at the borders of slices too, so events are shuffled once, and then only texts
+    w = wire_events(events).withColumn(SLICE, F.expr(NOTES.slice).cast("long"))
+    w = w.withColumn("pos", F.row_number().over(W.partitionBy(*K_COLS, "kind", SLICE).orderBy(*NOTES.order)))
+    g = w.groupBy(*K_COLS, "kind", SLICE, F.floor((F.col("pos") - 1) / rows).alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", "json"))).alias("e"))
+    g = g.select(*K_COLS, "kind", F.struct(SLICE, "part", _joined("e").alias("text")).alias("piece")).groupBy(*K_COLS).agg(
+        *[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("piece")))).alias(k) for k in V3_ARRAYS]
     )
     arrays = [F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(k, lambda s: s.text), ","), F.lit("]")) for k, (name, _) in V3_ARRAYS.items()]
     doc = F.concat(F.lit(DOCUMENT_HEAD), F.concat_ws(",", *arrays, F.lit(DOCUMENT_TAIL)))
